@@ -174,7 +174,7 @@ def group_screen(df: DataFrame, keys: Sequence[str], value: str = "norm_discharg
     w = Window.partitionBy(*keys)
     ok = ((F.min(value).over(w) > min_above) & (F.max(value).over(w) < max_below)
           & (F.max(order).over(w) > min_last_order))
-    return df.where(ok)
+    return df.withColumn("_ps_ok", ok).where(F.col("_ps_ok")).drop("_ps_ok")
 
 
 def numpy_rolling_replace(values: np.ndarray, window: int, k: float) -> np.ndarray:

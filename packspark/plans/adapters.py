@@ -38,7 +38,8 @@ def cycloid_view(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doe_number": F.col("l_returnflag"),
         "instance_number": F.col("l_suppkey").cast("string"),
         "energy": F.lit(20.0) / (F.lit(1.0) + F.lit(0.0005) * cyc)
-        + F.lit(0.3) * ((F.floor(cyc / 12) % 2).cast("double")) + F.lit(0.2) * disc,
+        + F.lit(0.3) * ((F.floor(cyc / 12) % 2).cast("double")) + F.lit(0.2) * disc
+        + F.when(cyc < 3, F.lit(2.0) * tax).otherwise(F.lit(0.0)),
         "energy_rest": F.lit(0.1) + tax,
         "dcir": F.when(F.col("cycling_substate") == "DCIR", F.lit(0.03) + F.lit(0.1) * tax),
         "capacity": F.lit(4.0) + disc,
@@ -72,7 +73,8 @@ cyc_base AS (
 cycloid AS (
   SELECT l_returnflag AS doe_number, CAST(l_suppkey AS VARCHAR) AS instance_number, cycle, cycling_substate,
          20.0::DOUBLE / (1.0::DOUBLE + 0.0005::DOUBLE * cycle)
-           + 0.3::DOUBLE * CAST((cycle // 12) % 2 AS DOUBLE) + 0.2::DOUBLE * l_discount AS energy,
+           + 0.3::DOUBLE * CAST((cycle // 12) % 2 AS DOUBLE) + 0.2::DOUBLE * l_discount
+           + (CASE WHEN cycle < 3 THEN 2.0::DOUBLE * l_tax ELSE 0.0::DOUBLE END) AS energy,
          0.1::DOUBLE + l_tax AS energy_rest,
          CASE WHEN cycling_substate = 'DCIR' THEN 0.03::DOUBLE + 0.1::DOUBLE * l_tax END AS dcir,
          4.0::DOUBLE + l_discount AS capacity,

@@ -1,35 +1,4 @@
-"""Registered queries: each is a Spark plan over the test tables plus its DuckDB twin."""
+"""All registered queries (importing the query modules fills the registry)."""
 
-from __future__ import annotations
-
-from pyspark.sql import functions as F
-
-from packspark.operators import energy as en
-from packspark.plans import adapters as ad
-from packspark.plans import sqltext as sq
-from packspark.plans.spec import Query
-
-REGISTRY: dict[str, Query] = {}
-RPT = 20  # reference-test cycle inside the ~40-cycle test series (same at every scale)
-
-
-def register(name, cols, sql=None, ids=()):
-    def deco(fn):
-        REGISTRY[name] = Query(name, fn, cols, sql, list(ids))
-        return fn
-    return deco
-
-
-K_COLS = "doe_number:s, instance_number:s"
-
-# ------------------------------------------------------------------ energy
-ENERGY_COLS = (K_COLS + ", cycle:i, raw_discharge_energy:d, adjusted_raw_discharge_energy:d, discharge_energy:d, "
-               "mean_energy:d, std_energy:d, lower_energy_bound:d, norm_discharge_energy:d, norm_mean_energy:d, "
-               "norm_lower_energy:d")
-
-
-@register("discharge_energy", ENERGY_COLS,
-          sq.with_(ad.CYCLOID_SQL, sq.discharge_energy_ctes(7, 0.1)) + "\nSELECT * FROM energy",
-          ids=["T1", "A1", "W5", "W1", "A2", "A3", "W4"])
-def q_discharge_energy(spark, sf):
-    return en.discharge_energy(ad.cycloid_view(spark, sf), window=7, sigma_multiplier=0.1)
+from packspark.plans import q_energy  # noqa: F401
+from packspark.plans.registry import REGISTRY  # noqa: F401

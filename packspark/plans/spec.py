@@ -1,9 +1,14 @@
 """Output contracts of registered queries.
 
 A query's output is pinned to named, typed columns.  The same contract wraps the Spark
-DataFrame and the DuckDB oracle text, so both engines return identical names and types;
-doubles are rounded to 6 decimals in both so the comparison does not depend on the last
-bits of floating-point sums.
+DataFrame and the DuckDB oracle text, so both engines return identical names and types.
+
+Doubles are snapped to the nearest multiple of 2^-24 (~6e-8) with the same IEEE
+operations in both engines (a power-of-two scale is exact), so last-bit differences of
+sums or interpolations do not change the value.  A binary grid is used rather than
+decimal rounding: decimal-derived data often lands exactly on a decimal half (e.g. the
+median of two 6-decimal values), where engines round differently, but practically
+never on a binary half.
 """
 
 from __future__ import annotations
@@ -16,7 +21,7 @@ from pyspark.sql import functions as F
 
 _SPARK_T = {"s": "string", "i": "int", "l": "bigint", "d": "double", "b": "boolean"}
 _DUCK_T = {"s": "VARCHAR", "i": "INTEGER", "l": "BIGINT", "d": "DOUBLE", "b": "BOOLEAN"}
-DIGITS = 6
+GRID = 16777216.0  # 2^24
 
 
 def parse_cols(spec: str) -> list[tuple[str, str]]:
@@ -34,7 +39,7 @@ def finish_spark(df: DataFrame, spec: str) -> DataFrame:
     for name, t in parse_cols(spec):
         c = F.col(f"`{name}`").cast(_SPARK_T[t])
         if t == "d":
-            c = F.round(c, DIGITS)
+            c = F.when(F.abs(c) < 1e15, F.floor(c * GRID + 0.5).cast("double") / GRID).otherwise(c)
         cols.append(c.alias(name))
     return df.select(*cols)
 
@@ -44,7 +49,7 @@ def finish_sql(inner: str, spec: str) -> str:
     for name, t in parse_cols(spec):
         c = f'CAST("{name}" AS {_DUCK_T[t]})'
         if t == "d":
-            c = f"round({c}, {DIGITS})"
+            c = f"(CASE WHEN abs({c}) < 1e15 THEN floor({c} * {GRID!r} + 0.5) / {GRID!r} ELSE {c} END)"
         cols.append(f'{c} AS "{name}"')
     return f"SELECT {', '.join(cols)}\nFROM (\n{inner.strip()}\n) AS q"
 
