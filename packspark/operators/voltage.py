@@ -114,3 +114,25 @@ def temperature_series(df: DataFrame, y: str = "max_temp", x: str = "cycle", hue
     """Mean and 95 % interval of the cleaned temperature per state, x and hue."""
     t = temperature_clean(df, y, x, clean_first_n_cycles, window, sigma_multiplier)
     return mean_ci(t, x, y, ["cycling_substate", hue])
+
+
+# Metrics of the dense series that can be plotted.
+ROVER_METRICS = ("avg_current_a", "avg_voltage_v", "avail_battery_capacity_ah", "battery_temperature_deg_c",
+                 "min_current_a", "max_current_a", "min_voltage_v", "max_voltage_v", "current_a", "voltage_v")
+
+
+def rover_metrics(df: DataFrame, metrics: Sequence[str], state: str = CHARGE, x: str = "elapsed_minutes",
+                  extra: Sequence[str] = ("sample_id",)) -> DataFrame:
+    """Long table (doe_instance, x, metric, value) of the chosen metrics for one charging state.
+
+    Current is made positive.  An unknown state gives an empty table.
+    """
+    bad = [m for m in metrics if m not in ROVER_METRICS]
+    if bad:
+        raise ValueError(f"unknown metrics {bad}; choose from {ROVER_METRICS}")
+    d = (df.where(F.col("charging_state_name") == state)
+         .withColumn("doe_instance", F.concat_ws("_", F.col("doe").cast("string"), F.col("instance").cast("string"))))
+    if "avg_current_a" in d.columns:
+        d = d.withColumn("avg_current_a", F.abs("avg_current_a"))
+    keep = ["doe_instance", x, *[e for e in extra if e != x]]
+    return d.unpivot(keep, list(metrics), "metric", "value")

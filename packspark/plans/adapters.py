@@ -4,8 +4,8 @@ Each view is written twice: once with the DataFrame API (what the queries run) a
 as DuckDB SQL text (the independent oracle).  Both read only the given tables, so their
 work grows with the tables.  Series lengths do not grow with the scale factor: a
 cycle-table series is one (``l_returnflag``, ``l_suppkey``) pair (~200 rows, ~40 cycles)
-and a time series is one (user, 10-day cycle, state); more data means more series, which
-is how a fleet of test packs grows.
+and a time series is one (block of 30 users, day, state) with ~66 samples; more data means
+more series, which is how a fleet of test packs grows.
 """
 
 from __future__ import annotations
@@ -45,7 +45,9 @@ def cycloid_view(spark: SparkSession, sf_dir: str) -> DataFrame:
         "capacity": F.lit(4.0) + disc,
         "time": F.lit(55.0) + qty / 5.0,
         "min_temp": F.lit(25.0) + tax * 10.0,
-        "max_temp": F.lit(30.0) + qty / 2.0,
+        # continuous part: integer-valued temperatures would put exact ties |x - md| = k·sd
+        # into the rolling filter, where the last bit of a float sum decides
+        "max_temp": F.lit(30.0) + qty / 2.0 + F.col("l_extendedprice") / 1000000.0,
         "min_rest_voltage_v": F.lit(15.0) + tax,
         "max_rest_voltage_v": F.lit(16.0) + disc,
         "mean_mean_voltage": F.lit(3.7) + disc,
@@ -66,7 +68,7 @@ cyc_base AS (
   SELECT *, CAST((rn - 1) // 5 + 1 AS INTEGER) AS cycle,
          (['CHARGE','CHARGE REST','DISCHARGE','DISCHARGE REST','DCIR'])[CAST((rn - 1) % 5 AS INTEGER) + 1]
            AS cycling_substate
-  FROM (SELECT l_returnflag, l_suppkey, l_quantity, l_discount, l_tax,
+  FROM (SELECT l_returnflag, l_suppkey, l_quantity, l_discount, l_tax, l_extendedprice,
                row_number() OVER (PARTITION BY l_returnflag, l_suppkey
                                   ORDER BY l_shipdate, l_orderkey, l_linenumber, l_partkey, l_extendedprice) AS rn
         FROM lineitem)),
@@ -80,7 +82,7 @@ cycloid AS (
          4.0::DOUBLE + l_discount AS capacity,
          55.0::DOUBLE + l_quantity / 5.0::DOUBLE AS time,
          25.0::DOUBLE + l_tax * 10.0::DOUBLE AS min_temp,
-         30.0::DOUBLE + l_quantity / 2.0::DOUBLE AS max_temp,
+         30.0::DOUBLE + l_quantity / 2.0::DOUBLE + l_extendedprice / 1000000.0::DOUBLE AS max_temp,
          15.0::DOUBLE + l_tax AS min_rest_voltage_v,
          16.0::DOUBLE + l_discount AS max_rest_voltage_v,
          3.7::DOUBLE + l_discount AS mean_mean_voltage,
@@ -93,35 +95,36 @@ cycloid AS (
 
 
 # ---------------------------------------------------------------- dense time series
-ROVER_CYCLE_DAYS = 10
-ROVER_CYCLE_MIN = ROVER_CYCLE_DAYS * 1440.0
+USERS_PER_PACK = 30   # ~66 samples per (pack, day) at every scale factor
 
 
 def rover_view(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One row per sample; series key (doe, instance, cycle_num, charging_state_name)."""
+    """One row per sample; series key (doe, instance, cycle_num, charging_state_name).
+
+    A pack is a block of 30 users, a cycle is one day, elapsed minutes count from midnight
+    (computed on the time-zone-free timestamp, so the session time zone does not matter).
+    """
     ev = table(spark, sf_dir, "events").select("event_id", "user_id", "ts", "event_type", "value")
-    day = F.dayofmonth("ts")
     day_us = F.expr("timestampdiff(MICROSECOND, date_trunc('DAY', ts), ts)")
-    e = ((day - 1) % ROVER_CYCLE_DAYS).cast("double") * 1440.0 + day_us.cast("double") / 60000000.0
-    d = ev.withColumn("elapsed_minutes", e)
+    d = ev.withColumn("elapsed_minutes", day_us.cast("double") / 60000000.0)
     el = F.col("elapsed_minutes")
-    level = (F.when(el < 3600.0, F.lit(-4.0)).when(el < 7200.0, F.lit(-2.0))
-             .when(el < 10800.0, F.lit(-1.2)).otherwise(F.lit(-0.7)))
+    level = (F.when(el < 360.0, F.lit(-4.0)).when(el < 720.0, F.lit(-2.0))
+             .when(el < 1080.0, F.lit(-1.2)).otherwise(F.lit(-0.7)))
     cols = {
         "doe": F.lit("E1"),
-        "instance": F.col("user_id").cast("string"),
-        "cycle_num": (F.floor((day - 1) / ROVER_CYCLE_DAYS) + 1).cast("int"),
+        "instance": F.floor(F.col("user_id") / USERS_PER_PACK).cast("string"),
+        "cycle_num": F.dayofmonth("ts").cast("int"),
         "charging_state_name": F.when(F.col("event_type") == "error", "DISCHARGE").otherwise("CHARGE"),
         "sample_id": F.col("event_id"),
-        "cccv_state": F.when(el >= 10800.0, 2).otherwise(1).cast("int"),
+        "cccv_state": F.when(el >= 1080.0, 2).otherwise(1).cast("int"),
         "avg_current_a": F.when(F.col("event_id") % 97 == 0, F.lit(None).cast("double"))
         .otherwise(level - F.col("value") / 10000.0),
-        "avg_voltage_v": F.lit(15.0) + el / 4800.0,
-        "avail_battery_capacity_ah": el / 2880.0,
+        "avg_voltage_v": F.lit(15.0) + el / 480.0,
+        "avail_battery_capacity_ah": el / 288.0,
         "battery_temperature_deg_c": F.lit(20.0) + F.col("value") / 5.0,
     }
     for i in range(1, 6):
-        cols[f"cell{i}_voltage_v"] = F.lit(3.6) + F.lit(0.65) * el / 14400.0 + F.lit(float(f"0.00{i}"))
+        cols[f"cell{i}_voltage_v"] = F.lit(3.6) + F.lit(0.65) * el / 1440.0 + F.lit(float(f"0.00{i}"))
     d = d.withColumns(cols)
     keep = ["doe", "instance", "cycle_num", "charging_state_name", "sample_id", "elapsed_minutes", "cccv_state",
             "avg_current_a", "avg_voltage_v", "avail_battery_capacity_ah", "battery_temperature_deg_c"] + \
@@ -131,26 +134,25 @@ def rover_view(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 ROVER_SQL = """
 rov_base AS (
-  SELECT *, CAST((day(ts) - 1) % 10 AS DOUBLE) * 1440.0::DOUBLE
-            + CAST(epoch_us(ts) - epoch_us(date_trunc('day', ts)) AS DOUBLE) / 60000000.0::DOUBLE AS elapsed_minutes
+  SELECT *, CAST(epoch_us(ts) - epoch_us(date_trunc('day', ts)) AS DOUBLE) / 60000000.0::DOUBLE AS elapsed_minutes
   FROM events),
 rover AS (
-  SELECT 'E1' AS doe, CAST(user_id AS VARCHAR) AS instance, CAST((day(ts) - 1) // 10 + 1 AS INTEGER) AS cycle_num,
+  SELECT 'E1' AS doe, CAST(user_id // 30 AS VARCHAR) AS instance, CAST(day(ts) AS INTEGER) AS cycle_num,
          CASE WHEN event_type = 'error' THEN 'DISCHARGE' ELSE 'CHARGE' END AS charging_state_name,
          event_id AS sample_id, elapsed_minutes,
-         CAST(CASE WHEN elapsed_minutes >= 10800.0 THEN 2 ELSE 1 END AS INTEGER) AS cccv_state,
+         CAST(CASE WHEN elapsed_minutes >= 1080.0 THEN 2 ELSE 1 END AS INTEGER) AS cccv_state,
          CASE WHEN event_id % 97 = 0 THEN NULL ELSE
-           (CASE WHEN elapsed_minutes < 3600.0 THEN -4.0::DOUBLE WHEN elapsed_minutes < 7200.0 THEN -2.0::DOUBLE
-                 WHEN elapsed_minutes < 10800.0 THEN -1.2::DOUBLE ELSE -0.7::DOUBLE END) - value / 10000.0::DOUBLE
+           (CASE WHEN elapsed_minutes < 360.0 THEN -4.0::DOUBLE WHEN elapsed_minutes < 720.0 THEN -2.0::DOUBLE
+                 WHEN elapsed_minutes < 1080.0 THEN -1.2::DOUBLE ELSE -0.7::DOUBLE END) - value / 10000.0::DOUBLE
          END AS avg_current_a,
-         15.0::DOUBLE + elapsed_minutes / 4800.0::DOUBLE AS avg_voltage_v,
-         elapsed_minutes / 2880.0::DOUBLE AS avail_battery_capacity_ah,
+         15.0::DOUBLE + elapsed_minutes / 480.0::DOUBLE AS avg_voltage_v,
+         elapsed_minutes / 288.0::DOUBLE AS avail_battery_capacity_ah,
          20.0::DOUBLE + value / 5.0::DOUBLE AS battery_temperature_deg_c,
-         3.6::DOUBLE + 0.65::DOUBLE * elapsed_minutes / 14400.0::DOUBLE + 0.001::DOUBLE AS cell1_voltage_v,
-         3.6::DOUBLE + 0.65::DOUBLE * elapsed_minutes / 14400.0::DOUBLE + 0.002::DOUBLE AS cell2_voltage_v,
-         3.6::DOUBLE + 0.65::DOUBLE * elapsed_minutes / 14400.0::DOUBLE + 0.003::DOUBLE AS cell3_voltage_v,
-         3.6::DOUBLE + 0.65::DOUBLE * elapsed_minutes / 14400.0::DOUBLE + 0.004::DOUBLE AS cell4_voltage_v,
-         3.6::DOUBLE + 0.65::DOUBLE * elapsed_minutes / 14400.0::DOUBLE + 0.005::DOUBLE AS cell5_voltage_v
+         3.6::DOUBLE + 0.65::DOUBLE * elapsed_minutes / 1440.0::DOUBLE + 0.001::DOUBLE AS cell1_voltage_v,
+         3.6::DOUBLE + 0.65::DOUBLE * elapsed_minutes / 1440.0::DOUBLE + 0.002::DOUBLE AS cell2_voltage_v,
+         3.6::DOUBLE + 0.65::DOUBLE * elapsed_minutes / 1440.0::DOUBLE + 0.003::DOUBLE AS cell3_voltage_v,
+         3.6::DOUBLE + 0.65::DOUBLE * elapsed_minutes / 1440.0::DOUBLE + 0.004::DOUBLE AS cell4_voltage_v,
+         3.6::DOUBLE + 0.65::DOUBLE * elapsed_minutes / 1440.0::DOUBLE + 0.005::DOUBLE AS cell5_voltage_v
   FROM rov_base)"""
 
 
