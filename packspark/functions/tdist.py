@@ -118,8 +118,9 @@ def bf10_jzs(t: float, nx: int, ny: int, r: float = 0.707, alternative: str = "t
     logf = (-0.5 * np.log(a) - (df + 1.0) / 2.0 * np.log1p(t * t / (a * df))
             - 0.5 * math.log(2.0 * math.pi) - 1.5 * s - 1.0 / (2.0 * g) + s)
     mx = float(np.max(logf))
-    integ = math.exp(mx) * float(np.trapezoid(np.exp(logf - mx), s))
-    bf = integ / (1.0 + t * t / df) ** (-(df + 1.0) / 2.0)
+    log_integ = mx + math.log(float(np.trapezoid(np.exp(logf - mx), s)))
+    log_bf = log_integ + (df + 1.0) / 2.0 * math.log1p(t * t / df)
+    bf = math.exp(log_bf) if log_bf < 700.0 else float("inf")
     if alternative != "two-sided":
         bf *= 2.0
         if ((alternative == "greater" and t < 0) or (alternative == "less" and t > 0)) and bf > 1:

@@ -84,7 +84,16 @@ def rolling_outlier_replace(df: DataFrame, value: str | Sequence[str], keys: Seq
     raise ValueError(f"unknown method {method!r}")
 
 
-def _blocked_rolling(df, values, outs, keys, order, window, k, block_rows):
+def _blocked_rolling(df, values, outs, keys, order, window, k, block_rows, spread_blocks=True):
+    """Blocked rolling filter.
+
+    Rows are numbered per series (one sort per series), cut into blocks of ``b`` rows and
+    each block gets the previous ``window-1`` rows as a halo, so every block is cleaned
+    on its own.  Blocks are hash-spread over tasks (a very long series is cleaned by many
+    tasks), sorted, and streamed through ``mapInPandas``: consecutive rows of a block are
+    cleaned with a vectorised grouped rolling median; memory per task is one Arrow batch
+    plus at most one block.
+    """
     b = int(block_rows or max(8 * window, 4096))
     if b < window - 1:
         raise ValueError("block_rows must be at least window - 1")
@@ -98,23 +107,54 @@ def _blocked_rolling(df, values, outs, keys, order, window, k, block_rows):
         if o != v:
             d = d.withColumn(o, F.col(v))
     out_schema = T.StructType(d.schema.fields)
-    out_cols = list(outs)
+    gcols = [*keys, "_ps_blk"]
+    if spread_blocks:
+        d = d.repartition(*gcols)
+    d = d.sortWithinPartitions(*gcols, "_ps_idx")
+    clean = _block_cleaner(list(outs), gcols, window, k)
+    res = d.mapInPandas(clean, schema=out_schema)
+    return res.drop("_ps_idx", "_ps_own", "_ps_blk")
 
-    def clean_block(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("_ps_idx", kind="stable")
+
+def _block_cleaner(out_cols, gcols, window, k):
+    def process(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.reset_index(drop=True)
+        by = [pdf[c] for c in gcols]
         for o in out_cols:
             s = pdf[o].astype("float64")
-            r = s.rolling(window, min_periods=1)
-            md = r.median()
-            sd = r.std(ddof=0)
+            r = s.groupby(by, sort=False, dropna=False).rolling(window, min_periods=1)
+            md = r.median().droplevel(list(range(len(gcols)))).reindex(pdf.index)
+            sd = r.std(ddof=0).droplevel(list(range(len(gcols)))).reindex(pdf.index)
             hit = ((s - md).abs() > k * sd).fillna(False).to_numpy()
             vals = s.to_numpy(copy=True)
             vals[hit] = md.to_numpy()[hit]
             pdf[o] = vals
         return pdf[pdf["_ps_blk"] == pdf["_ps_own"]]
 
-    res = d.groupBy(*keys, "_ps_blk").applyInPandas(clean_block, schema=out_schema)
-    return res.drop("_ps_idx", "_ps_own", "_ps_blk")
+    def same_as_last(pdf: pd.DataFrame) -> np.ndarray:
+        m = np.ones(len(pdf), dtype=bool)
+        for c in gcols:
+            col = pdf[c]
+            last = col.iloc[-1]
+            m &= (col.isna().to_numpy() if pd.isna(last) else (col == last).to_numpy())
+        return m
+
+    def run(batches):
+        carry = None
+        for pdf in batches:
+            if carry is not None and len(carry):
+                pdf = pd.concat([carry, pdf], ignore_index=True)
+            if not len(pdf):
+                continue
+            tail = same_as_last(pdf)
+            carry = pdf[tail]
+            done = pdf[~tail]
+            if len(done):
+                yield process(done)
+        if carry is not None and len(carry):
+            yield process(carry)
+
+    return run
 
 
 def segment_clean(df: DataFrame, value: str, keys: Sequence[str], cycle: str = "cycle",

@@ -32,11 +32,12 @@ def cohort_medians(df: DataFrame, value: str = "capacity", states=("CHARGE", "DI
 def cohort_delta(df: DataFrame, test: str, reference: str, value: str = "capacity",
                  states=("CHARGE", "DISCHARGE")) -> DataFrame:
     """Test − reference median per pack number and state (packs missing on one side give NULL)."""
-    m = cohort_medians(df, value, states)
-    col = f"median_{value}"
-    t = m.where(F.col("cohort") == test).select("pack", "cycling_substate", F.col(col).alias("test_median"))
-    r = m.where(F.col("cohort") == reference).select("pack", "cycling_substate", F.col(col).alias("reference_median"))
-    return (t.join(r, on=["pack", "cycling_substate"], how="full")
+    m = cohort_medians(df, value, states).where(F.col("cohort").isin(test, reference))
+    col = F.col(f"median_{value}")
+    # one instance per (cohort, pack): a conditional aggregate pairs both sides without a join
+    return (m.groupBy("pack", "cycling_substate")
+            .agg(F.max(F.when(F.col("cohort") == test, col)).alias("test_median"),
+                 F.max(F.when(F.col("cohort") == reference, col)).alias("reference_median"))
             .withColumn("delta", F.col("test_median") - F.col("reference_median")))
 
 
@@ -70,14 +71,14 @@ def recipe_pair_delta(clean: DataFrame) -> DataFrame:
     """
     d = clean.withColumn("letter", F.substring("instance_number", 1, 1)) \
              .withColumn("pack", F.substring("instance_number", 2, 1000))
-    f_packs = d.where(F.col("letter") == "f").select("pack").distinct()
     pair_of = {}
     for a, b in RECIPE_PAIRS:
         for x in (a, b):
             pair_of.setdefault(x, []).append(f"{a}-{b}")
     m = F.create_map(*[y for k, v in pair_of.items() for y in (F.lit(k), F.array(*[F.lit(p) for p in v]))])
+    has_f = F.max((F.col("letter") == "f").cast("int")).over(Window.partitionBy("pack")) == 1
+    d = d.withColumn("_ps_has_f", has_f).where(F.col("_ps_has_f"))
     d = d.where(F.col("letter").isin(*pair_of)).withColumn("pair_kind", F.explode(m[F.col("letter")]))
-    d = d.join(f_packs, on="pack", how="left_semi")
     g = (d.groupBy("pair_kind", "pack", "cycle")
          .agg(F.count(F.lit(1)).alias("_n"), (F.max("time") - F.min("time")).alias("delta"))
          .where(F.col("_n") == 2).drop("_n"))

@@ -48,9 +48,9 @@ def density(df: DataFrame, value: str, by: Sequence[str] = (), points: int = 50)
         # one stats row per group; adaptive execution broadcasts it only when it is small
         d = df.where(x.isNotNull()).select(*by, value).join(st, on=list(by), how="inner")
     else:
-        # a single stats row: a broadcast of one row is bounded by construction
-        d = (df.where(x.isNotNull()).select(value).withColumn("_g", F.lit(0))
-             .join(F.broadcast(st.withColumn("_g", F.lit(0))), on="_g", how="inner").drop("_g"))
+        # one stats row: scalar subqueries instead of a join
+        d = df.where(x.isNotNull()).select(value).withColumns(
+            {c: st.select(c).scalar() for c in ("_n", "_sd", "_lo", "_hi", "_bw")})
     step = (F.col("_hi") - F.col("_lo")) / F.lit(float(points - 1))
     d = d.withColumn("point", F.explode(F.sequence(F.lit(0), F.lit(points - 1))))
     gx = F.col("_lo") + F.col("point").cast("double") * step

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from packspark.functions.columns import first_value
-from packspark.operators.clean import clamp_early_series, rolling_outlier_replace
+from packspark.operators.clean import NATIVE_MAX_WINDOW, rolling_outlier_replace
 
 SERIES = ("doe", "instance", "cycle_num", "charging_state_name")
 ORDER = ("elapsed_minutes", "sample_id")
@@ -62,80 +62,102 @@ def charge_steps(df: DataFrame, cc_end: str = "state", current_threshold: float
     ``step_avg_current_a`` (NULL for cv), ``step_time_length_min``, ``min_avg_voltage_v``,
     ``max_avg_voltage_v``, ``min_capacity_ah``, ``max_capacity_ah``, ``short_step``.
     Rows with length ``<= min_step_minutes`` are dropped when it is given.
+
+    Plan shape: one shuffle by series; every later window is partitioned by the series
+    key (or a superset of it), so it reuses that partitioning.  Each sample fans out to a
+    fixed number of tagged records (sample / step member / boundary / interval member),
+    and a final aggregation per (series, step) builds the table - no joins, no pairs.
     """
     keys, order = list(keys), list(order)
     d = df if state is None else df.where(F.col("charging_state_name") == state)
     d = _series_frame(d, keys, order, cc_end, first_n_high, high_voltage)
     e = F.col("elapsed_minutes")
-    wo = Window.partitionBy(*keys).orderBy(*order)
-
-    # -- constant-current part and its steps
-    cc = d.where(e.between(F.lit(0.0), F.col("_ps_cc")) & F.col("avg_current_a").isNotNull())
-    cc = cc.select(*keys, *[o for o in order if o not in keys], "avg_current_a")
-    cc = clamp_early_series(cc, "avg_current_a", keys, "elapsed_minutes", 1.0)
-    cc = rolling_outlier_replace(cc, "avg_current_a", keys, order, window, sigma_multiplier,
-                                 out="_ps_clean", method=method)
-    chg = F.coalesce(F.abs(F.col("_ps_clean") - F.lag("_ps_clean").over(wo)) > F.lit(float(current_threshold)),
+    ws = Window.partitionBy(*keys)
+
+    # -- constant-current samples: clamp the first minute, clean, detect steps
+    is_cc = F.coalesce(e.between(F.lit(0.0), F.col("_ps_cc")) & F.col("avg_current_a").isNotNull(), F.lit(False))
+    d = d.withColumn("_ps_iscc", is_cc)
+    early = F.col("_ps_iscc") & (e < 1.0)
+    d = d.withColumn("_ps_cur", F.when(early, F.median(F.when(early, F.col("avg_current_a"))).over(ws))
+                     .otherwise(F.col("avg_current_a")))
+    ck = [*keys, "_ps_iscc"]
+    d = rolling_outlier_replace(d, "_ps_cur", ck, order, window, sigma_multiplier, out="_ps_clean", method=method)
+    if method == "blocked" or (method == "auto" and window > NATIVE_MAX_WINDOW):
+        # blocks were spread by (series, block); every later window is keyed by the series
+        # (or a superset of it), so one repartition here serves all of them
+        d = d.repartition(*keys)
+    wc = Window.partitionBy(*ck).orderBy(*order)
+    chg = F.coalesce(F.abs(F.col("_ps_clean") - F.lag("_ps_clean").over(wc)) > F.lit(float(current_threshold)),
                      F.lit(False))
-    cc = cc.withColumn("_ps_chg", chg)
-    cc = cc.withColumn("_ps_sid", F.sum(F.col("_ps_chg").cast("int")).over(wo.rowsBetween(Window.unboundedPreceding, 0)))
-    member = cc.withColumn("step", F.explode(F.when(F.col("_ps_chg"), F.array(F.col("_ps_sid"), F.col("_ps_sid") - 1))
-                                             .otherwise(F.array(F.col("_ps_sid")))))
-    steps = (member.groupBy(*keys, "step")
-             .agg(F.median("_ps_clean").alias("step_avg_current_a"),
-                  (F.max(e) - F.min(e)).alias("step_time_length_min")))
-    sw = Window.partitionBy(*keys).orderBy("step")
-    steps = (steps.withColumn("_ps_T", F.coalesce(F.sum("step_time_length_min")
-                                                  .over(sw.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0)))
-             .withColumn("_ps_last", F.col("step") == F.max("step").over(Window.partitionBy(*keys))))
-
-    # -- one row per series with a CC end
-    ser = (d.where(F.col("_ps_cc").isNotNull()).groupBy(*keys)
-           .agg(F.first("_ps_cc").alias("_ps_cc"), F.first("_ps_tmax").alias("_ps_tmax"),
-                F.first("_ps_v0").alias("_ps_v0"), F.first("_ps_c0").alias("_ps_c0")))
-    nsteps = steps.groupBy(*keys).agg(F.count(F.lit(1)).alias("_ps_m"))
-    ser = ser.join(nsteps, on=keys, how="left").withColumn("_ps_m", F.coalesce(F.col("_ps_m"), F.lit(0)).cast("int"))
-
-    # -- boundaries T_0..T_{m+1}
-    b_steps = steps.select(*keys, F.col("step").alias("_ps_j"), F.col("_ps_T").alias("elapsed_minutes"))
-    b_end = steps.where("_ps_last").select(*keys, (F.col("step") + 1).alias("_ps_j"),
-                                           (F.col("_ps_T") + F.col("step_time_length_min")).alias("elapsed_minutes"))
-    b_zero = ser.where(F.col("_ps_m") == 0).select(*keys, F.lit(0).cast("int").alias("_ps_j"),
-                                                   F.lit(0.0).alias("elapsed_minutes"))
-    b_tmax = ser.select(*keys, (F.col("_ps_m") + 1).cast("int").alias("_ps_j"), F.col("_ps_tmax").alias("elapsed_minutes"))
-    bnd = b_steps.unionByName(b_end).unionByName(b_zero).unionByName(b_tmax).withColumn("_ps_isb", F.lit(True))
-
-    # -- assign every sample to the closed intervals that contain it (exact, linear):
+    d = d.withColumn("_ps_chg", chg & F.col("_ps_iscc"))
+    d = d.withColumn("_ps_sid", F.sum(F.col("_ps_chg").cast("int")).over(wc.rowsBetween(Window.unboundedPreceding, 0)))
+
+    # -- records: 0 = sample, 1 = member of step sid, 2 = member of step sid-1 (shared boundary sample)
+    rec = F.array_compact(F.array(F.lit(0), F.when(F.col("_ps_iscc"), F.lit(1)),
+                                  F.when(F.col("_ps_chg"), F.lit(2))))
+    d = d.withColumn("_ps_k", F.explode(rec))
+    d = d.withColumn("step", F.when(F.col("_ps_k") == 1, F.col("_ps_sid"))
+                     .when(F.col("_ps_k") == 2, F.col("_ps_sid") - 1).cast("int"))
+    d = d.withColumn("_ps_ism", F.col("_ps_k") > 0)
+    wstep = Window.partitionBy(*keys, "_ps_ism", "step")
+    d = (d.withColumn("_ps_med", F.median("_ps_clean").over(wstep))
+         .withColumn("_ps_len", F.max(e).over(wstep) - F.min(e).over(wstep))
+         .withColumn("_ps_rep", F.col("_ps_ism") & (F.row_number().over(wstep.orderBy(*order)) == 1))
+         .withColumn("_ps_first", (F.col("_ps_k") == 0)
+                     & (F.row_number().over(Window.partitionBy(*keys, "_ps_k").orderBy(*order)) == 1))
+         .withColumn("_ps_m", F.coalesce(F.max(F.when(F.col("_ps_ism"), F.col("step"))).over(ws) + 1, F.lit(0))))
+    wrep = Window.partitionBy(*keys, "_ps_rep").orderBy("step").rowsBetween(Window.unboundedPreceding, -1)
+    d = d.withColumn("_ps_T", F.when(F.col("_ps_rep"), F.coalesce(F.sum("_ps_len").over(wrep), F.lit(0.0))))
+
+    # -- boundary records T_0..T_{m+1}: 10 = T_step, 11 = T_m after the last step,
+    #    12 = last sample time (T_{m+1}), 13 = T_0 = 0 when there are no steps
+    has_cc = F.col("_ps_cc").isNotNull()
+    m = F.col("_ps_m")
+    emit = F.array_compact(F.array(
+        F.lit(0), F.when(F.col("_ps_rep"), F.lit(10)), F.when(F.col("_ps_rep") & (F.col("step") == m - 1), F.lit(11)),
+        F.when(F.col("_ps_first") & has_cc, F.lit(12)), F.when(F.col("_ps_first") & has_cc & (m == 0), F.lit(13))))
+    d = d.withColumn("_ps_emit", F.explode(emit))
+    em = F.col("_ps_emit")
+    d = (d.withColumn("_ps_j", F.when(em == 10, F.col("step")).when(em == 11, m).when(em == 12, m + 1)
+                      .when(em == 13, F.lit(0)).cast("int"))
+         .withColumn("_ps_pos", F.when(em == 10, F.col("_ps_T")).when(em == 11, F.col("_ps_T") + F.col("_ps_len"))
+                     .when(em == 12, F.col("_ps_tmax")).when(em == 13, F.lit(0.0)).otherwise(e)))
+
+    # -- each sample belongs to the closed intervals [T_j, T_{j+1}] containing it:
     #    a = last boundary index with T <= e, b = first with T >= e; intervals b-1 .. a
-    samples = d.select(*keys, "elapsed_minutes", "avg_voltage_v", "avail_battery_capacity_ah") \
-        .withColumn("_ps_isb", F.lit(False))
-    u = samples.unionByName(bnd, allowMissingColumns=True)
-    wr = Window.partitionBy(*keys).orderBy("elapsed_minutes")
-    u = (u.withColumn("_ps_a", F.max("_ps_j").over(wr.rangeBetween(Window.unboundedPreceding, 0)))
-         .withColumn("_ps_b", F.min("_ps_j").over(wr.rangeBetween(0, Window.unboundedFollowing)))
-         .withColumn("_ps_top", F.max("_ps_j").over(Window.partitionBy(*keys)) - 1))
+    wpos = Window.partitionBy(*keys).orderBy("_ps_pos")
+    d = (d.withColumn("_ps_a", F.max("_ps_j").over(wpos.rangeBetween(Window.unboundedPreceding, 0)))
+         .withColumn("_ps_b", F.min("_ps_j").over(wpos.rangeBetween(0, Window.unboundedFollowing))))
     lo = F.greatest(F.col("_ps_b") - 1, F.lit(0))
-    hi = F.least(F.col("_ps_a"), F.col("_ps_top"))
-    u = u.where(~F.col("_ps_isb") & (lo <= hi)).withColumn("_ps_iv", F.explode(F.sequence(lo, hi)))
-    imax = (u.groupBy(*keys, F.col("_ps_iv").alias("step"))
-            .agg(F.max("avg_voltage_v").alias("_ps_vmax"), F.max("avail_battery_capacity_ah").alias("_ps_cmax")))
-
-    # -- step rows and the constant-voltage row
-    cc_rows = steps.select(*keys, "step", F.lit("cc").alias("step_type"), "step_avg_current_a",
-                           "step_time_length_min")
-    cv_rows = ser.select(*keys, F.col("_ps_m").alias("step"), F.lit("cv").alias("step_type"),
-                         F.lit(None).cast("double").alias("step_avg_current_a"),
-                         (F.col("_ps_tmax") - F.col("_ps_cc")).alias("step_time_length_min"))
-    res = (cc_rows.unionByName(cv_rows)
-           .join(imax, on=[*keys, "step"], how="left")
-           .join(ser.select(*keys, "_ps_v0", "_ps_c0"), on=keys, how="inner"))
+    hi = F.least(F.col("_ps_a"), m)
+    own = em == 0
+    tag_t = "array<struct<j:int,kind:string>>"
+    none = F.array().cast(tag_t)
+    iv = F.when(own & (F.col("_ps_k") == 0) & has_cc & (lo <= hi),
+                F.transform(F.sequence(lo, hi), lambda x: F.struct(x.alias("j"), F.lit("I").alias("kind")))
+                ).otherwise(none)
+    st = F.when(own & F.col("_ps_rep"), F.array(F.struct(F.col("step").alias("j"), F.lit("R").alias("kind")))
+                ).otherwise(none)
+    cv = F.when(own & F.col("_ps_first") & has_cc, F.array(F.struct(m.alias("j"), F.lit("C").alias("kind")))
+                ).otherwise(none)
+    d = d.withColumn("_ps_t", F.explode(F.concat(iv, st, cv)))
+    kind, j = F.col("_ps_t.kind"), F.col("_ps_t.j")
+    g = (d.groupBy(*keys, j.alias("step"))
+         .agg(F.max(F.when(kind == "I", F.col("avg_voltage_v"))).alias("max_avg_voltage_v"),
+              F.max(F.when(kind == "I", F.col("avail_battery_capacity_ah"))).alias("max_capacity_ah"),
+              F.max(F.when(kind == "R", F.col("_ps_med"))).alias("step_avg_current_a"),
+              F.max(F.when(kind == "R", F.col("_ps_len"))
+                    .when(kind == "C", F.col("_ps_tmax") - F.col("_ps_cc"))).alias("step_time_length_min"),
+              F.max(F.when(kind == "R", F.lit("cc")).when(kind == "C", F.lit("cv"))).alias("step_type"),
+              F.max(F.when(kind == "C", F.col("_ps_v0"))).alias("_ps_v0"),
+              F.max(F.when(kind == "C", F.col("_ps_c0"))).alias("_ps_c0")))
+    g = g.where(F.col("step_type").isNotNull())
     rw = Window.partitionBy(*keys).orderBy("step")
-    res = (res.withColumn("min_avg_voltage_v", F.when(F.col("step") == 0, F.col("_ps_v0"))
-                          .otherwise(F.lag("_ps_vmax").over(rw)))
-           .withColumn("min_capacity_ah", F.when(F.col("step") == 0, F.col("_ps_c0"))
-                       .otherwise(F.lag("_ps_cmax").over(rw)))
-           .withColumnRenamed("_ps_vmax", "max_avg_voltage_v")
-           .withColumnRenamed("_ps_cmax", "max_capacity_ah")
+    sv = Window.partitionBy(*keys)
+    res = (g.withColumn("min_avg_voltage_v", F.when(F.col("step") == 0, F.max("_ps_v0").over(sv))
+                        .otherwise(F.lag("max_avg_voltage_v").over(rw)))
+           .withColumn("min_capacity_ah", F.when(F.col("step") == 0, F.max("_ps_c0").over(sv))
+                       .otherwise(F.lag("max_capacity_ah").over(rw)))
            .withColumn("short_step", F.col("step_time_length_min") < F.lit(float(short_step_minutes))))
     if min_step_minutes is not None:
         res = res.where(F.col("step_time_length_min") > F.lit(float(min_step_minutes)))

@@ -65,17 +65,22 @@ def series_max(df: DataFrame, column: str = "capacity", keys: Sequence[str] = SE
     return df.groupBy(*keys).agg(F.max(column).alias(column))
 
 
+def _band(mx: DataFrame, column: str, sigma_multiplier: float) -> Column:
+    """``column`` inside the global median ± k·std (ddof=1) of ``mx``.
+
+    The two statistics are scalar subqueries (one small aggregation job), not a join.
+    """
+    st = mx.agg(F.median(column).alias("md"), F.stddev_samp(column).alias("sd"))
+    md, sd = st.select("md").scalar(), st.select("sd").scalar()
+    k = F.lit(float(sigma_multiplier))
+    return F.coalesce(F.col(column).between(md - k * sd, md + k * sd), F.lit(False))
+
+
 def outlier_cycles(df: DataFrame, column: str = "capacity", sigma_multiplier: float = 3.0,
                    keys: Sequence[str] = SERIES, cycle: str = "cycle_num") -> DataFrame:
     """Cycle numbers with a series maximum outside the global median ± k·std (ddof=1) band."""
     mx = series_max(df, column, keys)
-    band = (mx.agg(F.median(column).alias("_md"), F.stddev_samp(column).alias("_sd"))
-            .withColumn("_g", F.lit(0)))
-    k = F.lit(float(sigma_multiplier))
-    inside = F.col(column).between(F.col("_md") - k * F.col("_sd"), F.col("_md") + k * F.col("_sd"))
-    # the band is exactly one row, so broadcasting it is bounded by construction
-    return (mx.withColumn("_g", F.lit(0)).join(F.broadcast(band), on="_g")
-            .where(~F.coalesce(inside, F.lit(False))).select(cycle).distinct())
+    return mx.where(~_band(mx, column, sigma_multiplier)).select(cycle).distinct()
 
 
 def drop_outlier_cycles(df: DataFrame, column: str = "capacity", sigma_multiplier: float = 3.0,
@@ -84,17 +89,14 @@ def drop_outlier_cycles(df: DataFrame, column: str = "capacity", sigma_multiplie
     """Drop every row whose cycle number is an outlier cycle.
 
     ``scope='all'`` (the source's rule) drops that cycle number in all series;
-    ``scope='series'`` drops only the offending series.
+    ``scope='series'`` drops only the offending series.  The drop list is joined with a
+    left-anti join; adaptive execution broadcasts it when it is small.
     """
     if scope == "all":
         return df.join(outlier_cycles(df, column, sigma_multiplier, keys, cycle), on=cycle, how="left_anti")
     if scope == "series":
         mx = series_max(df, column, keys)
-        band = mx.agg(F.median(column).alias("_md"), F.stddev_samp(column).alias("_sd")).withColumn("_g", F.lit(0))
-        k = F.lit(float(sigma_multiplier))
-        inside = F.col(column).between(F.col("_md") - k * F.col("_sd"), F.col("_md") + k * F.col("_sd"))
-        bad = (mx.withColumn("_g", F.lit(0)).join(F.broadcast(band), on="_g")
-               .where(~F.coalesce(inside, F.lit(False))).select(*keys))
+        bad = mx.where(~_band(mx, column, sigma_multiplier)).select(*keys)
         return df.join(bad, on=list(keys), how="left_anti")
     raise ValueError("scope must be 'all' or 'series'")
 

@@ -37,12 +37,16 @@ def read_data(spark: SparkSession, data: str | DataFrame, schema: T.StructType |
 def content_summary(df: DataFrame, cols: Sequence[str] = ("doe", "instance", "cycle_num")) -> DataFrame:
     """One row per key column: distinct count, min and max (as text).
 
-    Exact distinct counts shuffle by value; nothing is collected to the driver.
+    One aggregation pass for all columns (exact distinct counts shuffle by value); the
+    single result row is then unpivoted.  Nothing is collected to the driver.
     """
-    parts = [df.agg(F.lit(c).alias("column"), F.countDistinct(c).alias("n_distinct"),
-                    F.min(c).cast("string").alias("min_value"), F.max(c).cast("string").alias("max_value"))
-             for c in cols if c in df.columns]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    cols = [c for c in cols if c in df.columns]
+    aggs = []
+    for i, c in enumerate(cols):
+        aggs += [F.countDistinct(c).alias(f"n{i}"), F.min(c).cast("string").alias(f"lo{i}"),
+                 F.max(c).cast("string").alias(f"hi{i}")]
+    row = df.agg(*aggs)
+    arr = F.array(*[F.struct(F.lit(c).alias("column"), F.col(f"n{i}").alias("n_distinct"),
+                             F.col(f"lo{i}").alias("min_value"), F.col(f"hi{i}").alias("max_value"))
+                    for i, c in enumerate(cols)])
+    return row.select(F.explode(arr).alias("s")).select("s.*")
