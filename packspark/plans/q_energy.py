@@ -26,7 +26,7 @@ ENERGY_COLS = (KC + ", cycle:i, raw_discharge_energy:d, adjusted_raw_discharge_e
 
 
 @register("discharge_energy", ENERGY_COLS, W(ad.CYCLOID_SQL, sq.discharge_energy_ctes(7, 0.1)) + "\nSELECT * FROM energy",
-          ids=["T1", "A1", "W5", "W1", "A2", "A3", "W4"])
+          ids=["T1", "A1", "W5", "W1", "A2", "A3", "W4", "E2"])
 def q_discharge_energy(spark, sf):
     return en.discharge_energy(ad.cycloid_view(spark, sf), window=7, sigma_multiplier=0.1)
 
@@ -279,7 +279,7 @@ SELECT s.doe_number, s.instance_number, max(s.cycle) - 5 AS start_cycle,
        arg_max(s.norm_discharge_energy, s.cycle) AS start_energy, any_value(g.target_cycle) AS end_cycle,
        {lit(0.64)} AS end_energy, any_value(g.r2_score) AS r2_score
 FROM screened s JOIN good g USING (doe_number, instance_number)
-GROUP BY s.doe_number, s.instance_number""", ids=["T26", "J3", "A21"])
+GROUP BY s.doe_number, s.instance_number""", ids=["T26", "J3", "A21", "E8"])
 def q_segments(spark, sf):
     return tr.extrapolation_segments(_screened(spark, sf), _fits(spark, sf), 0.90, 0.64)
 
@@ -335,7 +335,7 @@ SELECT doe_number, instance_number, cycle, norm_discharge_energy, NULL AS norm_m
        'test' AS role FROM te
 UNION ALL
 SELECT doe_number, instance_number, cycle, NULL, norm_mean_energy, norm_lower_energy, 'reference' FROM re""",
-          ids=["T33", "U1"])
+          ids=["T33", "U1", "E6"])
 def q_overlay(spark, sf):
     c = ad.cycloid_view(spark, sf)
     return en.overlay_test_reference(c.where(F.col("doe_number") == "A"), c.where(F.col("doe_number") == "R"))
@@ -350,3 +350,12 @@ def q_sigma_band(spark, sf):
     d = ad.cycloid_view(spark, sf).where(F.col("cycling_substate") == "DISCHARGE") \
         .select("doe_number", "instance_number", "cycle", "energy")
     return cl.sigma_band_filter(d, "energy", ["doe_number", "instance_number"], 1.0, ddof=0)
+
+
+@register("energy_jump_wide_spacing", KC + ", cycle:i, energy:d, jump_energy_pct:d, jump_length:d",
+          W(ad.CYCLOID_SQL, jump_ctes(0.1, 10, 50, 5)) + """
+SELECT doe_number, instance_number, cycle, x - (S - L) AS energy,
+       abs((x - (S - L)) / nullif(prev_out, 0) - 1.0) * 100.0 AS jump_energy_pct, L AS jump_length
+FROM jumps WHERE keep""", ids=["T27", "E9"])
+def q_jumps_wide(spark, sf):
+    return tr.energy_jump_details(_energy_norm(spark, sf), 0.1, 10, 50, 5)

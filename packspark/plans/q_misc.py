@@ -39,7 +39,7 @@ SELECT coalesce(t.pack, r.pack) AS pack, coalesce(t.cycling_substate, r.cycling_
        t.median_capacity - r.median_capacity AS delta
 FROM (SELECT * FROM cm WHERE cohort = 'MOD40C') t
 FULL OUTER JOIN (SELECT * FROM cm WHERE cohort = 'REG40C') r
-  ON t.pack = r.pack AND t.cycling_substate = r.cycling_substate""", ids=["T28", "J9", "A16"])
+  ON t.pack = r.pack AND t.cycling_substate = r.cycling_substate""", ids=["T28", "J9", "A16", "E10"])
 def q_cohort_delta(spark, sf):
     return co.cohort_delta(ad.cohort_rows(spark, sf), "MOD40C", "REG40C", "capacity")
 
@@ -76,7 +76,7 @@ pr2 AS (SELECT pair_kind, pack, cycle, max(time) - min(time) AS delta FROM pr1
         WHERE pack IN (SELECT pack FROM fp) GROUP BY pair_kind, pack, cycle HAVING count(*) = 2)
 SELECT pair_kind, substr(pair_kind, 1, 1) || pack || '-' || substr(pair_kind, 3, 1) || pack AS pair,
        median(delta) AS median, avg(delta) AS mean, stddev_samp(delta) AS std
-FROM pr2 GROUP BY pair_kind, pack""", ids=["T30", "J8", "A18", "A27", "F8"])
+FROM pr2 GROUP BY pair_kind, pack""", ids=["T30", "J8", "A18", "A27", "F8", "E14"])
 def q_recipe_pairs(spark, sf):
     return co.recipe_pair_summary(co.recipe_pair_delta(co.recipe_clean_time(ad.recipe_rows(spark, sf))))
 
@@ -85,7 +85,7 @@ def q_recipe_pairs(spark, sf):
           W(ad.CYCLOID_SQL, ad.RECIPE_SQL) + """
 SELECT instance_number, median_time, instance_number || '_' || CAST(median_time AS VARCHAR) || 'min' AS instance_time
 FROM (SELECT instance_number, CAST(trunc(median(time)) AS INTEGER) AS median_time FROM recipe_rows
-      WHERE cycling_substate = 'CHARGE' GROUP BY instance_number)""", ids=["T31", "A16", "F7", "N10"])
+      WHERE cycling_substate = 'CHARGE' GROUP BY instance_number)""", ids=["T31", "A16", "F7", "N10", "E13"])
 def q_label(spark, sf):
     return co.charge_time_label(ad.recipe_rows(spark, sf))
 
@@ -119,7 +119,7 @@ def _rd(spark, sf):
 
 
 @register("filter_doe", FIL_COLS, W(ad.CYCLOID_SQL, RD_SQL) + "\nSELECT * FROM rd WHERE doe IN ('A', 'R')",
-          ids=["P4", "S8", "P15"])
+          ids=["P4", "S8", "P15", "T34", "E1"])
 def q_f_doe(spark, sf):
     return fl.filter_by_doe(_rd(spark, sf), ["A", "R"])
 
@@ -165,3 +165,58 @@ def q_log(spark, sf):
     d = lg.parse_log(ad.log_rows(spark, sf))
     return d.withColumn("time_stamp_us",
                         F.expr("timestampdiff(MICROSECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', time_stamp)"))
+
+
+# ------------------------------------------------------------------ scans
+@register("read_cycles_core", "doe_number:s, instance_number:s, cycle:i, cycling_substate:s, energy:d, "
+          "energy_rest:d, time:d, mean_mean_voltage:d, dcir:d, min_temp:d",
+          W(ad.CYCLOID_SQL) + """
+SELECT doe_number, instance_number, cycle, cycling_substate, energy, energy_rest, time, mean_mean_voltage, dcir, min_temp
+FROM cycloid WHERE doe_number = 'N' AND cycle <> 0 AND cycle IN (1, 2, 3, 5, 8, 13, 21, 34)
+  AND (cycling_substate IN ('CHARGE', 'DCIR') AND cycle BETWEEN 2 AND 30)""", ids=["S1", "P1", "P2", "P3", "P12"])
+def q_read_core(spark, sf):
+    from packspark.sources.cycles import read_cycles
+    return read_cycles(spark, ad.cycloid_view(spark, sf), doe="N", cycles=[1, 2, 3, 5, 8, 13, 21, 34], columns="core",
+                       where="cycling_substate IN ('CHARGE', 'DCIR') AND cycle BETWEEN 2 AND 30")
+
+
+@register("custom_sql_scan", "doe_number:s, instance_number:s, cycle:i, energy:d",
+          W(ad.CYCLOID_SQL) + """
+SELECT doe_number, instance_number, cycle, energy FROM cycloid WHERE cycling_substate = 'DISCHARGE' AND cycle < 10""",
+          ids=["S2"])
+def q_custom_sql(spark, sf):
+    from packspark.sources.cycles import read_sql
+    ad.cycloid_view(spark, sf).createOrReplaceTempView("packspark_cycloid")
+    return read_sql(spark, "SELECT doe_number, instance_number, cycle, energy FROM packspark_cycloid "
+                           "WHERE cycling_substate = 'DISCHARGE' AND cycle < 10")
+
+
+@register("instance_order", "doe:s, instance:s, position:i",
+          W(ad.ROVER_SQL, "ids AS (SELECT DISTINCT doe, 'p' || instance AS instance FROM rover "
+                          "UNION SELECT DISTINCT doe, instance FROM rover)") + """
+SELECT doe, instance,
+       CAST(row_number() OVER (PARTITION BY doe ORDER BY TRY_CAST(instance AS BIGINT) NULLS LAST, instance) AS INTEGER)
+         AS position
+FROM ids""", ids=["S4", "F10", "O1", "A20"])
+def q_instance_order(spark, sf):
+    from packspark.schema import instance_sort_cols
+    from pyspark.sql import Window
+    r = ad.rover_view(spark, sf).select("doe", "instance")
+    ids = r.select("doe", F.concat(F.lit("p"), "instance").alias("instance")).union(r).distinct()
+    w = Window.partitionBy("doe").orderBy(*instance_sort_cols("instance"))
+    return ids.withColumn("position", F.row_number().over(w))
+
+
+@register("state_labels", "cycling_substate:s, state_label:s, metric_label:s, n:l",
+          W(ad.CYCLOID_SQL) + """
+SELECT cycling_substate,
+  list_aggregate(list_transform(string_split(lower(replace(cycling_substate, '_', ' ')), ' '),
+                                lambda w: upper(w[1]) || w[2:]), 'string_agg', ' ') AS state_label,
+  'Max Temp' AS metric_label, count(*) AS n
+FROM cycloid GROUP BY cycling_substate""", ids=["F9"])
+def q_labels(spark, sf):
+    from packspark.functions.columns import title_label
+    c = ad.cycloid_view(spark, sf)
+    return (c.groupBy("cycling_substate").agg(F.count(F.lit(1)).alias("n"))
+            .withColumn("state_label", title_label("cycling_substate"))
+            .withColumn("metric_label", title_label(F.lit("max_temp"))))

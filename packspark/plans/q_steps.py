@@ -110,7 +110,7 @@ def q_steps_voltage(spark, sf):
 tot AS (SELECT {S}, sum(step_time_length_min) AS charge_time_steps FROM st_f GROUP BY {S}),
 raw AS (SELECT {S}, max(elapsed_minutes) AS charge_time FROM rover WHERE charging_state_name = 'CHARGE' GROUP BY {S})
 SELECT tot.*, raw.charge_time, tot.charge_time_steps - raw.charge_time AS difference
-FROM tot JOIN raw USING (doe, instance, cycle_num, charging_state_name)""", ids=["T24", "A22"])
+FROM tot JOIN raw USING (doe, instance, cycle_num, charging_state_name)""", ids=["T24", "A22", "E12"])
 def q_reconcile(spark, sf):
     r = ad.rover_view(spark, sf)
     return stp.step_reconcile(stp.charge_steps_state(r), r)

@@ -90,7 +90,7 @@ SELECT {SER}, capacity, capacity_lower_bound, capacity_upper_bound,
   {_pct('capacity_upper_bound * 100.0 / nullif(capacity, 0)')} AS capacity_upper_bound_pc,
   {_pct('(capacity_upper_bound - capacity_lower_bound) * 100.0 / nullif(capacity, 0)')} AS capacity_uncertainty_pc
 FROM cu1 WHERE capacity >= md - {lit(3.0)} * sd AND capacity <= md + {lit(3.0)} * sd""",
-          ids=["T18", "A13", "F3", "A11"])
+          ids=["T18", "A13", "F3", "A11", "E11"])
 def q_cap_unc(spark, sf):
     return un.capacity_uncertainty(_kept(spark, sf))
 

@@ -45,7 +45,7 @@ def q_dcir_series(spark, sf):
 @register("mean_voltage_series", "doe_number:s, cycle:i, " + CI_COLS, W(ad.CYCLOID_SQL, f"""
 mv AS (SELECT doe_number, cycle, {w1('mean_mean_voltage', K, 'cycle', 5, 0.2)} AS mean_mean_voltage
        FROM cycloid WHERE cycling_substate = 'CHARGE')""") + mean_ci_sql("mv", "cycle", "mean_mean_voltage", ["doe_number"]),
-          ids=["T10", "A26", "P8"])
+          ids=["T10", "A26", "P8", "E3"])
 def q_mean_voltage(spark, sf):
     return vo.mean_voltage_series(ad.cycloid_view(spark, sf), hue="doe_number", raw_data=False)
 
@@ -117,7 +117,7 @@ def q_modulo(spark, sf):
               for i in range(1, 6)) + ")") + f"""
 SELECT doe_number, instance_number, cycling_substate, cycle, cell,
        {w1('voltage', K + ', cycling_substate, cell', 'cycle', 5, 0.1)} AS voltage
-FROM lng""", ids=["T13", "X1", "F6", "P19"])
+FROM lng""", ids=["T13", "X1", "F6", "P19", "E4"])
 def q_cell_long(spark, sf):
     return vo.cell_voltage_long(ad.cycloid_view(spark, sf), raw_data=False)
 
@@ -152,7 +152,7 @@ t0 AS (SELECT doe_number, instance_number, cycling_substate, cycle, max_temp FRO
             f"t2 AS (SELECT doe_number, cycling_substate, cycle, {w1('max_temp', K + ', cycling_substate', 'cycle', 7, 0.5)}"
             " AS max_temp FROM t1)")
           + mean_ci_sql("t2", "cycle", "max_temp", ["cycling_substate", "doe_number"]),
-          ids=["T14", "P17", "A26"])
+          ids=["T14", "P17", "A26", "E7"])
 def q_temperature(spark, sf):
     return vo.temperature_series(ad.cycloid_view(spark, sf), hue="doe_number")
 

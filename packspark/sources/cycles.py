@@ -25,12 +25,13 @@ def _load(spark: SparkSession, source: str | DataFrame, fmt: str | None, options
 def read_cycles(spark: SparkSession, source: str | DataFrame, doe: str | None = None,
                 instances: Iterable | None = None, cycles: Iterable | None = None,
                 columns: str | Sequence[str] = "all", fmt: str | None = None,
-                options: dict | None = None, sort: bool = False) -> DataFrame:
+                options: dict | None = None, sort: bool = False, where: str | None = None) -> DataFrame:
     """Cycle summary rows of one test (``doe``), optional instance and cycle lists.
 
     ``cycle = 0`` rows are excluded.  ``columns`` is ``'all'``, ``'core'`` or a list.  The
     predicates are typed (string ids are compared as strings), so they push down to
-    parquet / JDBC.  Rows are sorted (numeric-first instance order) only when ``sort``.
+    parquet / JDBC.  ``where`` adds a SQL predicate text.  Rows are sorted (numeric-first
+    instance order) only when ``sort``.
     """
     df = _load(spark, source, fmt, options)
     cond = F.col("cycle") != 0
@@ -46,6 +47,8 @@ def read_cycles(spark: SparkSession, source: str | DataFrame, doe: str | None =
         cols = [c for c in CORE_COLUMNS if c in df.columns]
     else:
         cols = list(columns)
+    if where:
+        cond = cond & F.expr(where)
     out = nan_to_null(df.where(cond).select(*cols))
     if sort:
         out = out.orderBy(F.col("doe_number"), *instance_sort_cols(), F.col("cycle"))
