@@ -188,13 +188,15 @@ def clamp_early_global(df: DataFrame, value: str, by: Sequence[str], order: str
                        first_n: int = 5) -> DataFrame:
     """Rows with ``order < first_n`` take the median of all such rows of their ``by`` group.
 
-    The median table has one row per ``by`` group (e.g. one per cycling state).  It is
-    joined back without a hint: adaptive execution measures the materialised table and
-    turns the join into a broadcast only when it is below the broadcast threshold,
-    otherwise it stays a shuffle join.
+    The median table has one row per ``by`` group (e.g. one per cycling state); it is an
+    exact median computed without gathering a group into one task (a state holds a large
+    share of all rows).  It is joined back without a hint: adaptive execution measures
+    the materialised table and turns the join into a broadcast only when it is below
+    the broadcast threshold, otherwise it stays a shuffle join.
     """
+    from packspark.operators.median import group_median
     early = F.col(order) < first_n
-    med = df.where(early).groupBy(*by).agg(F.median(value).alias("_ps_early_md"))
+    med = group_median(df.where(early), value, list(by), out="_ps_early_md")
     d = df.join(med, on=list(by), how="left")
     return d.withColumn(value, F.when(early, F.col("_ps_early_md")).otherwise(F.col(value))).drop("_ps_early_md")
 

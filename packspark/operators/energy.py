@@ -75,13 +75,35 @@ def early_cycle_adjust(df: DataFrame, value: str = "raw_discharge_energy",
     return d.drop("_ps_pct", "_ps_i", "_ps_n", "_ps_md", "_ps_hit")
 
 
+def cycle_band(e: DataFrame, value: str, by: Sequence[str], method: str = "auto") -> DataFrame:
+    """Adds ``mean_energy`` (median of ``value``) and ``std_energy`` (ddof=1) per ``by`` group.
+
+    ``'window'``: one window per group (a group is handled by one task; single pass).
+    ``'distributed'``: a statistics table (exact median without gathering a group into one
+    task, partial-aggregated std) joined back; adaptive execution broadcasts it when small
+    and splits skewed join keys.  ``'auto'``: measures the largest group with one
+    partial-aggregated job and uses the window only when every group fits one task.
+    """
+    by = list(by)
+    if method == "auto":
+        from packspark.operators.median import groups_fit_one_task
+        method = "window" if groups_fit_one_task(e, by) else "distributed"
+    if method == "window":
+        w = Window.partitionBy(*by)
+        return e.withColumn("mean_energy", F.median(value).over(w)).withColumn("std_energy", F.stddev_samp(value).over(w))
+    from packspark.operators.median import group_median
+    stats = (e.groupBy(*by).agg(F.stddev_samp(value).alias("std_energy"))
+             .join(group_median(e, value, by, out="mean_energy"), on=by, how="left"))
+    return e.join(stats, on=by, how="left")
+
+
 def discharge_energy(df: DataFrame, window: int = 7, sigma_multiplier: float = 0.1, raw: bool = False,
                      keys: Sequence[str] = CYCLOID_KEYS, cycle: str = "cycle",
-                     early_mode: str = "expected") -> DataFrame:
+                     early_mode: str = "expected", band_method: str = "auto") -> DataFrame:
     """Per (doe, instance, cycle) discharge energy, cleaned, with per-(doe, cycle) band.
 
     ``raw=True`` stops after the early-cycle adjustment (columns ``raw_discharge_energy``
-    and ``adjusted_raw_discharge_energy``).  Otherwise adds ``discharge_energy``,
+    and ``adjusted_raw_discharge_energy``).  ``band_method`` see ``cycle_band``.  Otherwise adds ``discharge_energy``,
     ``mean_energy`` (a median, as named by the source), ``std_energy`` (ddof=1),
     ``lower_energy_bound`` = mean − 3·std, ``norm_discharge_energy`` (divided by the
     second cycle, then cleaned again), ``norm_mean_energy`` and ``norm_lower_energy``.
@@ -93,10 +115,7 @@ def discharge_energy(df: DataFrame, window: int = 7, sigma_multiplier: float = 0
         return e
     e = rolling_outlier_replace(e, "adjusted_raw_discharge_energy", keys, cycle, window, sigma_multiplier,
                                 out="discharge_energy")
-    doe = keys[0]
-    wdc = Window.partitionBy(doe, cycle)
-    e = (e.withColumn("mean_energy", F.median("discharge_energy").over(wdc))
-         .withColumn("std_energy", F.stddev_samp("discharge_energy").over(wdc)))
+    e = cycle_band(e, "discharge_energy", [keys[0], cycle], band_method)
     e = e.withColumn("lower_energy_bound", F.col("mean_energy") - F.lit(3.0) * F.col("std_energy"))
     e = (e.withColumn("norm_discharge_energy",
                       safe_div("discharge_energy", second_row("discharge_energy", keys, [cycle])))

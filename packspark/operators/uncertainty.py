@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from packspark.functions.columns import bin_right_closed, pct_text
 from packspark.operators.clean import sigma_band_filter
+from packspark.operators.median import group_median
 
 SERIES = ("doe", "instance", "cycle_num")
 ORDER = ("elapsed_minutes", "sample_id")
@@ -68,10 +69,11 @@ def series_max(df: DataFrame, column: str = "capacity", keys: Sequence[str] = SE
 def _band(mx: DataFrame, column: str, sigma_multiplier: float) -> Column:
     """``column`` inside the global median ± k·std (ddof=1) of ``mx``.
 
-    The two statistics are scalar subqueries (one small aggregation job), not a join.
+    The two statistics are scalar subqueries, not a join; the median is exact and is
+    computed without gathering all series maxima into one task.
     """
-    st = mx.agg(F.median(column).alias("md"), F.stddev_samp(column).alias("sd"))
-    md, sd = st.select("md").scalar(), st.select("sd").scalar()
+    md = group_median(mx, column, out="md").select("md").scalar()
+    sd = mx.agg(F.stddev_samp(column).alias("sd")).select("sd").scalar()
     k = F.lit(float(sigma_multiplier))
     return F.coalesce(F.col(column).between(md - k * sd, md + k * sd), F.lit(False))
 

@@ -67,8 +67,14 @@ def cell_std_series(df: DataFrame, window: int = 5, sigma_multiplier: float = 0.
 
 
 def cell_voltage_long(df: DataFrame, raw_data: bool = True, window: int = 5,
-                      sigma_multiplier: float = 0.1) -> DataFrame:
-    """Long table (doe, instance, state, cycle, cell, voltage); cleaned per cell unless ``raw_data``."""
+                      sigma_multiplier: float = 0.1, instance: str | None = None) -> DataFrame:
+    """Long table (doe, instance, state, cycle, cell, voltage); cleaned per cell unless ``raw_data``.
+
+    ``instance`` restricts the table to one pack; by default every pack is returned
+    (cleaning is per pack and cell either way).
+    """
+    if instance is not None:
+        df = df.where(F.col("instance_number") == str(instance))
     d = state_cells(df).dropna(subset=["cycle", *CELL_OUT])
     long = d.unpivot([*CYCLOID_KEYS, "cycling_substate", "cycle"], CELL_OUT, "cell_col", "voltage")
     long = long.withColumn("cell", F.regexp_extract("cell_col", r"(cell\d)", 1)).drop("cell_col")

@@ -221,21 +221,50 @@ def q_welch_full(spark, sf):
 
 
 # ------------------------------------------------------------------ T32 / T25 / T26 / T27 / T33
-def screened_ctes(min_last=30):
+def jump_ctes(thr=0.2, start=2, closest=3, n=5):
     return f"""{sq.discharge_energy_ctes(7, 0.1)},
+j1 AS (
+  SELECT doe_number, instance_number, cycle, norm_discharge_energy AS x,
+         coalesce(abs(norm_discharge_energy / nullif(lag(norm_discharge_energy) OVER (PARTITION BY {K} ORDER BY cycle), 0)
+                       - 1.0) > {lit(thr / 100.0)}, false) AND cycle >= {start} AS cand
+  FROM energy),
+j2 AS (
+  SELECT *, min(CASE WHEN cand THEN cycle END) OVER (PARTITION BY {K} ORDER BY cycle
+                                                     ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS nxt,
+         list(x ORDER BY cycle) OVER (PARTITION BY {K} ORDER BY cycle RANGE BETWEEN 2 PRECEDING AND {n} FOLLOWING) AS near
+  FROM j1),
+j3 AS (
+  SELECT *, cand AND (nxt IS NULL OR nxt - cycle >= {closest}) AS keep FROM j2),
+j4 AS (
+  SELECT *, CASE WHEN keep THEN (CASE WHEN len(near) > 1 THEN list_max(near[2:]) - near[1] ELSE 0.0 END)
+                 ELSE 0.0 END AS L FROM j3),
+j5 AS (SELECT *, sum(L) OVER (PARTITION BY {K} ORDER BY cycle ROWS UNBOUNDED PRECEDING) AS S FROM j4),
+jumps AS (SELECT *, x - S AS out_x, lag(x - S) OVER (PARTITION BY {K} ORDER BY cycle) AS prev_out FROM j5)"""
+
+
+def screened_ctes(min_last=30, dejump=False):
+    src = "energy"
+    pre = sq.discharge_energy_ctes(7, 0.1)
+    if dejump:
+        pre = jump_ctes() + """,
+dejumped AS (SELECT doe_number, instance_number, cycle, out_x AS norm_discharge_energy FROM jumps)"""
+        src = "dejumped"
+    return f"""{pre},
 scr0 AS (
   SELECT doe_number, instance_number, cycle, norm_discharge_energy AS x,
          min(norm_discharge_energy) OVER (PARTITION BY {K}) AS mn, max(norm_discharge_energy) OVER (PARTITION BY {K}) AS mx,
          max(cycle) OVER (PARTITION BY {K}) AS mc
-  FROM energy),
+  FROM {src}),
 screened AS (
   SELECT doe_number, instance_number, cycle, {w1('x', K, 'cycle', 7, 0.015)} AS norm_discharge_energy
   FROM scr0 WHERE mn > {lit(0.64)} AND mx < {lit(1.05)} AND mc > {min_last})"""
 
 
-def _screened(spark, sf):
+def _screened(spark, sf, dejump=False):
     e = en.discharge_energy(ad.cycloid_view(spark, sf), 7, 0.1).select(
         "doe_number", "instance_number", "cycle", "norm_discharge_energy")
+    if dejump:
+        e = tr.energy_jump_removed(e)
     s = cl.group_screen(e, ["doe_number", "instance_number"], min_last_order=30)
     return cl.rolling_outlier_replace(s, "norm_discharge_energy", ["doe_number", "instance_number"], "cycle", 7, 0.015)
 
@@ -249,8 +278,8 @@ def q_screen(spark, sf):
 FIT_COLS = KC + ", slope:d, intercept:d, r2_score:d, n_points:l, target_cycle:i, best_degree:i"
 
 
-def fit_ctes():
-    return f"""{screened_ctes()},
+def fit_ctes(dejump=False):
+    return f"""{screened_ctes(dejump=dejump)},
 fit0 AS (SELECT *, row_number() OVER (PARTITION BY {K} ORDER BY cycle DESC) AS rn FROM screened),
 fit AS (
   SELECT doe_number, instance_number, regr_slope(norm_discharge_energy, CAST(cycle AS DOUBLE)) AS slope,
@@ -273,7 +302,7 @@ def q_fit(spark, sf):
 
 
 @register("extrapolation_segments", KC + ", start_cycle:i, start_energy:d, end_cycle:i, end_energy:d, r2_score:d",
-          W(ad.CYCLOID_SQL, fit_ctes()) + f"""
+          W(ad.CYCLOID_SQL, fit_ctes(dejump=True)) + f"""
 , good AS (SELECT * FROM fitted WHERE r2_score > {lit(0.9)})
 SELECT s.doe_number, s.instance_number, max(s.cycle) - 5 AS start_cycle,
        arg_max(s.norm_discharge_energy, s.cycle) AS start_energy, any_value(g.target_cycle) AS end_cycle,
@@ -281,28 +310,9 @@ SELECT s.doe_number, s.instance_number, max(s.cycle) - 5 AS start_cycle,
 FROM screened s JOIN good g USING (doe_number, instance_number)
 GROUP BY s.doe_number, s.instance_number""", ids=["T26", "J3", "A21", "E8"])
 def q_segments(spark, sf):
-    return tr.extrapolation_segments(_screened(spark, sf), _fits(spark, sf), 0.90, 0.64)
-
-
-def jump_ctes(thr=0.2, start=2, closest=3, n=5):
-    return f"""{sq.discharge_energy_ctes(7, 0.1)},
-j1 AS (
-  SELECT doe_number, instance_number, cycle, norm_discharge_energy AS x,
-         coalesce(abs(norm_discharge_energy / nullif(lag(norm_discharge_energy) OVER (PARTITION BY {K} ORDER BY cycle), 0)
-                       - 1.0) > {lit(thr / 100.0)}, false) AND cycle >= {start} AS cand
-  FROM energy),
-j2 AS (
-  SELECT *, min(CASE WHEN cand THEN cycle END) OVER (PARTITION BY {K} ORDER BY cycle
-                                                     ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS nxt,
-         list(x ORDER BY cycle) OVER (PARTITION BY {K} ORDER BY cycle RANGE BETWEEN 2 PRECEDING AND {n} FOLLOWING) AS near
-  FROM j1),
-j3 AS (
-  SELECT *, cand AND (nxt IS NULL OR nxt - cycle >= {closest}) AS keep FROM j2),
-j4 AS (
-  SELECT *, CASE WHEN keep THEN (CASE WHEN len(near) > 1 THEN list_max(near[2:]) - near[1] ELSE 0.0 END)
-                 ELSE 0.0 END AS L FROM j3),
-j5 AS (SELECT *, sum(L) OVER (PARTITION BY {K} ORDER BY cycle ROWS UNBOUNDED PRECEDING) AS S FROM j4),
-jumps AS (SELECT *, x - S AS out_x, lag(x - S) OVER (PARTITION BY {K} ORDER BY cycle) AS prev_out FROM j5)"""
+    # level jumps removed first (T27), so the fade trend is fitted on a continuous series
+    s = _screened(spark, sf, dejump=True)
+    return tr.extrapolation_segments(s, tr.fade_target_cycle(s, 0.64, 30), 0.90, 0.64)
 
 
 def _energy_norm(spark, sf):
