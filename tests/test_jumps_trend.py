@@ -56,10 +56,26 @@ def test_closed_form_matches_sequential(spark, closest, n):
         assert np.allclose(d.jump_energy_pct.to_numpy(), [p for _, _, p in ref_det], atol=1e-9)
 
 
-def test_rejects_adjacent_jump_spacing(spark):
-    df = spark.createDataFrame([("D", "1", 1, 1.0)], COLS)
-    with pytest.raises(ValueError):
-        tr.energy_jump_removed(df, closest_cycles=1)
+def test_adjacent_jump_spacing_uses_sequential_path(spark):
+    rng = np.random.default_rng(99)
+    rows, series = [], {}
+    for s in range(6):
+        cycles = list(range(1, 40))
+        x = 1.0 - 0.0005 * np.array(cycles) + rng.normal(0, 0.0005, len(cycles))
+        for pos in rng.choice(len(cycles), size=5, replace=False):
+            x[pos:] += rng.choice([-1, 1]) * 0.02
+        series[str(s)] = (cycles, x)
+        rows += [("D", str(s), c, float(v)) for c, v in zip(cycles, x)]
+    df = spark.createDataFrame(rows, COLS)
+    out = tr.energy_jump_removed(df, 0.2, 2, 1, 5).toPandas()
+    det = tr.energy_jump_details(df, 0.2, 2, 1, 5).toPandas()
+    for s, (cycles, x) in series.items():
+        ref, ref_det = sequential_jumps(cycles, x, 0.2, 2, 1, 5)
+        got = out[out.instance_number == s].sort_values("cycle").norm_discharge_energy.to_numpy()
+        assert np.allclose(got, ref, atol=1e-12)
+        d = det[det.instance_number == s].sort_values("cycle")
+        assert d.cycle.tolist() == [c for c, _, _ in ref_det]
+        assert np.allclose(d.jump_energy_pct.to_numpy(), [p for _, _, p in ref_det], atol=1e-9)
 
 
 def test_linear_fit_target_cycle(spark):
