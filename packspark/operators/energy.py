@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from packspark.functions.columns import safe_div, second_row
 from packspark.operators.clean import rolling_outlier_replace, segment_clean
-from packspark.schema import CYCLOID_KEYS, DCIR, DISCHARGE
+from packspark.schema import CYCLE_KEYS, DCIR, DISCHARGE
 
 # Expected values of standard normal order statistics, largest first
 # (used instead of unseeded random draws when early cycles are re-filled).
@@ -23,7 +23,7 @@ EXPECTED_NORMAL_ORDER = {
 }
 
 
-def raw_discharge_energy(df: DataFrame, keys: Sequence[str] = CYCLOID_KEYS, cycle: str = "cycle",
+def raw_discharge_energy(df: DataFrame, keys: Sequence[str] = CYCLE_KEYS, cycle: str = "cycle",
                          state: str = "cycling_substate") -> DataFrame:
     """Σ energy of DISCHARGE rows + Σ energy_rest of DCIR rows per (keys, cycle); empty sum = 0."""
     s = F.col(state)
@@ -40,7 +40,7 @@ def _z_table():
 
 
 def early_cycle_adjust(df: DataFrame, value: str = "raw_discharge_energy",
-                       out: str = "adjusted_raw_discharge_energy", keys: Sequence[str] = CYCLOID_KEYS,
+                       out: str = "adjusted_raw_discharge_energy", keys: Sequence[str] = CYCLE_KEYS,
                        cycle: str = "cycle", before_cycle: int = 6, threshold: float = 0.005,
                        spread: float = 0.00025, mode: str = "expected") -> DataFrame:
     """Re-fill the first cycles of a series when any of them jumps by more than ``threshold``.
@@ -98,7 +98,7 @@ def cycle_band(e: DataFrame, value: str, by: Sequence[str], method: str = "auto"
 
 
 def discharge_energy(df: DataFrame, window: int = 7, sigma_multiplier: float = 0.1, raw: bool = False,
-                     keys: Sequence[str] = CYCLOID_KEYS, cycle: str = "cycle",
+                     keys: Sequence[str] = CYCLE_KEYS, cycle: str = "cycle",
                      early_mode: str = "expected", band_method: str = "auto") -> DataFrame:
     """Per (doe, instance, cycle) discharge energy, cleaned, with per-(doe, cycle) band.
 
@@ -132,7 +132,7 @@ def rpt_cycle_sets(rpt_cycle: int, neighbors_cycle: int, avoid_close_cycle: int
 
 
 def rpt_normalised(df: DataFrame, rpt_cycle: int = 201, window: int = 5, sigma_multiplier: float = 0.1,
-                   keys: Sequence[str] = CYCLOID_KEYS, cycle: str = "cycle") -> DataFrame:
+                   keys: Sequence[str] = CYCLE_KEYS, cycle: str = "cycle") -> DataFrame:
     """Adjusted raw energy / second cycle, cleaned before and after the reference test separately."""
     keys = list(keys)
     e = discharge_energy(df, raw=True, keys=keys, cycle=cycle)
@@ -148,7 +148,7 @@ def _in_range(c, rng):
 
 def rpt_statistics(df: DataFrame, rpt_cycle: int = 201, neighbors_cycle: int = 3, window: int = 5,
                    sigma_multiplier: float = 0.1, avoid_close_cycle: int = 0,
-                   keys: Sequence[str] = CYCLOID_KEYS, cycle: str = "cycle") -> DataFrame:
+                   keys: Sequence[str] = CYCLE_KEYS, cycle: str = "cycle") -> DataFrame:
     """Per (doe, cycle) min/avg/max/std/cv_pc/sample_size of normalised energy around the test."""
     before, after = rpt_cycle_sets(rpt_cycle, neighbors_cycle, avoid_close_cycle)
     n = rpt_normalised(df, rpt_cycle, window, sigma_multiplier, keys, cycle)
@@ -163,7 +163,7 @@ def rpt_statistics(df: DataFrame, rpt_cycle: int = 201, neighbors_cycle: int = 3
 
 def rpt_samples(df: DataFrame, rpt_cycle: int = 201, neighbors_cycle: int = 3, window: int = 5,
                 sigma_multiplier: float = 0.1, avoid_close_cycle: int = 0,
-                keys: Sequence[str] = CYCLOID_KEYS, cycle: str = "cycle") -> DataFrame:
+                keys: Sequence[str] = CYCLE_KEYS, cycle: str = "cycle") -> DataFrame:
     """Normalised energies labelled ``sample = 'after'`` / ``'before'`` for a t-test."""
     before, after = rpt_cycle_sets(rpt_cycle, neighbors_cycle, avoid_close_cycle)
     n = rpt_normalised(df, rpt_cycle, window, sigma_multiplier, keys, cycle)
@@ -172,7 +172,7 @@ def rpt_samples(df: DataFrame, rpt_cycle: int = 201, neighbors_cycle: int = 3, w
 
 
 def rpt_gain(df: DataFrame, rpt_cycle: int = 201, neighbors_cycle: int = 5, avoid_close_cycle: int = 0,
-             window: int = 5, sigma_multiplier: float = 0.1, keys: Sequence[str] = CYCLOID_KEYS,
+             window: int = 5, sigma_multiplier: float = 0.1, keys: Sequence[str] = CYCLE_KEYS,
              cycle: str = "cycle") -> DataFrame:
     """Per (doe, instance): before/after mean, median, std and the energy and cycle gains.
 

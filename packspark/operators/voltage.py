@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from packspark.functions.columns import rowwise_std
 from packspark.operators.clean import clamp_early_global, rolling_outlier_replace
 from packspark.operators.stats import mean_ci
-from packspark.schema import CHARGE, CHARGE_REST, CYCLOID_KEYS, DISCHARGE, DISCHARGE_REST, cell_cols
+from packspark.schema import CHARGE, CHARGE_REST, CYCLE_KEYS, DISCHARGE, DISCHARGE_REST, cell_cols
 
 # Which per-cell column a state uses (max while charging / after discharge).
 STATE_CELL_KIND = {CHARGE: "max", CHARGE_REST: "min", DISCHARGE: "min", DISCHARGE_REST: "max"}
@@ -21,7 +21,7 @@ REST_STATES = (CHARGE_REST, DISCHARGE_REST)
 def dcir_table(df: DataFrame) -> DataFrame:
     """Rows with a resistance value, in milliohm rounded half-to-even to 0.1."""
     return (df.where(F.col("dcir").isNotNull())
-            .select(*CYCLOID_KEYS, "cycle", F.bround(F.col("dcir") * 1000.0, 1).alias("dcir")))
+            .select(*CYCLE_KEYS, "cycle", F.bround(F.col("dcir") * 1000.0, 1).alias("dcir")))
 
 
 def dcir_series(df: DataFrame, hue: str = "instance_number") -> DataFrame:
@@ -34,7 +34,7 @@ def mean_voltage_series(df: DataFrame, hue: str = "instance_number", state: str
     """Mean charge voltage per cycle and hue; cleaned per (doe, instance) unless ``raw_data``."""
     d = df.where(F.col("cycling_substate") == state)
     if not raw_data:
-        d = rolling_outlier_replace(d, "mean_mean_voltage", CYCLOID_KEYS, "cycle", window, sigma_multiplier)
+        d = rolling_outlier_replace(d, "mean_mean_voltage", CYCLE_KEYS, "cycle", window, sigma_multiplier)
     return mean_ci(d, "cycle", "mean_mean_voltage", [hue])
 
 
@@ -46,7 +46,7 @@ def state_cells(df: DataFrame, states: Sequence[str] = tuple(STATE_CELL_KIND)) -
         mx, mn = F.col(f"max_cell{i}_voltage_v"), F.col(f"min_cell{i}_voltage_v")
         cols[f"cell{i}_voltage_v"] = F.when(st.isin(CHARGE, DISCHARGE_REST), mx).otherwise(mn)
     return (df.where(st.isin(*states)).withColumns(cols)
-            .select(*CYCLOID_KEYS, "cycling_substate", "cycle", *CELL_OUT))
+            .select(*CYCLE_KEYS, "cycling_substate", "cycle", *CELL_OUT))
 
 
 def cell_voltage_std(df: DataFrame, window: int = 5, sigma_multiplier: float = 0.1) -> DataFrame:
@@ -55,8 +55,8 @@ def cell_voltage_std(df: DataFrame, window: int = 5, sigma_multiplier: float = 0
     ``std_mv`` = sample standard deviation of the five cleaned cells × 1000, rounded
     half-to-even to an integer.
     """
-    d = state_cells(df).dropna(subset=[*CYCLOID_KEYS, "cycling_substate", "cycle", *CELL_OUT])
-    d = rolling_outlier_replace(d, CELL_OUT, [*CYCLOID_KEYS, "cycling_substate"], "cycle", window,
+    d = state_cells(df).dropna(subset=[*CYCLE_KEYS, "cycling_substate", "cycle", *CELL_OUT])
+    d = rolling_outlier_replace(d, CELL_OUT, [*CYCLE_KEYS, "cycling_substate"], "cycle", window,
                                 sigma_multiplier)
     return d.withColumn("std_mv", F.bround(rowwise_std(CELL_OUT, ddof=1) * 1000.0, 0))
 
@@ -76,10 +76,10 @@ def cell_voltage_long(df: DataFrame, raw_data: bool = True, window: int = 5,
     if instance is not None:
         df = df.where(F.col("instance_number") == str(instance))
     d = state_cells(df).dropna(subset=["cycle", *CELL_OUT])
-    long = d.unpivot([*CYCLOID_KEYS, "cycling_substate", "cycle"], CELL_OUT, "cell_col", "voltage")
+    long = d.unpivot([*CYCLE_KEYS, "cycling_substate", "cycle"], CELL_OUT, "cell_col", "voltage")
     long = long.withColumn("cell", F.regexp_extract("cell_col", r"(cell\d)", 1)).drop("cell_col")
     if not raw_data:
-        long = rolling_outlier_replace(long, "voltage", [*CYCLOID_KEYS, "cycling_substate", "cell"], "cycle",
+        long = rolling_outlier_replace(long, "voltage", [*CYCLE_KEYS, "cycling_substate", "cell"], "cycle",
                                        window, sigma_multiplier)
     return long
 
@@ -97,12 +97,12 @@ def polarization(df: DataFrame) -> DataFrame:
     cols = {f"cell{i}_delta_voltage": F.col(f"max_cell{i}_voltage_v") - F.col(f"min_cell{i}_voltage_v")
             for i in range(1, 6)}
     cols["pack_delta_voltage"] = F.col("max_rest_voltage_v") - F.col("min_rest_voltage_v")
-    return d.select(*CYCLOID_KEYS, "cycle", "cycling_substate", *[c.alias(n) for n, c in cols.items()])
+    return d.select(*CYCLE_KEYS, "cycle", "cycling_substate", *[c.alias(n) for n, c in cols.items()])
 
 
 def polarization_clean(df: DataFrame, window: int = 5, sigma_multiplier: float = 0.1) -> DataFrame:
     """Polarization with each delta column cleaned per (doe, instance, state)."""
-    return rolling_outlier_replace(polarization(df), POLARIZATION_COLS, [*CYCLOID_KEYS, "cycling_substate"],
+    return rolling_outlier_replace(polarization(df), POLARIZATION_COLS, [*CYCLE_KEYS, "cycling_substate"],
                                    "cycle", window, sigma_multiplier)
 
 
@@ -110,9 +110,9 @@ def temperature_clean(df: DataFrame, y: str = "max_temp", x: str = "cycle", clea
                       window: int = 7, sigma_multiplier: float = 0.5) -> DataFrame:
     """Per state: drop NULL ``y``, early cycles to the state-wide median, then clean per pack."""
     d = df.where(F.col("cycling_substate").isin(*STATE_CELL_KIND)).where(F.col(y).isNotNull())
-    d = d.select(*CYCLOID_KEYS, "cycling_substate", x, y)
+    d = d.select(*CYCLE_KEYS, "cycling_substate", x, y)
     d = clamp_early_global(d, y, ["cycling_substate"], x, clean_first_n_cycles)
-    return rolling_outlier_replace(d, y, [*CYCLOID_KEYS, "cycling_substate"], x, window, sigma_multiplier)
+    return rolling_outlier_replace(d, y, [*CYCLE_KEYS, "cycling_substate"], x, window, sigma_multiplier)
 
 
 def temperature_series(df: DataFrame, y: str = "max_temp", x: str = "cycle", hue: str = "instance_number",
@@ -123,19 +123,19 @@ def temperature_series(df: DataFrame, y: str = "max_temp", x: str = "cycle", hue
 
 
 # Metrics of the dense series that can be plotted.
-ROVER_METRICS = ("avg_current_a", "avg_voltage_v", "avail_battery_capacity_ah", "battery_temperature_deg_c",
+SERIES_METRICS = ("avg_current_a", "avg_voltage_v", "avail_battery_capacity_ah", "battery_temperature_deg_c",
                  "min_current_a", "max_current_a", "min_voltage_v", "max_voltage_v", "current_a", "voltage_v")
 
 
-def rover_metrics(df: DataFrame, metrics: Sequence[str], state: str = CHARGE, x: str = "elapsed_minutes",
+def series_metrics(df: DataFrame, metrics: Sequence[str], state: str = CHARGE, x: str = "elapsed_minutes",
                   extra: Sequence[str] = ("sample_id",)) -> DataFrame:
     """Long table (doe_instance, x, metric, value) of the chosen metrics for one charging state.
 
     Current is made positive.  An unknown state gives an empty table.
     """
-    bad = [m for m in metrics if m not in ROVER_METRICS]
+    bad = [m for m in metrics if m not in SERIES_METRICS]
     if bad:
-        raise ValueError(f"unknown metrics {bad}; choose from {ROVER_METRICS}")
+        raise ValueError(f"unknown metrics {bad}; choose from {SERIES_METRICS}")
     d = (df.where(F.col("charging_state_name") == state)
          .withColumn("doe_instance", F.concat_ws("_", F.col("doe").cast("string"), F.col("instance").cast("string"))))
     if "avg_current_a" in d.columns:

@@ -21,7 +21,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 # ---------------------------------------------------------------- cycle table
-def cycloid_view(spark: SparkSession, sf_dir: str) -> DataFrame:
+def cycle_view(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per (doe_number, instance_number, cycle, cycling_substate)."""
     li = table(spark, sf_dir, "lineitem").select(
         "l_returnflag", "l_suppkey", "l_shipdate", "l_orderkey", "l_linenumber", "l_partkey",
@@ -63,7 +63,7 @@ def cycloid_view(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select(*keep)
 
 
-CYCLOID_SQL = """
+CYCLE_SQL = """
 cyc_base AS (
   SELECT *, CAST((rn - 1) // 5 + 1 AS INTEGER) AS cycle,
          (['CHARGE','CHARGE REST','DISCHARGE','DISCHARGE REST','DCIR'])[CAST((rn - 1) % 5 AS INTEGER) + 1]
@@ -72,7 +72,7 @@ cyc_base AS (
                row_number() OVER (PARTITION BY l_returnflag, l_suppkey
                                   ORDER BY l_shipdate, l_orderkey, l_linenumber, l_partkey, l_extendedprice) AS rn
         FROM lineitem)),
-cycloid AS (
+cyc AS (
   SELECT l_returnflag AS doe_number, CAST(l_suppkey AS VARCHAR) AS instance_number, cycle, cycling_substate,
          20.0::DOUBLE / (1.0::DOUBLE + 0.0005::DOUBLE * cycle)
            + 0.3::DOUBLE * CAST((cycle // 12) % 2 AS DOUBLE) + 0.2::DOUBLE * l_discount
@@ -98,7 +98,7 @@ cycloid AS (
 USERS_PER_PACK = 30   # ~66 samples per (pack, day) at every scale factor
 
 
-def rover_view(spark: SparkSession, sf_dir: str) -> DataFrame:
+def series_view(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per sample; series key (doe, instance, cycle_num, charging_state_name).
 
     A pack is a block of 30 users, a cycle is one day, elapsed minutes count from midnight
@@ -132,11 +132,11 @@ def rover_view(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select(*keep)
 
 
-ROVER_SQL = """
-rov_base AS (
+SERIES_SQL = """
+smp_base AS (
   SELECT *, CAST(epoch_us(ts) - epoch_us(date_trunc('day', ts)) AS DOUBLE) / 60000000.0::DOUBLE AS elapsed_minutes
   FROM events),
-rover AS (
+samples AS (
   SELECT 'E1' AS doe, CAST(user_id // 30 AS VARCHAR) AS instance, CAST(day(ts) AS INTEGER) AS cycle_num,
          CASE WHEN event_type = 'error' THEN 'DISCHARGE' ELSE 'CHARGE' END AS charging_state_name,
          event_id AS sample_id, elapsed_minutes,
@@ -153,7 +153,7 @@ rover AS (
          3.6::DOUBLE + 0.65::DOUBLE * elapsed_minutes / 1440.0::DOUBLE + 0.003::DOUBLE AS cell3_voltage_v,
          3.6::DOUBLE + 0.65::DOUBLE * elapsed_minutes / 1440.0::DOUBLE + 0.004::DOUBLE AS cell4_voltage_v,
          3.6::DOUBLE + 0.65::DOUBLE * elapsed_minutes / 1440.0::DOUBLE + 0.005::DOUBLE AS cell5_voltage_v
-  FROM rov_base)"""
+  FROM smp_base)"""
 
 
 # ---------------------------------------------------------------- message log rows
@@ -175,7 +175,7 @@ log_rows AS (
 # ---------------------------------------------------------------- recipe and cohort rows
 def recipe_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """CHARGE cycle rows whose instance carries a recipe letter: d/e/f + pack number."""
-    c = cycloid_view(spark, sf_dir)
+    c = cycle_view(spark, sf_dir)
     letter = F.when(F.col("doe_number") == "A", "d").when(F.col("doe_number") == "N", "e").otherwise("f")
     return (c.where(F.col("cycling_substate") == "CHARGE")
             .select(F.lit("RP").alias("doe_number"),
@@ -188,12 +188,12 @@ recipe_rows AS (
   SELECT 'RP' AS doe_number,
          (CASE WHEN doe_number = 'A' THEN 'd' WHEN doe_number = 'N' THEN 'e' ELSE 'f' END) || instance_number
            AS instance_number, cycle, cycling_substate, time, capacity, energy, energy_rest
-  FROM cycloid WHERE cycling_substate = 'CHARGE')"""
+  FROM cyc WHERE cycling_substate = 'CHARGE')"""
 
 
 def cohort_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Cycle rows whose instance is ``<cohort>_<pack>``; cohorts from the return flag."""
-    c = cycloid_view(spark, sf_dir)
+    c = cycle_view(spark, sf_dir)
     cohort = (F.when(F.col("doe_number") == "A", "RPT25C").when(F.col("doe_number") == "N", "REG40C")
               .otherwise("MOD40C"))
     return c.withColumn("instance_number", F.concat_ws("_", cohort, F.col("instance_number"))) \
@@ -205,4 +205,4 @@ cohort_rows AS (
   SELECT * REPLACE ('C1' AS doe_number,
          (CASE WHEN doe_number = 'A' THEN 'RPT25C' WHEN doe_number = 'N' THEN 'REG40C' ELSE 'MOD40C' END)
            || '_' || instance_number AS instance_number)
-  FROM cycloid)"""
+  FROM cyc)"""

@@ -15,7 +15,7 @@ from packspark.plans.registry import RPT, register
 from packspark.plans.sqltext import K, lit, w1
 
 KC = "doe_number:s, instance_number:s"
-ROV = "doe, instance, cycle_num, charging_state_name"
+SKEY = "doe, instance, cycle_num, charging_state_name"
 ROV_ORDER = "elapsed_minutes, sample_id"
 W = sq.with_
 
@@ -25,58 +25,58 @@ ENERGY_COLS = (KC + ", cycle:i, raw_discharge_energy:d, adjusted_raw_discharge_e
                "norm_lower_energy:d")
 
 
-@register("discharge_energy", ENERGY_COLS, W(ad.CYCLOID_SQL, sq.discharge_energy_ctes(7, 0.1)) + "\nSELECT * FROM energy",
+@register("discharge_energy", ENERGY_COLS, W(ad.CYCLE_SQL, sq.discharge_energy_ctes(7, 0.1)) + "\nSELECT * FROM energy",
           ids=["T1", "A1", "W5", "W1", "A2", "A3", "W4", "E2"])
 def q_discharge_energy(spark, sf):
-    return en.discharge_energy(ad.cycloid_view(spark, sf), window=7, sigma_multiplier=0.1)
+    return en.discharge_energy(ad.cycle_view(spark, sf), window=7, sigma_multiplier=0.1)
 
 
 # ------------------------------------------------------------------ W1 rolling outlier replacement
 @register("rolling_outlier_w5", KC + ", cycle:i, energy:d, energy_clean:d",
-          W(ad.CYCLOID_SQL) + f"""
+          W(ad.CYCLE_SQL) + f"""
 SELECT doe_number, instance_number, cycle, energy, {w1('energy', K, 'cycle', 5, 0.1)} AS energy_clean
-FROM cycloid WHERE cycling_substate = 'DISCHARGE'""", ids=["W1", "W2", "P8"])
+FROM cyc WHERE cycling_substate = 'DISCHARGE'""", ids=["W1", "W2", "P8"])
 def q_rolling_w5(spark, sf):
-    d = ad.cycloid_view(spark, sf).where(F.col("cycling_substate") == "DISCHARGE") \
+    d = ad.cycle_view(spark, sf).where(F.col("cycling_substate") == "DISCHARGE") \
         .select("doe_number", "instance_number", "cycle", "energy")
     return cl.rolling_outlier_replace(d, "energy", ["doe_number", "instance_number"], "cycle", 5, 0.1,
                                       out="energy_clean")
 
 
-ROVER_W_COLS = ("doe:s, instance:s, cycle_num:i, charging_state_name:s, sample_id:l, elapsed_minutes:d, "
+SERIES_W_COLS = ("doe:s, instance:s, cycle_num:i, charging_state_name:s, sample_id:l, elapsed_minutes:d, "
                 "avg_current_a:d, current_clean:d")
 
 
-def _rover_w1_sql(window, k):
-    return W(ad.ROVER_SQL) + f"""
+def _series_w1_sql(window, k):
+    return W(ad.SERIES_SQL) + f"""
 SELECT doe, instance, cycle_num, charging_state_name, sample_id, elapsed_minutes, avg_current_a,
-       {w1('avg_current_a', ROV, ROV_ORDER, window, k)} AS current_clean
-FROM rover"""
+       {w1('avg_current_a', SKEY, ROV_ORDER, window, k)} AS current_clean
+FROM samples"""
 
 
-def _rover_w1(spark, sf, window, k, method):
-    d = ad.rover_view(spark, sf).select("doe", "instance", "cycle_num", "charging_state_name", "sample_id",
+def _series_w1(spark, sf, window, k, method):
+    d = ad.series_view(spark, sf).select("doe", "instance", "cycle_num", "charging_state_name", "sample_id",
                                         "elapsed_minutes", "avg_current_a")
     return cl.rolling_outlier_replace(d, "avg_current_a", ["doe", "instance", "cycle_num", "charging_state_name"],
                                       ["elapsed_minutes", "sample_id"], window, k, out="current_clean", method=method)
 
 
-@register("rolling_outlier_w7", ROVER_W_COLS, _rover_w1_sql(7, 0.5), ids=["W1", "W2"])
+@register("rolling_outlier_w7", SERIES_W_COLS, _series_w1_sql(7, 0.5), ids=["W1", "W2"])
 def q_rolling_w7(spark, sf):
-    return _rover_w1(spark, sf, 7, 0.5, "native")
+    return _series_w1(spark, sf, 7, 0.5, "native")
 
 
-@register("rolling_outlier_wide", ROVER_W_COLS, _rover_w1_sql(100, 3.0), ids=["W1"])
+@register("rolling_outlier_wide", SERIES_W_COLS, _series_w1_sql(100, 3.0), ids=["W1"])
 def q_rolling_wide(spark, sf):
-    return _rover_w1(spark, sf, 100, 3.0, "auto")
+    return _series_w1(spark, sf, 100, 3.0, "auto")
 
 
 @register("rolling_outlier_blocked", KC + ", cycle:i, energy:d, energy_clean:d",
-          W(ad.CYCLOID_SQL) + f"""
+          W(ad.CYCLE_SQL) + f"""
 SELECT doe_number, instance_number, cycle, energy, {w1('energy', K, 'cycle', 25, 0.1)} AS energy_clean
-FROM cycloid WHERE cycling_substate = 'DISCHARGE'""", ids=["W1"])
+FROM cyc WHERE cycling_substate = 'DISCHARGE'""", ids=["W1"])
 def q_rolling_blocked(spark, sf):
-    d = ad.cycloid_view(spark, sf).where(F.col("cycling_substate") == "DISCHARGE") \
+    d = ad.cycle_view(spark, sf).where(F.col("cycling_substate") == "DISCHARGE") \
         .select("doe_number", "instance_number", "cycle", "energy")
     return cl.rolling_outlier_replace(d, "energy", ["doe_number", "instance_number"], "cycle", 25, 0.1,
                                       out="energy_clean", method="blocked", block_rows=32)
@@ -84,25 +84,25 @@ def q_rolling_blocked(spark, sf):
 
 # ------------------------------------------------------------------ W4 / W5 / W3
 @register("norm_second_row", KC + ", cycle:i, energy:d, norm_energy:d",
-          W(ad.CYCLOID_SQL) + f"""
+          W(ad.CYCLE_SQL) + f"""
 SELECT doe_number, instance_number, cycle, energy, energy / nullif({sq.second('energy')}, 0) AS norm_energy
-FROM cycloid WHERE cycling_substate = 'DISCHARGE'""", ids=["W4", "N9"])
+FROM cyc WHERE cycling_substate = 'DISCHARGE'""", ids=["W4", "N9"])
 def q_norm_second(spark, sf):
-    d = ad.cycloid_view(spark, sf).where(F.col("cycling_substate") == "DISCHARGE") \
+    d = ad.cycle_view(spark, sf).where(F.col("cycling_substate") == "DISCHARGE") \
         .select("doe_number", "instance_number", "cycle", "energy")
     return d.withColumn("norm_energy", safe_div("energy", second_row("energy", ["doe_number", "instance_number"],
                                                                      ["cycle"])))
 
 
 @register("early_cycle_adjust", KC + ", cycle:i, raw_discharge_energy:d, adjusted_raw_discharge_energy:d",
-          W(ad.CYCLOID_SQL, sq.raw_energy_cte("cycloid", "e_raw"), sq.early_cte("e_raw", "e_adj"))
+          W(ad.CYCLE_SQL, sq.raw_energy_cte("cyc", "e_raw"), sq.early_cte("e_raw", "e_adj"))
           + "\nSELECT * FROM e_adj", ids=["W5", "A1"])
 def q_early(spark, sf):
-    return en.discharge_energy(ad.cycloid_view(spark, sf), raw=True)
+    return en.discharge_energy(ad.cycle_view(spark, sf), raw=True)
 
 
 def seg_ctes(rpt=RPT, window=5, k=0.1):
-    return f"""{sq.raw_energy_cte('cycloid', 's_raw')},
+    return f"""{sq.raw_energy_cte('cyc', 's_raw')},
 {sq.early_cte('s_raw', 's_adj')},
 s_n0 AS (
   SELECT *, adjusted_raw_discharge_energy / nullif({sq.second('adjusted_raw_discharge_energy')}, 0) AS nde,
@@ -115,9 +115,9 @@ seg AS (
 
 
 @register("segment_clean", KC + ", cycle:i, adjusted_raw_discharge_energy:d, norm_discharge_energy:d",
-          W(ad.CYCLOID_SQL, seg_ctes()) + "\nSELECT * FROM seg", ids=["W3", "W4"])
+          W(ad.CYCLE_SQL, seg_ctes()) + "\nSELECT * FROM seg", ids=["W3", "W4"])
 def q_segment(spark, sf):
-    return en.rpt_normalised(ad.cycloid_view(spark, sf), rpt_cycle=RPT, window=5, sigma_multiplier=0.1) \
+    return en.rpt_normalised(ad.cycle_view(spark, sf), rpt_cycle=RPT, window=5, sigma_multiplier=0.1) \
         .select("doe_number", "instance_number", "cycle", "adjusted_raw_discharge_energy", "norm_discharge_energy")
 
 
@@ -135,7 +135,7 @@ STATS_COLS = "doe_number:s, cycle:i, min:d, avg:d, max:d, std:d, cv_pc:d, sample
 _b3, _a3, _, _ = _sets(3)
 
 
-@register("rpt_statistics", STATS_COLS, W(ad.CYCLOID_SQL, seg_ctes()) + f"""
+@register("rpt_statistics", STATS_COLS, W(ad.CYCLE_SQL, seg_ctes()) + f"""
 SELECT doe_number, cycle, min(norm_discharge_energy) AS "min", avg(norm_discharge_energy) AS "avg",
        max(norm_discharge_energy) AS "max", stddev_samp(norm_discharge_energy) AS std,
        CASE WHEN avg(norm_discharge_energy) > 0 THEN stddev_samp(norm_discharge_energy) * 100.0 / avg(norm_discharge_energy)
@@ -144,7 +144,7 @@ SELECT doe_number, cycle, min(norm_discharge_energy) AS "min", avg(norm_discharg
 FROM seg WHERE {_b3} OR {_a3}
 GROUP BY doe_number, cycle""", ids=["T3", "A4", "P3"])
 def q_rpt_stats(spark, sf):
-    return en.rpt_statistics(ad.cycloid_view(spark, sf), rpt_cycle=RPT, neighbors_cycle=3)
+    return en.rpt_statistics(ad.cycle_view(spark, sf), rpt_cycle=RPT, neighbors_cycle=3)
 
 
 GAIN_COLS = (KC + ", rpt_cycle:i, avg_energy_before:d, median_energy_before:d, std_energy_before:d, "
@@ -176,24 +176,24 @@ gain AS (
   FROM g_agg LEFT JOIN g_close USING (doe_number, instance_number))"""
 
 
-@register("rpt_gain", GAIN_COLS, W(ad.CYCLOID_SQL, gain_ctes()) + "\nSELECT * FROM gain",
+@register("rpt_gain", GAIN_COLS, W(ad.CYCLE_SQL, gain_ctes()) + "\nSELECT * FROM gain",
           ids=["T4", "A5", "A6", "A7", "J7", "O5"])
 def q_rpt_gain(spark, sf):
-    return en.rpt_gain(ad.cycloid_view(spark, sf), rpt_cycle=RPT, neighbors_cycle=5)
+    return en.rpt_gain(ad.cycle_view(spark, sf), rpt_cycle=RPT, neighbors_cycle=5)
 
 
-@register("gain_corr", "pearson_r:d, n_pairs:l", W(ad.CYCLOID_SQL, gain_ctes()) + """
+@register("gain_corr", "pearson_r:d, n_pairs:l", W(ad.CYCLE_SQL, gain_ctes()) + """
 SELECT corr(gain_in_energy_pc, CAST(gain_in_cycle AS DOUBLE)) AS pearson_r,
        count(CASE WHEN gain_in_energy_pc IS NOT NULL AND gain_in_cycle IS NOT NULL THEN 1 END) AS n_pairs
 FROM gain""", ids=["A8"])
 def q_gain_corr(spark, sf):
-    return en.gain_correlation(en.rpt_gain(ad.cycloid_view(spark, sf), rpt_cycle=RPT, neighbors_cycle=5))
+    return en.gain_correlation(en.rpt_gain(ad.cycle_view(spark, sf), rpt_cycle=RPT, neighbors_cycle=5))
 
 
 TT_COLS = "doe_number:s, n1:l, mean1:d, var1:d, n2:l, mean2:d, var2:d, T:d, dof:d, cohen_d:d"
 
 
-@register("welch_ttest", TT_COLS, W(ad.CYCLOID_SQL, seg_ctes()) + f"""
+@register("welch_ttest", TT_COLS, W(ad.CYCLE_SQL, seg_ctes()) + f"""
 , tt AS (
   SELECT doe_number,
     count(CASE WHEN {_a3} THEN norm_discharge_energy END) AS n1, avg(CASE WHEN {_a3} THEN norm_discharge_energy END) AS mean1,
@@ -208,14 +208,14 @@ SELECT *, CASE WHEN n1 > 1 AND n2 > 1 THEN (mean1 - mean2) / nullif(sqrt(var1 /
        / nullif(sqrt(((n1 - 1) * var1 + (n2 - 1) * var2) / (n1 + n2 - 2)), 0) END) AS cohen_d
 FROM tt""", ids=["T2"])
 def q_welch(spark, sf):
-    s = en.rpt_samples(ad.cycloid_view(spark, sf), rpt_cycle=RPT, neighbors_cycle=3)
+    s = en.rpt_samples(ad.cycle_view(spark, sf), rpt_cycle=RPT, neighbors_cycle=3)
     return welch_stats(s, "norm_discharge_energy", "sample", "after", "before", by=["doe_number"])
 
 
 @register("welch_ttest_full", TT_COLS + ", p_val:d, ci95_low:d, ci95_high:d, power:d, bf10:d, alternative:s, "
           "significance:s, bayes_support:s, effect_size:s, power_reading:s", ids=["T2", "F13"])
 def q_welch_full(spark, sf):
-    s = en.rpt_samples(ad.cycloid_view(spark, sf), rpt_cycle=RPT, neighbors_cycle=3)
+    s = en.rpt_samples(ad.cycle_view(spark, sf), rpt_cycle=RPT, neighbors_cycle=3)
     return welch_ttest(s, "norm_discharge_energy", "sample", "after", "before", by=["doe_number"],
                        alternative="greater")
 
@@ -261,7 +261,7 @@ screened AS (
 
 
 def _screened(spark, sf, dejump=False):
-    e = en.discharge_energy(ad.cycloid_view(spark, sf), 7, 0.1).select(
+    e = en.discharge_energy(ad.cycle_view(spark, sf), 7, 0.1).select(
         "doe_number", "instance_number", "cycle", "norm_discharge_energy")
     if dejump:
         e = tr.energy_jump_removed(e)
@@ -270,7 +270,7 @@ def _screened(spark, sf, dejump=False):
 
 
 @register("group_screen", KC + ", cycle:i, norm_discharge_energy:d",
-          W(ad.CYCLOID_SQL, screened_ctes()) + "\nSELECT * FROM screened", ids=["T32", "P13"])
+          W(ad.CYCLE_SQL, screened_ctes()) + "\nSELECT * FROM screened", ids=["T32", "P13"])
 def q_screen(spark, sf):
     return _screened(spark, sf)
 
@@ -295,14 +295,14 @@ def _fits(spark, sf):
     return tr.fade_target_cycle(_screened(spark, sf), 0.64, 30)
 
 
-@register("fade_target_cycle", FIT_COLS, W(ad.CYCLOID_SQL, fit_ctes()) + "\nSELECT * FROM fitted",
+@register("fade_target_cycle", FIT_COLS, W(ad.CYCLE_SQL, fit_ctes()) + "\nSELECT * FROM fitted",
           ids=["T25", "A23", "W12"])
 def q_fit(spark, sf):
     return _fits(spark, sf)
 
 
 @register("extrapolation_segments", KC + ", start_cycle:i, start_energy:d, end_cycle:i, end_energy:d, r2_score:d",
-          W(ad.CYCLOID_SQL, fit_ctes(dejump=True)) + f"""
+          W(ad.CYCLE_SQL, fit_ctes(dejump=True)) + f"""
 , good AS (SELECT * FROM fitted WHERE r2_score > {lit(0.9)})
 SELECT s.doe_number, s.instance_number, max(s.cycle) - 5 AS start_cycle,
        arg_max(s.norm_discharge_energy, s.cycle) AS start_energy, any_value(g.target_cycle) AS end_cycle,
@@ -316,19 +316,19 @@ def q_segments(spark, sf):
 
 
 def _energy_norm(spark, sf):
-    return en.discharge_energy(ad.cycloid_view(spark, sf), 7, 0.1).select(
+    return en.discharge_energy(ad.cycle_view(spark, sf), 7, 0.1).select(
         "doe_number", "instance_number", "cycle", "norm_discharge_energy")
 
 
 @register("energy_jump_removed", KC + ", cycle:i, norm_discharge_energy:d",
-          W(ad.CYCLOID_SQL, jump_ctes()) + "\nSELECT doe_number, instance_number, cycle, out_x AS norm_discharge_energy FROM jumps",
+          W(ad.CYCLE_SQL, jump_ctes()) + "\nSELECT doe_number, instance_number, cycle, out_x AS norm_discharge_energy FROM jumps",
           ids=["T27", "W7", "W11", "J10"])
 def q_jumps_removed(spark, sf):
     return tr.energy_jump_removed(_energy_norm(spark, sf))
 
 
 @register("energy_jump_details", KC + ", cycle:i, energy:d, jump_energy_pct:d, jump_length:d",
-          W(ad.CYCLOID_SQL, jump_ctes()) + """
+          W(ad.CYCLE_SQL, jump_ctes()) + """
 SELECT doe_number, instance_number, cycle, x - (S - L) AS energy,
        abs((x - (S - L)) / nullif(prev_out, 0) - 1.0) * 100.0 AS jump_energy_pct, L AS jump_length
 FROM jumps WHERE keep""", ids=["T27"])
@@ -337,9 +337,9 @@ def q_jumps_details(spark, sf):
 
 
 @register("overlay_test_reference", KC + ", cycle:i, norm_discharge_energy:d, norm_mean_energy:d, norm_lower_energy:d, role:s",
-          W(ad.CYCLOID_SQL, "test_rows AS (SELECT * FROM cycloid WHERE doe_number = 'A')",
+          W(ad.CYCLE_SQL, "test_rows AS (SELECT * FROM cyc WHERE doe_number = 'A')",
             sq.discharge_energy_ctes(7, 0.1, "test_rows", "te"),
-            "ref_rows AS (SELECT * FROM cycloid WHERE doe_number = 'R')",
+            "ref_rows AS (SELECT * FROM cyc WHERE doe_number = 'R')",
             sq.discharge_energy_ctes(7, 0.1, "ref_rows", "re")) + """
 SELECT doe_number, instance_number, cycle, norm_discharge_energy, NULL AS norm_mean_energy, NULL AS norm_lower_energy,
        'test' AS role FROM te
@@ -347,23 +347,23 @@ UNION ALL
 SELECT doe_number, instance_number, cycle, NULL, norm_mean_energy, norm_lower_energy, 'reference' FROM re""",
           ids=["T33", "U1", "E6"])
 def q_overlay(spark, sf):
-    c = ad.cycloid_view(spark, sf)
+    c = ad.cycle_view(spark, sf)
     return en.overlay_test_reference(c.where(F.col("doe_number") == "A"), c.where(F.col("doe_number") == "R"))
 
 
-@register("sigma_band_filter", KC + ", cycle:i, energy:d", W(ad.CYCLOID_SQL) + f"""
+@register("sigma_band_filter", KC + ", cycle:i, energy:d", W(ad.CYCLE_SQL) + f"""
 SELECT doe_number, instance_number, cycle, energy FROM (
   SELECT *, median(energy) OVER (PARTITION BY {K}) AS md, stddev_pop(energy) OVER (PARTITION BY {K}) AS sd
-  FROM cycloid WHERE cycling_substate = 'DISCHARGE')
+  FROM cyc WHERE cycling_substate = 'DISCHARGE')
 WHERE energy >= md - {lit(1.0)} * sd AND energy <= md + {lit(1.0)} * sd""", ids=["A13"])
 def q_sigma_band(spark, sf):
-    d = ad.cycloid_view(spark, sf).where(F.col("cycling_substate") == "DISCHARGE") \
+    d = ad.cycle_view(spark, sf).where(F.col("cycling_substate") == "DISCHARGE") \
         .select("doe_number", "instance_number", "cycle", "energy")
     return cl.sigma_band_filter(d, "energy", ["doe_number", "instance_number"], 1.0, ddof=0)
 
 
 @register("energy_jump_wide_spacing", KC + ", cycle:i, energy:d, jump_energy_pct:d, jump_length:d",
-          W(ad.CYCLOID_SQL, jump_ctes(0.1, 10, 50, 5)) + """
+          W(ad.CYCLE_SQL, jump_ctes(0.1, 10, 50, 5)) + """
 SELECT doe_number, instance_number, cycle, x - (S - L) AS energy,
        abs((x - (S - L)) / nullif(prev_out, 0) - 1.0) * 100.0 AS jump_energy_pct, L AS jump_length
 FROM jumps WHERE keep""", ids=["T27", "E9"])

@@ -27,13 +27,13 @@ COHORT_MED_SQL = """cm AS (
 
 
 @register("cohort_medians", "cohort:s, pack:s, instance_number:s, cycling_substate:s, median_capacity:d",
-          W(ad.CYCLOID_SQL, ad.COHORT_SQL, COHORT_MED_SQL) + "\nSELECT * FROM cm", ids=["T28", "X4", "A16", "F5"])
+          W(ad.CYCLE_SQL, ad.COHORT_SQL, COHORT_MED_SQL) + "\nSELECT * FROM cm", ids=["T28", "X4", "A16", "F5"])
 def q_cohort_medians(spark, sf):
     return co.cohort_medians(ad.cohort_rows(spark, sf), "capacity")
 
 
 @register("cohort_delta", "pack:s, cycling_substate:s, test_median:d, reference_median:d, delta:d",
-          W(ad.CYCLOID_SQL, ad.COHORT_SQL, COHORT_MED_SQL) + """
+          W(ad.CYCLE_SQL, ad.COHORT_SQL, COHORT_MED_SQL) + """
 SELECT coalesce(t.pack, r.pack) AS pack, coalesce(t.cycling_substate, r.cycling_substate) AS cycling_substate,
        t.median_capacity AS test_median, r.median_capacity AS reference_median,
        t.median_capacity - r.median_capacity AS delta
@@ -59,14 +59,14 @@ clean AS (SELECT *, median_time - {lit(3.0)} * std_time AS lower_time FROM rc1
 
 
 @register("recipe_clean_time", "instance_number:s, cycle:i, time:d, capacity:d, recipe:s, median_time:d, std_time:d, "
-          "lower_time:d", W(ad.CYCLOID_SQL, ad.RECIPE_SQL, CLEAN_SQL) + "\nSELECT * FROM clean",
+          "lower_time:d", W(ad.CYCLE_SQL, ad.RECIPE_SQL, CLEAN_SQL) + "\nSELECT * FROM clean",
           ids=["T29", "J2", "A17", "J5", "N11"])
 def q_recipe_clean(spark, sf):
     return co.recipe_clean_time(ad.recipe_rows(spark, sf))
 
 
 @register("recipe_pair_delta", "pair_kind:s, pair:s, median:d, mean:d, std:d",
-          W(ad.CYCLOID_SQL, ad.RECIPE_SQL, CLEAN_SQL) + """,
+          W(ad.CYCLE_SQL, ad.RECIPE_SQL, CLEAN_SQL) + """,
 pr0 AS (SELECT substr(instance_number, 1, 1) AS letter, substr(instance_number, 2) AS pack, cycle, time FROM clean),
 fp AS (SELECT DISTINCT pack FROM pr0 WHERE letter = 'f'),
 pr1 AS (SELECT 'd-e' AS pair_kind, pack, cycle, time FROM pr0 WHERE letter IN ('d', 'e')
@@ -82,7 +82,7 @@ def q_recipe_pairs(spark, sf):
 
 
 @register("charge_time_label", "instance_number:s, median_time:i, instance_time:s",
-          W(ad.CYCLOID_SQL, ad.RECIPE_SQL) + """
+          W(ad.CYCLE_SQL, ad.RECIPE_SQL) + """
 SELECT instance_number, median_time, instance_number || '_' || CAST(median_time AS VARCHAR) || 'min' AS instance_time
 FROM (SELECT instance_number, CAST(trunc(median(time)) AS INTEGER) AS median_time FROM recipe_rows
       WHERE cycling_substate = 'CHARGE' GROUP BY instance_number)""", ids=["T31", "A16", "F7", "N10", "E13"])
@@ -91,7 +91,7 @@ def q_label(spark, sf):
 
 
 @register("recipe_density", "recipe:s, point:i, x:d, density:d",
-          W(ad.CYCLOID_SQL, ad.RECIPE_SQL, CLEAN_SQL) + f""",
+          W(ad.CYCLE_SQL, ad.RECIPE_SQL, CLEAN_SQL) + f""",
 ds AS (SELECT recipe, count(capacity) AS n, stddev_samp(capacity) AS sd, min(capacity) AS lo, max(capacity) AS hi
        FROM clean WHERE capacity IS NOT NULL GROUP BY recipe),
 ds2 AS (SELECT *, pow(CAST(n AS DOUBLE), {lit(-0.2)}) * sd AS bw FROM ds),
@@ -110,40 +110,40 @@ def q_density(spark, sf):
 # ------------------------------------------------------------------ key filters over read_data
 FIL_COLS = "doe:s, instance:s, cycle_num:i, charging_state_name:s, energy:d"
 RD_SQL = """rd AS (SELECT doe_number AS doe, instance_number AS instance, cycle AS cycle_num,
-                   cycling_substate AS charging_state_name, energy FROM cycloid)"""
+                   cycling_substate AS charging_state_name, energy FROM cyc)"""
 
 
 def _rd(spark, sf):
-    return fi.read_data(spark, ad.cycloid_view(spark, sf)).select(
+    return fi.read_data(spark, ad.cycle_view(spark, sf)).select(
         "doe", "instance", "cycle_num", "charging_state_name", "energy")
 
 
-@register("filter_doe", FIL_COLS, W(ad.CYCLOID_SQL, RD_SQL) + "\nSELECT * FROM rd WHERE doe IN ('A', 'R')",
+@register("filter_doe", FIL_COLS, W(ad.CYCLE_SQL, RD_SQL) + "\nSELECT * FROM rd WHERE doe IN ('A', 'R')",
           ids=["P4", "S8", "P15", "T34", "E1"])
 def q_f_doe(spark, sf):
     return fl.filter_by_doe(_rd(spark, sf), ["A", "R"])
 
 
-@register("filter_instance", FIL_COLS, W(ad.CYCLOID_SQL, RD_SQL) + "\nSELECT * FROM rd WHERE instance IN ('1', '5', '10', '42')",
+@register("filter_instance", FIL_COLS, W(ad.CYCLE_SQL, RD_SQL) + "\nSELECT * FROM rd WHERE instance IN ('1', '5', '10', '42')",
           ids=["P5", "S8"])
 def q_f_inst(spark, sf):
     return fl.filter_by_instance(_rd(spark, sf), [1, 5, "10", "42"])
 
 
-@register("filter_cycle", FIL_COLS, W(ad.CYCLOID_SQL, RD_SQL) + "\nSELECT * FROM rd WHERE cycle_num IN (1, 3, 20)",
+@register("filter_cycle", FIL_COLS, W(ad.CYCLE_SQL, RD_SQL) + "\nSELECT * FROM rd WHERE cycle_num IN (1, 3, 20)",
           ids=["P6", "S8"])
 def q_f_cycle(spark, sf):
     return fl.filter_by_cycle(_rd(spark, sf), [1, 3, 20])
 
 
-@register("filter_doe_instance", FIL_COLS, W(ad.CYCLOID_SQL, RD_SQL) + """
+@register("filter_doe_instance", FIL_COLS, W(ad.CYCLE_SQL, RD_SQL) + """
 SELECT rd.* FROM rd JOIN (VALUES ('A', '1'), ('R', '5'), ('A', '1')) p(doe, instance)
   ON rd.doe = p.doe AND rd.instance = p.instance""", ids=["P7"])
 def q_f_pairs(spark, sf):
     return fl.filter_by_doe_instance(_rd(spark, sf), [("A", 1), ("R", "5"), ("A", "1")])
 
 
-@register("content_summary", "column:s, n_distinct:l, min_value:s, max_value:s", W(ad.CYCLOID_SQL, RD_SQL) + "\n" +
+@register("content_summary", "column:s, n_distinct:l, min_value:s, max_value:s", W(ad.CYCLE_SQL, RD_SQL) + "\n" +
           "\nUNION ALL\n".join(f"SELECT '{c}' AS \"column\", count(DISTINCT {c}) AS n_distinct, CAST(min({c}) AS VARCHAR) "
                                f"AS min_value, CAST(max({c}) AS VARCHAR) AS max_value FROM rd"
                                for c in ("doe", "instance", "cycle_num")), ids=["A19", "A20", "S8"])
@@ -170,30 +170,30 @@ def q_log(spark, sf):
 # ------------------------------------------------------------------ scans
 @register("read_cycles_core", "doe_number:s, instance_number:s, cycle:i, cycling_substate:s, energy:d, "
           "energy_rest:d, time:d, mean_mean_voltage:d, dcir:d, min_temp:d",
-          W(ad.CYCLOID_SQL) + """
+          W(ad.CYCLE_SQL) + """
 SELECT doe_number, instance_number, cycle, cycling_substate, energy, energy_rest, time, mean_mean_voltage, dcir, min_temp
-FROM cycloid WHERE doe_number = 'N' AND cycle <> 0 AND cycle IN (1, 2, 3, 5, 8, 13, 21, 34)
+FROM cyc WHERE doe_number = 'N' AND cycle <> 0 AND cycle IN (1, 2, 3, 5, 8, 13, 21, 34)
   AND (cycling_substate IN ('CHARGE', 'DCIR') AND cycle BETWEEN 2 AND 30)""", ids=["S1", "P1", "P2", "P3", "P12"])
 def q_read_core(spark, sf):
     from packspark.sources.cycles import read_cycles
-    return read_cycles(spark, ad.cycloid_view(spark, sf), doe="N", cycles=[1, 2, 3, 5, 8, 13, 21, 34], columns="core",
+    return read_cycles(spark, ad.cycle_view(spark, sf), doe="N", cycles=[1, 2, 3, 5, 8, 13, 21, 34], columns="core",
                        where="cycling_substate IN ('CHARGE', 'DCIR') AND cycle BETWEEN 2 AND 30")
 
 
 @register("custom_sql_scan", "doe_number:s, instance_number:s, cycle:i, energy:d",
-          W(ad.CYCLOID_SQL) + """
-SELECT doe_number, instance_number, cycle, energy FROM cycloid WHERE cycling_substate = 'DISCHARGE' AND cycle < 10""",
+          W(ad.CYCLE_SQL) + """
+SELECT doe_number, instance_number, cycle, energy FROM cyc WHERE cycling_substate = 'DISCHARGE' AND cycle < 10""",
           ids=["S2"])
 def q_custom_sql(spark, sf):
     from packspark.sources.cycles import read_sql
-    ad.cycloid_view(spark, sf).createOrReplaceTempView("packspark_cycloid")
-    return read_sql(spark, "SELECT doe_number, instance_number, cycle, energy FROM packspark_cycloid "
+    ad.cycle_view(spark, sf).createOrReplaceTempView("packspark_cycles")
+    return read_sql(spark, "SELECT doe_number, instance_number, cycle, energy FROM packspark_cycles "
                            "WHERE cycling_substate = 'DISCHARGE' AND cycle < 10")
 
 
 @register("instance_order", "doe:s, instance:s, position:i",
-          W(ad.ROVER_SQL, "ids AS (SELECT DISTINCT doe, 'p' || instance AS instance FROM rover "
-                          "UNION SELECT DISTINCT doe, instance FROM rover)") + """
+          W(ad.SERIES_SQL, "ids AS (SELECT DISTINCT doe, 'p' || instance AS instance FROM samples "
+                          "UNION SELECT DISTINCT doe, instance FROM samples)") + """
 SELECT doe, instance,
        CAST(row_number() OVER (PARTITION BY doe ORDER BY TRY_CAST(instance AS BIGINT) NULLS LAST, instance) AS INTEGER)
          AS position
@@ -201,22 +201,22 @@ FROM ids""", ids=["S4", "F10", "O1", "A20"])
 def q_instance_order(spark, sf):
     from packspark.schema import instance_sort_cols
     from pyspark.sql import Window
-    r = ad.rover_view(spark, sf).select("doe", "instance")
+    r = ad.series_view(spark, sf).select("doe", "instance")
     ids = r.select("doe", F.concat(F.lit("p"), "instance").alias("instance")).union(r).distinct()
     w = Window.partitionBy("doe").orderBy(*instance_sort_cols("instance"))
     return ids.withColumn("position", F.row_number().over(w))
 
 
 @register("state_labels", "cycling_substate:s, state_label:s, metric_label:s, n:l",
-          W(ad.CYCLOID_SQL) + """
+          W(ad.CYCLE_SQL) + """
 SELECT cycling_substate,
   list_aggregate(list_transform(string_split(lower(replace(cycling_substate, '_', ' ')), ' '),
                                 lambda w: upper(w[1]) || w[2:]), 'string_agg', ' ') AS state_label,
   'Max Temp' AS metric_label, count(*) AS n
-FROM cycloid GROUP BY cycling_substate""", ids=["F9"])
+FROM cyc GROUP BY cycling_substate""", ids=["F9"])
 def q_labels(spark, sf):
     from packspark.functions.columns import title_label
-    c = ad.cycloid_view(spark, sf)
+    c = ad.cycle_view(spark, sf)
     return (c.groupBy("cycling_substate").agg(F.count(F.lit(1)).alias("n"))
             .withColumn("state_label", title_label("cycling_substate"))
             .withColumn("metric_label", title_label(F.lit("max_temp"))))

@@ -20,11 +20,11 @@ def steps_ctes(cc_end: str, thr: float, window: int, k: float, min_len: float |
     p = prefix
     if cc_end == "state":
         cc = f"min(CASE WHEN cccv_state = 2 THEN elapsed_minutes END) OVER (PARTITION BY {S})"
-        base = f"{p}_s0 AS (SELECT * FROM rover WHERE charging_state_name = 'CHARGE')"
+        base = f"{p}_s0 AS (SELECT * FROM samples WHERE charging_state_name = 'CHARGE')"
     else:
         hi = ("coalesce(greatest(cell1_voltage_v, cell2_voltage_v, cell3_voltage_v, cell4_voltage_v, cell5_voltage_v)"
               f" >= {lit(4.2)}, false)")
-        base = (f"{p}_h AS (SELECT *, {hi} AS hi FROM rover WHERE charging_state_name = 'CHARGE'),\n"
+        base = (f"{p}_h AS (SELECT *, {hi} AS hi FROM samples WHERE charging_state_name = 'CHARGE'),\n"
                 f"{p}_s0 AS (SELECT *, row_number() OVER (PARTITION BY {S}, hi ORDER BY {ORD}) AS hrk FROM {p}_h)")
         cc = f"max(CASE WHEN hi AND hrk <= 50 THEN elapsed_minutes END) OVER (PARTITION BY {S})"
     fv = f"OVER (PARTITION BY {S} ORDER BY {ORD} ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)"
@@ -92,25 +92,25 @@ def steps_ctes(cc_end: str, thr: float, window: int, k: float, min_len: float |
 
 
 @register("charge_steps_state", STEP_COLS,
-          W(ad.ROVER_SQL, steps_ctes("state", 1.0, 200, 3.0, 0.2)) + "\nSELECT * FROM st_f",
+          W(ad.SERIES_SQL, steps_ctes("state", 1.0, 200, 3.0, 0.2)) + "\nSELECT * FROM st_f",
           ids=["T22", "T23", "W10", "W9", "W13", "W14", "J6", "U2", "P18", "A22"])
 def q_steps_state(spark, sf):
-    return stp.charge_steps_state(ad.rover_view(spark, sf))
+    return stp.charge_steps_state(ad.series_view(spark, sf))
 
 
 @register("charge_steps_voltage", STEP_COLS,
-          W(ad.ROVER_SQL, steps_ctes("cell_voltage", 0.6, 300, 3.0, None)) + "\nSELECT * FROM st",
+          W(ad.SERIES_SQL, steps_ctes("cell_voltage", 0.6, 300, 3.0, None)) + "\nSELECT * FROM st",
           ids=["T21", "T23", "W12", "W10", "J6", "U2"])
 def q_steps_voltage(spark, sf):
-    return stp.charge_steps_voltage(ad.rover_view(spark, sf))
+    return stp.charge_steps_voltage(ad.series_view(spark, sf))
 
 
 @register("step_reconcile", "doe:s, instance:s, cycle_num:i, charging_state_name:s, charge_time_steps:d, "
-          "charge_time:d, difference:d", W(ad.ROVER_SQL, steps_ctes("state", 1.0, 200, 3.0, 0.2)) + f""",
+          "charge_time:d, difference:d", W(ad.SERIES_SQL, steps_ctes("state", 1.0, 200, 3.0, 0.2)) + f""",
 tot AS (SELECT {S}, sum(step_time_length_min) AS charge_time_steps FROM st_f GROUP BY {S}),
-raw AS (SELECT {S}, max(elapsed_minutes) AS charge_time FROM rover WHERE charging_state_name = 'CHARGE' GROUP BY {S})
+raw AS (SELECT {S}, max(elapsed_minutes) AS charge_time FROM samples WHERE charging_state_name = 'CHARGE' GROUP BY {S})
 SELECT tot.*, raw.charge_time, tot.charge_time_steps - raw.charge_time AS difference
 FROM tot JOIN raw USING (doe, instance, cycle_num, charging_state_name)""", ids=["T24", "A22", "E12"])
 def q_reconcile(spark, sf):
-    r = ad.rover_view(spark, sf)
+    r = ad.series_view(spark, sf)
     return stp.step_reconcile(stp.charge_steps_state(r), r)

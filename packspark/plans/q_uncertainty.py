@@ -31,7 +31,7 @@ cb0 AS (
   SELECT doe, instance, cycle_num, sample_id, elapsed_minutes, avg_current_a,
          CASE WHEN avg_current_a <= {lit(-3.0)} THEN {lit(1.0)} WHEN avg_current_a <= {lit(-1.5)} THEN {lit(1.5)}
               WHEN avg_current_a <= {lit(-1.0)} THEN {lit(2.0)} WHEN avg_current_a <= {lit(0.0)} THEN {lit(8.0)} END AS error_pc
-  FROM rover WHERE charging_state_name = 'CHARGE' AND avg_current_a IS NOT NULL),
+  FROM samples WHERE charging_state_name = 'CHARGE' AND avg_current_a IS NOT NULL),
 cb1 AS (
   SELECT *, avg_current_a * (1.0::DOUBLE + error_pc * 0.01::DOUBLE) + 0.0::DOUBLE AS avg_current_a_lower_bound,
          avg_current_a * (1.0::DOUBLE - error_pc * 0.01::DOUBLE) - 0.0::DOUBLE AS avg_current_a_upper_bound,
@@ -55,20 +55,20 @@ kept AS (SELECT * FROM cbounds WHERE cycle_num NOT IN (SELECT cycle_num FROM bad
 
 
 def _bounds(spark, sf):
-    return un.capacity_bounds(ad.rover_view(spark, sf))
+    return un.capacity_bounds(ad.series_view(spark, sf))
 
 
 def _kept(spark, sf):
     return un.drop_outlier_cycles(_bounds(spark, sf), "capacity", 3.0)
 
 
-@register("capacity_bounds", CB_COLS, W(ad.ROVER_SQL, CB_CTES) + "\nSELECT * FROM cbounds",
+@register("capacity_bounds", CB_COLS, W(ad.SERIES_SQL, CB_CTES) + "\nSELECT * FROM cbounds",
           ids=["T16", "F1", "F2", "W6", "W8", "P8", "P10"])
 def q_bounds(spark, sf):
     return _bounds(spark, sf)
 
 
-@register("drop_outlier_cycles", CB_COLS, W(ad.ROVER_SQL, KEPT_CTES) + "\nSELECT * FROM kept",
+@register("drop_outlier_cycles", CB_COLS, W(ad.SERIES_SQL, KEPT_CTES) + "\nSELECT * FROM kept",
           ids=["T17", "A11", "A12", "P14", "J4"])
 def q_drop(spark, sf):
     return _kept(spark, sf)
@@ -80,7 +80,7 @@ def _pct(expr: str) -> str:
 
 @register("capacity_uncertainty", SER_COLS + ", capacity:d, capacity_lower_bound:d, capacity_upper_bound:d, "
           "capacity_lower_bound_pc:s, capacity_upper_bound_pc:s, capacity_uncertainty_pc:s",
-          W(ad.ROVER_SQL, KEPT_CTES) + f""",
+          W(ad.SERIES_SQL, KEPT_CTES) + f""",
 cu0 AS (SELECT {SER}, max(capacity) AS capacity, max(capacity_lower_bound) AS capacity_lower_bound,
                max(capacity_upper_bound) AS capacity_upper_bound FROM kept GROUP BY {SER}),
 cu1 AS (SELECT *, median(capacity) OVER (PARTITION BY doe, instance) AS md,
@@ -101,8 +101,8 @@ _CUT = -0.5 * _U
 
 @register("time_uncertainty", SER_COLS + ", charge_time:d, charge_time_lower_bound:d, avg_current_below_delta_time:d, "
           "avg_current_a_cut_off:d, avg_current_lower_bound:d, charge_time_uncertainty:s",
-          W(ad.ROVER_SQL, f"""
-tu0 AS (SELECT * FROM rover WHERE charging_state_name = 'CHARGE' AND avg_current_a IS NOT NULL AND cccv_state = 2),
+          W(ad.SERIES_SQL, f"""
+tu0 AS (SELECT * FROM samples WHERE charging_state_name = 'CHARGE' AND avg_current_a IS NOT NULL AND cccv_state = 2),
 tu1 AS (SELECT *, max(elapsed_minutes) OVER s AS tmax, max(avg_current_a) OVER s AS imax FROM tu0
         WINDOW s AS (PARTITION BY {SER})),
 ts AS (SELECT {SER}, arg_min(elapsed_minutes, (abs(avg_current_a - {lit(_CUT)}), elapsed_minutes, sample_id)) AS tstar
@@ -118,7 +118,7 @@ SELECT *, {lit(-0.5)} AS avg_current_a_cut_off, {lit(_CUT)} AS avg_current_lower
   {_pct('(charge_time - charge_time_lower_bound) * 200.0 / nullif(charge_time, 0)')} AS charge_time_uncertainty
 FROM tu3""", ids=["T19", "J7", "O5", "F3"])
 def q_time_unc(spark, sf):
-    return un.time_uncertainty(ad.rover_view(spark, sf), -0.5, 8.0)
+    return un.time_uncertainty(ad.series_view(spark, sf), -0.5, 8.0)
 
 
 def _rank_cols():
@@ -135,7 +135,7 @@ def _span(name, c):
 
 
 @register("regime_breakdown", SER_COLS + ", error_pc:d, time_min:d, capacity_upper:d, capacity:d, capacity_lower:d, "
-          "time_pc:d, capacity_pc:d", W(ad.ROVER_SQL, KEPT_CTES) + f""",
+          "time_pc:d, capacity_pc:d", W(ad.SERIES_SQL, KEPT_CTES) + f""",
 rb0 AS (SELECT *, {_rank_cols()} FROM kept WHERE error_pc IS NOT NULL),
 rb1 AS (SELECT {SER}, error_pc, {', '.join(_span(n, c) for n, c in un.REGIME_COLS.items())}
         FROM rb0 GROUP BY {SER}, error_pc)

@@ -27,40 +27,40 @@ FROM {src} GROUP BY {h}, {x}"""
 
 
 DCIR_SQL = """dcir_t AS (
-  SELECT doe_number, instance_number, cycle, round_even(dcir * 1000.0, 1) AS dcir FROM cycloid WHERE dcir IS NOT NULL)"""
+  SELECT doe_number, instance_number, cycle, round_even(dcir * 1000.0, 1) AS dcir FROM cyc WHERE dcir IS NOT NULL)"""
 
 
-@register("dcir_table", KC + ", cycle:i, dcir:d", W(ad.CYCLOID_SQL, DCIR_SQL) + "\nSELECT * FROM dcir_t",
+@register("dcir_table", KC + ", cycle:i, dcir:d", W(ad.CYCLE_SQL, DCIR_SQL) + "\nSELECT * FROM dcir_t",
           ids=["T5", "P21", "P10", "F4"])
 def q_dcir(spark, sf):
-    return vo.dcir_table(ad.cycloid_view(spark, sf))
+    return vo.dcir_table(ad.cycle_view(spark, sf))
 
 
 @register("dcir_series", "doe_number:s, cycle:i, " + CI_COLS,
-          W(ad.CYCLOID_SQL, DCIR_SQL) + mean_ci_sql("dcir_t", "cycle", "dcir", ["doe_number"]), ids=["T9", "A26"])
+          W(ad.CYCLE_SQL, DCIR_SQL) + mean_ci_sql("dcir_t", "cycle", "dcir", ["doe_number"]), ids=["T9", "A26"])
 def q_dcir_series(spark, sf):
-    return vo.dcir_series(ad.cycloid_view(spark, sf), hue="doe_number")
+    return vo.dcir_series(ad.cycle_view(spark, sf), hue="doe_number")
 
 
-@register("mean_voltage_series", "doe_number:s, cycle:i, " + CI_COLS, W(ad.CYCLOID_SQL, f"""
+@register("mean_voltage_series", "doe_number:s, cycle:i, " + CI_COLS, W(ad.CYCLE_SQL, f"""
 mv AS (SELECT doe_number, cycle, {w1('mean_mean_voltage', K, 'cycle', 5, 0.2)} AS mean_mean_voltage
-       FROM cycloid WHERE cycling_substate = 'CHARGE')""") + mean_ci_sql("mv", "cycle", "mean_mean_voltage", ["doe_number"]),
+       FROM cyc WHERE cycling_substate = 'CHARGE')""") + mean_ci_sql("mv", "cycle", "mean_mean_voltage", ["doe_number"]),
           ids=["T10", "A26", "P8", "E3"])
 def q_mean_voltage(spark, sf):
-    return vo.mean_voltage_series(ad.cycloid_view(spark, sf), hue="doe_number", raw_data=False)
+    return vo.mean_voltage_series(ad.cycle_view(spark, sf), hue="doe_number", raw_data=False)
 
 
 METRICS = ("avg_current_a", "avg_voltage_v", "avail_battery_capacity_ah")
 
 
-@register("rover_metrics", "doe_instance:s, elapsed_minutes:d, sample_id:l, metric:s, value:d",
-          W(ad.ROVER_SQL, """ch AS (SELECT doe || '_' || instance AS doe_instance, elapsed_minutes, sample_id,
+@register("series_metrics", "doe_instance:s, elapsed_minutes:d, sample_id:l, metric:s, value:d",
+          W(ad.SERIES_SQL, """ch AS (SELECT doe || '_' || instance AS doe_instance, elapsed_minutes, sample_id,
                                      abs(avg_current_a) AS avg_current_a, avg_voltage_v, avail_battery_capacity_ah
-                              FROM rover WHERE charging_state_name = 'CHARGE')""") + "\n" + "\nUNION ALL\n".join(
+                              FROM samples WHERE charging_state_name = 'CHARGE')""") + "\n" + "\nUNION ALL\n".join(
               f"SELECT doe_instance, elapsed_minutes, sample_id, '{m}' AS metric, {m} AS value FROM ch" for m in METRICS),
           ids=["T11", "P22", "F7", "P16"])
-def q_rover_metrics(spark, sf):
-    return vo.rover_metrics(ad.rover_view(spark, sf), METRICS)
+def q_series_metrics(spark, sf):
+    return vo.series_metrics(ad.series_view(spark, sf), METRICS)
 
 
 def _cell_case(i):
@@ -71,7 +71,7 @@ def _cell_case(i):
 CELLS = [f"cell{i}_voltage_v" for i in range(1, 6)]
 STATE_CELLS_SQL = f"""sc AS (
   SELECT doe_number, instance_number, cycling_substate, cycle, {', '.join(_cell_case(i) for i in range(1, 6))}
-  FROM cycloid WHERE cycling_substate IN ('CHARGE', 'CHARGE REST', 'DISCHARGE', 'DISCHARGE REST'))"""
+  FROM cyc WHERE cycling_substate IN ('CHARGE', 'CHARGE REST', 'DISCHARGE', 'DISCHARGE REST'))"""
 
 
 def cell_std_ctes():
@@ -88,30 +88,30 @@ cellstd AS (SELECT * EXCLUDE (m), round_even(sqrt(({ss}) / 4.0) * 1000.0, 0) AS
 CELL_COLS = KC + ", cycling_substate:s, cycle:i, " + ", ".join(f"{c}:d" for c in CELLS)
 
 
-@register("cell_voltage_std", CELL_COLS + ", std_mv:d", W(ad.CYCLOID_SQL, cell_std_ctes()) + "\nSELECT * FROM cellstd",
+@register("cell_voltage_std", CELL_COLS + ", std_mv:d", W(ad.CYCLE_SQL, cell_std_ctes()) + "\nSELECT * FROM cellstd",
           ids=["T6", "X2", "X3", "A9", "P9", "P10"])
 def q_cell_std(spark, sf):
-    return vo.cell_voltage_std(ad.cycloid_view(spark, sf))
+    return vo.cell_voltage_std(ad.cycle_view(spark, sf))
 
 
 @register("cell_std_series", "cycling_substate:s, cycle:i, " + CI_COLS,
-          W(ad.CYCLOID_SQL, cell_std_ctes()) + mean_ci_sql("cellstd", "cycle", "std_mv", ["cycling_substate"]),
+          W(ad.CYCLE_SQL, cell_std_ctes()) + mean_ci_sql("cellstd", "cycle", "std_mv", ["cycling_substate"]),
           ids=["T12", "A26"])
 def q_cell_std_series(spark, sf):
-    return vo.cell_std_series(ad.cycloid_view(spark, sf))
+    return vo.cell_std_series(ad.cycle_view(spark, sf))
 
 
 @register("row_modulo_filter", "cycling_substate:s, cycle:i, " + CI_COLS,
-          W(ad.CYCLOID_SQL.replace("FROM cyc_base)", "FROM cyc_base WHERE cycle BETWEEN 1 AND 350 AND cycle % 10 <> 0)"),
+          W(ad.CYCLE_SQL.replace("FROM cyc_base)", "FROM cyc_base WHERE cycle BETWEEN 1 AND 350 AND cycle % 10 <> 0)"),
             cell_std_ctes()) + mean_ci_sql("cellstd", "cycle", "std_mv", ["cycling_substate"]),
           ids=["P11", "E5", "T12"])
 def q_modulo(spark, sf):
-    c = fl.cycle_window_filter(ad.cycloid_view(spark, sf), 1, 350, skip_every=10)
+    c = fl.cycle_window_filter(ad.cycle_view(spark, sf), 1, 350, skip_every=10)
     return vo.cell_std_series(c)
 
 
 @register("cell_voltage_long", KC + ", cycling_substate:s, cycle:i, cell:s, voltage:d",
-          W(ad.CYCLOID_SQL, STATE_CELLS_SQL, "lng AS (" + " UNION ALL ".join(
+          W(ad.CYCLE_SQL, STATE_CELLS_SQL, "lng AS (" + " UNION ALL ".join(
               f"SELECT doe_number, instance_number, cycling_substate, cycle, 'cell{i}' AS cell, cell{i}_voltage_v AS voltage "
               f"FROM sc WHERE {' AND '.join(c + ' IS NOT NULL' for c in CELLS)} AND cycle IS NOT NULL"
               for i in range(1, 6)) + ")") + f"""
@@ -119,31 +119,31 @@ SELECT doe_number, instance_number, cycling_substate, cycle, cell,
        {w1('voltage', K + ', cycling_substate, cell', 'cycle', 5, 0.1)} AS voltage
 FROM lng""", ids=["T13", "X1", "F6", "P19", "E4"])
 def q_cell_long(spark, sf):
-    return vo.cell_voltage_long(ad.cycloid_view(spark, sf), raw_data=False)
+    return vo.cell_voltage_long(ad.cycle_view(spark, sf), raw_data=False)
 
 
 POL = [f"cell{i}_delta_voltage" for i in range(1, 6)] + ["pack_delta_voltage"]
 POL_SQL = "pol AS (SELECT doe_number, instance_number, cycle, cycling_substate, " + ", ".join(
     [f"max_cell{i}_voltage_v - min_cell{i}_voltage_v AS cell{i}_delta_voltage" for i in range(1, 6)]
     + ["max_rest_voltage_v - min_rest_voltage_v AS pack_delta_voltage"]) + \
-    " FROM cycloid WHERE cycling_substate IN ('CHARGE REST', 'DISCHARGE REST'))"
+    " FROM cyc WHERE cycling_substate IN ('CHARGE REST', 'DISCHARGE REST'))"
 POL_COLS = KC + ", cycle:i, cycling_substate:s, " + ", ".join(f"{c}:d" for c in POL)
 
 
-@register("polarization", POL_COLS, W(ad.CYCLOID_SQL, POL_SQL) + "\nSELECT * FROM pol", ids=["T7", "A10", "P9"])
+@register("polarization", POL_COLS, W(ad.CYCLE_SQL, POL_SQL) + "\nSELECT * FROM pol", ids=["T7", "A10", "P9"])
 def q_pol(spark, sf):
-    return vo.polarization(ad.cycloid_view(spark, sf))
+    return vo.polarization(ad.cycle_view(spark, sf))
 
 
-@register("polarization_clean", POL_COLS, W(ad.CYCLOID_SQL, POL_SQL) + "\nSELECT doe_number, instance_number, cycle, "
+@register("polarization_clean", POL_COLS, W(ad.CYCLE_SQL, POL_SQL) + "\nSELECT doe_number, instance_number, cycle, "
           "cycling_substate, " + ", ".join(f"{w1(c, K + ', cycling_substate', 'cycle', 5, 0.1)} AS {c}" for c in POL)
           + " FROM pol", ids=["T8", "W2"])
 def q_pol_clean(spark, sf):
-    return vo.polarization_clean(ad.cycloid_view(spark, sf))
+    return vo.polarization_clean(ad.cycle_view(spark, sf))
 
 
-@register("temperature_series", "cycling_substate:s, doe_number:s, cycle:i, " + CI_COLS, W(ad.CYCLOID_SQL, f"""
-t0 AS (SELECT doe_number, instance_number, cycling_substate, cycle, max_temp FROM cycloid
+@register("temperature_series", "cycling_substate:s, doe_number:s, cycle:i, " + CI_COLS, W(ad.CYCLE_SQL, f"""
+t0 AS (SELECT doe_number, instance_number, cycling_substate, cycle, max_temp FROM cyc
        WHERE cycling_substate IN ('CHARGE', 'CHARGE REST', 'DISCHARGE', 'DISCHARGE REST') AND max_temp IS NOT NULL)""",
             "tm AS (SELECT cycling_substate, median(max_temp) AS emd FROM t0 WHERE cycle < 5 GROUP BY cycling_substate)",
             """t1 AS (SELECT t0.doe_number, t0.instance_number, t0.cycling_substate, t0.cycle,
@@ -154,14 +154,14 @@ t0 AS (SELECT doe_number, instance_number, cycling_substate, cycle, max_temp FRO
           + mean_ci_sql("t2", "cycle", "max_temp", ["cycling_substate", "doe_number"]),
           ids=["T14", "P17", "A26", "E7"])
 def q_temperature(spark, sf):
-    return vo.temperature_series(ad.cycloid_view(spark, sf), hue="doe_number")
+    return vo.temperature_series(ad.cycle_view(spark, sf), hue="doe_number")
 
 
 @register("histogram_probability", "doe_number:s, bin:i, count:l, bin_low:d, probability:d",
-          W(ad.CYCLOID_SQL, DCIR_SQL, f"""
+          W(ad.CYCLE_SQL, DCIR_SQL, f"""
 hb AS (SELECT doe_number, CAST(floor((dcir - {lit(30.0)}) / {lit(0.5)}) AS INTEGER) AS bin, count(*) AS count
        FROM dcir_t WHERE dcir IS NOT NULL GROUP BY ALL)""") + f"""
 SELECT doe_number, bin, count, {lit(30.0)} + bin * {lit(0.5)} AS bin_low,
        count / sum(count) OVER (PARTITION BY doe_number) AS probability FROM hb""", ids=["A24"])
 def q_hist(spark, sf):
-    return stt.histogram(vo.dcir_table(ad.cycloid_view(spark, sf)), "dcir", 30.0, 0.5, by=["doe_number"])
+    return stt.histogram(vo.dcir_table(ad.cycle_view(spark, sf)), "dcir", 30.0, 0.5, by=["doe_number"])

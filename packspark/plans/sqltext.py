@@ -33,7 +33,7 @@ def z_table() -> str:
     return "[" + ", ".join("[" + ", ".join(f"{z!r}::DOUBLE" for z in r) + "]" for r in rows) + "]"
 
 
-def raw_energy_cte(src: str = "cycloid", name: str = "e_raw") -> str:
+def raw_energy_cte(src: str = "cyc", name: str = "e_raw") -> str:
     return f"""
 {name} AS (
   SELECT doe_number, instance_number, cycle,
@@ -64,7 +64,7 @@ def early_cte(src: str = "e_raw", name: str = "e_adj") -> str:
   FROM {name}_1)"""
 
 
-def discharge_energy_ctes(window: int = 7, k: float = 0.1, src: str = "cycloid", name: str = "energy") -> str:
+def discharge_energy_ctes(window: int = 7, k: float = 0.1, src: str = "cyc", name: str = "energy") -> str:
     return f"""{raw_energy_cte(src, name + '_r')},
 {early_cte(name + '_r', name + '_a')},
 {name}_c1 AS (

@@ -7,12 +7,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 # The two naming dialects for the same keys.
-CYCLOID_KEYS = ("doe_number", "instance_number")
-CYCLOID_ORDER = "cycle"
-CYCLOID_STATE = "cycling_substate"
-ROVER_KEYS = ("doe", "instance", "cycle_num", "charging_state_name")
-ROVER_ORDER = "elapsed_minutes"
-CYCLOID_TO_ROVER = {
+CYCLE_KEYS = ("doe_number", "instance_number")
+CYCLE_ORDER = "cycle"
+CYCLE_STATE = "cycling_substate"
+SERIES_KEYS = ("doe", "instance", "cycle_num", "charging_state_name")
+SERIES_ORDER = "elapsed_minutes"
+CYCLE_TO_SERIES = {
     "doe_number": "doe",
     "instance_number": "instance",
     "cycle": "cycle_num",
@@ -70,6 +70,6 @@ def nan_to_null(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
     return df.withColumns({c: F.nanvl(F.col(c), F.lit(None).cast(T.DoubleType())) for c in dbl})
 
 
-def rename_cycloid_to_rover(df: DataFrame) -> DataFrame:
-    present = {k: v for k, v in CYCLOID_TO_ROVER.items() if k in df.columns}
+def rename_cycle_to_series(df: DataFrame) -> DataFrame:
+    present = {k: v for k, v in CYCLE_TO_SERIES.items() if k in df.columns}
     return df.withColumnsRenamed(present)

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from packspark.schema import nan_to_null, rename_cycloid_to_rover
+from packspark.schema import nan_to_null, rename_cycle_to_series
 
 
 def read_csv(spark: SparkSession, path: str, columns: Sequence[str] | None = None,
@@ -31,7 +31,7 @@ def read_data(spark: SparkSession, data: str | DataFrame, schema: T.StructType |
         df = spark.read.parquet(data)
     else:
         raise ValueError("the data file extension should be .csv or .parquet")
-    return rename_cycloid_to_rover(df)
+    return rename_cycle_to_series(df)
 
 
 def content_summary(df: DataFrame, cols: Sequence[str] = ("doe", "instance", "cycle_num")) -> DataFrame:

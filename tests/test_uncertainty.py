@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 from packspark.functions.columns import bin_right_closed, pct_text
 from packspark.operators import uncertainty as un
 
-ROVER = ("doe string, instance string, cycle_num int, charging_state_name string, sample_id long, "
+SAMPLE_COLS = ("doe string, instance string, cycle_num int, charging_state_name string, sample_id long, "
          "elapsed_minutes double, cccv_state int, avg_current_a double")
 
 
@@ -42,7 +42,7 @@ def _charge(spark):
         for t in range(90):
             cur = -4.0 if t < 30 else (-1.2 if t < 60 else -0.6 + 0.005 * (t - 60))
             rows.append(("D", str(s), 1 + s, "CHARGE", s * 100 + t, float(t), 2 if t >= 60 else 1, cur))
-    return spark.createDataFrame(rows, ROVER)
+    return spark.createDataFrame(rows, SAMPLE_COLS)
 
 
 def test_bounds_bracket_capacity_and_shares_sum(spark):
@@ -67,7 +67,7 @@ def test_drop_outlier_cycles_scopes(spark):
         for t in range(5):
             cur = -1.0 if s != 7 else -9.0
             rows.append(("D", str(s), s % 4, "CHARGE", s * 10 + t, float(t), 1, cur))
-    b = un.capacity_bounds(spark.createDataFrame(rows, ROVER))
+    b = un.capacity_bounds(spark.createDataFrame(rows, SAMPLE_COLS))
     kept_all = un.drop_outlier_cycles(b, sigma_multiplier=2.0).select("instance").distinct().toPandas()
     kept_series = un.drop_outlier_cycles(b, sigma_multiplier=2.0, scope="series").select("instance").distinct().toPandas()
     assert sorted(kept_all.instance) == ["0", "1", "2", "4", "5", "6"]     # cycle 3 dropped everywhere
