@@ -75,7 +75,8 @@ def early_cycle_adjust(df: DataFrame, value: str = "raw_discharge_energy",
     return d.drop("_ps_pct", "_ps_i", "_ps_n", "_ps_md", "_ps_hit")
 
 
-def cycle_band(e: DataFrame, value: str, by: Sequence[str], method: str = "auto") -> DataFrame:
+def cycle_band(e: DataFrame, value: str, by: Sequence[str], method: str = "auto",
+               checkpoint: bool = True) -> DataFrame:
     """Adds ``mean_energy`` (median of ``value``) and ``std_energy`` (ddof=1) per ``by`` group.
 
     ``'window'``: one window per group (a group is handled by one task; single pass).
@@ -92,6 +93,11 @@ def cycle_band(e: DataFrame, value: str, by: Sequence[str], method: str = "auto"
         w = Window.partitionBy(*by)
         return e.withColumn("mean_energy", F.median(value).over(w)).withColumn("std_energy", F.stddev_samp(value).over(w))
     from packspark.operators.median import group_median
+    if checkpoint:
+        # the intermediate is read by three branches; a reliable checkpoint in the shared
+        # checkpoint folder keeps them from recomputing the whole window lineage
+        from packspark.session import cut_lineage
+        e = cut_lineage(e)
     stats = (e.groupBy(*by).agg(F.stddev_samp(value).alias("std_energy"))
              .join(group_median(e, value, by, out="mean_energy"), on=by, how="left"))
     return e.join(stats, on=by, how="left")

@@ -41,3 +41,16 @@ def export(df: DataFrame, path: str, fmt: str = "csv", mode: str = "overwrite")
         w.option("header", True).csv(path)
     else:
         w.format(fmt).save(path)
+
+
+def load_file_to_table(spark: SparkSession, path: str, table: str, database: str | None = None,
+                       if_exists: str = "replace", schema=None) -> str:
+    """Load a CSV or parquet file into a catalog table (database created when absent)."""
+    if path.endswith(".csv"):
+        r = spark.read.option("header", True)
+        df = (r.schema(schema) if schema is not None else r.option("inferSchema", True)).csv(path)
+    elif path.endswith(".parquet"):
+        df = spark.read.parquet(path)
+    else:
+        raise ValueError("the data file extension should be .csv or .parquet")
+    return write_table(df, table, database=database, if_exists=if_exists)

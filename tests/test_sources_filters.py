@@ -56,6 +56,13 @@ def test_table_sink_replace_append(spark):
     out = os.path.join(wh, "export")
     sinks.export(df, out, fmt="csv")
     assert spark.read.option("header", True).csv(out).count() == 1
+    csv = os.path.join(wh, "in.csv")
+    with open(csv, "w") as f:
+        f.write("id,s\n1,a\n2,b\n")
+    sinks.load_file_to_table(spark, csv, "t2", database=db)
+    assert spark.table(f"{db}.t2").count() == 2
+    with pytest.raises(ValueError):
+        sinks.load_file_to_table(spark, os.path.join(wh, "in.xlsx"), "t3", database=db)
 
 
 def test_read_cycles_pushes_filters_and_prunes(spark):
