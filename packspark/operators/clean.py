@@ -55,7 +55,7 @@ def outlier_replace_expr(value: str, md: Column, sd: Column, sigma_multiplier: f
 def rolling_outlier_replace(df: DataFrame, value: str | Sequence[str], keys: Sequence[str], order,
                             window: int = 5, sigma_multiplier: float = 0.1,
                             out: str | Sequence[str] | None = None, method: str = "auto",
-                            block_rows: int | None = None) -> DataFrame:
+                            block_rows: int | None = None, position_method: str = "auto") -> DataFrame:
     """Rolling outlier replacement of one or more columns, per series.
 
     ``md``/``sd`` come from the original series (not recursive).  ``method``:
@@ -63,6 +63,8 @@ def rolling_outlier_replace(df: DataFrame, value: str | Sequence[str], keys: Seq
     ``'blocked'`` – rows numbered per series, cut into blocks of ``block_rows`` plus a
     ``window-1`` halo from the previous block, and each bounded block cleaned with a
     vectorised rolling median in an Arrow batch; ``'auto'`` picks by window width.
+    ``position_method`` (blocked only): ``'window'``, ``'range'`` or ``'auto'`` (size-checked),
+    see ``ordering.series_position``; ``'range'`` lets one huge series use many tasks.
     """
     values = _as_list(value)
     outs = _as_list(out) or values
@@ -81,14 +83,18 @@ def rolling_outlier_replace(df: DataFrame, value: str | Sequence[str], keys: Seq
             cols[o] = outlier_replace_expr(v, md, sd, sigma_multiplier)
         return df.withColumns(cols)
     if method == "blocked":
-        return _blocked_rolling(df, values, outs, keys, order, window, sigma_multiplier, block_rows)
+        return _blocked_rolling(df, values, outs, keys, order, window, sigma_multiplier, block_rows,
+                                position_method=position_method)
     raise ValueError(f"unknown method {method!r}")
 
 
-def _blocked_rolling(df, values, outs, keys, order, window, k, block_rows, spread_blocks=True):
+def _blocked_rolling(df, values, outs, keys, order, window, k, block_rows, spread_blocks=True,
+                     position_method="auto"):
     """Blocked rolling filter.
 
-    Rows are numbered per series (one sort per series), cut into blocks of ``b`` rows and
+    Rows are numbered per series (``position_method``: one sort per series, or range-
+    partitioned so a huge series spans many tasks - see ``ordering.series_position``), cut
+    into blocks of ``b`` rows and
     each block gets the previous ``window-1`` rows as a halo, so every block is cleaned
     on its own.  Blocks are hash-spread over tasks (a very long series is cleaned by many
     tasks), sorted, and streamed through ``mapInPandas``: consecutive rows of a block are
@@ -98,8 +104,8 @@ def _blocked_rolling(df, values, outs, keys, order, window, k, block_rows, sprea
     b = int(block_rows or max(8 * window, 4096))
     if b < window - 1:
         raise ValueError("block_rows must be at least window - 1")
-    idx = F.row_number().over(Window.partitionBy(*keys).orderBy(*_order_cols(order))) - 1
-    d = df.withColumn("_ps_idx", idx.cast("long"))
+    from packspark.operators.ordering import series_position
+    d = series_position(df, keys, order, "_ps_idx", method=position_method)
     blk = F.floor(F.col("_ps_idx") / b)
     in_halo = (F.col("_ps_idx") % b) >= (b - (window - 1)) if window > 1 else F.lit(False)
     d = d.withColumn("_ps_own", blk).withColumn(
@@ -191,13 +197,14 @@ def clamp_early_global(df: DataFrame, value: str, by: Sequence[str], order: str
 
     The median table has one row per ``by`` group (e.g. one per cycling state); it is an
     exact median computed without gathering a group into one task (a state holds a large
-    share of all rows).  It is joined back without a hint: adaptive execution measures
+    share of all rows; ``median.median_table`` picks the method by group size).  It is joined
+    back without a hint: adaptive execution measures
     the materialised table and turns the join into a broadcast only when it is below
     the broadcast threshold, otherwise it stays a shuffle join.
     """
-    from packspark.operators.median import group_median
+    from packspark.operators.median import median_table
     early = F.col(order) < first_n
-    med = group_median(df.where(early), value, list(by), out="_ps_early_md")
+    med = median_table(df.where(early), value, list(by), out="_ps_early_md")
     d = df.join(med, on=list(by), how="left")
     return d.withColumn(value, F.when(early, F.col("_ps_early_md")).otherwise(F.col(value))).drop("_ps_early_md")
 

@@ -88,7 +88,8 @@ def cycle_band(e: DataFrame, value: str, by: Sequence[str], method: str = "auto"
     by = list(by)
     if method == "auto":
         from packspark.operators.median import groups_fit_one_task
-        method = "window" if groups_fit_one_task(e, by) else "distributed"
+        # rows per (test, cycle) group = packs of the test with that cycle
+        method = "window" if groups_fit_one_task(e.select(*by), by) else "distributed"
     if method == "window":
         w = Window.partitionBy(*by)
         return e.withColumn("mean_energy", F.median(value).over(w)).withColumn("std_energy", F.stddev_samp(value).over(w))

@@ -16,6 +16,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from packspark.session import cut_lineage
+
 
 def group_median(df: DataFrame, value: str, by: Sequence[str] = (), out: str = "median",
                  partitions: int | None = None) -> DataFrame:
@@ -26,7 +28,10 @@ def group_median(df: DataFrame, value: str, by: Sequence[str] = (), out: str = "
     if not by:
         x = x.withColumn("_ps_g", F.lit(0))
     n = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    s = x.repartitionByRange(n, *[F.col(k) for k in keys], F.col("_ps_v")).withColumn("_ps_pid", F.spark_partition_id())
+    # materialised once (reliable checkpoint in spark.checkpoint.dir): range bounds come from
+    # sampling, so branches that re-planned the exchange could assign rows differently
+    s = cut_lineage(x.repartitionByRange(n, *[F.col(k) for k in keys], F.col("_ps_v"))
+                    .withColumn("_ps_pid", F.spark_partition_id()))
 
     # cells: (partition, group) -> count, first rank and the group size
     cell = s.groupBy("_ps_pid", *keys).agg(F.count(F.lit(1)).alias("_ps_c"))
@@ -65,3 +70,22 @@ def largest_group(df: DataFrame, by: Sequence[str]) -> int:
 
 def groups_fit_one_task(df: DataFrame, by: Sequence[str], limit: int = MAX_GROUP_ROWS_ONE_TASK) -> bool:
     return largest_group(df, by) <= limit
+
+
+def median_table(df: DataFrame, value: str, by: Sequence[str] = (), out: str = "median",
+                 method: str = "auto") -> DataFrame:
+    """Exact median per group, as a table.
+
+    ``'aggregate'``: ``median`` aggregate (a group's values meet in one task);
+    ``'distributed'``: ``group_median``; ``'auto'``: one partial-aggregated job measures the
+    largest group and picks ``'distributed'`` only when a group does not fit one task.
+    """
+    by = list(by)
+    if method == "auto":
+        sized = df.where(F.col(value).isNotNull())
+        biggest = largest_group(sized, by) if by else sized.count()
+        method = "aggregate" if biggest <= MAX_GROUP_ROWS_ONE_TASK else "distributed"
+    if method == "aggregate":
+        agg = F.median(value).alias(out)
+        return df.groupBy(*by).agg(agg) if by else df.agg(agg)
+    return group_median(df, value, by, out)

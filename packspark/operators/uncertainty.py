@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from packspark.functions.columns import bin_right_closed, pct_text
 from packspark.operators.clean import sigma_band_filter
-from packspark.operators.median import group_median
+from packspark.operators.median import median_table
 
 SERIES = ("doe", "instance", "cycle_num")
 ORDER = ("elapsed_minutes", "sample_id")
@@ -72,7 +72,7 @@ def _band(mx: DataFrame, column: str, sigma_multiplier: float) -> Column:
     The two statistics are scalar subqueries, not a join; the median is exact and is
     computed without gathering all series maxima into one task.
     """
-    md = group_median(mx, column, out="md").select("md").scalar()
+    md = median_table(mx, column, out="md").select("md").scalar()
     sd = mx.agg(F.stddev_samp(column).alias("sd")).select("sd").scalar()
     k = F.lit(float(sigma_multiplier))
     return F.coalesce(F.col(column).between(md - k * sd, md + k * sd), F.lit(False))

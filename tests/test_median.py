@@ -31,3 +31,15 @@ def test_band_methods_agree(spark):
     a = cycle_band(df, "x", ["doe_number", "cycle"], "window").toPandas().sort_values(["instance_number", "cycle"])
     b = cycle_band(df, "x", ["doe_number", "cycle"], "distributed").toPandas().sort_values(["instance_number", "cycle"])
     assert np.allclose(a.mean_energy, b.mean_energy) and np.allclose(a.std_energy, b.std_energy)
+
+
+def test_median_table_methods_agree(spark):
+    from packspark.operators.median import median_table
+    rng = np.random.default_rng(8)
+    rows = [(f"g{i % 3}", float(v)) for i, v in enumerate(rng.normal(0, 1, 500))]
+    df = spark.createDataFrame(rows, "g string, v double")
+    a = median_table(df, "v", ["g"], method="aggregate").toPandas().set_index("g")["median"]
+    b = median_table(df, "v", ["g"], method="distributed").toPandas().set_index("g")["median"]
+    c = median_table(df, "v", ["g"]).toPandas().set_index("g")["median"]
+    assert np.allclose(a.sort_index(), b.sort_index()) and np.allclose(a.sort_index(), c.sort_index())
+    assert median_table(df, "v").collect()[0]["median"] == pytest.approx(float(np.median([r[1] for r in rows])))
