@@ -62,6 +62,21 @@ def group_median(df: DataFrame, value: str, by: Sequence[str] = (), out: str = "
 MAX_GROUP_ROWS_ONE_TASK = 2_000_000
 
 
+# When the optimizer's size estimate of the whole input is below this, no group can be too
+# big for one task and the counting job is skipped (the same statistic that drives the
+# automatic broadcast decision).
+SMALL_INPUT_BYTES = 64 * 1024 * 1024
+
+
+def plan_size_bytes(df: DataFrame) -> int | None:
+    """Optimizer size estimate of ``df`` in bytes, or None when unavailable."""
+    try:
+        v = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
+        return int(v) if isinstance(v, int) else int(v.toString())
+    except Exception:  # noqa: BLE001 - e.g. a remote session without a JVM handle
+        return None
+
+
 def largest_group(df: DataFrame, by: Sequence[str]) -> int:
     """Row count of the largest group (one partial-aggregated job; returns a single number)."""
     r = df.groupBy(*by).count().agg(F.max("count").alias("m")).first()
@@ -69,6 +84,9 @@ def largest_group(df: DataFrame, by: Sequence[str]) -> int:
 
 
 def groups_fit_one_task(df: DataFrame, by: Sequence[str], limit: int = MAX_GROUP_ROWS_ONE_TASK) -> bool:
+    size = plan_size_bytes(df)
+    if size is not None and size <= SMALL_INPUT_BYTES:
+        return True
     return largest_group(df, by) <= limit
 
 
@@ -82,9 +100,13 @@ def median_table(df: DataFrame, value: str, by: Sequence[str] = (), out: str = "
     """
     by = list(by)
     if method == "auto":
-        sized = df.where(F.col(value).isNotNull())
-        biggest = largest_group(sized, by) if by else sized.count()
-        method = "aggregate" if biggest <= MAX_GROUP_ROWS_ONE_TASK else "distributed"
+        sized = df.where(F.col(value).isNotNull()).select(*by, value)
+        if by:
+            fits = groups_fit_one_task(sized, by)
+        else:
+            size = plan_size_bytes(sized)
+            fits = (size is not None and size <= SMALL_INPUT_BYTES) or sized.count() <= MAX_GROUP_ROWS_ONE_TASK
+        method = "aggregate" if fits else "distributed"
     if method == "aggregate":
         agg = F.median(value).alias(out)
         return df.groupBy(*by).agg(agg) if by else df.agg(agg)

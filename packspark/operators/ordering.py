@@ -16,7 +16,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from packspark.operators.median import MAX_GROUP_ROWS_ONE_TASK, largest_group
+from packspark.operators.median import groups_fit_one_task
 from packspark.session import cut_lineage
 
 
@@ -34,7 +34,7 @@ def series_position(df: DataFrame, keys: Sequence[str], order, out: str = "_ps_i
     """
     keys = list(keys)
     if method == "auto":
-        method = "window" if largest_group(df.select(*keys), keys) <= MAX_GROUP_ROWS_ONE_TASK else "range"
+        method = "window" if groups_fit_one_task(df.select(*keys), keys) else "range"
     if method == "window":
         return df.withColumn(out, (F.row_number().over(Window.partitionBy(*keys).orderBy(*_cols(order))) - 1)
                              .cast("long"))
