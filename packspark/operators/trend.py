@@ -30,7 +30,7 @@ def fade_target_cycle(df: DataFrame, target_energy: float = 0.64, last_n: int =
     g = d.groupBy(*keys).agg(F.regr_slope(y, x).alias("slope"), F.regr_intercept(y, x).alias("intercept"),
                              F.regr_r2(y, x).alias("r2_score"), F.count(y).alias("n_points"))
     root = safe_div(F.lit(float(target_energy)) - F.col("intercept"), F.col("slope"))
-    return (g.withColumn("target_cycle", F.when(F.col("slope") != 0, root.cast("int")))
+    return (g.withColumn("target_cycle", F.when(F.col("slope") != 0, root.try_cast("int")))
             .withColumn("best_degree", F.lit(1)))
 
 
@@ -49,6 +49,30 @@ def extrapolation_segments(series: DataFrame, fits: DataFrame, r2_min: float = 0
             .withColumn("end_energy", F.lit(float(target_energy))))
 
 
+def fit_segments(series: DataFrame, target_energy: float = 0.64, last_n: int = 30, r2_min: float = 0.90,
+                 value: str = "norm_discharge_energy", keys: Sequence[str] = CYCLE_KEYS, cycle: str = "cycle",
+                 back: int = 5) -> DataFrame:
+    """Fit and extrapolation segments in one aggregation per series.
+
+    Same result as ``extrapolation_segments(series, fade_target_cycle(series))``: the line is
+    fitted on the last ``last_n`` cycles (conditional regression aggregates), the start point
+    uses all cycles, and series with ``r2 <= r2_min`` are dropped - one pass, no semi join.
+    """
+    keys = list(keys)
+    rn = F.row_number().over(Window.partitionBy(*keys).orderBy(F.col(cycle).desc()))
+    d = series.withColumn("_ps_rn", rn)
+    last = F.col("_ps_rn") <= last_n
+    y, x = F.when(last, F.col(value)), F.when(last, F.col(cycle).cast("double"))
+    g = d.groupBy(*keys).agg(F.regr_slope(y, x).alias("_ps_m"), F.regr_intercept(y, x).alias("_ps_b"),
+                             F.regr_r2(y, x).alias("r2_score"), (F.max(cycle) - back).alias("start_cycle"),
+                             F.max_by(F.col(value), F.col(cycle)).alias("start_energy"))
+    root = safe_div(F.lit(float(target_energy)) - F.col("_ps_b"), F.col("_ps_m"))
+    return (g.where(F.col("r2_score") > r2_min)
+            .withColumn("end_cycle", F.when(F.col("_ps_m") != 0, root.try_cast("int")))
+            .withColumn("end_energy", F.lit(float(target_energy)))
+            .drop("_ps_m", "_ps_b"))
+
+
 def _sequential_jumps(pdf: pd.DataFrame, value: str, cycle: str, thr_pc: float, start: int, closest: int,
                       n: int) -> pd.DataFrame:
     """One series, in cycle order, processed jump by jump (used when jumps may be adjacent)."""

@@ -311,8 +311,7 @@ FROM screened s JOIN good g USING (doe_number, instance_number)
 GROUP BY s.doe_number, s.instance_number""", ids=["T26", "J3", "A21", "E8"])
 def q_segments(spark, sf):
     # level jumps removed first (T27), so the fade trend is fitted on a continuous series
-    s = _screened(spark, sf, dejump=True)
-    return tr.extrapolation_segments(s, tr.fade_target_cycle(s, 0.64, 30), 0.90, 0.64)
+    return tr.fit_segments(_screened(spark, sf, dejump=True), 0.64, 30, 0.90)
 
 
 def _energy_norm(spark, sf):

@@ -27,10 +27,10 @@ _DEFAULTS = {
 
 
 def get_spark(app: str = "packspark", cpus: int | str = "*", shuffle_partitions: int | None = None,
-              driver_memory: str = "16g") -> SparkSession:
+              driver_memory: str = "16g", extra: dict | None = None) -> SparkSession:
     """Local session for tests, scripts and the bench."""
     builder = SparkSession.builder.master(f"local[{cpus}]").appName(app)
-    for k, v in _DEFAULTS.items():
+    for k, v in {**_DEFAULTS, **(extra or {})}.items():
         builder = builder.config(k, v)
     builder = builder.config("spark.driver.memory", driver_memory)
     if shuffle_partitions is not None:
@@ -65,3 +65,21 @@ def cut_lineage(df, eager: bool = True):
 
 def scratch_dir(prefix: str = "packspark-") -> str:
     return tempfile.mkdtemp(prefix=prefix, dir=os.environ.get("TMPDIR", "/tmp"))
+
+
+def cluster_conf(input_bytes: int, target_partition_bytes: int = 256 * 1024 * 1024) -> dict[str, str]:
+    """Suggested settings for a large input (e.g. 100 TB): partitions sized to fit executor
+    memory, adaptive coalescing and skew splitting on.  Apply when building the session."""
+    parts = max(200, -(-int(input_bytes) // target_partition_bytes))
+    size = str(target_partition_bytes)
+    return {
+        "spark.sql.shuffle.partitions": str(parts),
+        "spark.sql.files.maxPartitionBytes": size,
+        "spark.sql.adaptive.enabled": "true",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": size,
+        "spark.sql.adaptive.coalescePartitions.enabled": "true",
+        "spark.sql.adaptive.skewJoin.enabled": "true",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": str(4 * target_partition_bytes),
+        "spark.sql.autoBroadcastJoinThreshold": str(32 * 1024 * 1024),
+        "spark.sql.execution.arrow.maxRecordsPerBatch": "10000",
+    }

@@ -12,7 +12,9 @@ SF_SMALL = "/root/testdata/sf0.001"
 
 @pytest.fixture(scope="session")
 def spark():
-    s = get_spark("packspark-tests", cpus="*", shuffle_partitions=8)
+    import tempfile
+    s = get_spark("packspark-tests", cpus="*", shuffle_partitions=8,
+                  extra={"spark.sql.warehouse.dir": tempfile.mkdtemp(prefix="ps-warehouse-")})
     checkpoint_dir(s)
     yield s
     s.stop()

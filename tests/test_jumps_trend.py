@@ -93,3 +93,17 @@ def test_linear_fit_target_cycle(spark):
     assert seg.instance_number.tolist() == ["1", "2"]
     assert seg.start_cycle.iloc[0] == 55 and seg.start_energy.iloc[0] == pytest.approx(0.94)
     assert seg.end_cycle.isna().iloc[1]
+
+
+def test_single_pass_segments_equal_two_step(spark):
+    rng = np.random.default_rng(4)
+    rows = [("D", str(s), c, 1.0 - 0.002 * c + rng.normal(0, 0.0005 * (1 + s)))
+            for s in range(8) for c in range(1, 45)]
+    df = spark.createDataFrame(rows, COLS)
+    a = tr.fit_segments(df, 0.64, 30, 0.9).toPandas().sort_values("instance_number").reset_index(drop=True)
+    b = tr.extrapolation_segments(df, tr.fade_target_cycle(df, 0.64, 30), 0.9).toPandas() \
+        .sort_values("instance_number").reset_index(drop=True)
+    assert a.instance_number.tolist() == b.instance_number.tolist() and len(a) > 0
+    for c in ("start_cycle", "end_cycle"):
+        assert a[c].tolist() == b[c].tolist()
+    assert np.allclose(a.start_energy, b.start_energy) and np.allclose(a.r2_score, b.r2_score)

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from packspark.operators import filters as fl
 from packspark.schema import instance_sort_cols
 from packspark.sources import cycles, files, logs, sinks
-from packspark.streaming.logs import stream_log
+from packspark.streaming.logs import stream_log  # noqa: E402
 
 
 def test_read_data_csv_renames_and_rejects_other_extensions(spark):
@@ -88,3 +88,23 @@ def test_filters(spark):
 def test_mixed_id_sort_order(spark):
     df = spark.createDataFrame([("d49",), ("10",), ("2",)], "instance_number string")
     assert [r[0] for r in df.orderBy(*instance_sort_cols()).collect()] == ["2", "10", "d49"]
+
+
+def test_read_sql_normalise_ids_and_csv_schema(spark):
+    d = tempfile.mkdtemp(prefix="ps-ids-")
+    p = os.path.join(d, "t.csv")
+    with open(p, "w") as f:
+        f.write("instance_number,metric\n7,1.5\nd49,n/a\n")
+    df = files.read_csv(spark, p, schema="instance_number string, metric string")
+    out = cycles.normalise_ids(df, numeric_text=["metric"]).orderBy(*instance_sort_cols()).toPandas()
+    assert out.instance_number.tolist() == ["7", "d49"]
+    assert out.metric.iloc[0] == 1.5 and out.metric.isna().iloc[1]
+    df.createOrReplaceTempView("ps_ids")
+    assert cycles.read_sql(spark, "SELECT count(*) AS n FROM ps_ids").collect()[0]["n"] == 2
+
+
+def test_cluster_conf_sizes_partitions():
+    from packspark.session import cluster_conf
+    c = cluster_conf(100 * 1024 ** 4)
+    assert int(c["spark.sql.shuffle.partitions"]) == 409600
+    assert c["spark.sql.adaptive.skewJoin.enabled"] == "true"
