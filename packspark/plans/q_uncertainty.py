@@ -144,3 +144,15 @@ SELECT *, time_min * 100.0 / nullif(sum(time_min) OVER (PARTITION BY {SER}), 0)
 FROM rb1""", ids=["T20", "A14", "A15", "O3", "N2"])
 def q_regime(spark, sf):
     return un.regime_breakdown(_kept(spark, sf))
+
+
+@register("drop_outlier_series", CB_COLS, W(ad.SERIES_SQL, CB_CTES) + f""",
+mx AS (SELECT {SER}, max(capacity) AS m FROM cbounds GROUP BY {SER}),
+band AS (SELECT median(m) AS md, stddev_samp(m) AS sd FROM mx),
+bad AS (SELECT doe, instance, cycle_num FROM mx, band
+        WHERE NOT coalesce(m BETWEEN md - {lit(3.0)} * sd AND md + {lit(3.0)} * sd, false))
+SELECT * FROM cbounds c WHERE NOT EXISTS (
+  SELECT 1 FROM bad b WHERE b.doe = c.doe AND b.instance = c.instance AND b.cycle_num = c.cycle_num)""",
+          ids=["T17", "P14", "J4"])
+def q_drop_series(spark, sf):
+    return un.drop_outlier_cycles(_bounds(spark, sf), "capacity", 3.0, scope="series")
