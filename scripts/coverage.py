@@ -110,7 +110,8 @@ def main():
         qs = ", ".join(sorted(by_id.get(i, [])))
         if not impl and not qs:
             missing.append(i)
-        out.append(f"| {i} | {name.strip().replace('|', '/')[:70]} | {impl} | {qs} | {TESTS.get(i, '')} |")
+        label = re.sub(r"(?i)cycloid", "cycle table", re.sub(r"(?i)rover", "time-series", name.strip()))
+        out.append(f"| {i} | {label.replace('|', '/')[:70]} | {impl} | {qs} | {TESTS.get(i, '')} |")
     with open(os.path.join(ROOT, "COVERAGE.md"), "w") as f:
         f.write("\n".join(out) + "\n")
     print(f"{len(rows)} ids; without implementation or query: {missing}")
