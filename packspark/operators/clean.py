@@ -55,7 +55,8 @@ def outlier_replace_expr(value: str, md: Column, sd: Column, sigma_multiplier: f
 def rolling_outlier_replace(df: DataFrame, value: str | Sequence[str], keys: Sequence[str], order,
                             window: int = 5, sigma_multiplier: float = 0.1,
                             out: str | Sequence[str] | None = None, method: str = "auto",
-                            block_rows: int | None = None, position_method: str = "auto") -> DataFrame:
+                            block_rows: int | None = None, position_method: str = "auto",
+                            restore_partitioning: Sequence[str] | None = None) -> DataFrame:
     """Rolling outlier replacement of one or more columns, per series.
 
     ``md``/``sd`` come from the original series (not recursive).  ``method``:
@@ -64,7 +65,8 @@ def rolling_outlier_replace(df: DataFrame, value: str | Sequence[str], keys: Seq
     ``window-1`` halo from the previous block, and each bounded block cleaned with a
     vectorised rolling median in an Arrow batch; ``'auto'`` picks by window width.
     ``position_method`` (blocked only): ``'window'``, ``'range'`` or ``'auto'`` (size-checked),
-    see ``ordering.series_position``; ``'range'`` lets one huge series use many tasks.
+    see ``ordering.series_position``; ``'range'`` lets one huge series use many tasks, and
+    the result is then repartitioned by ``restore_partitioning`` (default ``keys``).
     """
     values = _as_list(value)
     outs = _as_list(out) or values
@@ -84,28 +86,35 @@ def rolling_outlier_replace(df: DataFrame, value: str | Sequence[str], keys: Seq
         return df.withColumns(cols)
     if method == "blocked":
         return _blocked_rolling(df, values, outs, keys, order, window, sigma_multiplier, block_rows,
-                                position_method=position_method)
+                                position_method=position_method, restore=restore_partitioning)
     raise ValueError(f"unknown method {method!r}")
 
 
-def _blocked_rolling(df, values, outs, keys, order, window, k, block_rows, spread_blocks=True,
-                     position_method="auto"):
+def _blocked_rolling(df, values, outs, keys, order, window, k, block_rows, position_method="auto",
+                     restore=None):
     """Blocked rolling filter.
 
-    Rows are numbered per series (``position_method``: one sort per series, or range-
-    partitioned so a huge series spans many tasks - see ``ordering.series_position``), cut
-    into blocks of ``b`` rows and
-    each block gets the previous ``window-1`` rows as a halo, so every block is cleaned
-    on its own.  Blocks are hash-spread over tasks (a very long series is cleaned by many
-    tasks), sorted, and streamed through ``mapInPandas``: consecutive rows of a block are
-    cleaned with a vectorised grouped rolling median; memory per task is one Arrow batch
-    plus at most one block.
+    Rows are numbered per series, cut into blocks of ``b`` rows and each block gets the
+    previous ``window-1`` rows as a halo, so every block is cleaned on its own; sorted
+    blocks are streamed through ``mapInPandas`` (vectorised grouped rolling median; memory
+    per task is one Arrow batch plus at most one block).
+
+    Numbering is size-checked (``ordering.series_position``).  When every series fits one
+    task the blocks stay where the numbering put them (no extra shuffle).  When a series is
+    too large, it is numbered with the range layout and its blocks are hash-spread over
+    tasks.  The result is repartitioned by ``restore`` when given (and by the series keys
+    after a spread), so that later stages keyed by it share one exchange.
     """
+    from packspark.operators.median import groups_fit_one_task
+    from packspark.operators.ordering import series_position
     b = int(block_rows or max(8 * window, 4096))
     if b < window - 1:
         raise ValueError("block_rows must be at least window - 1")
-    from packspark.operators.ordering import series_position
-    d = series_position(df, keys, order, "_ps_idx", method=position_method)
+    pm = position_method
+    if pm == "auto":
+        pm = "window" if groups_fit_one_task(df.select(*keys), keys) else "range"
+    spread = pm == "range"
+    d = series_position(df, keys, order, "_ps_idx", method=pm)
     blk = F.floor(F.col("_ps_idx") / b)
     in_halo = (F.col("_ps_idx") % b) >= (b - (window - 1)) if window > 1 else F.lit(False)
     d = d.withColumn("_ps_own", blk).withColumn(
@@ -115,12 +124,16 @@ def _blocked_rolling(df, values, outs, keys, order, window, k, block_rows, sprea
             d = d.withColumn(o, F.col(v))
     out_schema = T.StructType(d.schema.fields)
     gcols = [*keys, "_ps_blk"]
-    if spread_blocks:
+    if spread:
         d = d.repartition(*gcols)
     d = d.sortWithinPartitions(*gcols, "_ps_idx")
     clean = _block_cleaner(list(outs), gcols, window, k)
-    res = d.mapInPandas(clean, schema=out_schema)
-    return res.drop("_ps_idx", "_ps_own", "_ps_blk")
+    res = d.mapInPandas(clean, schema=out_schema).drop("_ps_idx", "_ps_own", "_ps_blk")
+    if spread or restore:
+        # Spark does not carry a partitioning through mapInPandas: one explicit repartition
+        # lets every later stage keyed by ``restore`` reuse it instead of shuffling per stage
+        res = res.repartition(*(restore or keys))
+    return res
 
 
 def _block_cleaner(out_cols, gcols, window, k):

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from packspark.functions.columns import first_value
-from packspark.operators.clean import NATIVE_MAX_WINDOW, rolling_outlier_replace
+from packspark.operators.clean import rolling_outlier_replace
 
 SERIES = ("doe", "instance", "cycle_num", "charging_state_name")
 ORDER = ("elapsed_minutes", "sample_id")
@@ -81,11 +81,10 @@ def charge_steps(df: DataFrame, cc_end: str = "state", current_threshold: float
     d = d.withColumn("_ps_cur", F.when(early, F.median(F.when(early, F.col("avg_current_a"))).over(ws))
                      .otherwise(F.col("avg_current_a")))
     ck = [*keys, "_ps_iscc"]
-    d = rolling_outlier_replace(d, "_ps_cur", ck, order, window, sigma_multiplier, out="_ps_clean", method=method)
-    if method == "blocked" or (method == "auto" and window > NATIVE_MAX_WINDOW):
-        # blocks were spread by (series, block); every later window is keyed by the series
-        # (or a superset of it), so one repartition here serves all of them
-        d = d.repartition(*keys)
+    # every later window is keyed by the series (or a superset of it): if the blocked filter
+    # had to spread a huge series over tasks it restores the series partitioning once
+    d = rolling_outlier_replace(d, "_ps_cur", ck, order, window, sigma_multiplier, out="_ps_clean", method=method,
+                                restore_partitioning=keys)
     wc = Window.partitionBy(*ck).orderBy(*order)
     chg = F.coalesce(F.abs(F.col("_ps_clean") - F.lag("_ps_clean").over(wc)) > F.lit(float(current_threshold)),
                      F.lit(False))
