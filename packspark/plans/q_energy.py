@@ -368,3 +368,36 @@ SELECT doe_number, instance_number, cycle, x - (S - L) AS energy,
 FROM jumps WHERE keep""", ids=["T27", "E9"])
 def q_jumps_wide(spark, sf):
     return tr.energy_jump_details(_energy_norm(spark, sf), 0.1, 10, 50, 5)
+
+
+@register("welch_ttest_pooled", "n1:l, mean1:d, var1:d, n2:l, mean2:d, var2:d, T:d, dof:d, cohen_d:d",
+          W(ad.CYCLE_SQL, seg_ctes()) + f"""
+, tt AS (
+  SELECT count(CASE WHEN {_a3} THEN norm_discharge_energy END) AS n1,
+         avg(CASE WHEN {_a3} THEN norm_discharge_energy END) AS mean1,
+         var_samp(CASE WHEN {_a3} THEN norm_discharge_energy END) AS var1,
+         count(CASE WHEN {_b3} THEN norm_discharge_energy END) AS n2,
+         avg(CASE WHEN {_b3} THEN norm_discharge_energy END) AS mean2,
+         var_samp(CASE WHEN {_b3} THEN norm_discharge_energy END) AS var2
+  FROM seg)
+SELECT *, CASE WHEN n1 > 1 AND n2 > 1 THEN (mean1 - mean2) / nullif(sqrt(var1 / n1 + var2 / n2), 0) END AS "T",
+  CASE WHEN n1 > 1 AND n2 > 1 THEN (var1 / n1 + var2 / n2) * (var1 / n1 + var2 / n2)
+       / nullif((var1 / n1) * (var1 / n1) / (n1 - 1) + (var2 / n2) * (var2 / n2) / (n2 - 1), 0) END AS dof,
+  abs(CASE WHEN n1 > 1 AND n2 > 1 THEN (mean1 - mean2)
+       / nullif(sqrt(((n1 - 1) * var1 + (n2 - 1) * var2) / (n1 + n2 - 2)), 0) END) AS cohen_d
+FROM tt""", ids=["T2", "T3"])
+def q_welch_pooled(spark, sf):
+    s = en.rpt_samples(ad.cycle_view(spark, sf), rpt_cycle=RPT, neighbors_cycle=3)
+    return welch_stats(s, "norm_discharge_energy", "sample", "after", "before")
+
+
+@register("gain_histogram", "bin:i, count:l, bin_low:d, probability:d",
+          W(ad.CYCLE_SQL, gain_ctes()) + f""",
+hb AS (SELECT CAST(floor((gain_in_energy_pc - {lit(-5.0)}) / {lit(0.25)}) AS INTEGER) AS bin, count(*) AS count
+       FROM gain WHERE gain_in_energy > 0 AND gain_in_energy_pc IS NOT NULL GROUP BY 1)
+SELECT bin, count, {lit(-5.0)} + bin * {lit(0.25)} AS bin_low, count / sum(count) OVER () AS probability FROM hb""",
+          ids=["T4", "A24"])
+def q_gain_hist(spark, sf):
+    from packspark.operators.stats import histogram
+    g = en.rpt_gain(ad.cycle_view(spark, sf), rpt_cycle=RPT, neighbors_cycle=5)
+    return histogram(g.where(F.col("gain_in_energy") > 0), "gain_in_energy_pc", -5.0, 0.25)
