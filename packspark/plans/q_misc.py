@@ -186,9 +186,8 @@ SELECT doe_number, instance_number, cycle, energy FROM cyc WHERE cycling_substat
           ids=["S2"])
 def q_custom_sql(spark, sf):
     from packspark.sources.cycles import read_sql
-    ad.cycle_view(spark, sf).createOrReplaceTempView("packspark_cycles")
-    return read_sql(spark, "SELECT doe_number, instance_number, cycle, energy FROM packspark_cycles "
-                           "WHERE cycling_substate = 'DISCHARGE' AND cycle < 10")
+    return read_sql(spark, "SELECT doe_number, instance_number, cycle, energy FROM {cycles} "
+                           "WHERE cycling_substate = 'DISCHARGE' AND cycle < 10", cycles=ad.cycle_view(spark, sf))
 
 
 @register("instance_order", "doe:s, instance:s, position:i",

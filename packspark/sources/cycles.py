@@ -55,9 +55,10 @@ def read_cycles(spark: SparkSession, source: str | DataFrame, doe: str | None =
     return out
 
 
-def read_sql(spark: SparkSession, query: str) -> DataFrame:
-    """A user query over registered tables or views (replaces the built scan)."""
-    return spark.sql(query)
+def read_sql(spark: SparkSession, query: str, **tables: DataFrame) -> DataFrame:
+    """A user query over catalog tables, or over DataFrames passed by name and referenced as
+    ``{name}`` in the text (bound to private views, so concurrent queries cannot collide)."""
+    return spark.sql(query, **tables) if tables else spark.sql(query)
 
 
 def normalise_ids(df: DataFrame, id_cols: Sequence[str] = ("instance_number",),
