@@ -24,7 +24,6 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from packspark.functions.columns import first_value
 from packspark.operators.clean import rolling_outlier_replace
 
 SERIES = ("doe", "instance", "cycle_num", "charging_state_name")
@@ -41,14 +40,23 @@ def _series_frame(df, keys, order, cc_end, first_n_high, high_voltage):
     elif cc_end == "cell_voltage":
         hi = F.coalesce(F.greatest(*[F.col(c) for c in CELLS]) >= F.lit(float(high_voltage)), F.lit(False))
         d = df.withColumn("_ps_hi", hi)
-        rk = F.row_number().over(Window.partitionBy(*keys, "_ps_hi").orderBy(*order))
+        # rank among the high-voltage samples = running count of them (series window, so the
+        # series partitioning is shared with every later stage)
+        rk = F.sum(F.col("_ps_hi").cast("int")).over(
+            Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
         d = d.withColumn("_ps_rk", rk)
         cc = F.max(F.when(F.col("_ps_hi") & (F.col("_ps_rk") <= first_n_high), e)).over(ws)
     else:
         raise ValueError("cc_end must be 'state' or 'cell_voltage'")
+    pos = F.struct(*[F.col(o) for o in order])
+
+    def first_valid(c):
+        # first non-null value in order, on the unordered series window (no extra sort)
+        return F.min_by(F.col(c), F.when(F.col(c).isNotNull(), pos)).over(ws)
+
     return (d.withColumn("_ps_cc", cc).withColumn("_ps_tmax", F.max(e).over(ws))
-            .withColumn("_ps_v0", first_value("avg_voltage_v", keys, list(order)))
-            .withColumn("_ps_c0", first_value("avail_battery_capacity_ah", keys, list(order))))
+            .withColumn("_ps_v0", first_valid("avg_voltage_v"))
+            .withColumn("_ps_c0", first_valid("avail_battery_capacity_ah")))
 
 
 def charge_steps(df: DataFrame, cc_end: str = "state", current_threshold: float = 1.0,
@@ -99,11 +107,14 @@ def charge_steps(df: DataFrame, cc_end: str = "state", current_threshold: float
                      .when(F.col("_ps_k") == 2, F.col("_ps_sid") - 1).cast("int"))
     d = d.withColumn("_ps_ism", F.col("_ps_k") > 0)
     wstep = Window.partitionBy(*keys, "_ps_ism", "step")
+    pos = F.struct(*[F.col(o) for o in order])
     d = (d.withColumn("_ps_med", F.median("_ps_clean").over(wstep))
          .withColumn("_ps_len", F.max(e).over(wstep) - F.min(e).over(wstep))
-         .withColumn("_ps_rep", F.col("_ps_ism") & (F.row_number().over(wstep.orderBy(*order)) == 1))
+         # representative record of a step / first sample of a series: the smallest position
+         # (order is unique per series), found on unordered windows without another sort
+         .withColumn("_ps_rep", F.col("_ps_ism") & (pos == F.min(pos).over(wstep)))
          .withColumn("_ps_first", (F.col("_ps_k") == 0)
-                     & (F.row_number().over(Window.partitionBy(*keys, "_ps_k").orderBy(*order)) == 1))
+                     & (pos == F.min(F.when(F.col("_ps_k") == 0, pos)).over(ws)))
          .withColumn("_ps_m", F.coalesce(F.max(F.when(F.col("_ps_ism"), F.col("step"))).over(ws) + 1, F.lit(0))))
     wrep = Window.partitionBy(*keys, "_ps_rep").orderBy("step").rowsBetween(Window.unboundedPreceding, -1)
     d = d.withColumn("_ps_T", F.when(F.col("_ps_rep"), F.coalesce(F.sum("_ps_len").over(wrep), F.lit(0.0))))
