@@ -76,12 +76,14 @@ def cell_voltage_long(df: DataFrame, raw_data: bool = True, window: int = 5,
     if instance is not None:
         df = df.where(F.col("instance_number") == str(instance))
     d = state_cells(df).dropna(subset=["cycle", *CELL_OUT])
-    long = d.unpivot([*CYCLE_KEYS, "cycling_substate", "cycle"], CELL_OUT, "cell_col", "voltage")
-    long = long.withColumn("cell", F.regexp_extract("cell_col", r"(cell\d)", 1)).drop("cell_col")
     if not raw_data:
-        long = rolling_outlier_replace(long, "voltage", [*CYCLE_KEYS, "cycling_substate", "cell"], "cycle",
-                                       window, sigma_multiplier)
-    return long
+        # each cell is its own series: cleaning the five columns per (pack, state) in one
+        # window pass equals cleaning per (pack, state, cell) after the melt, and shuffles
+        # five times fewer rows
+        d = rolling_outlier_replace(d, CELL_OUT, [*CYCLE_KEYS, "cycling_substate"], "cycle", window,
+                                    sigma_multiplier)
+    long = d.unpivot([*CYCLE_KEYS, "cycling_substate", "cycle"], CELL_OUT, "cell_col", "voltage")
+    return long.withColumn("cell", F.regexp_extract("cell_col", r"(cell\d)", 1)).drop("cell_col")
 
 
 POLARIZATION_COLS = [f"cell{i}_delta_voltage" for i in range(1, 6)] + ["pack_delta_voltage"]
