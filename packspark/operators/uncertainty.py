@@ -166,12 +166,14 @@ def regime_breakdown(df: DataFrame, top: int = 10, keys: Sequence[str] = SERIES)
     g = [*keys, "error_pc"]
     d = df.where(F.col("error_pc").isNotNull())
     aggs = []
+    wg = Window.partitionBy(*g)
     for out, c in REGIME_COLS.items():
         x = F.col(c)
-        hi = F.row_number().over(Window.partitionBy(*g).orderBy(x.desc_nulls_last()))
-        lo = F.row_number().over(Window.partitionBy(*g).orderBy(x.asc_nulls_last()))
-        d = d.withColumn(f"_hi_{out}", hi).withColumn(f"_lo_{out}", lo)
-        aggs.append((F.median(F.when(x.isNotNull() & (F.col(f"_hi_{out}") <= top), x))
+        # one ascending rank per column: the k largest are ranks n-k+1..n among non-null values
+        lo = F.row_number().over(wg.orderBy(x.asc_nulls_last()))
+        d = d.withColumn(f"_lo_{out}", lo).withColumn(f"_n_{out}", F.count(x).over(wg))
+        hi = F.col(f"_n_{out}") - F.col(f"_lo_{out}") + 1
+        aggs.append((F.median(F.when(x.isNotNull() & (hi <= top), x))
                      - F.median(F.when(x.isNotNull() & (F.col(f"_lo_{out}") <= top), x))).alias(out))
     r = d.groupBy(*g).agg(*aggs)
     ws = Window.partitionBy(*keys)
