@@ -201,7 +201,9 @@ def q_instance_order(spark, sf):
     from packspark.schema import instance_sort_cols
     from pyspark.sql import Window
     r = ad.series_view(spark, sf).select("doe", "instance")
-    ids = r.select("doe", F.concat(F.lit("p"), "instance").alias("instance")).union(r).distinct()
+    # numeric ids and a prefixed (non-numeric) twin of each, from one scan
+    ids = r.select("doe", F.explode(F.array(F.col("instance"), F.concat(F.lit("p"), "instance"))).alias("instance")) \
+        .distinct()
     w = Window.partitionBy("doe").orderBy(*instance_sort_cols("instance"))
     return ids.withColumn("position", F.row_number().over(w))
 
