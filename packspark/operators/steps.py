@@ -63,7 +63,7 @@ def charge_steps(df: DataFrame, cc_end: str = "state", current_threshold: float
                  sigma_multiplier: float = 3.0, window: int = 200, state: str | None = "CHARGE",
                  min_step_minutes: float | None = 0.2, short_step_minutes: float = 1.0,
                  first_n_high: int = 50, high_voltage: float = 4.20, keys: Sequence[str] = SERIES,
-                 order: Sequence[str] = ORDER, method: str = "auto") -> DataFrame:
+                 order: Sequence[str] = ORDER, method: str = "auto", keep_series_end: bool = False) -> DataFrame:
     """Step table per series; see the module docstring.
 
     Output: keys, ``step`` (0-based), ``step_type`` (``'cc'``/``'cv'``),
@@ -160,7 +160,8 @@ def charge_steps(df: DataFrame, cc_end: str = "state", current_threshold: float
                     .when(kind == "C", F.col("_ps_tmax") - F.col("_ps_cc"))).alias("step_time_length_min"),
               F.max(F.when(kind == "R", F.lit("cc")).when(kind == "C", F.lit("cv"))).alias("step_type"),
               F.max(F.when(kind == "C", F.col("_ps_v0"))).alias("_ps_v0"),
-              F.max(F.when(kind == "C", F.col("_ps_c0"))).alias("_ps_c0")))
+              F.max(F.when(kind == "C", F.col("_ps_c0"))).alias("_ps_c0"),
+              F.max(F.when(kind == "C", F.col("_ps_tmax"))).alias("_ps_end")))
     g = g.where(F.col("step_type").isNotNull())
     rw = Window.partitionBy(*keys).orderBy("step")
     sv = Window.partitionBy(*keys)
@@ -168,11 +169,13 @@ def charge_steps(df: DataFrame, cc_end: str = "state", current_threshold: float
                         .otherwise(F.lag("max_avg_voltage_v").over(rw)))
            .withColumn("min_capacity_ah", F.when(F.col("step") == 0, F.max("_ps_c0").over(sv))
                        .otherwise(F.lag("max_capacity_ah").over(rw)))
-           .withColumn("short_step", F.col("step_time_length_min") < F.lit(float(short_step_minutes))))
+           .withColumn("short_step", F.col("step_time_length_min") < F.lit(float(short_step_minutes)))
+           .withColumn("charge_time", F.max("_ps_end").over(sv)))
     if min_step_minutes is not None:
         res = res.where(F.col("step_time_length_min") > F.lit(float(min_step_minutes)))
-    return res.select(*keys, "step", "step_type", "step_avg_current_a", "step_time_length_min",
-                      "min_avg_voltage_v", "max_avg_voltage_v", "min_capacity_ah", "max_capacity_ah", "short_step")
+    out = [*keys, "step", "step_type", "step_avg_current_a", "step_time_length_min",
+           "min_avg_voltage_v", "max_avg_voltage_v", "min_capacity_ah", "max_capacity_ah", "short_step"]
+    return res.select(*out, *(["charge_time"] if keep_series_end else []))
 
 
 def charge_steps_state(df: DataFrame, **kw) -> DataFrame:
@@ -190,10 +193,18 @@ def charge_steps_voltage(df: DataFrame, **kw) -> DataFrame:
     return charge_steps(df, cc_end="cell_voltage", **kw)
 
 
-def step_reconcile(steps: DataFrame, samples: DataFrame, state: str | None = "CHARGE",
+def step_reconcile(steps: DataFrame, samples: DataFrame | None = None, state: str | None = "CHARGE",
                    keys: Sequence[str] = SERIES) -> DataFrame:
-    """Σ step lengths per series next to the last sample time; ``difference`` should be ~0."""
+    """Σ step lengths per series next to the last sample time; ``difference`` should be ~0.
+
+    The last sample time comes from ``samples``, or, when they are not given, from the
+    ``charge_time`` column of a step table built with ``keep_series_end=True`` (one pass).
+    """
     keys = list(keys)
+    if samples is None:
+        return (steps.groupBy(*keys).agg(F.sum("step_time_length_min").alias("charge_time_steps"),
+                                         F.max("charge_time").alias("charge_time"))
+                .withColumn("difference", F.col("charge_time_steps") - F.col("charge_time")))
     s = samples if state is None else samples.where(F.col("charging_state_name") == state)
     raw = s.groupBy(*keys).agg(F.max("elapsed_minutes").alias("charge_time"))
     tot = steps.groupBy(*keys).agg(F.sum("step_time_length_min").alias("charge_time_steps"))

@@ -112,5 +112,4 @@ raw AS (SELECT {S}, max(elapsed_minutes) AS charge_time FROM samples WHERE charg
 SELECT tot.*, raw.charge_time, tot.charge_time_steps - raw.charge_time AS difference
 FROM tot JOIN raw USING (doe, instance, cycle_num, charging_state_name)""", ids=["T24", "A22", "E12"])
 def q_reconcile(spark, sf):
-    r = ad.series_view(spark, sf)
-    return stp.step_reconcile(stp.charge_steps_state(r), r)
+    return stp.step_reconcile(stp.charge_steps_state(ad.series_view(spark, sf), keep_series_end=True))

@@ -45,3 +45,11 @@ def test_reconcile(spark):
     r = stp.step_reconcile(stp.charge_steps_state(df, window=3), df).toPandas()
     assert r.charge_time.iloc[0] == 20.0 and r.charge_time_steps.iloc[0] == 20.0
     assert r.difference.iloc[0] == 0.0
+
+
+def test_reconcile_single_pass_equals_two_pass(spark):
+    df = spark.createDataFrame(_series() + _series("3"), COLS)
+    a = stp.step_reconcile(stp.charge_steps_state(df, window=3, keep_series_end=True)).orderBy("instance").toPandas()
+    b = stp.step_reconcile(stp.charge_steps_state(df, window=3), df).orderBy("instance").toPandas()
+    assert a[["charge_time_steps", "charge_time", "difference"]].values.tolist() == \
+        b[["charge_time_steps", "charge_time", "difference"]].values.tolist()
