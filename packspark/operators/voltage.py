@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from packspark.functions.columns import rowwise_std
 from packspark.operators.clean import clamp_early_global, rolling_outlier_replace
 from packspark.operators.stats import mean_ci
-from packspark.schema import CHARGE, CHARGE_REST, CYCLE_KEYS, DISCHARGE, DISCHARGE_REST, cell_cols
+from packspark.schema import CHARGE, CHARGE_REST, CYCLE_KEYS, DISCHARGE, DISCHARGE_REST
 
 # Which per-cell column a state uses (max while charging / after discharge).
 STATE_CELL_KIND = {CHARGE: "max", CHARGE_REST: "min", DISCHARGE: "min", DISCHARGE_REST: "max"}

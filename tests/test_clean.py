@@ -1,7 +1,6 @@
 import math
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import functions as F
 
 from packspark.operators.clean import (clamp_early_global, clamp_early_series, group_screen, numpy_rolling_replace,
