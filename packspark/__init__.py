@@ -15,4 +15,11 @@ Main entry points (all ``DataFrame -> DataFrame``):
 * cohorts: ``operators.cohorts.cohort_delta``, ``recipe_clean_time``, ``recipe_pair_delta``
 """
 
+import sys
+
+from pyspark import cloudpickle
+
+# Python stages travel to the executors by value, so these need not have the package on their path.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 __version__ = "0.1.0"
