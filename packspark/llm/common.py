@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from packspark.session import checkpoint_dir
+
 # ASCII white space of the word rules: space, tab, line feed, vertical tab, form feed, carriage return
 SPACE = "[\\x20\\x09-\\x0D]+"
 
@@ -26,3 +30,14 @@ def text_of(df: DataFrame, name: str = "text") -> Column:
 def words_of(text: Column) -> Column:
     """Words (maximal runs without ASCII white space) of a text column, as an array."""
     return F.array_remove(F.split(F.regexp_replace(text, SPACE, " "), " "), "")
+
+
+def materialise(df: DataFrame, name: str) -> DataFrame:
+    """Writes ``df`` as a table into the shared checkpoint folder and reads it back.
+
+    Cuts the lineage at a point that several branches read: the table is computed once, survives
+    the loss of executors and is pruned by column.  It stays in the folder until its owner empties it.
+    """
+    path = f"{checkpoint_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

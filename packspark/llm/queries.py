@@ -5,19 +5,46 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from packspark.llm.common import read_table
+from packspark.llm.common import read_table, text_of
+from packspark.llm.decontaminate import contamination_sql, n_hit, scan
 from packspark.llm.quality import MEASURES, quality, quality_sql
+from packspark.llm.sharding import shard_rows
+
+SHARDS = 16
+SHARD_KEY = "corpus-shuffle-1"
 
 
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality(read_table(spark, sf_dir, "documents")).select("doc_id", *MEASURES, "base_failed", "kept")
 
 
+def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    t = text_of(docs)
+    rows = docs.select("doc_id", (F.octet_length(t) + 1).cast("long").alias("size"), F.crc32(t).alias("text_crc32"),
+                       F.xxhash64(t).alias("text_hash"))
+    placed = shard_rows(rows, ["doc_id", "size", "text_crc32", "text_hash"], SHARDS, SHARD_KEY)
+    return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot",
+                         F.lit(None).cast("int").alias("grown_shard"), "row_number", "position")
+
+
+def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = scan(docs, read_table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "n_words", n_hit().alias("n_hit"), F.size("items").cast("long").alias("n_items"),
+                        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
+                        (F.size("spans") > 0).alias("contaminated"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
+    "op2_sharding": op2_sharding,
+    "op3_decontamination": op3_decontamination,
 }
 
 ORACLES: dict[str, Callable[[], str]] = {
     "op1_quality_rules": quality_sql,
+    "op3_decontamination": contamination_sql,
 }
