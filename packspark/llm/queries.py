@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from packspark.llm.common import read_table, text_of
 from packspark.llm.decontaminate import contamination_sql, n_hit, scan
 from packspark.llm.quality import MEASURES, quality, quality_sql
+from packspark.llm.secrets import KINDS, count_kind, scan_secrets, span_text
 from packspark.llm.sharding import shard_rows
 
 SHARDS = 16
@@ -38,10 +39,18 @@ def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
                         (F.size("spans") > 0).alias("contaminated"))
 
 
+def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = scan_secrets(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    counts = [count_kind(F.col("base"), k).alias(f"n_{k}") for k, *_ in KINDS]
+    return found.select("doc_id", *counts, F.sha2(span_text(F.col("base")), 256).alias("base_sha256"),
+                        span_text(F.col("secrets")).alias("spans"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
     "op2_sharding": op2_sharding,
     "op3_decontamination": op3_decontamination,
+    "op7_secret_scan": op7_secret_scan,
 }
 
 ORACLES: dict[str, Callable[[], str]] = {
