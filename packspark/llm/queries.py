@@ -7,16 +7,35 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from packspark.llm.chat import format_windows, read_back
 from packspark.llm.common import read_table, text_of
 from packspark.llm.decontaminate import contamination_sql, n_hit, scan
+from packspark.llm.pieces import digest
 from packspark.llm.quality import MEASURES, quality, quality_sql
 from packspark.llm.secrets import KINDS, count_kind, scan_secrets, span_text
 from packspark.llm.sharding import shard_rows
+from packspark.llm.tokens import section_tokens
 
+PIECE_MODEL = "piece_bpe_32k.model"
+RANKS = "byte_bpe_50k.tiktoken"
 SHARDS = 16
 SHARD_KEY = "corpus-shuffle-1"
 
 
+def vocabulary(name: str) -> bytes:
+    """A public vocabulary file, read on the driver (each is under two megabytes) and sent to the tasks."""
+    import public_tokenizers
+
+    with open(public_tokenizers.path(name), "rb") as f:
+        return f.read()
+
+
+def split_pattern() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.PATTERN
+
+
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality(read_table(spark, sf_dir, "documents")).select("doc_id", *MEASURES, "base_failed", "kept")
 
@@ -39,6 +58,15 @@ def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
                         (F.size("spans") > 0).alias("contaminated"))
 
 
+def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return digest(read_table(spark, sf_dir, "documents").select("doc_id", "text"), vocabulary(PIECE_MODEL))
+
+
+def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    return section_tokens(docs, vocabulary(RANKS), split_pattern())
+
+
 def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = scan_secrets(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
     counts = [count_kind(F.col("base"), k).alias(f"n_{k}") for k, *_ in KINDS]
@@ -46,11 +74,22 @@ def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
                         span_text(F.col("secrets")).alias("spans"))
 
 
+def op10_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    said = "\\### Assistant: </turn> ok"
+    extra = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)],
+                                  "conv_id bigint, turn bigint, role string, text string")
+    turns = read_table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(extra)
+    return read_back(format_windows(turns, vocabulary(RANKS), split_pattern()))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
     "op2_sharding": op2_sharding,
     "op3_decontamination": op3_decontamination,
+    "op5_sentencepiece": op5_sentencepiece,
+    "op6_token_counts": op6_token_counts,
     "op7_secret_scan": op7_secret_scan,
+    "op10_chat_formatting": op10_chat_formatting,
 }
 
 ORACLES: dict[str, Callable[[], str]] = {
