@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from packspark.llm.chat import format_windows, read_back
 from packspark.llm.common import read_table, text_of
 from packspark.llm.decontaminate import contamination_sql, n_hit, scan
+from packspark.llm.jaccard import jaccard_components
 from packspark.llm.pieces import digest
 from packspark.llm.quality import MEASURES, quality, quality_sql
 from packspark.llm.secrets import KINDS, count_kind, scan_secrets, span_text
@@ -74,6 +75,10 @@ def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
                         span_text(F.col("secrets")).alias("spans"))
 
 
+def op8_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_components(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op10_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = "\\### Assistant: </turn> ok"
     extra = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)],
@@ -89,6 +94,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_sentencepiece": op5_sentencepiece,
     "op6_token_counts": op6_token_counts,
     "op7_secret_scan": op7_secret_scan,
+    "op8_ngram_jaccard": op8_ngram_jaccard,
     "op10_chat_formatting": op10_chat_formatting,
 }
 
