@@ -16,6 +16,7 @@ from packspark.llm.quality import MEASURES, quality, quality_sql
 from packspark.llm.secrets import KINDS, count_kind, scan_secrets, span_text
 from packspark.llm.sharding import shard_rows
 from packspark.llm.tokens import section_tokens
+from packspark.llm.toxicity import fit, held_out, score
 
 PIECE_MODEL = "piece_bpe_32k.model"
 RANKS = "byte_bpe_50k.tiktoken"
@@ -79,6 +80,12 @@ def op8_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    scored = score(docs, fit(docs, read_table(spark, sf_dir, "labels")))
+    return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
+
+
 def op10_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = "\\### Assistant: </turn> ok"
     extra = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)],
@@ -95,6 +102,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_token_counts": op6_token_counts,
     "op7_secret_scan": op7_secret_scan,
     "op8_ngram_jaccard": op8_ngram_jaccard,
+    "op9_toxicity": op9_toxicity,
     "op10_chat_formatting": op10_chat_formatting,
 }
 
