@@ -39,39 +39,108 @@ FREQUENT_COLUMNS = 200_000    # columns known as frequent; they only shape the o
 CHUNK_MEMBERS = 2_000_000     # members counted together when looking for frequent columns
 FREQUENT_IN_CHUNK = 8
 FILTER_WORDS = 1 << 17        # 64-bit words of the fixed-size filter of candidate ids
-CACHE_WORDS = 400_000
-PAIRS_PER_ENTRY = 4           # remaining pairs per matrix entry at which all of them are tested at once
+CHUNK_BYTES = 1 << 20         # bytes of text hashed together
+BLOCK_ROWS = 1000             # rows of a column multiplied as one block
+PAIRS_PER_ENTRY = 1000        # remaining pairs per matrix entry at which all of them are tested at once
+SEEN_PAIRS = 1_000_000        # pairs a task remembers as tested
 
-_LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 _P = np.uint64(0x9E3779B97F4A7C15)
+_Q = np.uint64(0xD6E8FEB86659FD93)
+_SPACES = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
+
+
+def _mixed(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(32))) * _Q
+    x = (x ^ (x >> np.uint64(29))) * _P
+    return x ^ (x >> np.uint64(32))
 
 
 class Shingler:
-    """Sorted distinct n-gram hashes of a text; hashes of words are remembered."""
+    """Sorted distinct n-gram hashes of texts, straight from Arrow's UTF-8 buffers.
+
+    A word's hash is the sum of (value of byte) * (value of place), mixed; an n-gram's hash mixes its
+    words' hashes in turn.  Texts are worked on in pieces of about CHUNK_BYTES, cut at white space."""
 
     def __init__(self):
-        self.known: dict[bytes, int] = {}
-
-    def _hash(self, word: bytes) -> int:
-        if len(self.known) >= CACHE_WORDS:
-            self.known.clear()
-        h = self.known[word] = xxhash.xxh3_64_intdigest(word)
-        return h
-
-    def members(self, text: str | None) -> np.ndarray:
-        words = text.encode("utf-8", "replace").translate(_LOWER).split() if text else []
-        if not words:
-            return np.zeros(0, np.uint64)
-        get, make = self.known.get, self._hash
-        w = np.fromiter([get(x) or make(x) for x in words], np.uint64, len(words))
+        with np.errstate(over="ignore"):
+            value = _mixed(np.arange(1, 257, dtype=np.uint64) * _P)
+            self.places = _mixed(np.arange(1, 4097, dtype=np.uint64) * _Q) | np.uint64(1)
+        value[65:91] = value[97:123]
+        value[_SPACES] = 0
+        self.value = value
+
+    def _place(self, n: int) -> np.ndarray:
+        if n > len(self.places):
+            with np.errstate(over="ignore"):
+                self.places = _mixed(np.arange(1, 2 * n + 1, dtype=np.uint64) * _Q) | np.uint64(1)
+        return self.places
+
+    def _words(self, b: np.ndarray, cuts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Hashes of the words of a piece and where they start; ``cuts`` are starts of texts in it."""
+        solid = ~_SPACES[b]
+        first = solid.copy()
+        first[1:] &= ~solid[:-1]
+        cuts = cuts[cuts < len(b)]
+        first[cuts] = solid[cuts]
+        at = np.flatnonzero(first)
+        if not len(at):
+            return np.zeros(0, np.uint64), at
+        size = np.diff(np.append(at, len(b)))
+        place = np.arange(at[0], len(b)) - np.repeat(at, size)
+        with np.errstate(over="ignore"):
+            h = np.add.reduceat(self.value[b[at[0]:]] * self._place(int(size.max()))[place], at - at[0])
+            return _mixed(h), at
+
+    def columns(self, texts: pa.Array) -> Iterator[np.ndarray]:
+        """Members of each text of an Arrow string column, in order."""
+        if len(texts) == 0:
+            return
+        wide = pa.types.is_large_string(texts.type)
+        ends = np.frombuffer(texts.buffers()[1], np.int64 if wide else np.int32)[texts.offset:texts.offset + len(texts) + 1]
+        data = texts.buffers()[2]
+        b = np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8)
+        i, n = 0, len(texts)
+        while i < n:
+            j = max(i + 1, int(np.searchsorted(ends, ends[i] + CHUNK_BYTES, "right")) - 1)
+            part = b[ends[i]:ends[j]]
+            if j == i + 1 and len(part) > 2 * CHUNK_BYTES:
+                yield self._grams(np.concatenate([h for h in self._pieces(part)]))
+            else:
+                cuts = (ends[i:j] - ends[i]).astype(np.int64)
+                h, at = self._words(part, cuts)
+                stop = np.searchsorted(at, np.append(cuts, len(part)))
+                for k in range(j - i):
+                    yield self._grams(h[stop[k]:stop[k + 1]])
+            i = j
+
+    def _pieces(self, b: np.ndarray) -> Iterator[np.ndarray]:
+        """Word hashes of one long text, piece by piece."""
+        at = 0
+        while at < len(b):
+            end = min(at + CHUNK_BYTES, len(b))
+            while end < len(b):
+                space = np.flatnonzero(_SPACES[b[end:end + CHUNK_BYTES]])
+                if len(space):
+                    end += int(space[0])
+                    break
+                end = min(end + CHUNK_BYTES, len(b))
+            yield self._words(b[at:end], np.zeros(1, np.int64))[0]
+            at = end
+
+    @staticmethod
+    def _grams(w: np.ndarray) -> np.ndarray:
+        if not len(w):
+            return w
         n = min(WORDS, len(w))
         with np.errstate(over="ignore"):
             h = np.full(len(w) - n + 1, n, np.uint64)
             for k in range(n):
                 h = (h ^ w[k:len(w) - n + 1 + k]) * _P
                 h ^= h >> np.uint64(29)
-            h = (h ^ (h >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
-        return np.unique(h ^ (h >> np.uint64(32)))
+            h = np.sort(_mixed(h))
+        fresh = np.ones(len(h), bool)
+        fresh[1:] = h[1:] != h[:-1]
+        return h[fresh]
 
 
 def ordered_prefix(members: np.ndarray, frequent: np.ndarray, rank: np.ndarray) -> np.ndarray:
@@ -122,8 +191,7 @@ def _sets(docs: DataFrame) -> DataFrame:
         held = 0
         for batch in batches:
             n, k1, k2 = [], [], []
-            for text in batch.column("text").to_pylist():
-                m = s.members(text)
+            for m in s.columns(batch.column("text")):
                 key = xxhash.xxh3_128_intdigest(m.tobytes())
                 key = (_signed(key >> 64), _signed(key & (1 << 64) - 1))
                 n.append(len(m)), k1.append(key[0]), k2.append(key[1])
@@ -175,8 +243,7 @@ def _rows(docs: DataFrame, classes: DataFrame, frequent: tuple[np.ndarray, np.nd
         s = Shingler()
         for batch in batches:
             n, prefix, bits = [], [], []
-            for text in batch.column("text").to_pylist():
-                m = s.members(text)
+            for m in s.columns(batch.column("text")):
                 n.append(len(m))
                 prefix.append(ordered_prefix(m, *shared.value).astype(np.int64))
                 bits.append(bitmap(m))
@@ -252,7 +319,7 @@ def _verify(pairs: DataFrame, docs: DataFrame) -> DataFrame:
             for at in range(0, some.num_rows, 500):
                 part = some.slice(at, 500)
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("doc"), pa.array([s.members(t).tobytes() for t in part.column("text").to_pylist()],
+                    [part.column("doc"), pa.array([m.tobytes() for m in s.columns(part.column("text"))],
                                                   pa.binary())], ["doc", "members"])
 
     def test(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -278,11 +345,64 @@ def _remaining(entries: DataFrame, comp: DataFrame) -> DataFrame:
         .where("_low < _high").select("h", "doc", "n", "pos", "comp")
 
 
-def _cross_pairs(entries: DataFrame) -> DataFrame:
-    """All pairs of a column's rows that lie in different components and fit."""
-    other = entries.select("h", *[F.col(c).alias(f"l{c}") for c in ("doc", "n", "pos", "comp")])
-    both = entries.join(other, "h").where("comp < lcomp")
-    return _pairs(both).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+def _cross_pairs(entries: DataFrame, rows: DataFrame) -> DataFrame:
+    """Pairs of a column's rows in different components that pass all bounds, from products of blocks.
+
+    A column's rows are dealt to blocks of about BLOCK_ROWS; a task multiplies two blocks at a time, so
+    neither a column nor its pairs are ever rows of one task."""
+    blocks = F.ceil(F.count("*").over(Window.partitionBy("h")) / BLOCK_ROWS).cast("int")
+    own = entries.withColumn("_nb", blocks).withColumn("_b", F.pmod(F.xxhash64("doc"), F.col("_nb")).cast("int"))
+    dealt = own.withColumn("_c", F.explode(F.sequence(F.lit(0), F.col("_nb") - 1))) \
+        .withColumn("_x", F.least("_b", "_c")).withColumn("_y", F.greatest("_b", "_c")) \
+        .join(rows.select("doc", "bits"), "doc")
+    ready = dealt.select("h", "_x", "_y", "_b", "doc", "n", "pos", "comp", "bits") \
+        .repartition("h", "_x", "_y").sortWithinPartitions("h", "_x", "_y")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        key, seen = None, set()
+        for batch in batches:
+            keys = np.stack([batch.column(c).to_numpy() for c in ("h", "_x", "_y")])
+            edge = np.append(np.flatnonzero(np.append(True, (keys[:, 1:] != keys[:, :-1]).any(0))), batch.num_rows) \
+                if batch.num_rows else np.zeros(0, np.int64)
+            for a, b in zip(edge[:-1].tolist(), edge[1:].tolist()):
+                now = tuple(keys[:, a])
+                if now != key:
+                    if held:
+                        yield from _block_pairs(held, seen)
+                    held, key = [], now
+                held.append(batch.slice(a, b - a))
+        if held:
+            yield from _block_pairs(held, seen)
+
+    return ready.mapInArrow(run, "a bigint, b bigint").distinct()
+
+
+def _block_pairs(held: list[pa.RecordBatch], seen: set) -> Iterator[pa.RecordBatch]:
+    """Pairs of one block product; ``seen`` leaves out what the task has tested in other columns."""
+    t = pa.Table.from_batches(held)
+    x, y = t.column("_x")[0].as_py(), t.column("_y")[0].as_py()
+    b, doc, n, pos, comp = (t.column(c).to_numpy() for c in ("_b", "doc", "n", "pos", "comp"))
+    bits = t.column("bits").to_pylist()
+    left = np.flatnonzero(b == x)
+    right = left if x == y else np.flatnonzero(b == y)
+    a_out, b_out = [], []
+    for i in left.tolist():
+        j = right[right > i] if x == y else right
+        lo, hi = np.minimum(n[i], n[j]), np.maximum(n[i], n[j])
+        most = np.minimum(pos[i], pos[j]) + np.minimum(n[i] - pos[i], n[j] - pos[j])
+        ok = (comp[i] != comp[j]) & (100 * lo >= 80 * hi) & (9 * most >= 4 * (n[i] + n[j]))
+        for k in j[ok].tolist():
+            pair = (min(doc[i], doc[k]), max(doc[i], doc[k]))
+            if pair in seen:
+                continue
+            if len(seen) >= SEEN_PAIRS:
+                seen.clear()
+            seen.add(pair)
+            if may_link(n[i], bits[i], n[k], bits[k]):
+                a_out.append(pair[0]), b_out.append(pair[1])
+    if a_out:
+        yield pa.RecordBatch.from_arrays([pa.array(a_out, pa.int64()), pa.array(b_out, pa.int64())], ["a", "b"])
 
 
 def links_and_classes(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -305,12 +425,12 @@ def links_and_classes(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]
             break
         last = size[1] / 2 <= PAIRS_PER_ENTRY * size[0]
         if last:
-            pairs = _cross_pairs(rest)
+            pairs = _cross_pairs(rest, rows)
         else:
             rest = materialise(_candidates_by_smallest(rest), "entries")
-            pairs = _pairs(rest.where("comp <> lcomp"))
+            pairs = _by_bitmap(_pairs(rest.where("comp <> lcomp")), rows)
             rest = rest.select("h", "doc", "n", "pos")
-        links = materialise(links.unionByName(_verify(_by_bitmap(pairs, rows), docs)), "links")
+        links = materialise(links.unionByName(_verify(pairs, docs)), "links")
         if last:
             comp = components(links)
             break
