@@ -12,6 +12,7 @@ from packspark.llm.common import read_table, text_of
 from packspark.llm.decontaminate import contamination_sql, n_hit, scan
 from packspark.llm.jaccard import jaccard_components
 from packspark.llm.pieces import digest
+from packspark.llm.pii import pseudonymise
 from packspark.llm.quality import MEASURES, quality, quality_sql
 from packspark.llm.secrets import KINDS, count_kind, scan_secrets, span_text
 from packspark.llm.sharding import shard_rows
@@ -60,6 +61,10 @@ def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
                         (F.size("spans") > 0).alias("contaminated"))
 
 
+def op4_pii_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pseudonymise(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digest(read_table(spark, sf_dir, "documents").select("doc_id", "text"), vocabulary(PIECE_MODEL))
 
@@ -98,6 +103,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
     "op2_sharding": op2_sharding,
     "op3_decontamination": op3_decontamination,
+    "op4_pii_pseudonyms": op4_pii_pseudonyms,
     "op5_sentencepiece": op5_sentencepiece,
     "op6_token_counts": op6_token_counts,
     "op7_secret_scan": op7_secret_scan,
