@@ -445,3 +445,19 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     return sets.join(named, ["k1", "k2"], "left").select(
         "doc_id", F.col("n").alias("n_shingles"),
         F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("comp")).alias("component_id"))
+
+
+def one_per_group(docs: DataFrame) -> DataFrame:
+    """Rows of ``docs`` (all columns) of which each group keeps the document with the smallest id.
+
+    Removed ids, as a rule the few, are joined away.  Of rows that repeat a kept id the one with the smallest text
+    stays.  Rows without an id can't be named by a group: they all stay."""
+    found = materialise(jaccard_components(docs.select("doc_id", "text")).where("doc_id IS NOT NULL"), "components")
+    gone = found.where("component_id <> doc_id").select("doc_id").distinct()
+    kept = docs.join(gone, "doc_id", "left_anti").select(*[docs[c] for c in docs.columns])
+    repeated = found.groupBy("doc_id").count().where("count > 1").select("doc_id")
+    if repeated.isEmpty():
+        return kept
+    w = Window.partitionBy("doc_id").orderBy("text")
+    some = kept.join(repeated, "doc_id", "left_semi").withColumn("_n", F.row_number().over(w)).where("_n = 1")
+    return kept.join(repeated, "doc_id", "left_anti").select(*docs.columns).unionByName(some.select(*docs.columns))
