@@ -11,7 +11,7 @@ set sizes decide what enters the product and what leaves it:
 * the product of parity bitmaps (about one bit a member) bounds the difference of two sets from below.
 
 Pairs that pass have their overlap counted in full.  Copies don't multiply: a column pairs each row with
-its smallest row only, and after these links are merged only columns with rows in different
+its most central row only, and after these links are merged only columns with rows in different
 components are multiplied further, rows of one component never again.  No link between different
 components is left out, so the components are exact.
 
@@ -158,8 +158,9 @@ def ordered_prefix(members: np.ndarray, frequent: np.ndarray, rank: np.ndarray)
 
 
 def bitmap(members: np.ndarray) -> bytes:
-    """Parity bitmap with about one bit a member (a power of two, 64 at least)."""
-    width = max(64, 1 << int(len(members) - 1).bit_length()) if len(members) else 64
+    """Parity bitmap with eight bits a member or more (a power of two, 64 at least), so that few of the
+    members that two sets don't share cancel out."""
+    width = max(64, 8 << int(len(members) - 1).bit_length()) if len(members) else 64
     bits = np.bincount((members & np.uint64(width - 1)).astype(np.int64), minlength=width) & 1
     return np.packbits(bits.astype(np.uint8), bitorder="little").tobytes()
 
@@ -263,13 +264,21 @@ def _fits(nx: str, px: str, ny: str, py: str) -> Column:
     return (100 * F.least(a, b) >= 80 * F.greatest(a, b)) & (9 * most >= 4 * (a + b))
 
 
-def _candidates_by_smallest(entries: DataFrame) -> DataFrame:
-    """Entries of columns with two rows or more, apart from each column's smallest row, which is named beside."""
-    w = Window.partitionBy("h").orderBy("n", "doc").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    first = F.first(F.struct(*[F.col(c).alias(f"l{c}") for c in entries.columns if c != "h"])).over(w)
-    rank = F.row_number().over(Window.partitionBy("h").orderBy("n", "doc"))
-    return entries.select("*", first.alias("_first"), rank.alias("_rank")).where("_rank > 1") \
-        .select(*entries.columns, "_first.*")
+def _shared(entries: DataFrame) -> DataFrame:
+    """Entries of columns with two rows or more, and how central their row is: the rows it meets in its columns
+    against its size.  Among near copies the row with the fewest changes is the most central one."""
+    met = materialise(entries.withColumn("_met", F.count("*").over(Window.partitionBy("h"))).where("_met > 1"), "shared")
+    central = met.groupBy("doc").agg((F.sum("_met") / F.first("n")).alias("central"))
+    return met.drop("_met", "central").join(central, "doc")
+
+
+def _by_centre(entries: DataFrame) -> DataFrame:
+    """Entries apart from each column's most central row, which is named beside (l...)."""
+    w = Window.partitionBy("h").orderBy(F.desc("central"), "n", "doc")
+    first = F.first(F.struct(*[F.col(c).alias(f"l{c}") for c in entries.columns if c not in ("h", "central")]))
+    return entries.select("*", first.over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow)).alias("_first"),
+                          F.row_number().over(w).alias("_rank")).where("_rank > 1") \
+        .select(*[c for c in entries.columns if c != "central"], "_first.*")
 
 
 def _pairs(found: DataFrame) -> DataFrame:
@@ -378,29 +387,45 @@ def _cross_pairs(entries: DataFrame, rows: DataFrame) -> DataFrame:
     return ready.mapInArrow(run, "a bigint, b bigint").distinct()
 
 
+def _folded(bits: list[bytes], width: int) -> dict[int, np.ndarray]:
+    """Bitmaps of at least ``width`` bytes, folded to it, by row (others are left out)."""
+    return {i: np.bitwise_xor.reduce(np.frombuffer(x, np.uint64).reshape(-1, width // 8))
+            for i, x in enumerate(bits) if width <= len(x) <= 2 * width}
+
+
 def _block_pairs(held: list[pa.RecordBatch], seen: set) -> Iterator[pa.RecordBatch]:
-    """Pairs of one block product; ``seen`` leaves out what the task has tested in other columns."""
+    """Pairs of one block product; ``seen`` leaves out what the task has found in other columns.
+
+    Sizes within a fifth of each other make bitmaps of one width or of neighbouring ones."""
     t = pa.Table.from_batches(held)
     x, y = t.column("_x")[0].as_py(), t.column("_y")[0].as_py()
     b, doc, n, pos, comp = (t.column(c).to_numpy() for c in ("_b", "doc", "n", "pos", "comp"))
     bits = t.column("bits").to_pylist()
+    width = np.array([len(v) for v in bits])
+    tables = {}
+    for w in set(width.tolist()):
+        rows = _folded(bits, w)
+        tables[w] = np.zeros((len(bits), w // 8), np.uint64)
+        tables[w][list(rows)] = list(rows.values())
     left = np.flatnonzero(b == x)
     right = left if x == y else np.flatnonzero(b == y)
     a_out, b_out = [], []
     for i in left.tolist():
         j = right[right > i] if x == y else right
-        lo, hi = np.minimum(n[i], n[j]), np.maximum(n[i], n[j])
+        j = j[comp[j] != comp[i]]
+        lo, hi, both = np.minimum(n[i], n[j]), np.maximum(n[i], n[j]), n[i] + n[j]
         most = np.minimum(pos[i], pos[j]) + np.minimum(n[i] - pos[i], n[j] - pos[j])
-        ok = (comp[i] != comp[j]) & (100 * lo >= 80 * hi) & (9 * most >= 4 * (n[i] + n[j]))
-        for k in j[ok].tolist():
-            pair = (min(doc[i], doc[k]), max(doc[i], doc[k]))
-            if pair in seen:
-                continue
-            if len(seen) >= SEEN_PAIRS:
-                seen.clear()
-            seen.add(pair)
-            if may_link(n[i], bits[i], n[k], bits[k]):
-                a_out.append(pair[0]), b_out.append(pair[1])
+        j = j[(100 * lo >= 80 * hi) & (9 * most >= 4 * both)]
+        for w in {min(v, int(width[i])) for v in set(width[j].tolist())}:
+            k = j[np.minimum(width[j], width[i]) == w]
+            apart = np.bitwise_count(tables[w][k] ^ tables[w][i]).sum(1, dtype=np.int64)
+            for m in k[apart <= n[i] + n[k] + 2 * (-4 * (n[i] + n[k]) // 9)].tolist():
+                pair = (int(min(doc[i], doc[m])), int(max(doc[i], doc[m])))
+                if pair not in seen:
+                    if len(seen) >= SEEN_PAIRS:
+                        seen.clear()
+                    seen.add(pair)
+                    a_out.append(pair[0]), b_out.append(pair[1])
     if a_out:
         yield pa.RecordBatch.from_arrays([pa.array(a_out, pa.int64()), pa.array(b_out, pa.int64())], ["a", "b"])
 
@@ -412,7 +437,7 @@ def links_and_classes(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]
     classes = sets.where("n > 0").groupBy("k1", "k2").agg(F.min("doc_id").alias("rep"))
     rows = _rows(docs, classes, _frequent_order(both))
     entries = rows.select("doc", "n", F.posexplode("prefix").alias("pos", "h")).select("h", "doc", "n", "pos")
-    rest = materialise(_candidates_by_smallest(entries), "entries")
+    rest = materialise(_by_centre(_shared(entries)), "entries")
     links = materialise(_verify(_by_bitmap(_pairs(rest), rows), docs), "links")
     rest = rest.select("h", "doc", "n", "pos")
     while True:
@@ -427,7 +452,7 @@ def links_and_classes(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]
         if last:
             pairs = _cross_pairs(rest, rows)
         else:
-            rest = materialise(_candidates_by_smallest(rest), "entries")
+            rest = materialise(_by_centre(_shared(rest)), "entries")
             pairs = _by_bitmap(_pairs(rest.where("comp <> lcomp")), rows)
             rest = rest.select("h", "doc", "n", "pos")
         links = materialise(links.unionByName(_verify(pairs, docs)), "links")
