@@ -42,7 +42,7 @@ PATTERNS = (
     ("ssn", _NOT_IN_WORD + r"\d{3}-\d{2}-\d{4}" + _ENDS),
     ("account", _NOT_IN_WORD + r"\d{4}([ -])\d{4}\1\d{4}\1\d{1,7}" + _ENDS),
     ("account", _NOT_IN_WORD + r"\d{13,19}" + _ENDS),
-    ("phone", r"(?<![\p{L}\p{N}+])\+\d{1,3}[ .-]?(?:\(\d{1,4}\)|\d{1,4})(?:[ .-]\d{2,4}){2,4}" + _ENDS),
+    ("phone", r"(?<![\p{L}\p{N}+])\+\d{1,3}[ .-]?(?:\(\d{1,4}\)|\d{1,4})(?:[ .-]\d{2,4}){2}(?:[ .-]\d{2}(?!\d)){0,2}" + _ENDS),
     ("phone", r"(?<![\p{L}\p{N}+])(?:\(\d{2,4}\) ?\d{3,4}|\d{3}[ .-]\d{3})[ .-]\d{4}" + _ENDS),
     ("phone", r"(?<![\p{L}\p{N}+])\+\d{7,15}" + _ENDS),
 )
