@@ -1,10 +1,8 @@
 """Column-level helpers (JVM-side expressions only)."""
 
 from packspark.functions.columns import (  # noqa: F401
-    abs_pct_change,
     bin_right_closed,
     ci95_bounds,
-    first_value,
     pct_text,
     rowwise_mean,
     rowwise_std,

@@ -23,11 +23,6 @@ def safe_div(num: ColumnOrName, den: ColumnOrName) -> Column:
     return F.try_divide(_c(num), _c(den))
 
 
-def abs_pct_change(x: ColumnOrName, prev: ColumnOrName) -> Column:
-    """|x / prev - 1|, NULL for the first row or a zero previous value."""
-    return F.abs(safe_div(x, prev) - F.lit(1.0))
-
-
 def second_row(x: ColumnOrName, keys: Sequence[str], order: Sequence[ColumnOrName]) -> Column:
     """Value of the second row of the group in ``order`` (NULL when the group has one row).
 
@@ -38,13 +33,6 @@ def second_row(x: ColumnOrName, keys: Sequence[str], order: Sequence[ColumnOrNam
     return F.nth_value(_c(x), 2).over(w)
 
 
-def first_value(x: ColumnOrName, keys: Sequence[str], order: Sequence[ColumnOrName]) -> Column:
-    """First non-null value of the group in ``order``."""
-    w = (Window.partitionBy(*keys).orderBy(*order)
-         .rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
-    return F.first(_c(x), ignorenulls=True).over(w)
-
-
 def bin_right_closed(x: ColumnOrName, uppers: Sequence[float], labels: Sequence[float]) -> Column:
     """Right-closed binning ``(-inf, u0], (u0, u1], ...``; above the last bound -> NULL.
 

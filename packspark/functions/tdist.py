@@ -81,11 +81,8 @@ def t_ppf(q: float, df: float) -> float:
     return 0.5 * (lo + hi)
 
 
-_erfc = np.frompyfunc(math.erfc, 1, 1)
-
-
 def _phi(z: np.ndarray) -> np.ndarray:
-    return 0.5 * _erfc(-z / math.sqrt(2.0)).astype(float)
+    return 0.5 * np.frompyfunc(math.erfc, 1, 1)(-z / math.sqrt(2.0)).astype(float)
 
 
 def nct_cdf(t: float, df: float, nc: float, points: int = 4001) -> float:

@@ -7,10 +7,12 @@ result never depends on file order; ``order`` must be unique within a series.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -35,13 +37,6 @@ def _order_cols(order) -> list[Column]:
     return [F.col(o) if isinstance(o, str) else o for o in _as_list(order)]
 
 
-def rolling_stats(value: str, keys: Sequence[str], order, window: int) -> tuple[Column, Column]:
-    """Trailing-window median and population std (current row included, min_periods=1)."""
-    w = Window.partitionBy(*keys).orderBy(*_order_cols(order)).rowsBetween(-(window - 1), 0)
-    x = F.col(value)
-    return F.percentile(x, F.lit(0.5)).over(w), F.stddev_pop(x).over(w)
-
-
 def outlier_replace_expr(value: str, md: Column, sd: Column, sigma_multiplier: float) -> Column:
     """Replace ``x`` by the rolling median where ``|x - md| / sd > k``.
 
@@ -55,7 +50,7 @@ def outlier_replace_expr(value: str, md: Column, sd: Column, sigma_multiplier: f
 def rolling_outlier_replace(df: DataFrame, value: str | Sequence[str], keys: Sequence[str], order,
                             window: int = 5, sigma_multiplier: float = 0.1,
                             out: str | Sequence[str] | None = None, method: str = "auto",
-                            block_rows: int | None = None, position_method: str = "auto",
+                            block_rows: int | None = None, position_method: str = "window",
                             restore_partitioning: Sequence[str] | None = None) -> DataFrame:
     """Rolling outlier replacement of one or more columns, per series.
 
@@ -64,7 +59,7 @@ def rolling_outlier_replace(df: DataFrame, value: str | Sequence[str], keys: Seq
     ``'blocked'`` – rows numbered per series, cut into blocks of ``block_rows`` plus a
     ``window-1`` halo from the previous block, and each bounded block cleaned with a
     vectorised rolling median in an Arrow batch; ``'auto'`` picks by window width.
-    ``position_method`` (blocked only): ``'window'``, ``'range'`` or ``'auto'`` (size-checked),
+    ``position_method`` (blocked only): ``'window'`` or ``'range'``,
     see ``ordering.series_position``; ``'range'`` lets one huge series use many tasks, and
     the result is then repartitioned by ``restore_partitioning`` (default ``keys``).
     """
@@ -90,45 +85,38 @@ def rolling_outlier_replace(df: DataFrame, value: str | Sequence[str], keys: Seq
     raise ValueError(f"unknown method {method!r}")
 
 
-def _blocked_rolling(df, values, outs, keys, order, window, k, block_rows, position_method="auto",
+def _blocked_rolling(df, values, outs, keys, order, window, k, block_rows, position_method="window",
                      restore=None):
     """Blocked rolling filter.
 
     Rows are numbered per series, cut into blocks of ``b`` rows and each block gets the
     previous ``window-1`` rows as a halo, so every block is cleaned on its own; sorted
-    blocks are streamed through ``mapInPandas`` (vectorised grouped rolling median; memory
-    per task is one Arrow batch plus at most one block).
+    blocks are streamed through ``mapInArrow`` (vectorised grouped rolling median; memory
+    per task is one Arrow batch plus at most one block).  Only the value columns (as doubles) are
+    looked at; the others pass through as they are.
 
-    Numbering is size-checked (``ordering.series_position``).  When every series fits one
-    task the blocks stay where the numbering put them (no extra shuffle).  When a series is
-    too large, it is numbered with the range layout and its blocks are hash-spread over
-    tasks.  The result is repartitioned by ``restore`` when given (and by the series keys
+    With ``position_method='window'`` the blocks stay where the numbering put them (no extra shuffle; the
+    numbering sorts with spilling).  With ``'range'`` a series is numbered over many tasks and its blocks are
+    hash-spread.  The result is repartitioned by ``restore`` when given (and by the series keys
     after a spread), so that later stages keyed by it share one exchange.
     """
-    from packspark.operators.median import groups_fit_one_task
     from packspark.operators.ordering import series_position
     b = int(block_rows or max(8 * window, 4096))
     if b < window - 1:
         raise ValueError("block_rows must be at least window - 1")
-    pm = position_method
-    if pm == "auto":
-        pm = "window" if groups_fit_one_task(df.select(*keys), keys) else "range"
-    spread = pm == "range"
-    d = series_position(df, keys, order, "_ps_idx", method=pm)
+    spread = position_method == "range"
+    d = series_position(df, keys, order, "_ps_idx", method=position_method)
     blk = F.floor(F.col("_ps_idx") / b)
     in_halo = (F.col("_ps_idx") % b) >= (b - (window - 1)) if window > 1 else F.lit(False)
     d = d.withColumn("_ps_own", blk).withColumn(
         "_ps_blk", F.explode(F.when(in_halo, F.array(blk, blk + 1)).otherwise(F.array(blk))))
-    for v, o in zip(values, outs):
-        if o != v:
-            d = d.withColumn(o, F.col(v))
+    d = d.withColumns({o: F.col(v).cast("double") for v, o in zip(values, outs)})
     out_schema = T.StructType(d.schema.fields)
     gcols = [*keys, "_ps_blk"]
     if spread:
         d = d.repartition(*gcols)
     d = d.sortWithinPartitions(*gcols, "_ps_idx")
-    clean = _block_cleaner(list(outs), gcols, window, k)
-    res = d.mapInPandas(clean, schema=out_schema).drop("_ps_idx", "_ps_own", "_ps_blk")
+    res = d.mapInArrow(_block_cleaner(list(outs), window, k), out_schema).drop("_ps_idx", "_ps_own", "_ps_blk")
     if spread or restore:
         # Spark does not carry a partitioning through mapInPandas: one explicit repartition
         # lets every later stage keyed by ``restore`` reuse it instead of shuffling per stage
@@ -136,43 +124,39 @@ def _blocked_rolling(df, values, outs, keys, order, window, k, block_rows, posit
     return res
 
 
-def _block_cleaner(out_cols, gcols, window, k):
-    def process(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.reset_index(drop=True)
-        by = [pdf[c] for c in gcols]
+def _block_cleaner(out_cols, window, k):
+    """Cleans sorted rows block by block.  A block starts where the block number changes or the position in
+    the series doesn't grow."""
+    def starts(t: pa.Table) -> np.ndarray:
+        blk, idx = t.column("_ps_blk").to_numpy(), t.column("_ps_idx").to_numpy()
+        return np.append(True, (blk[1:] != blk[:-1]) | (idx[1:] <= idx[:-1]))
+
+    def process(t: pa.Table) -> Iterator[pa.RecordBatch]:
+        group = np.cumsum(starts(t))
         for o in out_cols:
-            s = pdf[o].astype("float64")
-            r = s.groupby(by, sort=False, dropna=False).rolling(window, min_periods=1)
-            md = r.median().droplevel(list(range(len(gcols)))).reindex(pdf.index)
-            sd = r.std(ddof=0).droplevel(list(range(len(gcols)))).reindex(pdf.index)
-            hit = ((s - md).abs() > k * sd).fillna(False).to_numpy()
-            vals = s.to_numpy(copy=True)
-            vals[hit] = md.to_numpy()[hit]
-            pdf[o] = vals
-        return pdf[pdf["_ps_blk"] == pdf["_ps_own"]]
-
-    def same_as_last(pdf: pd.DataFrame) -> np.ndarray:
-        m = np.ones(len(pdf), dtype=bool)
-        for c in gcols:
-            col = pdf[c]
-            last = col.iloc[-1]
-            m &= (col.isna().to_numpy() if pd.isna(last) else (col == last).to_numpy())
-        return m
-
-    def run(batches):
-        carry = None
-        for pdf in batches:
-            if carry is not None and len(carry):
-                pdf = pd.concat([carry, pdf], ignore_index=True)
-            if not len(pdf):
+            s = pd.Series(t.column(o).to_numpy(), dtype="float64")
+            r = s.groupby(group, sort=False).rolling(window, min_periods=1)
+            md, sd = r.median().to_numpy(), r.std(ddof=0).to_numpy()
+            x = s.to_numpy()
+            hit = np.abs(x - md) > k * sd
+            t = t.set_column(t.schema.get_field_index(o), t.schema.field(o),
+                             pa.array(np.where(hit, md, x), pa.float64(), mask=np.isnan(x)))
+        own = pc.equal(t.column("_ps_blk"), t.column("_ps_own"))
+        yield from t.filter(own).to_batches()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None
+        for batch in batches:
+            t = pa.Table.from_batches([batch])
+            t = t if held is None else pa.concat_tables([held, t])
+            if not t.num_rows:
                 continue
-            tail = same_as_last(pdf)
-            carry = pdf[tail]
-            done = pdf[~tail]
-            if len(done):
-                yield process(done)
-        if carry is not None and len(carry):
-            yield process(carry)
+            last = int(np.flatnonzero(starts(t))[-1])
+            if last:
+                yield from process(t.slice(0, last))
+            held = t.slice(last)
+        if held is not None and held.num_rows:
+            yield from process(held)
 
     return run
 
@@ -210,7 +194,7 @@ def clamp_early_global(df: DataFrame, value: str, by: Sequence[str], order: str
 
     The median table has one row per ``by`` group (e.g. one per cycling state); it is an
     exact median computed without gathering a group into one task (a state holds a large
-    share of all rows; ``median.median_table`` picks the method by group size).  It is joined
+    share of all rows).  It is joined
     back without a hint: adaptive execution measures
     the materialised table and turns the join into a broadcast only when it is below
     the broadcast threshold, otherwise it stays a shuffle join.
@@ -238,14 +222,3 @@ def group_screen(df: DataFrame, keys: Sequence[str], value: str = "norm_discharg
     ok = ((F.min(value).over(w) > min_above) & (F.max(value).over(w) < max_below)
           & (F.max(order).over(w) > min_last_order))
     return df.withColumn("_ps_ok", ok).where(F.col("_ps_ok")).drop("_ps_ok")
-
-
-def numpy_rolling_replace(values: np.ndarray, window: int, k: float) -> np.ndarray:
-    """Sequential reference implementation (tests only)."""
-    s = pd.Series(values, dtype="float64")
-    r = s.rolling(window, min_periods=1)
-    md, sd = r.median(), r.std(ddof=0)
-    hit = ((s - md).abs() > k * sd).fillna(False).to_numpy()
-    out = s.to_numpy(copy=True)
-    out[hit] = md.to_numpy()[hit]
-    return out

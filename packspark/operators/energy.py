@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from statistics import NormalDist
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -34,8 +35,12 @@ def raw_discharge_energy(df: DataFrame, keys: Sequence[str] = CYCLE_KEYS, cycle:
                  .alias("raw_discharge_energy")))
 
 
-def _z_table():
-    rows = [EXPECTED_NORMAL_ORDER.get(n, [0.0] * n) for n in range(1, 7)]
+def _z_table(most: int):
+    """Expected normal order statistics of 1..most values, largest first: fixed values up to six, beyond them
+    the quantiles at (i - 3/8) / (n + 1/4)."""
+    inv = NormalDist().inv_cdf
+    rows = [EXPECTED_NORMAL_ORDER.get(n) or [-inv((i - 0.375) / (n + 0.25)) for i in range(1, n + 1)]
+            for n in range(1, most + 1)]
     return F.array(*[F.array(*[F.lit(float(z)) for z in r]) for r in rows])
 
 
@@ -63,9 +68,9 @@ def early_cycle_adjust(df: DataFrame, value: str = "raw_discharge_energy",
          .withColumn("_ps_hit", F.max(F.when(F.col("_ps_pct") > threshold, 1).otherwise(0)).over(wall)))
     if mode == "expected":
         n, i = F.col("_ps_n").cast("int"), F.col("_ps_i").cast("int")
-        row = F.try_element_at(_z_table(), F.greatest(F.least(n, F.lit(6)), F.lit(1)))
-        z = F.when((n >= 1) & (n <= 6) & (i <= n), F.try_element_at(row, F.greatest(i, F.lit(1)))
-                   ).otherwise(F.lit(0.0))
+        most = max(6, int(before_cycle))     # whole cycles from 0 or 1: no more early rows than that
+        row = F.try_element_at(_z_table(most), F.greatest(F.least(n, F.lit(most)), F.lit(1)))
+        z = F.when((n >= 1) & (i <= n), F.try_element_at(row, F.greatest(i, F.lit(1)))).otherwise(F.lit(0.0))
         fill = F.col("_ps_md") * (F.lit(1.0) + F.lit(float(spread)) * z)
     elif mode == "median":
         fill = F.col("_ps_md")
@@ -75,30 +80,19 @@ def early_cycle_adjust(df: DataFrame, value: str = "raw_discharge_energy",
     return d.drop("_ps_pct", "_ps_i", "_ps_n", "_ps_md", "_ps_hit")
 
 
-def cycle_band(e: DataFrame, value: str, by: Sequence[str], method: str = "auto",
-               checkpoint: bool = True) -> DataFrame:
+def cycle_band(e: DataFrame, value: str, by: Sequence[str], method: str = "window") -> DataFrame:
     """Adds ``mean_energy`` (median of ``value``) and ``std_energy`` (ddof=1) per ``by`` group.
 
-    ``'window'``: one window per group (a group is handled by one task; single pass).
-    ``'distributed'``: a statistics table (exact median without gathering a group into one
-    task, partial-aggregated std) joined back; adaptive execution broadcasts it when small
-    and splits skewed join keys.  ``'auto'``: measures the largest group with one
-    partial-aggregated job and uses the window only when every group fits one task.
+    ``'window'``: one window per group, in a single pass; a group is the packs of one test at one cycle.
+    ``'distributed'``: a statistics table (exact median without gathering a group into one task,
+    partial-aggregated std) joined back, for tests with too many packs for one task.  Both give the same
+    result; neither starts a job while the plan is built.
     """
     by = list(by)
-    if method == "auto":
-        from packspark.operators.median import groups_fit_one_task
-        # rows per (test, cycle) group = packs of the test with that cycle
-        method = "window" if groups_fit_one_task(e.select(*by), by) else "distributed"
     if method == "window":
         w = Window.partitionBy(*by)
         return e.withColumn("mean_energy", F.median(value).over(w)).withColumn("std_energy", F.stddev_samp(value).over(w))
     from packspark.operators.median import group_median
-    if checkpoint:
-        # the intermediate is read by three branches; a reliable checkpoint in the shared
-        # checkpoint folder keeps them from recomputing the whole window lineage
-        from packspark.session import cut_lineage
-        e = cut_lineage(e)
     stats = (e.groupBy(*by).agg(F.stddev_samp(value).alias("std_energy"))
              .join(group_median(e, value, by, out="mean_energy"), on=by, how="left"))
     return e.join(stats, on=by, how="left")
@@ -106,7 +100,7 @@ def cycle_band(e: DataFrame, value: str, by: Sequence[str], method: str = "auto"
 
 def discharge_energy(df: DataFrame, window: int = 7, sigma_multiplier: float = 0.1, raw: bool = False,
                      keys: Sequence[str] = CYCLE_KEYS, cycle: str = "cycle",
-                     early_mode: str = "expected", band_method: str = "auto") -> DataFrame:
+                     early_mode: str = "expected", band_method: str = "window") -> DataFrame:
     """Per (doe, instance, cycle) discharge energy, cleaned, with per-(doe, cycle) band.
 
     ``raw=True`` stops after the early-cycle adjustment (columns ``raw_discharge_energy``

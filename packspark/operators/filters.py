@@ -35,16 +35,6 @@ def filter_by_doe_instance(df: DataFrame, pairs: Sequence[tuple], cols: tuple[st
     return df.join(F.broadcast(p), on=list(cols), how="inner").drop("_ps_pos")
 
 
-def drop_by_list(df: DataFrame, drop: DataFrame, on: str | Sequence[str]) -> DataFrame:
-    """Anti filter: remove rows whose key appears in ``drop``."""
-    return df.join(drop, on=on, how="left_anti")
-
-
-def state_filter(df: DataFrame, states: str | Iterable[str], col: str = "cycling_substate") -> DataFrame:
-    s = [states] if isinstance(states, str) else list(states)
-    return df.where(F.col(col).isin(s))
-
-
 def cycle_window_filter(df: DataFrame, lo: int, hi: int, skip_every: int | None = None,
                         col: str = "cycle") -> DataFrame:
     """Cycles in ``[lo, hi]``, optionally without multiples of ``skip_every`` (e.g. test cycles)."""

@@ -1,12 +1,11 @@
 """Exact group median that never gathers a group into one task.
 
 ``F.median`` (and a window median) hands every value of a group to one task; a group
-holding a third of all rows would then be sorted by a single task.  Here the rows are
-range-partitioned by (group, value), so a large group is spread over many tasks in
-value order.  Per partition and group ("cell") only a count is kept; cumulative counts
-give each cell's first rank, and the middle ranks are looked up inside their cells.
-Every task holds at most one range partition.  The result equals ``percentile(x, 0.5)``:
-the mean of the values at ranks floor((n-1)/2) and ceil((n-1)/2).
+holding a third of all rows would then be sorted by a single task.  Here equal values of a group are
+counted first (map-side), a group's values are cut into ``BUCKETS`` equal steps between its smallest and
+largest value, counts per bucket give the first rank of each, and the middle ranks are looked up inside the
+(at most two) buckets that hold them.  Everything is lazy and depends on values only.
+The result equals ``percentile(x, 0.5)``: the mean of the values at ranks floor((n-1)/2) and ceil((n-1)/2).
 """
 
 from __future__ import annotations
@@ -16,98 +15,66 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from packspark.session import cut_lineage
 
+BUCKETS = 4096
 
-def group_median(df: DataFrame, value: str, by: Sequence[str] = (), out: str = "median",
-                 partitions: int | None = None) -> DataFrame:
+
+def group_median(df: DataFrame, value: str, by: Sequence[str] = (), out: str = "median") -> DataFrame:
     """One row per group of ``by`` (one row overall when empty) with the exact median of ``value``."""
     by = list(by)
     keys = by or ["_ps_g"]
-    x = df.select(*by, F.col(value).alias("_ps_v")).where(F.col("_ps_v").isNotNull())
+    x = df.select(*by, F.col(value).cast("double").alias("_ps_v")).where(F.col("_ps_v").isNotNull())
     if not by:
         x = x.withColumn("_ps_g", F.lit(0))
-    n = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    # materialised once (reliable checkpoint in spark.checkpoint.dir): range bounds come from
-    # sampling, so branches that re-planned the exchange could assign rows differently
-    s = cut_lineage(x.repartitionByRange(n, *[F.col(k) for k in keys], F.col("_ps_v"))
-                    .withColumn("_ps_pid", F.spark_partition_id()))
-
-    # cells: (partition, group) -> count, first rank and the group size
-    cell = s.groupBy("_ps_pid", *keys).agg(F.count(F.lit(1)).alias("_ps_c"))
-    wg = Window.partitionBy(*keys)
-    cell = (cell.withColumn("_ps_start", F.coalesce(
-                F.sum("_ps_c").over(wg.orderBy("_ps_pid").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-            .withColumn("_ps_n", F.sum("_ps_c").over(wg)))
-    lo = F.floor((F.col("_ps_n") - 1) / 2)
-    hi = F.ceil((F.col("_ps_n") - 1) / 2)
-    cell = cell.withColumn("_ps_lo", lo).withColumn("_ps_hi", hi)
-    inside = lambda r: (r >= F.col("_ps_start")) & (r < F.col("_ps_start") + F.col("_ps_c"))
-    need = cell.where(inside(F.col("_ps_lo")) | inside(F.col("_ps_hi"))) \
-        .select("_ps_pid", *keys, "_ps_start", "_ps_lo", "_ps_hi")
-
-    # ranks inside the (at most two) cells per group that hold the middle values
-    picked = s.join(need, on=["_ps_pid", *keys], how="inner")
-    rank = F.col("_ps_start") + F.row_number().over(Window.partitionBy("_ps_pid", *keys).orderBy("_ps_v")) - 1
-    picked = picked.withColumn("_ps_r", rank) \
-        .where((F.col("_ps_r") == F.col("_ps_lo")) | (F.col("_ps_r") == F.col("_ps_hi")))
-    med = picked.groupBy(*keys).agg(
-        (F.max(F.when(F.col("_ps_r") == F.col("_ps_lo"), F.col("_ps_v"))) * 0.5
-         + F.max(F.when(F.col("_ps_r") == F.col("_ps_hi"), F.col("_ps_v"))) * 0.5).alias(out))
+    counts = x.groupBy(*keys, "_ps_v").agg(F.count(F.lit(1)).alias("_ps_c"))
+    span = counts.groupBy(*keys).agg(F.min("_ps_v").alias("_ps_min"), F.max("_ps_v").alias("_ps_max"),
+                                     F.sum("_ps_c").alias("_ps_n"))
+    v, lo, hi = F.col("_ps_v"), F.col("_ps_min"), F.col("_ps_max")
+    step = F.when(hi > lo, F.floor((v - lo) / (hi - lo) * BUCKETS)).otherwise(F.lit(0))
+    same = [F.col(f"a.{k}").eqNullSafe(F.col(f"b.{k}")) for k in keys]
+    cond = same[0]
+    for c in same[1:]:
+        cond = cond & c
+    placed = counts.alias("a").join(span.alias("b"), cond).select(
+        *[F.col(f"a.{k}").alias(k) for k in keys], "_ps_v", "_ps_c", "_ps_n", step.alias("_ps_b"))
+    cell = placed.groupBy(*keys, "_ps_b").agg(F.sum("_ps_c").alias("_ps_k"), F.max("_ps_n").alias("_ps_n"))
+    before = Window.partitionBy(*keys).orderBy("_ps_b").rowsBetween(Window.unboundedPreceding, -1)
+    cell = cell.withColumn("_ps_start", F.coalesce(F.sum("_ps_k").over(before), F.lit(0)))
+    low, high = F.floor((F.col("_ps_n") - 1) / 2), F.ceil((F.col("_ps_n") - 1) / 2)
+    inside = lambda r, at, n: (r >= at) & (r < at + n)
+    need = cell.where(inside(low, F.col("_ps_start"), F.col("_ps_k")) | inside(high, F.col("_ps_start"), F.col("_ps_k"))) \
+        .select(*keys, "_ps_b", "_ps_start")
+    both = [F.col(f"a.{k}").eqNullSafe(F.col(f"b.{k}")) for k in (*keys, "_ps_b")]
+    cond = both[0]
+    for c in both[1:]:
+        cond = cond & c
+    picked = placed.alias("a").join(need.alias("b"), cond).select(
+        *[F.col(f"a.{k}").alias(k) for k in keys], F.col("a._ps_b").alias("_ps_b"), "_ps_v", "_ps_c", "_ps_n", "_ps_start")
+    w = Window.partitionBy(*keys, "_ps_b").orderBy("_ps_v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    picked = picked.withColumn("_ps_at", F.col("_ps_start") + F.sum("_ps_c").over(w) - F.col("_ps_c"))
+    at = lambda r: F.max(F.when(inside(r, F.col("_ps_at"), F.col("_ps_c")), F.col("_ps_v")))
+    med = picked.groupBy(*keys).agg((at(low) * 0.5 + at(high) * 0.5).alias(out))
     return med if by else med.drop("_ps_g")
 
 
-# A window or a plain median sorts/buffers a whole group in one task; beyond this many
-# rows per group the distributed median is used instead.
-MAX_GROUP_ROWS_ONE_TASK = 2_000_000
-
-
-# When the optimizer's size estimate of the whole input is below this, no group can be too
-# big for one task and the counting job is skipped (the same statistic that drives the
-# automatic broadcast decision).
-SMALL_INPUT_BYTES = 64 * 1024 * 1024
-
-
-def plan_size_bytes(df: DataFrame) -> int | None:
-    """Optimizer size estimate of ``df`` in bytes, or None when unavailable."""
-    try:
-        v = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
-        return int(v) if isinstance(v, int) else int(v.toString())
-    except Exception:  # noqa: BLE001 - e.g. a remote session without a JVM handle
-        return None
-
-
-def largest_group(df: DataFrame, by: Sequence[str]) -> int:
-    """Row count of the largest group (one partial-aggregated job; returns a single number)."""
-    r = df.groupBy(*by).count().agg(F.max("count").alias("m")).first()
-    return int(r["m"] or 0)
-
-
-def groups_fit_one_task(df: DataFrame, by: Sequence[str], limit: int = MAX_GROUP_ROWS_ONE_TASK) -> bool:
-    size = plan_size_bytes(df)
-    if size is not None and size <= SMALL_INPUT_BYTES:
-        return True
-    return largest_group(df, by) <= limit
-
-
 def median_table(df: DataFrame, value: str, by: Sequence[str] = (), out: str = "median",
-                 method: str = "auto") -> DataFrame:
+                 method: str = "counted") -> DataFrame:
     """Exact median per group, as a table.
 
-    ``'aggregate'``: ``median`` aggregate (a group's values meet in one task);
-    ``'distributed'``: ``group_median``; ``'auto'``: one partial-aggregated job measures the
-    largest group and picks ``'distributed'`` only when a group does not fit one task.
+    ``'counted'``: equal values of a group are counted map-side and only (value, count) rows are sorted per
+    group, with spilling; one pass over the input.  ``'distributed'`` (``group_median``) spreads these over tasks too,
+    for groups with very many different values; it reads the input more often.
     """
     by = list(by)
-    if method == "auto":
-        sized = df.where(F.col(value).isNotNull()).select(*by, value)
-        if by:
-            fits = groups_fit_one_task(sized, by)
-        else:
-            size = plan_size_bytes(sized)
-            fits = (size is not None and size <= SMALL_INPUT_BYTES) or sized.count() <= MAX_GROUP_ROWS_ONE_TASK
-        method = "aggregate" if fits else "distributed"
-    if method == "aggregate":
-        agg = F.median(value).alias(out)
-        return df.groupBy(*by).agg(agg) if by else df.agg(agg)
-    return group_median(df, value, by, out)
+    if method == "distributed":
+        return group_median(df, value, by, out)
+    keys = by or ["_ps_g"]
+    x = df.select(*by, F.col(value).cast("double").alias("_ps_v")).where(F.col("_ps_v").isNotNull())
+    counts = (x if by else x.withColumn("_ps_g", F.lit(0))).groupBy(*keys, "_ps_v").agg(F.count(F.lit(1)).alias("_ps_c"))
+    w = Window.partitionBy(*keys)
+    end = F.sum("_ps_c").over(w.orderBy("_ps_v").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    ranked = counts.withColumn("_ps_end", end).withColumn("_ps_n", F.sum("_ps_c").over(w))
+    low, high = F.floor((F.col("_ps_n") - 1) / 2), F.ceil((F.col("_ps_n") - 1) / 2)
+    at = lambda r: F.min(F.when(r < F.col("_ps_end"), F.col("_ps_v")))
+    med = ranked.groupBy(*keys).agg((at(low) * 0.5 + at(high) * 0.5).alias(out))
+    return med if by else med.drop("_ps_g")

@@ -16,7 +16,6 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from packspark.operators.median import groups_fit_one_task
 from packspark.session import cut_lineage
 
 
@@ -24,17 +23,15 @@ def _cols(order) -> list[Column]:
     return [F.col(o) if isinstance(o, str) else o for o in ([order] if isinstance(order, (str, Column)) else order)]
 
 
-def series_position(df: DataFrame, keys: Sequence[str], order, out: str = "_ps_idx", method: str = "auto",
+def series_position(df: DataFrame, keys: Sequence[str], order, out: str = "_ps_idx", method: str = "window",
                     partitions: int | None = None) -> DataFrame:
     """Adds ``out``: 0-based position of the row within its series in ``order``.
 
-    ``method``: ``'window'`` (one sort per series), ``'range'`` (range-partitioned, a
-    series may span many tasks) or ``'auto'`` (one partial-aggregated job measures the
-    largest series and picks ``'range'`` only when it does not fit one task).
+    ``method``: ``'window'`` (one spilling sort per series, lazy) or ``'range'`` (range-partitioned, so a
+    series may span many tasks; the numbered frame is written to the checkpoint folder at once).
+    Both give the same positions.
     """
     keys = list(keys)
-    if method == "auto":
-        method = "window" if groups_fit_one_task(df.select(*keys), keys) else "range"
     if method == "window":
         return df.withColumn(out, (F.row_number().over(Window.partitionBy(*keys).orderBy(*_cols(order))) - 1)
                              .cast("long"))

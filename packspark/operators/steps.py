@@ -135,9 +135,11 @@ def charge_steps(df: DataFrame, cc_end: str = "state", current_threshold: float
 
     # -- each sample belongs to the closed intervals [T_j, T_{j+1}] containing it:
     #    a = last boundary index with T <= e, b = first with T >= e; intervals b-1 .. a
+    #    (b runs over the reversed order: a frame that only grows is one pass over the series)
     wpos = Window.partitionBy(*keys).orderBy("_ps_pos")
+    wrev = Window.partitionBy(*keys).orderBy(F.col("_ps_pos").desc())
     d = (d.withColumn("_ps_a", F.max("_ps_j").over(wpos.rangeBetween(Window.unboundedPreceding, 0)))
-         .withColumn("_ps_b", F.min("_ps_j").over(wpos.rangeBetween(0, Window.unboundedFollowing))))
+         .withColumn("_ps_b", F.min("_ps_j").over(wrev.rangeBetween(Window.unboundedPreceding, 0))))
     lo = F.greatest(F.col("_ps_b") - 1, F.lit(0))
     hi = F.least(F.col("_ps_a"), m)
     own = em == 0

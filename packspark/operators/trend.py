@@ -4,11 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from packspark.functions.columns import safe_div
 from packspark.schema import CYCLE_KEYS
@@ -73,74 +70,34 @@ def fit_segments(series: DataFrame, target_energy: float = 0.64, last_n: int = 3
             .drop("_ps_m", "_ps_b"))
 
 
-def _sequential_jumps(pdf: pd.DataFrame, value: str, cycle: str, thr_pc: float, start: int, closest: int,
-                      n: int) -> pd.DataFrame:
-    """One series, in cycle order, processed jump by jump (used when jumps may be adjacent)."""
-    pdf = pdf.sort_values(cycle, kind="stable").reset_index(drop=True)
-    cyc = pdf[cycle].to_numpy()
-    x = pdf[value].astype("float64").to_numpy().copy()
-    prev = np.r_[np.nan, x[:-1]]
-    with np.errstate(divide="ignore", invalid="ignore"):
-        pct = np.abs(x / prev - 1.0)
-    cand = [i for i in range(len(x)) if pct[i] > thr_pc / 100.0 and cyc[i] >= start]
-    kept: list[int] = []
-    for i in cand:
-        if kept and cyc[i] - cyc[kept[-1]] < closest:
-            kept[-1] = i
-        else:
-            kept.append(i)
-    keep = np.zeros(len(x), dtype=bool)
-    energy = np.full(len(x), np.nan)
-    pct_seen = np.full(len(x), np.nan)
-    length = np.zeros(len(x))
-    for i in kept:
-        c = cyc[i]
-        keep[i], energy[i] = True, x[i]
-        pct_seen[i] = abs(x[i] / x[i - 1] - 1.0) * 100.0 if i > 0 else np.nan
-        win = x[(cyc >= c - 2) & (cyc <= c + n)]
-        if len(win) > 1:
-            length[i] = np.max(win[1:] - win[0])
-            x[cyc >= c] -= length[i]
-    pdf["_ps_out"], pdf["_ps_keep"], pdf["_ps_energy"] = x, keep, energy
-    pdf["_ps_pct"], pdf["_ps_len"] = pct_seen, length
-    return pdf
-
-
-def _jumps_grouped(df, value, keys, cycle, thr, start, closest, n):
-    schema = T.StructType(df.schema.fields + [
-        T.StructField("_ps_out", T.DoubleType()), T.StructField("_ps_keep", T.BooleanType()),
-        T.StructField("_ps_energy", T.DoubleType()), T.StructField("_ps_pct", T.DoubleType()),
-        T.StructField("_ps_len", T.DoubleType())])
-    return df.groupBy(*keys).applyInPandas(
-        lambda pdf: _sequential_jumps(pdf, value, cycle, thr, start, closest, n), schema=schema)
-
-
 def _jump_frame(df, value, keys, cycle, jump_threshold_pc, start_cycle, closest_cycles, jump_cycle_neighbors):
     """Columns ``_ps_out`` (adjusted), ``_ps_keep``, ``_ps_len``, ``_ps_shift`` per row.
 
-    ``closest_cycles >= 2`` (kept jumps at least two cycles apart): closed form with
-    windows - each jump's length only depends on original differences inside its
-    neighbourhood.  ``closest_cycles < 2``: jumps may be adjacent and neighbourhoods then
-    overlap earlier shifts, so each series is processed sequentially in one Arrow batch
-    (a series - one pack's cycles - is bounded).
+    Kept jumps are at least two cycles apart (``closest_cycles >= 2``), so each jump's length only depends on
+    original differences inside its neighbourhood: a closed form with windows.  Adjacent jumps would be
+    measured on rows that earlier ones have shifted; they are rejected.
     """
     keys = list(keys)
     if closest_cycles < 2:
-        return _jumps_grouped(df, value, keys, cycle, jump_threshold_pc, start_cycle, closest_cycles,
-                              jump_cycle_neighbors)
+        raise ValueError("closest_cycles must be at least 2")
     w = Window.partitionBy(*keys).orderBy(cycle)
     x = F.col(value)
     pct = F.abs(safe_div(x, F.lag(x).over(w)) - F.lit(1.0))
     cand = F.coalesce(pct > F.lit(jump_threshold_pc / 100.0), F.lit(False)) & (F.col(cycle) >= start_cycle)
     d = df.withColumn("_ps_cand", cand)
-    nxt = F.min(F.when(F.col("_ps_cand"), F.col(cycle))).over(w.rowsBetween(1, Window.unboundedFollowing))
+    # next candidate: a running minimum over the reversed order (the frame only grows)
+    wrev = Window.partitionBy(*keys).orderBy(F.col(cycle).desc())
+    nxt = F.min(F.when(F.col("_ps_cand"), F.col(cycle))).over(wrev.rowsBetween(Window.unboundedPreceding, -1))
     keep = F.col("_ps_cand") & (nxt.isNull() | (nxt - F.col(cycle) >= closest_cycles))
     d = d.withColumn("_ps_keep", keep)
     # neighbourhood [c-2, c+n] by cycle value: its size is bounded by n+3 rows per jump
-    near = Window.partitionBy(*keys).orderBy(cycle).rangeBetween(-2, jump_cycle_neighbors)
-    arr = F.array_sort(F.collect_list(F.struct(F.col(cycle).alias("c"), x.alias("v"))).over(near))
-    rest = F.array_max(F.transform(F.slice(arr, 2, F.greatest(F.size(arr) - 1, F.lit(1))), lambda s: s["v"]))
-    length = F.when(F.size(arr) > 1, rest - arr[0]["v"]).otherwise(F.lit(0.0))
+    # (cycles are whole numbers, unique in a series); its first row is one of c-2, c-1, c, and the
+    # largest of the others is a maximum over the range that starts after it
+    near = lambda a: Window.partitionBy(*keys).orderBy(cycle).rangeBetween(a, jump_cycle_neighbors)
+    first = F.min(cycle).over(near(-2)) - F.col(cycle)
+    rest = F.when(first == -2, F.max(x).over(near(-1))).when(first == -1, F.max(x).over(near(0))) \
+        .otherwise(F.max(x).over(near(1)))
+    length = F.when(F.count(F.lit(1)).over(near(-2)) > 1, rest - F.first(x).over(near(-2))).otherwise(F.lit(0.0))
     d = d.withColumn("_ps_len", F.when(F.col("_ps_keep"), length).otherwise(F.lit(0.0)))
     d = d.withColumn("_ps_shift", F.sum("_ps_len").over(w.rowsBetween(Window.unboundedPreceding, 0)))
     return d.withColumn("_ps_out", x - F.col("_ps_shift"))
@@ -168,10 +125,6 @@ def energy_jump_details(df: DataFrame, jump_threshold_pc: float = 0.2, start_cyc
     """One row per kept jump: cycle, energy and percent change as seen after earlier jumps were removed."""
     keys = list(keys)
     d = _jump_frame(df, value, keys, cycle, jump_threshold_pc, start_cycle, closest_cycles, jump_cycle_neighbors)
-    if closest_cycles < 2:
-        return (d.where("_ps_keep")
-                .select(*keys, cycle, F.col("_ps_energy").alias("energy"), F.col("_ps_pct").alias("jump_energy_pct"),
-                        F.col("_ps_len").alias("jump_length")))
     w = Window.partitionBy(*keys).orderBy(cycle)
     seen = F.col(value) - (F.col("_ps_shift") - F.col("_ps_len"))
     d = d.withColumn("_ps_prev", F.lag("_ps_out").over(w))

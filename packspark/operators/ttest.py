@@ -58,15 +58,18 @@ def _finisher(alternative: str):
 
 
 def interpret(df: DataFrame) -> DataFrame:
-    """Plain-language reading of p, BF10, |d| and power."""
-    return (df.withColumn("significance", F.when(F.col("p_val") < 0.05, "statistically significant")
-                          .otherwise("not statistically significant"))
-            .withColumn("bayes_support", F.when(F.col("bf10") >= 1.0, "change").otherwise("no change"))
-            .withColumn("effect_size", F.when(F.col("cohen_d") < 0.2, "a very small impact")
+    """Plain-language reading of p, BF10, |d| and power; a reading is NULL where its number is undefined."""
+    def known(c):
+        return F.col(c).isNotNull() & ~F.isnan(c)
+
+    return (df.withColumn("significance", F.when(known("p_val"), F.when(F.col("p_val") < 0.05, "statistically significant")
+                          .otherwise("not statistically significant")))
+            .withColumn("bayes_support", F.when(known("bf10"), F.when(F.col("bf10") >= 1.0, "change").otherwise("no change")))
+            .withColumn("effect_size", F.when(known("cohen_d"), F.when(F.col("cohen_d") < 0.2, "a very small impact")
                         .when(F.col("cohen_d") < 0.5, "a small impact")
-                        .when(F.col("cohen_d") < 0.8, "a moderate impact").otherwise("a substantial impact"))
-            .withColumn("power_reading", F.when(F.col("power") >= 0.8, "detects a true difference")
-                        .otherwise("might not detect a true difference")))
+                        .when(F.col("cohen_d") < 0.8, "a moderate impact").otherwise("a substantial impact")))
+            .withColumn("power_reading", F.when(known("power"), F.when(F.col("power") >= 0.8, "detects a true difference")
+                        .otherwise("might not detect a true difference"))))
 
 
 def welch_ttest(df: DataFrame, value: str, sample: str, first, second, by: Sequence[str] = (),

@@ -92,14 +92,18 @@ POLARIZATION_COLS = [f"cell{i}_delta_voltage" for i in range(1, 6)] + ["pack_del
 def polarization(df: DataFrame) -> DataFrame:
     """Max − min cell and pack voltage of the rest states, one row per (doe, instance, cycle, state).
 
-    The cycle table holds one row per key; should it hold more, the first row in the
-    state's ``start_time`` order (else any) is used, as a deterministic ``min_by``.
+    The cycle table holds one row per key; of several rows the first one is used: the smallest
+    ``start_time`` when there is that column, ties by the values themselves.
     """
     d = df.where(F.col("cycling_substate").isin(*REST_STATES))
     cols = {f"cell{i}_delta_voltage": F.col(f"max_cell{i}_voltage_v") - F.col(f"min_cell{i}_voltage_v")
             for i in range(1, 6)}
     cols["pack_delta_voltage"] = F.col("max_rest_voltage_v") - F.col("min_rest_voltage_v")
-    return d.select(*CYCLE_KEYS, "cycle", "cycling_substate", *[c.alias(n) for n, c in cols.items()])
+    keys = [*CYCLE_KEYS, "cycle", "cycling_substate"]
+    at = [F.col("start_time")] if "start_time" in d.columns else []
+    row = F.struct(*[c.alias(n) for n, c in cols.items()])
+    one = d.groupBy(*keys).agg(F.min_by(row, F.struct(*at, row)).alias("_ps_row"))
+    return one.select(*keys, *[F.col("_ps_row")[n].alias(n) for n in cols])
 
 
 def polarization_clean(df: DataFrame, window: int = 5, sigma_multiplier: float = 0.1) -> DataFrame:
@@ -109,10 +113,15 @@ def polarization_clean(df: DataFrame, window: int = 5, sigma_multiplier: float =
 
 
 def temperature_clean(df: DataFrame, y: str = "max_temp", x: str = "cycle", clean_first_n_cycles: int = 5,
-                      window: int = 7, sigma_multiplier: float = 0.5) -> DataFrame:
-    """Per state: drop NULL ``y``, early cycles to the state-wide median, then clean per pack."""
+                      window: int = 7, sigma_multiplier: float = 0.5, extra: Sequence[str] = ()) -> DataFrame:
+    """Per state: drop NULL ``y``, early cycles to the state-wide median, then clean per pack.
+
+    ``extra`` columns are carried along; ``doe_instance`` is made from the pack key when it is missing."""
     d = df.where(F.col("cycling_substate").isin(*STATE_CELL_KIND)).where(F.col(y).isNotNull())
-    d = d.select(*CYCLE_KEYS, "cycling_substate", x, y)
+    more = [c for c in extra if c not in (*CYCLE_KEYS, "cycling_substate", x, y)]
+    if "doe_instance" in more and "doe_instance" not in d.columns:
+        d = d.withColumn("doe_instance", F.concat_ws("_", *[F.col(k).cast("string") for k in CYCLE_KEYS]))
+    d = d.select(*CYCLE_KEYS, "cycling_substate", x, y, *more)
     d = clamp_early_global(d, y, ["cycling_substate"], x, clean_first_n_cycles)
     return rolling_outlier_replace(d, y, [*CYCLE_KEYS, "cycling_substate"], x, window, sigma_multiplier)
 
@@ -120,7 +129,7 @@ def temperature_clean(df: DataFrame, y: str = "max_temp", x: str = "cycle", clea
 def temperature_series(df: DataFrame, y: str = "max_temp", x: str = "cycle", hue: str = "instance_number",
                        clean_first_n_cycles: int = 5, window: int = 7, sigma_multiplier: float = 0.5) -> DataFrame:
     """Mean and 95 % interval of the cleaned temperature per state, x and hue."""
-    t = temperature_clean(df, y, x, clean_first_n_cycles, window, sigma_multiplier)
+    t = temperature_clean(df, y, x, clean_first_n_cycles, window, sigma_multiplier, extra=[hue])
     return mean_ci(t, x, y, ["cycling_substate", hue])
 
 

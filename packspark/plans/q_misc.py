@@ -198,14 +198,16 @@ SELECT doe, instance,
          AS position
 FROM ids""", ids=["S4", "F10", "O1", "A20"])
 def q_instance_order(spark, sf):
+    from packspark.operators.ordering import series_position
     from packspark.schema import instance_sort_cols
-    from pyspark.sql import Window
     r = ad.series_view(spark, sf).select("doe", "instance")
     # numeric ids and a prefixed (non-numeric) twin of each, from one scan
     ids = r.select("doe", F.explode(F.array(F.col("instance"), F.concat(F.lit("p"), "instance"))).alias("instance")) \
         .distinct()
-    w = Window.partitionBy("doe").orderBy(*instance_sort_cols("instance"))
-    return ids.withColumn("position", F.row_number().over(w))
+    # one test may hold all packs: positions are counted over range partitions, not in one task
+    order = instance_sort_cols("instance")
+    placed = series_position(ids, ["doe"], order, "_ps_at", method="range")
+    return placed.withColumn("position", F.col("_ps_at") + 1)
 
 
 @register("state_labels", "cycling_substate:s, state_label:s, metric_label:s, n:l",

@@ -39,20 +39,20 @@ def cell_cols(kind: str) -> list[str]:
     return [f"{kind}_cell{i}_voltage_v" for i in CELLS]
 
 
-def _metric_list() -> list[str]:
-    base = ["start_time", "end_time", "capacity", "soc_5_min", "time", "energy", "energy_rest",
-            "capacity_charge_cc", "capacity_charge_cv", "time_charge_cc", "time_charge_cv",
-            "energy_charge_cc", "energy_charge_cv", "avg_temp", "max_temp", "min_temp"]
-    base += [f"{a}_{b}_voltage" for b in ("mean", "min", "max") for a in ("mean", "min", "max")]
-    base += [f"{a}_{b}_current" for b in ("mean", "min", "max") for a in ("mean", "min", "max")]
-    base += ["avg_sum_cell_voltage_v"]
-    base += [f"{a}_cell{i}_voltage_v" for i in range(1, 7) for a in ("avg", "min", "max")]
-    base += [f"{a}_rest_{q}" for q in ("current_a", "voltage_v") for a in ("avg", "min", "max")]
-    base += ["dcir"]
-    return base
-
-
-ALL_COLUMNS = ("doe_number", "instance_number", "cycle", "cycling_substate", *_metric_list())
+# All columns of the cycle summary table.
+ALL_COLUMNS = (
+    "doe_number", "instance_number", "cycle", "cycling_substate", "start_time", "end_time", "capacity", "soc_5_min",
+    "time", "energy", "energy_rest", "capacity_charge_cc", "capacity_charge_cv", "time_charge_cc", "time_charge_cv",
+    "energy_charge_cc", "energy_charge_cv", "avg_temp", "max_temp", "min_temp", "mean_mean_voltage", "min_mean_voltage",
+    "max_mean_voltage", "mean_min_voltage", "min_min_voltage", "max_min_voltage", "mean_max_voltage", "min_max_voltage",
+    "max_max_voltage", "mean_mean_current", "min_mean_current", "max_mean_current", "mean_min_current",
+    "min_min_current", "max_min_current", "mean_max_current", "min_max_current", "max_max_current",
+    "avg_sum_cell_voltage_v", "avg_cell1_voltage_v", "min_cell1_voltage_v", "max_cell1_voltage_v",
+    "avg_cell2_voltage_v", "max_cell2_voltage_v", "min_cell2_voltage_v", "avg_cell3_voltage_v", "min_cell3_voltage_v",
+    "max_cell3_voltage_v", "avg_cell4_voltage_v", "min_cell4_voltage_v", "max_cell4_voltage_v", "avg_cell5_voltage_v",
+    "min_cell5_voltage_v", "max_cell5_voltage_v", "avg_cell6_voltage_v", "min_cell6_voltage_v", "max_cell6_voltage_v",
+    "avg_rest_current_a", "min_rest_current_a", "max_rest_current_a", "avg_rest_voltage_v", "min_rest_voltage_v",
+    "max_rest_voltage_v", "dcir")
 
 
 def instance_sort_cols(col: str = "instance_number") -> list[Column]:

@@ -63,10 +63,6 @@ def cut_lineage(df, eager: bool = True):
     return df.checkpoint(eager=eager)
 
 
-def scratch_dir(prefix: str = "packspark-") -> str:
-    return tempfile.mkdtemp(prefix=prefix, dir=os.environ.get("TMPDIR", "/tmp"))
-
-
 def cluster_conf(input_bytes: int, target_partition_bytes: int = 256 * 1024 * 1024) -> dict[str, str]:
     """Suggested settings for a large input (e.g. 100 TB): partitions sized to fit executor
     memory, adaptive coalescing and skew splitting on.  Apply when building the session."""

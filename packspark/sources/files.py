@@ -20,17 +20,24 @@ def read_csv(spark: SparkSession, path: str, columns: Sequence[str] | None = Non
     return nan_to_null(df.select(*columns) if columns else df)
 
 
-def read_data(spark: SparkSession, data: str | DataFrame, schema: T.StructType | str | None = None) -> DataFrame:
-    """Time-series data from a DataFrame or a ``.csv`` / ``.parquet`` path, keys renamed to the
-    time-series dialect (doe, instance, cycle_num, charging_state_name)."""
+def file_format(path: str, fmt: str | None = None) -> str:
+    """``fmt`` (csv or parquet; a folder of files needs it), else what the path's ending says."""
+    fmt = fmt or path.rstrip("/").rpartition(".")[2]
+    if fmt not in ("csv", "parquet"):
+        raise ValueError("the data file extension should be .csv or .parquet, or fmt given")
+    return fmt
+
+
+def read_data(spark: SparkSession, data: str | DataFrame, schema: T.StructType | str | None = None,
+              fmt: str | None = None) -> DataFrame:
+    """Time-series data from a DataFrame, or a file or folder of CSV or parquet (see ``file_format``), keys
+    renamed to the time-series dialect (doe, instance, cycle_num, charging_state_name)."""
     if isinstance(data, DataFrame):
         df = data
-    elif data.endswith(".csv"):
+    elif file_format(data, fmt) == "csv":
         df = read_csv(spark, data, schema=schema)
-    elif data.endswith(".parquet"):
-        df = spark.read.parquet(data)
     else:
-        raise ValueError("the data file extension should be .csv or .parquet")
+        df = spark.read.parquet(data)
     return rename_cycle_to_series(df)
 
 

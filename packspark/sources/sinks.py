@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from packspark.sources.files import file_format
+
 
 def database_exists(spark: SparkSession, name: str) -> bool:
     return spark.catalog.databaseExists(name)
@@ -44,13 +46,11 @@ def export(df: DataFrame, path: str, fmt: str = "csv", mode: str = "overwrite")
 
 
 def load_file_to_table(spark: SparkSession, path: str, table: str, database: str | None = None,
-                       if_exists: str = "replace", schema=None) -> str:
-    """Load a CSV or parquet file into a catalog table (database created when absent)."""
-    if path.endswith(".csv"):
+                       if_exists: str = "replace", schema=None, fmt: str | None = None) -> str:
+    """Load a file or folder of CSV or parquet into a catalog table (database created when absent)."""
+    if file_format(path, fmt) == "csv":
         r = spark.read.option("header", True)
         df = (r.schema(schema) if schema is not None else r.option("inferSchema", True)).csv(path)
-    elif path.endswith(".parquet"):
-        df = spark.read.parquet(path)
     else:
-        raise ValueError("the data file extension should be .csv or .parquet")
+        df = spark.read.parquet(path)
     return write_table(df, table, database=database, if_exists=if_exists)

@@ -13,8 +13,8 @@ from pyspark.sql.streaming import StreamingQuery
 from packspark.sources.logs import parse_log
 
 
-def stream_log(spark: SparkSession, path: str, schema: T.StructType | str, query_name: str = "logs",
-               sink: str = "memory", checkpoint: str | None = None, options: dict | None = None) -> StreamingQuery:
+def stream_log(spark: SparkSession, path: str, schema: T.StructType | str, sink: str, query_name: str = "logs",
+               checkpoint: str | None = None, options: dict | None = None) -> StreamingQuery:
     """Start a streaming parse of JSON-lines logs arriving under ``path``."""
     src = spark.readStream.schema(schema).json(path)
     w = parse_log(src, sort=False).writeStream.queryName(query_name).format(sink).outputMode("append")

@@ -22,10 +22,10 @@ IMPL = {
     "P1": f"{S}.cycles.read_cycles(columns='all'|'core'|list)", "P2": f"{S}.cycles.read_cycles(doe=...)",
     "P3": f"{S}.cycles.read_cycles(instances, cycles)", "P4": f"{O}.filters.filter_by_doe",
     "P5": f"{O}.filters.filter_by_instance", "P6": f"{O}.filters.filter_by_cycle",
-    "P7": f"{O}.filters.filter_by_doe_instance", "P8": f"{O}.filters.state_filter (and state args of operators)",
-    "P9": f"{O}.filters.state_filter", "P10": "DataFrame.dropna / where isNotNull in operators",
+    "P7": f"{O}.filters.filter_by_doe_instance", "P8": f"state arguments of the operators",
+    "P9": "state arguments of the operators", "P10": "DataFrame.dropna / where isNotNull in operators",
     "P11": f"{O}.filters.cycle_window_filter", "P12": f"{S}.cycles.read_cycles(where='sql text')",
-    "P13": f"{O}.clean.group_screen", "P14": f"{O}.filters.drop_by_list, uncertainty.drop_outlier_cycles",
+    "P13": f"{O}.clean.group_screen", "P14": f"{O}.uncertainty.drop_outlier_cycles",
     "P15": f"{S}.files.read_data (key rename)", "P16": "column expressions (voltage.series_metrics abs current, dcir mΩ)",
     "P17": f"{O}.clean.clamp_early_global", "P18": f"{O}.clean.clamp_early_series (inside steps)",
     "P19": f"{O}.voltage.cell_voltage_long(instance=...)", "P20": f"{S}.logs.parse_log",
@@ -48,9 +48,9 @@ IMPL = {
     "A26": f"{O}.stats.mean_ci", "A27": f"{O}.cohorts.recipe_pair_summary",
     "W1": f"{O}.clean.rolling_outlier_replace (native / blocked)", "W2": f"{O}.clean.rolling_outlier_replace(keys=...)",
     "W3": f"{O}.clean.segment_clean", "W4": f"{FN}.second_row", "W5": f"{O}.energy.early_cycle_adjust",
-    "W6": "lag differences (uncertainty, steps)", "W7": f"{FN}.abs_pct_change, trend", "W8": f"{O}.uncertainty.capacity_bounds",
+    "W6": "lag differences (uncertainty, steps)", "W7": f"{O}.trend", "W8": f"{O}.uncertainty.capacity_bounds",
     "W9": f"{O}.steps.charge_steps (running sums)", "W10": f"{O}.steps.charge_steps", "W11": f"{O}.trend (_jump_frame)",
-    "W12": "row_number filters (steps cc end, fit last 30)", "W13": f"{FN}.first_value", "W14": f"{O}.steps.charge_steps (lag)",
+    "W12": "row_number filters (steps cc end, fit last 30)", "W13": f"{O}.steps.charge_steps", "W14": f"{O}.steps.charge_steps (lag)",
     "O1": "orderBy (parse_log, read_cycles sort, instance order)", "O3": f"{O}.uncertainty.regime_breakdown",
     "O4": "not built (display only)", "O5": "min_by / max_by", "U1": "unionByName (overlay, steps)",
     "U2": f"{O}.steps.charge_steps (cv row)", "F1": f"{FN}.bin_right_closed", "F2": f"{O}.uncertainty.capacity_bounds",

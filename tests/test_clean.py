@@ -1,12 +1,24 @@
 import math
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import functions as F
 
-from packspark.operators.clean import (clamp_early_global, clamp_early_series, group_screen, numpy_rolling_replace,
+from packspark.operators.clean import (clamp_early_global, clamp_early_series, group_screen,
                                        rolling_outlier_replace, segment_clean, sigma_band_filter)
 
 
+def numpy_rolling_replace(values: np.ndarray, window: int, k: float) -> np.ndarray:
+    """Sequential reference implementation (tests only)."""
+    s = pd.Series(values, dtype="float64")
+    r = s.rolling(window, min_periods=1)
+    md, sd = r.median(), r.std(ddof=0)
+    hit = ((s - md).abs() > k * sd).fillna(False).to_numpy()
+    out = s.to_numpy(copy=True)
+    out[hit] = md.to_numpy()[hit]
+    return out
+
+
 def _series(spark, rows):
     return spark.createDataFrame(rows, "k string, t int, x double")
 

@@ -35,7 +35,7 @@ def test_log_reader_bz2_flatten_and_map(spark):
     out = logs.read_log(spark, p).toPandas()
     assert out.msg_type.tolist() == ["ERROR", "99", "CHARGE"]
     assert "data" not in out.columns and out.v.tolist() == [2.5, 3.5, 1.5]
-    q = stream_log(spark, d, schema="msg_type int, time_stamp double, data struct<v:double>", query_name="ps_logs")
+    q = stream_log(spark, d, schema="msg_type int, time_stamp double, data struct<v:double>", sink="memory", query_name="ps_logs")
     q.processAllAvailable()
     got = spark.sql("SELECT msg_type, v FROM ps_logs ORDER BY v").toPandas()
     q.stop()
