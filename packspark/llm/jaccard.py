@@ -8,7 +8,7 @@ set sizes decide what enters the product and what leaves it:
   order, so only these columns enter (order: rare before frequent, so common passages come last);
 * a common column at places i and j leaves at most min(i, j) + 1 + min(rest, rest) in common;
 * sizes must be within a fifth of each other;
-* the product of parity bitmaps (about one bit a member) bounds the difference of two sets from below.
+* the product of parity bitmaps (two bits a member) bounds the difference of two sets from below.
 
 Pairs that pass have their overlap counted in full.  Copies don't multiply: a column pairs each row with
 its most central row only, and after these links are merged only columns with rows in different
@@ -158,9 +158,9 @@ def ordered_prefix(members: np.ndarray, frequent: np.ndarray, rank: np.ndarray)
 
 
 def bitmap(members: np.ndarray) -> bytes:
-    """Parity bitmap with eight bits a member or more (a power of two, 64 at least), so that few of the
+    """Parity bitmap with two bits a member or more (a power of two, 64 at least), so that few of the
     members that two sets don't share cancel out."""
-    width = max(64, 8 << int(len(members) - 1).bit_length()) if len(members) else 64
+    width = max(64, 2 << int(len(members) - 1).bit_length()) if len(members) else 64
     bits = np.bincount((members & np.uint64(width - 1)).astype(np.int64), minlength=width) & 1
     return np.packbits(bits.astype(np.uint8), bitorder="little").tobytes()
 
