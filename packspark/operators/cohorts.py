@@ -92,6 +92,18 @@ def recipe_pair_summary(deltas: DataFrame) -> DataFrame:
                                                    F.stddev_samp("delta").alias("std"))
 
 
+def with_charge_time_label(df: DataFrame) -> DataFrame:
+    """Rows with their instance's ``median_time`` and ``instance_time`` label (NULL without CHARGE rows)."""
+    return df.join(charge_time_label(df), on="instance_number", how="left")
+
+
+def charge_by_label(df: DataFrame) -> DataFrame:
+    """Mean time, capacity and row count of CHARGE per label and cycle."""
+    d = with_charge_time_label(df).where(F.col("cycling_substate") == CHARGE)
+    return d.groupBy("instance_time", "cycle").agg(F.count(F.lit(1)).alias("n"), F.avg("time").alias("mean_time"),
+                                                   F.avg("capacity").alias("mean_capacity"))
+
+
 def charge_time_label(df: DataFrame) -> DataFrame:
     """Per instance: median CHARGE time truncated to minutes and the label ``<instance>_<min>min``."""
     m = (df.where(F.col("cycling_substate") == CHARGE).groupBy("instance_number")

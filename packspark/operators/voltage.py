@@ -138,6 +138,13 @@ SERIES_METRICS = ("avg_current_a", "avg_voltage_v", "avail_battery_capacity_ah",
                  "min_current_a", "max_current_a", "min_voltage_v", "max_voltage_v", "current_a", "voltage_v")
 
 
+def series_metric_means(df: DataFrame, metrics: Sequence[str], state: str = CHARGE, x: str = "elapsed_minutes",
+                        hue: str = "doe_instance") -> DataFrame:
+    """Mean and 95 % interval of the chosen metrics per ``hue`` and ``x``, as the series plots show them."""
+    carried = [] if hue in ("doe_instance", x) else [hue]
+    return mean_ci(series_metrics(df, metrics, state, x, extra=carried), x, "value", [hue, "metric"])
+
+
 def series_metrics(df: DataFrame, metrics: Sequence[str], state: str = CHARGE, x: str = "elapsed_minutes",
                   extra: Sequence[str] = ("sample_id",)) -> DataFrame:
     """Long table (doe_instance, x, metric, value) of the chosen metrics for one charging state.

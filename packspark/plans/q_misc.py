@@ -90,6 +90,17 @@ def q_label(spark, sf):
     return co.charge_time_label(ad.recipe_rows(spark, sf))
 
 
+@register("charge_by_label", "instance_time:s, cycle:i, n:l, mean_time:d, mean_capacity:d",
+          W(ad.CYCLE_SQL, ad.RECIPE_SQL) + """,
+lab AS (SELECT instance_number, instance_number || '_' || CAST(CAST(trunc(median(time)) AS INTEGER) AS VARCHAR) || 'min'
+          AS instance_time FROM recipe_rows WHERE cycling_substate = 'CHARGE' GROUP BY instance_number)
+SELECT instance_time, cycle, count(*) AS n, avg(time) AS mean_time, avg(capacity) AS mean_capacity
+FROM recipe_rows LEFT JOIN lab USING (instance_number) WHERE cycling_substate = 'CHARGE'
+GROUP BY instance_time, cycle""", ids=["J2", "T31", "E13"])
+def q_charge_by_label(spark, sf):
+    return co.charge_by_label(ad.recipe_rows(spark, sf))
+
+
 @register("recipe_density", "recipe:s, point:i, x:d, density:d",
           W(ad.CYCLE_SQL, ad.RECIPE_SQL, CLEAN_SQL) + f""",
 ds AS (SELECT recipe, count(capacity) AS n, stddev_samp(capacity) AS sd, min(capacity) AS lo, max(capacity) AS hi

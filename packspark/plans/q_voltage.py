@@ -63,6 +63,19 @@ def q_series_metrics(spark, sf):
     return vo.series_metrics(ad.series_view(spark, sf), METRICS)
 
 
+SERIES_LONG = """lng AS (
+  SELECT instance, cycle_num, '{0}' AS metric, abs({0}) AS value FROM samples WHERE charging_state_name = 'CHARGE'
+  UNION ALL
+  SELECT instance, cycle_num, '{1}', {1} FROM samples WHERE charging_state_name = 'CHARGE')""".format(*METRICS[:2])
+
+
+@register("series_metric_means", "instance:s, cycle_num:i, metric:s, " + CI_COLS,
+          W(ad.SERIES_SQL, SERIES_LONG) + mean_ci_sql("lng", "cycle_num", "value", ["instance", "metric"]),
+          ids=["T11", "E1", "A26"])
+def q_series_metric_means(spark, sf):
+    return vo.series_metric_means(ad.series_view(spark, sf), METRICS[:2], x="cycle_num", hue="instance")
+
+
 def _cell_case(i):
     return (f"CASE WHEN cycling_substate IN ('CHARGE', 'DISCHARGE REST') THEN max_cell{i}_voltage_v "
             f"ELSE min_cell{i}_voltage_v END AS cell{i}_voltage_v")
