@@ -9,12 +9,15 @@ from pyspark.sql import functions as F
 from packspark.operators import cohorts as co
 from packspark.operators import filters as fl
 from packspark.operators import stats as stt
+from packspark.operators.voltage import dcir_table
 from packspark.plans import adapters as ad
 from packspark.plans import sqltext as sq
 from packspark.plans.registry import register
 from packspark.plans.sqltext import lit
 from packspark.sources import files as fi
+from packspark.session import fresh_path
 from packspark.sources import logs as lg
+from packspark.sources.sinks import export
 
 W = sq.with_
 
@@ -178,6 +181,32 @@ def q_log(spark, sf):
                         F.expr("timestampdiff(MICROSECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', time_stamp)"))
 
 
+# ------------------------------------------------------------------ files written and read back
+@register("log_file_read", "msg_type:s, time_stamp:l, k:i, seq:l, reading:d",
+          W(ad.LOG_SQL) + f"""
+SELECT {_msg_case()} AS msg_type, epoch_us(time_stamp) AS time_stamp, k, seq, reading FROM log_rows""",
+          ids=["S5", "T15", "P20"])
+def q_log_file(spark, sf):
+    """Messages as compressed JSON lines in a fresh folder, read with a schema and flattened."""
+    path = fresh_path(spark, "log")
+    rows = ad.log_rows(spark, sf).withColumn("time_stamp", F.expr("timestampdiff(MICROSECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', time_stamp)"))
+    rows.write.option("compression", "bzip2").json(path)
+    schema = "msg_type int, time_stamp bigint, data struct<k: int, seq: bigint, reading: double>"
+    return lg.read_log(spark, path, schema=schema, sort=False)
+
+
+@register("csv_export_read", "doe_number:s, instance_number:s, cycle:i, dcir:d",
+          W(ad.CYCLE_SQL) + """
+SELECT doe_number, instance_number, cycle, round_even(dcir * 1000.0, 1) AS dcir FROM cyc WHERE dcir IS NOT NULL""",
+          ids=["S6", "K5", "T35", "E12", "E15"])
+def q_csv(spark, sf):
+    """The resistance table exported as CSV files and read back with a schema."""
+    path = fresh_path(spark, "dcir")
+    export(dcir_table(ad.cycle_view(spark, sf)), path)
+    return fi.read_csv(spark, path, schema="doe_number string, instance_number string, cycle int, dcir double")
+
+
+
 # ------------------------------------------------------------------ scans
 @register("read_cycles_core", "doe_number:s, instance_number:s, cycle:i, cycling_substate:s, energy:d, "
           "energy_rest:d, time:d, mean_mean_voltage:d, dcir:d, min_temp:d",

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import SparkSession
 
@@ -63,6 +64,11 @@ def cut_lineage(df, eager: bool = True):
     return df.checkpoint(eager=eager)
 
 
+def fresh_path(spark: SparkSession, name: str) -> str:
+    """A path of its own in the shared checkpoint folder."""
+    return f"{checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
 def cluster_conf(input_bytes: int, target_partition_bytes: int = 256 * 1024 * 1024) -> dict[str, str]:
     """Suggested settings for a large input (e.g. 100 TB): partitions sized to fit executor
     memory, adaptive coalescing and skew splitting on.  Apply when building the session."""
