@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -32,6 +34,12 @@ def words_of(text: Column) -> Column:
     return F.array_remove(F.split(F.regexp_replace(text, SPACE, " "), " "), "")
 
 
+def texts(column: pa.Array) -> Iterator[str | None]:
+    """The strings of an Arrow column, a few hundred at a time."""
+    for at in range(0, len(column), 256):
+        yield from column.slice(at, 256).to_pylist()
+
+
 def materialise(df: DataFrame, name: str) -> DataFrame:
     """Writes ``df`` as a table into the shared checkpoint folder and reads it back.
 

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from packspark.llm.common import materialise
+from packspark.llm.common import materialise, texts
 
 WINDOW = 10
 BLOCK_WORDS = 1_000_000
@@ -190,7 +190,7 @@ def _scan_block(df: DataFrame, items: list[tuple[str, str]], window: int) -> Dat
         for batch in batches:
             old = [batch.column(c) for c in ("spans", "items", "longest")]
             counts, spans, items, longest = [], [], [], []
-            for i, text in enumerate(batch.column("text").to_pylist()):
+            for i, text in enumerate(texts(batch.column("text"))):
                 words = words_of_text(text)
                 found, names, most = auto.match(words)
                 if old[2][i].is_valid:             # an earlier block has been here
@@ -260,9 +260,9 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW,
         for batch in batches:
             i = batch.schema.get_field_index("text")
             spans = batch.column("spans").to_pylist()
-            texts = [cut_spans(t, [(x["start"], x["end"]) for x in s]) if s else t
+            left = [cut_spans(t, [(x["start"], x["end"]) for x in s]) if s else t
                      for t, s in zip(batch.column("text").to_pylist(), spans)]
-            yield batch.set_column(i, batch.schema.field(i), pa.array(texts, batch.schema.field(i).type))
+            yield batch.set_column(i, batch.schema.field(i), pa.array(left, batch.schema.field(i).type))
 
     out = found.mapInArrow(run, found.schema)
     changed = F.size("spans") > 0

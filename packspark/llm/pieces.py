@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 MARK = "▁"
-CACHE_PARTS = 150_000
+CACHE_PARTS = 100_000
 
 
 def _varint(b: bytes, i: int) -> tuple[int, int]:

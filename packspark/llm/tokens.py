@@ -21,6 +21,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from packspark.llm.common import texts
+
 RULES = ("first", "last", "most")
 ADDED = "section int, start bigint, end bigint, n_tokens bigint, n_crossing bigint"
 
@@ -94,7 +96,7 @@ def section_tokens(df: DataFrame, ranks: bytes, pattern: str, text: str = "text"
             made.append(Ranks(*shared.value))
         for batch in batches:
             row, cols = [], [[] for _ in added]
-            for i, t in enumerate(batch.column(text).to_pylist()):
+            for i, t in enumerate(texts(batch.column(text))):
                 t = t or ""
                 bounds = sections_of(t, split)
                 counts, crossing = attribute(*made[0].spans(t), bounds, rule)
@@ -121,7 +123,7 @@ def count_tokens(df: DataFrame, ranks: bytes, pattern: str, text: str, name: str
         if not made:
             made.append(Ranks(*shared.value))
         for batch in batches:
-            n = pa.array([len(made[0].encode(t)) if t else 0 for t in batch.column(text).to_pylist()], pa.int64())
+            n = pa.array([len(made[0].encode(t)) if t else 0 for t in texts(batch.column(text))], pa.int64())
             yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in keep], n], [*keep, name])
 
     return df.mapInArrow(run, T.StructType([df.schema[c] for c in keep] + [T.StructField(name, T.LongType())]))

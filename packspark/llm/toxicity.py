@@ -32,14 +32,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from packspark.llm.common import materialise
+from packspark.llm.common import materialise, texts
 
 SAMPLE_ROWS = 20_000
 LEXICON = 128           # entries at most
 STEMS = range(3, 9)     # lengths of word beginnings, in UTF-8 bytes
 SINGLE = 36             # of the entries, the strongest vote alone; the others in GROUPS
 GROUPS = 8
-CACHE_WORDS = 300_000
+CACHE_WORDS = 100_000
+COUNTED = 100_000       # entries counted in a task before they are passed on
 PATTERNS = 4
 LABEL_ODDS = 3.0        # log odds that a label row speaks for
 CANDIDATES = 4000
@@ -73,15 +74,21 @@ def entries_of(words: list[bytes]) -> set[bytes]:
 
 def _counts(sample: DataFrame) -> DataFrame:
     """(entry, a, b): toxic and other rows of the sample that hold the entry, pre-counted in each task."""
+    def rows(n: Counter) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays(
+            [pa.array([w for w, _ in n], pa.binary()), pa.array([t for _, t in n], pa.int32()),
+             pa.array(list(n.values()), pa.int64())], ["entry", "toxic", "n"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n: Counter = Counter()
-            for text, toxic in zip(batch.column("text").to_pylist(), batch.column("toxic").to_pylist()):
+            for text, toxic in zip(texts(batch.column("text")), batch.column("toxic").to_pylist()):
                 n.update((e, toxic) for e in entries_of(words_of_text(text)))
                 n[(b"", toxic)] += 1                      # all rows
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([w for w, _ in n], pa.binary()), pa.array([t for _, t in n], pa.int32()),
-                 pa.array(list(n.values()), pa.int64())], ["entry", "toxic", "n"])
+                if len(n) >= COUNTED:
+                    yield rows(n)
+                    n.clear()
+            yield rows(n)
 
     pairs = sample.select("text", "toxic").mapInArrow(run, "entry binary, toxic int, n bigint")
     return pairs.groupBy("entry").agg(F.sum(F.when(F.col("toxic") == 1, F.col("n")).otherwise(0)).alias("a"),
@@ -201,7 +208,7 @@ def vote_patterns(docs: DataFrame, lexicon: list[bytes]) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         features = Features(shared.value)
         for batch in batches:
-            n = Counter(features.votes(features(t)) for t in batch.column("text").to_pylist())
+            n = Counter(features.votes(features(t)) for t in texts(batch.column("text")))
             yield pa.RecordBatch.from_arrays([pa.array(list(n), pa.int64()), pa.array(list(n.values()), pa.int64())],
                                              ["mask", "n"])
 
@@ -340,7 +347,7 @@ def _sample_features(sample: DataFrame, lexicon: list[bytes]) -> tuple[list[list
         features = Features(shared.value)
         for batch in batches:
             yield pa.RecordBatch.from_arrays(
-                [pa.array([features(t) for t in batch.column("text").to_pylist()], pa.list_(pa.int32())),
+                [pa.array([features(t) for t in texts(batch.column("text"))], pa.list_(pa.int32())),
                  batch.column("toxic")], ["f", "toxic"])
 
     got = sample.mapInArrow(run, "f array<int>, toxic int").collect()
@@ -378,7 +385,7 @@ def score(docs: DataFrame, model: ToxicityModel, text: str = "text") -> DataFram
         own = ToxicityModel(*shared.value, None)
         features = Features(own.lexicon)
         for batch in batches:
-            s = [own.score(features(t)) for t in batch.column(text).to_pylist()]
+            s = [own.score(features(t)) for t in texts(batch.column(text))]
             yield pa.RecordBatch.from_arrays(
                 [*[batch.column(c) for c in keep], pa.array(s, pa.float64()),
                  pa.array([int(v >= THRESHOLD) for v in s], pa.int32())], [*keep, "score", "predicted"])
