@@ -179,10 +179,10 @@ class Features:
                 held.update(keys)
                 hits += 1
         out = sorted(i for k, c in held.items() for level, i in self.entries[k] if c >= level)
-        upper = sum(map(str.isupper, text[::7])) if text else 0     # every seventh character is enough for a share
+        upper = sum(map(str.isupper, text)) if text else 0
         marks = text.count("!") if text else 0
         n = len(words)
-        patterns = (len(out) >= 2, hits > 0 and 100 * hits >= n, n > 0 and 14 * upper >= len(text), n > 0 and 5 * marks >= n)
+        patterns = (len(out) >= 2, hits > 0 and 100 * hits >= n, n > 0 and 2 * upper >= len(text), n > 0 and 5 * marks >= n)
         return out + [self.n + i for i, p in enumerate(patterns) if p]
 
     def votes(self, features: list[int]) -> int:
