@@ -1,10 +1,11 @@
 r"""Chat formatting in budgeted windows.
 
 Turns of a conversation, in order, become windows of at most ``budget`` tokens: prefix sums of turn
-tokens choose spans that start and end at turns.  Every window retains the leading system turn
+tokens choose spans that start and end at turns.  Tokens are those of a turn as rendered, with
+template and escapes.  Every window retains the leading system turn
 and repeats limited history before its new turns; only new assistant turns are under the loss
-mask, so a repeated target is masked and each target counts once.  A turn too long for the
-budget gets a window of its own (with the system turn), never a cut.
+mask, so a repeated target is masked and each target counts once.  A turn that with the system turn
+is too long for the budget gets a window of its own (with the system turn), never a cut.
 
 Template: a turn is ``### role: text</turn>`` and a line end.  In texts, backslash, ``#`` and ``<`` are preceded
 by a backslash (in roles ``:`` too), so neither control string can occur inside a text, and
@@ -71,15 +72,24 @@ def _plain_end(text: str, mark: str, at: int) -> int:
         at = i + 1
 
 
+def _parts(role: str, text: str) -> tuple[str, str, str]:
+    return HEAD + escape(role, "#<:") + SEP, escape(text), END
+
+
+def rendered(role: str, text: str) -> str:
+    """One formatted turn."""
+    return "".join(_parts(role, text))
+
+
 def render(turns: list[tuple[str, str]], first_new: int) -> tuple[str, list[tuple[int, int]]]:
     """Formatted turns and the spans (characters) of the new assistant texts in it."""
     out, at, loss = [], 0, []
     for k, (role, text) in enumerate(turns):
-        head, body = HEAD + escape(role, "#<:") + SEP, escape(text)
+        head, body, end = _parts(role, text)
         if k >= first_new and role == TARGET:
             loss.append((at + len(head), at + len(head) + len(body)))
-        out += (head, body, END)
-        at += len(head) + len(body) + len(END)
+        out += (head, body, end)
+        at += len(head) + len(body) + len(end)
     return "".join(out), loss
 
 
@@ -181,10 +191,14 @@ def _windows_schema() -> pa.Schema:
 
 def format_windows(turns: DataFrame, ranks: bytes, pattern: str, budget: int = BUDGET,
                    history_turns: int = HISTORY_TURNS, history_share: float = HISTORY_SHARE) -> DataFrame:
-    """Windows of all conversations, rows of a conversation together and in order."""
+    """Windows of all conversations, rows of a conversation together and in order.
+
+    A window's ``n_tokens`` is the sum of its turns' tokens, and that of the whole encoded window if the
+    pattern splits between a line end and ``#``, as the public one does."""
     rows = turns.select(F.col("conv_id").cast("bigint").alias("conv_id"), F.col("turn").cast("bigint").alias("turn"),
                         F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
-    rows = count_tokens(rows, ranks, pattern, "text", "n").select("conv_id", "turn", "role", "text", "n")
+    rows = count_tokens(rows, ranks, pattern, ["role", "text"], rendered, "n") \
+        .select("conv_id", "turn", "role", "text", "n")
     ordered = rows.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text") \
         .select("conv_id", "role", "text", "n")
     limit = int(history_share * budget)

@@ -14,7 +14,7 @@ table gives no rows; repeated rows are counted one by one; columns named like a
 from __future__ import annotations
 
 import base64
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -113,8 +113,9 @@ def section_tokens(df: DataFrame, ranks: bytes, pattern: str, text: str = "text"
     return df.mapInArrow(run, T.StructType([df.schema[c] for c in keep] + list(added)))
 
 
-def count_tokens(df: DataFrame, ranks: bytes, pattern: str, text: str, name: str) -> DataFrame:
-    """Adds ``name``, the tokens of ``text`` (null: none)."""
+def count_tokens(df: DataFrame, ranks: bytes, pattern: str, columns: list[str], shown: Callable[..., str],
+                 name: str) -> DataFrame:
+    """Adds ``name``, the tokens of the text that ``shown`` makes of a row's string ``columns``."""
     shared = df.sparkSession.sparkContext.broadcast((ranks, pattern))
     made: list[Ranks] = []
     keep = [c for c in df.columns if c != name]
@@ -123,7 +124,8 @@ def count_tokens(df: DataFrame, ranks: bytes, pattern: str, text: str, name: str
         if not made:
             made.append(Ranks(*shared.value))
         for batch in batches:
-            n = pa.array([len(made[0].encode(t)) if t else 0 for t in texts(batch.column(text))], pa.int64())
+            values = zip(*(texts(batch.column(c)) for c in columns))
+            n = pa.array([len(made[0].encode(shown(*v))) for v in values], pa.int64())
             yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in keep], n], [*keep, name])
 
     return df.mapInArrow(run, T.StructType([df.schema[c] for c in keep] + [T.StructField(name, T.LongType())]))
