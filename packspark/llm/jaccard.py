@@ -473,16 +473,15 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
 
 
 def one_per_group(docs: DataFrame) -> DataFrame:
-    """Rows of ``docs`` (all columns) of which each group keeps the document with the smallest id.
-
-    Removed ids, as a rule the few, are joined away.  Of rows that repeat a kept id the one with the smallest text
-    stays.  Rows without an id can't be named by a group: they all stay."""
-    found = materialise(jaccard_components(docs.select("doc_id", "text")).where("doc_id IS NOT NULL"), "components")
-    gone = found.where("component_id <> doc_id").select("doc_id").distinct()
-    kept = docs.join(gone, "doc_id", "left_anti").select(*[docs[c] for c in docs.columns])
-    repeated = found.groupBy("doc_id").count().where("count > 1").select("doc_id")
-    if repeated.isEmpty():
-        return kept
-    w = Window.partitionBy("doc_id").orderBy("text")
-    some = kept.join(repeated, "doc_id", "left_semi").withColumn("_n", F.row_number().over(w)).where("_n = 1")
-    return kept.join(repeated, "doc_id", "left_anti").select(*docs.columns).unionByName(some.select(*docs.columns))
+    """Rows of ``docs`` (all columns) of which each group keeps the one with the smallest id, then the smallest text.
+
+    Rows are linked and chosen by a key of their own, written once, so rows that share an id are judged each by its
+    text.  Of a group's rows without an id one stays as well, that with the smallest text."""
+    rows = materialise(docs.withColumn("_row", F.monotonically_increasing_id()), "keyed-rows")
+    found = materialise(jaccard_components(rows.select(F.col("_row").alias("doc_id"), "text")), "components")
+    others = found.where("component_id <> doc_id").select(F.col("doc_id").alias("_row"), F.col("component_id").alias("_group"))
+    members = others.unionByName(others.select(F.col("_group").alias("_row"), "_group").distinct())
+    best = members.join(rows.select("_row", "doc_id", "text"), "_row") \
+        .groupBy("_group", F.col("doc_id").isNull().alias("_no_id")).agg(F.min(F.struct("doc_id", "text", "_row")).alias("_best"))
+    gone = members.join(best.select(F.col("_best._row").alias("_row")), "_row", "left_anti").select("_row")
+    return rows.join(gone, "_row", "left_anti").select(*[rows[c] for c in docs.columns])
