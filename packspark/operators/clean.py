@@ -193,8 +193,8 @@ def clamp_early_global(df: DataFrame, value: str, by: Sequence[str], order: str
     """Rows with ``order < first_n`` take the median of all such rows of their ``by`` group.
 
     The median table has one row per ``by`` group (e.g. one per cycling state); it is an
-    exact median computed without gathering a group into one task (a state holds a large
-    share of all rows).  It is joined
+    exact median.  Equal values of a group are counted map-side, but a group's different values are
+    sorted in one task, with spilling (``median_table``, ``'counted'``).  It is joined
     back without a hint: adaptive execution measures
     the materialised table and turns the join into a broadcast only when it is below
     the broadcast threshold, otherwise it stays a shuffle join.

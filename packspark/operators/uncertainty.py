@@ -69,8 +69,9 @@ def series_max(df: DataFrame, column: str = "capacity", keys: Sequence[str] = SE
 def _band(mx: DataFrame, column: str, sigma_multiplier: float) -> Column:
     """``column`` inside the global median ± k·std (ddof=1) of ``mx``.
 
-    The two statistics are scalar subqueries, not a join; the median is exact and is
-    computed without gathering all series maxima into one task.
+    The two statistics are scalar subqueries, not a join; the median is exact.
+    Equal series maxima are counted map-side, but all different ones are sorted in one task, with spilling
+    (``median_table``, ``'counted'``).
     """
     md = median_table(mx, column, out="md").select("md").scalar()
     sd = mx.agg(F.stddev_samp(column).alias("sd")).select("sd").scalar()
