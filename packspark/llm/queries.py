@@ -7,13 +7,16 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from packspark.llm.centroids import cluster, clustering_sql
 from packspark.llm.chat import format_windows, read_back
 from packspark.llm.common import read_table, text_of
 from packspark.llm.decontaminate import contamination_sql, n_hit, scan
 from packspark.llm.jaccard import jaccard_components
+from packspark.llm.lattice import score_texts
 from packspark.llm.pieces import digest
 from packspark.llm.pii import pseudonymise
 from packspark.llm.quality import MEASURES, quality, quality_sql
+from packspark.llm.resample import resample
 from packspark.llm.secrets import KINDS, count_kind, scan_secrets, span_text
 from packspark.llm.sharding import shard_rows
 from packspark.llm.tokens import section_tokens
@@ -99,6 +102,22 @@ def op10_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_back(format_windows(turns, vocabulary(RANKS), split_pattern()))
 
 
+def op11_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    fold = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7
+    scored = score_texts(docs.withColumn("held_out", F.coalesce(fold == 2, F.lit(False))), vocabulary(PIECE_MODEL), fold != 2)
+    return scored.select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
+def op12_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cluster(read_table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+
+
+def op13_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    drawn = resample(read_table(spark, sf_dir, "documents").select("doc_id", "text"), read_table(spark, sf_dir, "benchmark"))
+    return drawn.select("doc_id", "n_features", "weight", "score", "rank")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
     "op2_sharding": op2_sharding,
@@ -110,9 +129,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_ngram_jaccard": op8_ngram_jaccard,
     "op9_toxicity": op9_toxicity,
     "op10_chat_formatting": op10_chat_formatting,
+    "op11_lm_scoring": op11_lm_scoring,
+    "op12_centroid_clustering": op12_centroid_clustering,
+    "op13_importance_resampling": op13_importance_resampling,
 }
 
 ORACLES: dict[str, Callable[[], str]] = {
     "op1_quality_rules": quality_sql,
     "op3_decontamination": contamination_sql,
+    "op12_centroid_clustering": clustering_sql,
 }
