@@ -114,7 +114,8 @@ def op12_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op13_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
-    drawn = resample(read_table(spark, sf_dir, "documents").select("doc_id", "text"), read_table(spark, sf_dir, "benchmark"))
+    drawn = resample(read_table(spark, sf_dir, "documents").select("doc_id", "text"), read_table(spark, sf_dir, "benchmark"),
+                     columns=["doc_id"])
     return drawn.select("doc_id", "n_features", "weight", "score", "rank")
 
 

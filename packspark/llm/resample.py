@@ -110,10 +110,11 @@ def draw(seed: int, doc_id: object) -> int:
     return math.floor(-1000 * math.log(-math.log((h + 0.5) / 4294967296)))
 
 
-def weigh(docs: DataFrame, gains: np.ndarray, orders: range, seed: int, doc_id: str, text: str) -> DataFrame:
-    """Adds ``n_words``, ``n_features``, ``weight`` and ``score``."""
+def weigh(docs: DataFrame, gains: np.ndarray, orders: range, seed: int, doc_id: str, text: str,
+          columns: list[str] | None = None) -> DataFrame:
+    """Adds ``n_words``, ``n_features``, ``weight`` and ``score`` to ``columns`` (all)."""
     shared = docs.sparkSession.sparkContext.broadcast(gains)
-    keep = [c for c in docs.columns if c not in ADDED]
+    keep = [c for c in docs.columns if c not in ADDED and (columns is None or c in columns or c == doc_id)]
     schema = T.StructType([*[docs.schema[c] for c in keep], *[T.StructField(c, T.LongType()) for c in ADDED[:4]]])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -131,16 +132,16 @@ def weigh(docs: DataFrame, gains: np.ndarray, orders: range, seed: int, doc_id:
 
 def resample(docs: DataFrame, target: DataFrame, percent: int = 10, min_words: int = 20, max_n: int = 1, min_n: int = 1,
              n_buckets: int = 10_000, seed: int = 2024, doc_id: str = "doc_id", text: str = "text",
-             target_text: str = "text") -> DataFrame:
-    """Every row with ``n_words``, ``n_features``, ``weight``, ``score`` and ``rank`` (1, 2, ... of those drawn, others null).
+             target_text: str = "text", columns: list[str] | None = None) -> DataFrame:
+    """Every row's ``columns`` (all; those named, and the id, travel through the sort) with ``n_words``, ``n_features``, ``weight``, ``score`` and ``rank`` (1, 2, ... of those drawn, others null).
 
     Of the N texts with at least ``min_words`` words, floor(percent * N / 100) are drawn.  Ranks come from a range
     sort of the scores over all tasks; documents are read twice, for the counts and for the weights."""
     orders = range(min_n, max_n + 1)
     gains = bucket_gains(bucket_counts(docs, text, orders, n_buckets), bucket_counts(target, target_text, orders, n_buckets))
-    scored = materialise(weigh(docs, gains, orders, seed, doc_id, text).withColumn("_rs_down", -F.col("score")), "weights")
+    scored = materialise(weigh(docs, gains, orders, seed, doc_id, text, columns).withColumn("_rs_down", -F.col("score")), "weights")
     able = number_rows(scored.where(F.col("n_words") >= min_words), ["_rs_down", doc_id])
-    drawn = F.col("row_number") < F.floor(F.col("total") * percent / 100)
+    drawn = F.col("row_number") < F.expr(f"total * {int(percent)} div 100")
     cols = [F.col(f"`{c}`") for c in scored.columns if c != "_rs_down"]
     return able.select(*cols, F.when(drawn, F.col("row_number") + 1).alias("rank")).unionByName(
         scored.where(F.col("n_words") < min_words).select(*cols, F.lit(None).cast("bigint").alias("rank")))
