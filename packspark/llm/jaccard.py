@@ -12,13 +12,14 @@ set sizes decide what enters the product and what leaves it:
 
 Pairs that pass have their overlap counted in full.  Copies don't multiply: a column pairs each row with
 its most central row only, and after these links are merged only columns with rows in different
-components are multiplied further, rows of one component never again.  No link between different
+components are multiplied further, rows of one component never again.  After HUB_ROUNDS such rounds at most the block products
+test all pairs that are left.  No link between different
 components is left out, so the components are exact.
 
 Defined results: sets of null and empty texts are empty and linked with nothing (their component is
 their own id); texts of fewer than five words are one n-gram; rows without a doc_id have the
 component of the rows of equal set that bear ids, else none; rows that repeat a doc_id are one document that
-links as each of them; other columns are left out; an empty table gives an empty result.
+links as each of them; very long texts are shingled whole; other columns are left out; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -28,7 +29,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from packspark.llm.common import materialise
@@ -40,8 +41,9 @@ CHUNK_MEMBERS = 2_000_000     # members counted together when looking for freque
 FREQUENT_IN_CHUNK = 8
 FILTER_WORDS = 1 << 17        # 64-bit words of the fixed-size filter of candidate ids
 CHUNK_BYTES = 1 << 20         # bytes of text hashed together
-BLOCK_ROWS = 1000             # rows of a column multiplied as one block
+BLOCK_ROWS = 500              # rows of a column multiplied as one block
 PAIRS_PER_ENTRY = 1000        # remaining pairs per matrix entry at which all of them are tested at once
+HUB_ROUNDS = 6                # rounds of hubs at most; the block products take any number of pairs after them
 SEEN_PAIRS = 1_000_000        # pairs a task remembers as tested
 
 _P = np.uint64(0x9E3779B97F4A7C15)
@@ -267,18 +269,18 @@ def _fits(nx: str, px: str, ny: str, py: str) -> Column:
 def _shared(entries: DataFrame) -> DataFrame:
     """Entries of columns with two rows or more, and how central their row is: the rows it meets in its columns
     against its size.  Among near copies the row with the fewest changes is the most central one."""
-    met = materialise(entries.withColumn("_met", F.count("*").over(Window.partitionBy("h"))).where("_met > 1"), "shared")
+    held = entries.groupBy("h").agg(F.count("*").alias("_met")).where("_met > 1")
+    met = materialise(entries.join(held, "h"), "shared")
     central = met.groupBy("doc").agg((F.sum("_met") / F.first("n")).alias("central"))
     return met.drop("_met", "central").join(central, "doc")
 
 
 def _by_centre(entries: DataFrame) -> DataFrame:
     """Entries apart from each column's most central row, which is named beside (l...)."""
-    w = Window.partitionBy("h").orderBy(F.desc("central"), "n", "doc")
-    first = F.first(F.struct(*[F.col(c).alias(f"l{c}") for c in entries.columns if c not in ("h", "central")]))
-    return entries.select("*", first.over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow)).alias("_first"),
-                          F.row_number().over(w).alias("_rank")).where("_rank > 1") \
-        .select(*[c for c in entries.columns if c != "central"], "_first.*")
+    names = [c for c in entries.columns if c not in ("h", "central")]
+    order = F.struct(F.col("central"), -F.col("n"), -F.col("doc"))
+    first = entries.groupBy("h").agg(F.max_by(F.struct(*[F.col(c).alias(f"l{c}") for c in names]), order).alias("_first"))
+    return entries.drop("central").join(first.select("h", "_first.*"), "h").where("doc <> ldoc")
 
 
 def _pairs(found: DataFrame) -> DataFrame:
@@ -349,9 +351,8 @@ def _remaining(entries: DataFrame, comp: DataFrame) -> DataFrame:
     """Entries of columns whose rows lie in different components, with these."""
     own = entries.join(comp.select(F.col("node").alias("doc"), "comp"), "doc", "left") \
         .withColumn("comp", F.coalesce("comp", "doc"))
-    w = Window.partitionBy("h")
-    return own.withColumn("_low", F.min("comp").over(w)).withColumn("_high", F.max("comp").over(w)) \
-        .where("_low < _high").select("h", "doc", "n", "pos", "comp")
+    mixed = own.groupBy("h").agg(F.min("comp").alias("_low"), F.max("comp").alias("_high")).where("_low < _high")
+    return own.join(mixed.select("h"), "h").select("h", "doc", "n", "pos", "comp")
 
 
 def _cross_pairs(entries: DataFrame, rows: DataFrame) -> DataFrame:
@@ -359,8 +360,8 @@ def _cross_pairs(entries: DataFrame, rows: DataFrame) -> DataFrame:
 
     A column's rows are dealt to blocks of about BLOCK_ROWS; a task multiplies two blocks at a time, so
     neither a column nor its pairs are ever rows of one task."""
-    blocks = F.ceil(F.count("*").over(Window.partitionBy("h")) / BLOCK_ROWS).cast("int")
-    own = entries.withColumn("_nb", blocks).withColumn("_b", F.pmod(F.xxhash64("doc"), F.col("_nb")).cast("int"))
+    blocks = entries.groupBy("h").agg(F.ceil(F.count("*") / BLOCK_ROWS).cast("int").alias("_nb"))
+    own = entries.join(blocks, "h").withColumn("_b", F.pmod(F.xxhash64("doc"), F.col("_nb")).cast("int"))
     dealt = own.withColumn("_c", F.explode(F.sequence(F.lit(0), F.col("_nb") - 1))) \
         .withColumn("_x", F.least("_b", "_c")).withColumn("_y", F.greatest("_b", "_c")) \
         .join(rows.select("doc", "bits"), "doc")
@@ -440,7 +441,7 @@ def links_and_classes(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]
     rest = materialise(_by_centre(_shared(entries)), "entries")
     links = materialise(_verify(_by_bitmap(_pairs(rest), rows), docs), "links")
     rest = rest.select("h", "doc", "n", "pos")
-    while True:
+    for k in range(HUB_ROUNDS + 1):
         comp = components(links)
         rest = materialise(_remaining(rest, comp), "entries")
         size = rest.groupBy("h", "comp").agg(F.count("*").alias("c")).groupBy("h").agg(
@@ -448,7 +449,7 @@ def links_and_classes(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]
             F.sum("s"), F.sum(F.col("s") * F.col("s") - F.col("q"))).first()
         if not size[0]:
             break
-        last = size[1] / 2 <= PAIRS_PER_ENTRY * size[0]
+        last = k == HUB_ROUNDS or size[1] / 2 <= PAIRS_PER_ENTRY * size[0]
         if last:
             pairs = _cross_pairs(rest, rows)
         else:

@@ -12,7 +12,7 @@ Only built-in column functions.  Offsets come from cutting the text at the match
 after the gaps and matches before it.
 
 Defined results: null and empty texts have no spans; spans count code points, end exclusive; runs that
-overlap a pattern span are not tested; decimal runs carry no evidence and are never reported; equal
+overlap a pattern span are not tested; texts, runs and numbers of matches of any size are scanned whole; decimal runs carry no evidence and are never reported; equal
 rows get equal results; other columns are kept, those named like a result are replaced.
 """
 
@@ -59,29 +59,64 @@ def _prose(alphabet: str) -> tuple[float, float]:
     return size * q2 - 1, 4 * size * size * (q3 - q2 * q2)
 
 
+def running(values: Column, merge) -> Column:
+    """For each place of an array of ints, ``merge`` of all values before it, from 0 on.
+
+    In stretches of about the square root of the length: a fold that grows an array copies it at every
+    step, so stretches are folded first, then their results, and the work grows as n^1.5."""
+    def fold(xs: Column) -> Column:
+        return F.aggregate(xs, F.array(F.lit(0)).cast("array<int>"),
+                           lambda acc, x: F.concat(acc, F.array(merge(F.element_at(acc, -1), x))))
+
+    def cut(xs: Column) -> Column:
+        m = F.ceil(F.sqrt(F.size(xs))).cast("int")
+        return F.transform(F.sequence(F.lit(1), F.size(xs), m), lambda at: fold(F.slice(xs, at, m)))
+
+    def join(parts: Column) -> Column:
+        before = fold(F.transform(parts, lambda p: F.element_at(p, -1)))
+        return F.flatten(F.zip_with(parts, F.slice(before, 1, F.size(parts)), lambda p, o: F.transform(
+            F.slice(p, 1, F.size(p) - 1), lambda v: merge(o, v))))
+
+    return F.when(F.size(values) > 0, let(let(values, cut), join)).otherwise(F.array().cast("array<int>"))
+
+
 def spans_of(text: Column, pattern: str, kind: str, rank: int, group: int = 0, least: int = 1) -> Column:
     """Spans of the leftmost non-overlapping matches whose ``group`` has at least ``least`` characters."""
-    def cut(parts: Column) -> Column:
-        zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,rank:int,end:int,kind:string,value:string>>")
-                        .alias("out"))
+    def place(parts: Column) -> Column:
+        before = running(F.transform(parts, lambda x: x["gap"] + F.length(x["whole"])), lambda a, b: a + b)
 
-        def step(acc: Column, x: Column) -> Column:
-            start = acc["at"] + x["gap"]
-            end = start + F.length(x["whole"])
-            span = F.struct(start.alias("start"), F.lit(rank).alias("rank"), end.alias("end"),
-                            F.lit(kind).alias("kind"), x["whole"].alias("value"))
-            return F.struct(end.alias("at"), F.when(x["n"] >= least, F.concat(acc["out"], F.array(span)))
-                            .otherwise(acc["out"]).alias("out"))
+        def span(x: Column) -> Column:
+            start = x["before"] + x["p"]["gap"]
+            return F.struct(start.alias("start"), F.lit(rank).alias("rank"), (start + F.length(x["p"]["whole"])).alias("end"),
+                            F.lit(kind).alias("kind"), x["p"]["whole"].alias("value"))
 
-        return F.aggregate(parts, zero, step)["out"]
+        long = F.filter(F.arrays_zip(parts.alias("p"), before.alias("before")), lambda x: x["p"]["n"] >= least)
+        return F.transform(long, span)
 
     gaps = F.transform(F.split(text, pattern, -1), lambda g: F.length(g))
     whole = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     lengths = F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(group)), lambda g: F.length(g))
-    parts = F.transform(F.arrays_zip(whole.alias("whole"), lengths.alias("n"), gaps.alias("gap")), lambda x: x)
+    parts = F.arrays_zip(whole.alias("whole"), lengths.alias("n"), gaps.alias("gap"))
     parts = F.filter(parts, lambda x: x["whole"].isNotNull())     # the gap after the last match has none
     empty = F.array().cast("array<struct<start:int,rank:int,end:int,kind:string,value:string>>")
-    return F.when(text.rlike(pattern), let(parts, cut)).otherwise(empty)
+    return F.when(text.rlike(pattern), let(parts, place)).otherwise(empty)
+
+
+def _apart(spans: Column, taken: Column) -> Column:
+    """Spans that overlap none of ``taken``: one sweep over the ends of the first and the starts of the second, with
+    the furthest end so far."""
+    events = F.sort_array(F.concat(
+        F.transform(spans, lambda s: F.struct(s["end"].alias("at"), F.lit(0).alias("reach"), s.alias("span"))),
+        F.transform(taken, lambda b: F.struct(b["start"].alias("at"), b["end"].alias("reach"),
+                                              F.get(spans, -1).alias("span")))))
+
+    def sweep(events: Column) -> Column:
+        reach = running(F.transform(events, lambda e: e["reach"]), F.greatest)
+        free = F.filter(F.arrays_zip(events.alias("e"), reach.alias("reach")),
+                        lambda x: x["e"]["span"].isNotNull() & (x["reach"] <= x["e"]["span"]["start"]))
+        return F.transform(free, lambda x: x["e"]["span"])
+
+    return let(events, sweep)
 
 
 def _below(z: Column) -> Column:
@@ -109,8 +144,10 @@ def _numbers(value: Column, alphabet: Column) -> Column:
 def _battery(x: Column, e: Column) -> Column:
     """struct(random: p-value of randomness, prose: p-value of written text) of one run of alphabet positions."""
     size, half, n = e["size"], F.floor(e["size"] / 2), F.size(x)
-    square = F.aggregate(F.sequence(F.lit(0), size - 1), F.lit(0.0), lambda acc, a: acc + F.pow(
-        F.size(F.filter(x, lambda v: v == a)).cast("double"), F.lit(2)))
+    # sum of squared counts: over the sorted positions, the k-th of a symbol adds 2k - 1
+    square = F.aggregate(F.sort_array(x), F.struct(F.lit(-1).alias("last"), F.lit(0).alias("k"), F.lit(0.0).alias("sum")),
+                         lambda acc, v: let(F.when(acc["last"] == v, acc["k"] + 1).otherwise(1), lambda k: F.struct(
+                             v.cast("int").alias("last"), k.alias("k"), (acc["sum"] + 2.0 * k - 1.0).alias("sum"))))["sum"]
     zero = F.struct(F.lit(-1).alias("last"), F.lit(0).alias("runs"), F.lit(0).alias("high"),
                     *[F.lit(0.0).alias(k) for k in ("s", "ss", "sp")])
 
@@ -126,7 +163,8 @@ def _battery(x: Column, e: Column) -> Column:
         w = t["w"]
         chi = t["sq"] * size / n - n
         z_chi = (chi - (size - 1)) / F.sqrt(2.0 * (size - 1))
-        mu = 1 + 2 * w["high"] * (n - w["high"]) / n
+        high = w["high"].cast("double")                # the product passes 32 bits in a long run
+        mu = 1 + 2 * high * (n - high) / n
         spread = F.sqrt((mu - 1) * (mu - 2) / (n - 1))
         z_runs = F.when(spread > 0, (w["runs"] - mu) / spread).otherwise(99.0)
         m = w["s"] / n
@@ -174,8 +212,7 @@ def pattern_spans(text: Column) -> Column:
 def random_spans(text: Column, taken: Column) -> Column:
     """Spans of runs that look random, apart from what ``taken`` covers."""
     runs = spans_of(text, RUN, "random", len(KINDS))
-    free = let(taken, lambda base: F.filter(runs, lambda r: ~F.exists(
-        base, lambda b: (b["start"] < r["end"]) & (r["start"] < b["end"]))))
+    free = let(F.struct(runs.alias("runs"), taken.alias("taken")), lambda x: _apart(x["runs"], x["taken"]))
     return F.when(text.rlike(RUN), let(F.transform(free, _tested), _discoveries))
 
 
