@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from packspark.llm.common import materialise, texts
+from packspark.llm.common import lean, materialise, texts
 
 WINDOW = 10
 BLOCK_WORDS = 1_000_000
@@ -207,7 +207,7 @@ def _scan_block(df: DataFrame, items: list[tuple[str, str]], window: int) -> Dat
             yield pa.RecordBatch.from_arrays(
                 [new[c] if c in new else batch.column(c) for c in batch.schema.names], batch.schema.names)
 
-    return df.mapInArrow(run, df.schema)
+    return df.mapInArrow(lean(run), df.schema)
 
 
 def _union(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -264,7 +264,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW,
                      for t, s in zip(batch.column("text").to_pylist(), spans)]
             yield batch.set_column(i, batch.schema.field(i), pa.array(left, batch.schema.field(i).type))
 
-    out = found.mapInArrow(run, found.schema)
+    out = found.mapInArrow(lean(run), found.schema)
     changed = F.size("spans") > 0
     return out.select(*[F.when(changed, F.length("text").cast(f.dataType)).otherwise(F.col("n_chars")).alias("n_chars")
                         if f.name == "n_chars" else F.col(f"`{f.name}`") for f in docs.schema])

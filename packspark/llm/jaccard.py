@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from packspark.llm.common import materialise
+from packspark.llm.common import lean, materialise
 from packspark.llm.graph import components
 
 WORDS = 5
@@ -255,7 +255,7 @@ def _rows(docs: DataFrame, classes: DataFrame, frequent: tuple[np.ndarray, np.nd
                  pa.array(bits, pa.binary())], ["doc", "n", "prefix", "bits"])
 
     made = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").where("doc_id IS NOT NULL") \
-        .mapInArrow(run, "doc bigint, n bigint, prefix array<bigint>, bits binary").where("n > 0")
+        .mapInArrow(lean(run), "doc bigint, n bigint, prefix array<bigint>, bits binary").where("n > 0")
     return materialise(made.join(classes.select(F.col("rep").alias("doc")), "doc", "left_semi"), "matrix-rows")
 
 
@@ -297,7 +297,7 @@ def _by_bitmap(pairs: DataFrame, rows: DataFrame) -> DataFrame:
             keep = pa.array([may_link(*x) for x in zip(*cols)], pa.bool_())
             yield batch.select(["a", "b"]).filter(keep)
 
-    return pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(run, "a bigint, b bigint")
+    return pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(lean(run), "a bigint, b bigint")
 
 
 def _id_filter(ids: DataFrame) -> np.ndarray:
@@ -341,10 +341,10 @@ def _verify(pairs: DataFrame, docs: DataFrame) -> DataFrame:
 
     doc = F.col("doc_id").cast("bigint")
     full = docs.where(doc.isNotNull()).select(doc.alias("doc"), "text", *_bit(doc)) \
-        .mapInArrow(sets, "doc bigint, members binary").join(ids, "doc", "left_semi")
+        .mapInArrow(lean(sets), "doc bigint, members binary").join(ids, "doc", "left_semi")
     full = materialise(full, "full-sets")
     side = lambda k: full.select(F.col("doc").alias(k), F.col("members").alias(f"m{k}"))
-    return pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(test, "a bigint, b bigint")
+    return pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(lean(test), "a bigint, b bigint")
 
 
 def _remaining(entries: DataFrame, comp: DataFrame) -> DataFrame:
@@ -385,7 +385,7 @@ def _cross_pairs(entries: DataFrame, rows: DataFrame) -> DataFrame:
         if held:
             yield from _block_pairs(held, seen)
 
-    return ready.mapInArrow(run, "a bigint, b bigint").distinct()
+    return ready.mapInArrow(lean(run), "a bigint, b bigint").distinct()
 
 
 def _folded(bits: list[bytes], width: int) -> dict[int, np.ndarray]:

@@ -23,6 +23,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from packspark.llm.common import lean
+
 MARK = "▁"
 CACHE_PARTS = 100_000
 
@@ -221,7 +223,7 @@ def encode(df: DataFrame, model: bytes, text: str = "text") -> DataFrame:
                                 "starts": pa.array([r[2] for r in rows], pa.list_(pa.int64())),
                                 "ends": pa.array([r[3] for r in rows], pa.list_(pa.int64()))})
 
-    return df.mapInArrow(run, _schema(df, "ids array<int>, starts array<bigint>, ends array<bigint>"))
+    return df.mapInArrow(lean(run), _schema(df, "ids array<int>, starts array<bigint>, ends array<bigint>"))
 
 
 def decode(df: DataFrame, model: bytes, ids: str = "ids") -> DataFrame:
@@ -236,7 +238,7 @@ def decode(df: DataFrame, model: bytes, ids: str = "ids") -> DataFrame:
             yield _with(batch, {"decoded": pa.array([made[0].decode(x or []) for x in batch.column(ids).to_pylist()],
                                                     pa.string())})
 
-    return df.mapInArrow(run, _schema(df, "decoded string"))
+    return df.mapInArrow(lean(run), _schema(df, "decoded string"))
 
 
 def digest(df: DataFrame, model: bytes, text: str = "text", with_ids: bool = False) -> DataFrame:
@@ -248,14 +250,13 @@ def digest(df: DataFrame, model: bytes, text: str = "text", with_ids: bool = Fal
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if not made:
             made.append(Encoder(shared.value))
-        e = made[0]
         for batch in batches:
             out: dict[str, list] = {k: [] for k in ("n_tokens", "ids_sha256", "decoded_sha256", "n_bytes", "ids")}
             for i in range(batch.num_rows):
-                ids, shown, starts, ends = e.encode(batch.column(text)[i].as_py() or "")
+                ids, shown, starts, ends = made[0].encode(batch.column(text)[i].as_py() or "")
                 out["n_tokens"].append(len(ids))
                 out["ids_sha256"].append(hashlib.sha256(shown.encode()).hexdigest())
-                out["decoded_sha256"].append(hashlib.sha256(e.decode(ids).encode()).hexdigest())
+                out["decoded_sha256"].append(hashlib.sha256(made[0].decode(ids).encode()).hexdigest())
                 out["n_bytes"].append(int((ends - starts).sum()))
                 out["ids"].append(np.array(ids, np.int32) if with_ids else None)
             new = {"n_tokens": pa.array(out["n_tokens"], pa.int64()), "ids_sha256": pa.array(out["ids_sha256"], pa.string()),
@@ -263,6 +264,7 @@ def digest(df: DataFrame, model: bytes, text: str = "text", with_ids: bool = Fal
                    "n_bytes": pa.array(out["n_bytes"], pa.int64())}
             yield _with(batch.drop_columns([text]), new | (
                 {"ids": pa.array(out["ids"], pa.list_(pa.int32()))} if with_ids else {}))
+        made.clear()
 
     added = "n_tokens bigint, ids_sha256 string, decoded_sha256 string, n_bytes bigint" + ", ids array<int>" * with_ids
-    return df.mapInArrow(run, _schema(df.drop(text), added))
+    return df.mapInArrow(lean(run), _schema(df.drop(text), added))

@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from packspark.llm.common import materialise, texts
+from packspark.llm.common import lean, materialise, texts
 
 SAMPLE_ROWS = 20_000
 LEXICON = 128           # entries at most
@@ -90,7 +90,7 @@ def _counts(sample: DataFrame) -> DataFrame:
                     n.clear()
             yield rows(n)
 
-    pairs = sample.select("text", "toxic").mapInArrow(run, "entry binary, toxic int, n bigint")
+    pairs = sample.select("text", "toxic").mapInArrow(lean(run), "entry binary, toxic int, n bigint")
     return pairs.groupBy("entry").agg(F.sum(F.when(F.col("toxic") == 1, F.col("n")).otherwise(0)).alias("a"),
                                       F.sum(F.when(F.col("toxic") == 0, F.col("n")).otherwise(0)).alias("b"))
 
@@ -212,7 +212,7 @@ def vote_patterns(docs: DataFrame, lexicon: list[bytes]) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(list(n), pa.int64()), pa.array(list(n.values()), pa.int64())],
                                              ["mask", "n"])
 
-    return docs.select("text").mapInArrow(run, "mask bigint, n bigint").groupBy("mask").agg(F.sum("n").alias("n"))
+    return docs.select("text").mapInArrow(lean(run), "mask bigint, n bigint").groupBy("mask").agg(F.sum("n").alias("n"))
 
 
 def _bits(masks: np.ndarray) -> np.ndarray:
@@ -255,7 +255,7 @@ def _sums(patterns: DataFrame, model: LabelModel, pairs: bool) -> np.ndarray:
             out += np.concatenate(parts)
         yield pa.RecordBatch.from_arrays([pa.array([out], pa.list_(pa.float64()))], ["s"])
 
-    rows = patterns.mapInArrow(run, "s array<double>").collect()
+    rows = patterns.mapInArrow(lean(run), "s array<double>").collect()
     return np.sum([r["s"] for r in rows], axis=0) if rows else np.zeros(2 * (VOTERS + 1) + 2 * VOTERS ** 2 * pairs)
 
 
@@ -350,7 +350,7 @@ def _sample_features(sample: DataFrame, lexicon: list[bytes]) -> tuple[list[list
                 [pa.array([features(t) for t in texts(batch.column("text"))], pa.list_(pa.int32())),
                  batch.column("toxic")], ["f", "toxic"])
 
-    got = sample.mapInArrow(run, "f array<int>, toxic int").collect()
+    got = sample.mapInArrow(lean(run), "f array<int>, toxic int").collect()
     return [list(r["f"]) for r in got], np.array([r["toxic"] for r in got], np.int64)
 
 
@@ -390,4 +390,4 @@ def score(docs: DataFrame, model: ToxicityModel, text: str = "text") -> DataFram
                 [*[batch.column(c) for c in keep], pa.array(s, pa.float64()),
                  pa.array([int(v >= THRESHOLD) for v in s], pa.int32())], [*keep, "score", "predicted"])
 
-    return docs.mapInArrow(run, T.StructType([docs.schema[c] for c in keep] + list(added)))
+    return docs.mapInArrow(lean(run), T.StructType([docs.schema[c] for c in keep] + list(added)))
