@@ -193,15 +193,14 @@ def clamp_early_global(df: DataFrame, value: str, by: Sequence[str], order: str
     """Rows with ``order < first_n`` take the median of all such rows of their ``by`` group.
 
     The median table has one row per ``by`` group (e.g. one per cycling state); it is an
-    exact median.  Equal values of a group are counted map-side, but a group's different values are
-    sorted in one task, with spilling (``median_table``, ``'counted'``).  It is joined
+    exact median, found by radix selection over counted values (no task holds a group).  It is joined
     back without a hint: adaptive execution measures
     the materialised table and turns the join into a broadcast only when it is below
     the broadcast threshold, otherwise it stays a shuffle join.
     """
-    from packspark.operators.median import median_table
+    from packspark.operators.median import group_median
     early = F.col(order) < first_n
-    med = median_table(df.where(early), value, list(by), out="_ps_early_md")
+    med = group_median(df.where(early), value, list(by), out="_ps_early_md")
     d = df.join(med, on=list(by), how="left")
     return d.withColumn(value, F.when(early, F.col("_ps_early_md")).otherwise(F.col(value))).drop("_ps_early_md")
 

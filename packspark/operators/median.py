@@ -1,80 +1,90 @@
-"""Exact group median that never gathers a group into one task.
+"""Exact group quantiles by radix selection, so that no task ever holds a group.
 
 ``F.median`` (and a window median) hands every value of a group to one task; a group
 holding a third of all rows would then be sorted by a single task.  Here equal values of a group are
-counted first (map-side), a group's values are cut into ``BUCKETS`` equal steps between its smallest and
-largest value, counts per bucket give the first rank of each, and the middle ranks are looked up inside the
-(at most two) buckets that hold them.  Everything is lazy and depends on values only.
-The result equals ``percentile(x, 0.5)``: the mean of the values at ranks floor((n-1)/2) and ceil((n-1)/2).
+counted first (map-side).  Each double becomes a 64-bit whole number of the same order, and the ranks that
+are looked for are followed down its four 16-bit digits: a round counts the values per digit
+under the prefixes found so far (map-side, 65,536 counts a prefix at most) and keeps the digit each
+rank falls into.  How the values are spread doesn't matter: a far value takes no more than a digit of its own.
+All rounds read one shuffle of the counts; everything is lazy and depends on values only.
+The median equals ``percentile(x, 0.5)``: the mean of the values at ranks floor((n-1)/2) and ceil((n-1)/2); other quantiles
+are interpolated likewise.  NaN sorts last; both zeros are one value.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+DIGIT = 16
+_UNIT = 1 << 52            # whole numbers between two powers of two
 
-BUCKETS = 4096
 
+def order_key(v: Column) -> Column:
+    """A 64-bit whole number for each double, in the order of the doubles: exponent, then mantissa, the sign in front."""
+    a = F.abs(v)
+    least_normal, least = F.lit(2.0 ** -1022), F.lit(5e-324)
+    guess = F.floor(F.log2(F.greatest(F.least(a, F.lit(1.7976931348623157e308)), least_normal)))
+    scaled = a / F.pow(F.lit(2.0), guess)
+    e = F.when(scaled >= 2.0, guess + 1).when(scaled < 1.0, guess - 1).otherwise(guess)     # the logarithm may round
+    mantissa = ((a / F.pow(F.lit(2.0), e) - 1.0) * float(_UNIT)).cast("bigint")
+    size = F.when(a < least_normal, (a / least).cast("bigint")) \
+        .when(a == F.lit(float("inf")), F.lit(2047 * _UNIT)) \
+        .otherwise((e + 1023).cast("bigint") * F.lit(_UNIT) + mantissa)
+    return F.when(F.isnan(v), F.lit(2047 * _UNIT + 1)).otherwise(F.when(v < 0, -size).otherwise(size))
 
-def group_median(df: DataFrame, value: str, by: Sequence[str] = (), out: str = "median") -> DataFrame:
-    """One row per group of ``by`` (one row overall when empty) with the exact median of ``value``."""
-    by = list(by)
-    keys = by or ["_ps_g"]
-    x = df.select(*by, F.col(value).cast("double").alias("_ps_v")).where(F.col("_ps_v").isNotNull())
-    if not by:
-        x = x.withColumn("_ps_g", F.lit(0))
-    counts = x.groupBy(*keys, "_ps_v").agg(F.count(F.lit(1)).alias("_ps_c"))
-    span = counts.groupBy(*keys).agg(F.min("_ps_v").alias("_ps_min"), F.max("_ps_v").alias("_ps_max"),
-                                     F.sum("_ps_c").alias("_ps_n"))
-    v, lo, hi = F.col("_ps_v"), F.col("_ps_min"), F.col("_ps_max")
-    step = F.when(hi > lo, F.floor((v - lo) / (hi - lo) * BUCKETS)).otherwise(F.lit(0))
-    same = [F.col(f"a.{k}").eqNullSafe(F.col(f"b.{k}")) for k in keys]
-    cond = same[0]
-    for c in same[1:]:
-        cond = cond & c
-    placed = counts.alias("a").join(span.alias("b"), cond).select(
-        *[F.col(f"a.{k}").alias(k) for k in keys], "_ps_v", "_ps_c", "_ps_n", step.alias("_ps_b"))
-    cell = placed.groupBy(*keys, "_ps_b").agg(F.sum("_ps_c").alias("_ps_k"), F.max("_ps_n").alias("_ps_n"))
-    before = Window.partitionBy(*keys).orderBy("_ps_b").rowsBetween(Window.unboundedPreceding, -1)
-    cell = cell.withColumn("_ps_start", F.coalesce(F.sum("_ps_k").over(before), F.lit(0)))
-    low, high = F.floor((F.col("_ps_n") - 1) / 2), F.ceil((F.col("_ps_n") - 1) / 2)
-    inside = lambda r, at, n: (r >= at) & (r < at + n)
-    need = cell.where(inside(low, F.col("_ps_start"), F.col("_ps_k")) | inside(high, F.col("_ps_start"), F.col("_ps_k"))) \
-        .select(*keys, "_ps_b", "_ps_start")
-    both = [F.col(f"a.{k}").eqNullSafe(F.col(f"b.{k}")) for k in (*keys, "_ps_b")]
-    cond = both[0]
-    for c in both[1:]:
-        cond = cond & c
-    picked = placed.alias("a").join(need.alias("b"), cond).select(
-        *[F.col(f"a.{k}").alias(k) for k in keys], F.col("a._ps_b").alias("_ps_b"), "_ps_v", "_ps_c", "_ps_n", "_ps_start")
-    w = Window.partitionBy(*keys, "_ps_b").orderBy("_ps_v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    picked = picked.withColumn("_ps_at", F.col("_ps_start") + F.sum("_ps_c").over(w) - F.col("_ps_c"))
-    at = lambda r: F.max(F.when(inside(r, F.col("_ps_at"), F.col("_ps_c")), F.col("_ps_v")))
-    med = picked.groupBy(*keys).agg((at(low) * 0.5 + at(high) * 0.5).alias(out))
-    return med if by else med.drop("_ps_g")
 
+def _same(cols: Sequence[str]) -> Column:
+    cond = F.lit(True)
+    for c in cols:
+        cond = cond & F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}"))
+    return cond
 
-def median_table(df: DataFrame, value: str, by: Sequence[str] = (), out: str = "median",
-                 method: str = "counted") -> DataFrame:
-    """Exact median per group, as a table.
 
-    ``'counted'``: equal values of a group are counted map-side and only (value, count) rows are sorted per
-    group, with spilling; one pass over the input.  ``'distributed'`` (``group_median``) spreads these over tasks too,
-    for groups with very many different values; it reads the input more often.
-    """
+def group_quantiles(df: DataFrame, value: str, by: Sequence[str], quantiles: Mapping[str, float]) -> DataFrame:
+    """One row per group of ``by`` (one row overall when empty) with an exact quantile per name."""
     by = list(by)
-    if method == "distributed":
-        return group_median(df, value, by, out)
     keys = by or ["_ps_g"]
-    x = df.select(*by, F.col(value).cast("double").alias("_ps_v")).where(F.col("_ps_v").isNotNull())
+    x = df.select(*by, (F.col(value).cast("double") + 0.0).alias("_ps_v")).where(F.col("_ps_v").isNotNull())
     counts = (x if by else x.withColumn("_ps_g", F.lit(0))).groupBy(*keys, "_ps_v").agg(F.count(F.lit(1)).alias("_ps_c"))
-    w = Window.partitionBy(*keys)
-    end = F.sum("_ps_c").over(w.orderBy("_ps_v").rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    ranked = counts.withColumn("_ps_end", end).withColumn("_ps_n", F.sum("_ps_c").over(w))
-    low, high = F.floor((F.col("_ps_n") - 1) / 2), F.ceil((F.col("_ps_n") - 1) / 2)
-    at = lambda r: F.min(F.when(r < F.col("_ps_end"), F.col("_ps_v")))
-    med = ranked.groupBy(*keys).agg((at(low) * 0.5 + at(high) * 0.5).alias(out))
-    return med if by else med.drop("_ps_g")
+    counts = counts.withColumn("_ps_k", order_key(F.col("_ps_v")))
+    n = F.col("_ps_n")
+    ranks = []
+    for i, q in enumerate(quantiles.values()):
+        place = (n - 1).cast("double") * F.lit(float(q))
+        ranks += [F.struct(F.lit(2 * i).alias("slot"), F.floor(place).alias("rank")),
+                  F.struct(F.lit(2 * i + 1).alias("slot"), F.ceil(place).alias("rank"))]
+    want = counts.groupBy(*keys).agg(F.sum("_ps_c").alias("_ps_n")) \
+        .select(*keys, "_ps_n", F.explode(F.array(*ranks)).alias("_ps_r")) \
+        .select(*keys, "_ps_n", F.col("_ps_r.slot").alias("_ps_s"), F.col("_ps_r.rank").alias("_ps_rank"))
+    at = keys
+    for shift in (48, 32, 16, 0):
+        below = counts
+        if at != keys:                     # only values under a prefix that some rank lies in
+            live = want.select(*at).distinct()
+            below = counts.withColumn("_ps_p", F.shiftright("_ps_k", shift + DIGIT)).alias("a") \
+                .join(live.alias("b"), _same(at), "left_semi").select("a.*")
+        cell = below.groupBy(*at, F.shiftright("_ps_k", shift).alias("_ps_d")) \
+            .agg(F.sum("_ps_c").alias("_ps_m"), F.min("_ps_v").alias("_ps_v"))
+        before = Window.partitionBy(*at).orderBy("_ps_d").rowsBetween(Window.unboundedPreceding, -1)
+        cell = cell.withColumn("_ps_from", F.coalesce(F.sum("_ps_m").over(before), F.lit(0)))
+        inside = (F.col("a._ps_rank") >= F.col("b._ps_from")) & (F.col("a._ps_rank") < F.col("b._ps_from") + F.col("b._ps_m"))
+        want = want.alias("a").join(cell.alias("b"), _same(at) & inside).select(
+            *[F.col(f"a.{k}").alias(k) for k in keys], F.col("a._ps_n").alias("_ps_n"), F.col("a._ps_s").alias("_ps_s"),
+            (F.col("a._ps_rank") - F.col("b._ps_from")).alias("_ps_rank"), F.col("b._ps_d").alias("_ps_p"),
+            F.col("b._ps_v").alias("_ps_v"))
+        at = [*keys, "_ps_p"]
+    found = want.groupBy(*keys, "_ps_n").pivot("_ps_s", list(range(2 * len(quantiles)))).agg(F.first("_ps_v"))
+    out = []
+    for i, (name, q) in enumerate(quantiles.items()):
+        place = (n - 1).cast("double") * F.lit(float(q))
+        low, high = F.col(f"`{2 * i}`"), F.col(f"`{2 * i + 1}`")
+        out.append((low * 0.5 + high * 0.5 if q == 0.5 else low + (high - low) * (place - F.floor(place))).alias(name))
+    return found.select(*by, *out)
+
+
+def group_median(df: DataFrame, value: str, by: Sequence[str] = (), out: str = "median") -> DataFrame:
+    """One row per group of ``by`` (one row overall when empty) with the exact median of ``value``."""
+    return group_quantiles(df, value, by, {out: 0.5})

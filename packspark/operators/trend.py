@@ -73,13 +73,13 @@ def fit_segments(series: DataFrame, target_energy: float = 0.64, last_n: int = 3
 def _jump_frame(df, value, keys, cycle, jump_threshold_pc, start_cycle, closest_cycles, jump_cycle_neighbors):
     """Columns ``_ps_out`` (adjusted), ``_ps_keep``, ``_ps_len``, ``_ps_shift`` per row.
 
-    Kept jumps are at least two cycles apart (``closest_cycles >= 2``), so each jump's length only depends on
-    original differences inside its neighbourhood: a closed form with windows.  Adjacent jumps would be
-    measured on rows that earlier ones have shifted; they are rejected.
+    A jump shifts its own and all later rows, so jumps two cycles apart or more shift the whole neighbourhood of
+    the next one alike and its length depends on original differences only.  With ``closest_cycles`` of 1 a jump may follow the
+    one of the cycle before; then the first row of its neighbourhood (c-2) lacks that shift, all others have
+    it, so ``len(c) = len0(c) - len(c-1)``.  Along such a run of jumps this is an alternating sum of the original lengths: again
+    windows, no sequential pass.
     """
     keys = list(keys)
-    if closest_cycles < 2:
-        raise ValueError("closest_cycles must be at least 2")
     w = Window.partitionBy(*keys).orderBy(cycle)
     x = F.col(value)
     pct = F.abs(safe_div(x, F.lag(x).over(w)) - F.lit(1.0))
@@ -99,6 +99,15 @@ def _jump_frame(df, value, keys, cycle, jump_threshold_pc, start_cycle, closest_
         .otherwise(F.max(x).over(near(1)))
     length = F.when(F.count(F.lit(1)).over(near(-2)) > 1, rest - F.first(x).over(near(-2))).otherwise(F.lit(0.0))
     d = d.withColumn("_ps_len", F.when(F.col("_ps_keep"), length).otherwise(F.lit(0.0)))
+    if closest_cycles < 2:
+        after = F.col("_ps_keep") & (first == -2) & (F.lag(cycle).over(w) == F.col(cycle) - 1) & F.lag("_ps_keep").over(w)
+        d = d.withColumn("_ps_after", after)
+        d = d.withColumn("_ps_run", F.count(F.when(F.col("_ps_keep") & ~F.col("_ps_after"), F.lit(1)))
+                         .over(w.rowsBetween(Window.unboundedPreceding, 0)))
+        sign = F.when(F.pmod(F.col(cycle), F.lit(2)) == 0, F.lit(1.0)).otherwise(F.lit(-1.0))     # jumps of a run: one a cycle
+        run = Window.partitionBy(*keys, "_ps_run").orderBy(cycle).rowsBetween(Window.unboundedPreceding, 0)
+        total = F.sum(sign * F.col("_ps_len")).over(run)
+        d = d.withColumn("_ps_len", F.when(F.col("_ps_keep"), sign * total).otherwise(F.lit(0.0)))
     d = d.withColumn("_ps_shift", F.sum("_ps_len").over(w.rowsBetween(Window.unboundedPreceding, 0)))
     return d.withColumn("_ps_out", x - F.col("_ps_shift"))
 
@@ -112,7 +121,7 @@ def energy_jump_removed(df: DataFrame, jump_threshold_pc: float = 0.2, start_cyc
     Jumps: |pct change| > threshold % at cycles >= ``start_cycle``; of jumps closer than
     ``closest_cycles`` only the last of each chain is kept.  Each kept jump at cycle c
     shifts all later rows by ``max(x_i - x_first)`` over the rows with cycle in
-    ``[c-2, c+neighbors]`` (first row excluded; 0 when there is a single row).
+    ``[c-2, c+neighbors]`` (first row excluded; 0 when there is a single row), as earlier jumps left them.
     """
     d = _jump_frame(df, value, keys, cycle, jump_threshold_pc, start_cycle, closest_cycles, jump_cycle_neighbors)
     return d.withColumn(value, F.col("_ps_out")).drop(*[c for c in d.columns if c.startswith("_ps_")])

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from packspark.functions.columns import bin_right_closed, pct_text
 from packspark.operators.clean import sigma_band_filter
-from packspark.operators.median import median_table
+from packspark.operators.median import group_median
 
 SERIES = ("doe", "instance", "cycle_num")
 ORDER = ("elapsed_minutes", "sample_id")
@@ -70,10 +70,9 @@ def _band(mx: DataFrame, column: str, sigma_multiplier: float) -> Column:
     """``column`` inside the global median ± k·std (ddof=1) of ``mx``.
 
     The two statistics are scalar subqueries, not a join; the median is exact.
-    Equal series maxima are counted map-side, but all different ones are sorted in one task, with spilling
-    (``median_table``, ``'counted'``).
+    The median is found by radix selection over counted values, so no task holds all series maxima.
     """
-    md = median_table(mx, column, out="md").select("md").scalar()
+    md = group_median(mx, column, out="md").select("md").scalar()
     sd = mx.agg(F.stddev_samp(column).alias("sd")).select("sd").scalar()
     k = F.lit(float(sigma_multiplier))
     return F.coalesce(F.col(column).between(md - k * sd, md + k * sd), F.lit(False))

@@ -370,6 +370,29 @@ def q_jumps_wide(spark, sf):
     return tr.energy_jump_details(_energy_norm(spark, sf), 0.1, 10, 50, 5)
 
 
+@register("energy_jump_adjacent", KC + ", cycle:i, norm_discharge_energy:d, jump_length:d",
+          "WITH RECURSIVE " + W(ad.CYCLE_SQL, jump_ctes(0.1, 2, 1, 5)).lstrip()[4:].lstrip() + """,
+ord AS (SELECT *, row_number() OVER (PARTITION BY doe_number, instance_number ORDER BY cycle) AS k,
+          coalesce(lag(cycle) OVER s = cycle - 1 AND lag(keep) OVER s, false) AND min(cycle) OVER n = cycle - 2 AS after
+        FROM jumps WINDOW s AS (PARTITION BY doe_number, instance_number ORDER BY cycle),
+          n AS (PARTITION BY doe_number, instance_number ORDER BY cycle RANGE BETWEEN 2 PRECEDING AND CURRENT ROW)),
+fold AS (
+  SELECT doe_number, instance_number, k, cycle, x, keep, CAST(L AS DOUBLE) AS own, CAST(L AS DOUBLE) AS shift FROM ord WHERE k = 1
+  UNION ALL
+  SELECT o.doe_number, o.instance_number, o.k, o.cycle, o.x, o.keep,
+         CASE WHEN o.keep AND o.after THEN o.L - f.own ELSE o.L END,
+         f.shift + CASE WHEN o.keep AND o.after THEN o.L - f.own ELSE o.L END
+  FROM fold f JOIN ord o ON o.doe_number = f.doe_number AND o.instance_number = f.instance_number AND o.k = f.k + 1)
+SELECT doe_number, instance_number, cycle, x - shift AS norm_discharge_energy, own AS jump_length FROM fold""", ids=["T27", "W7", "W11"])
+def q_jumps_adjacent(spark, sf):
+    """Jumps of neighbouring cycles all count; the twin folds the rows of a series one after the other."""
+    e = _energy_norm(spark, sf)
+    keys = ["doe_number", "instance_number", "cycle"]
+    out = tr.energy_jump_removed(e, 0.1, 2, 1, 5)
+    own = tr.energy_jump_details(e, 0.1, 2, 1, 5).select(*keys, "jump_length")
+    return out.join(own, keys, "left").fillna(0.0, ["jump_length"])
+
+
 @register("welch_ttest_pooled", "n1:l, mean1:d, var1:d, n2:l, mean2:d, var2:d, T:d, dof:d, cohen_d:d",
           W(ad.CYCLE_SQL, seg_ctes()) + f"""
 , tt AS (

@@ -31,7 +31,7 @@ def sequential_jumps(cycles, x, thr_pc, start, closest, n):
     return out, details
 
 
-@pytest.mark.parametrize("closest,n", [(2, 5), (3, 5), (5, 2), (50, 5)])
+@pytest.mark.parametrize("closest,n", [(1, 5), (1, 2), (2, 5), (3, 5), (5, 2), (50, 5)])
 def test_closed_form_matches_sequential(spark, closest, n):
     rng = np.random.default_rng(closest * 10 + n)
     rows, series = [], {}
@@ -56,7 +56,7 @@ def test_closed_form_matches_sequential(spark, closest, n):
         assert np.allclose(d.jump_energy_pct.to_numpy(), [p for _, _, p in ref_det], atol=1e-9)
 
 
-def test_adjacent_jump_spacing_uses_sequential_path(spark):
+def test_adjacent_jumps_equal_the_sequential_rule(spark):
     rng = np.random.default_rng(99)
     rows, series = [], {}
     for s in range(6):

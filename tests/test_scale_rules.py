@@ -90,12 +90,6 @@ def test_early_block_of_more_than_six_cycles_is_spread(spark):
     assert len(set(early)) == 7 and early == sorted(early, reverse=True)
 
 
-def test_adjacent_jumps_are_rejected(spark):
-    df = spark.createDataFrame([("T", "1", 1, 1.0)], "doe_number string, instance_number string, cycle int, norm_discharge_energy double")
-    with pytest.raises(ValueError):
-        trend.energy_jump_removed(df, closest_cycles=1)
-
-
 def test_a_folder_of_files_is_read(spark, tmp_path):
     path = str(tmp_path / "series")
     spark.range(5).withColumnRenamed("id", "cycle").write.parquet(path)
