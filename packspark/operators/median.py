@@ -3,9 +3,9 @@
 ``F.median`` (and a window median) hands every value of a group to one task; a group
 holding a third of all rows would then be sorted by a single task.  Here equal values of a group are
 counted first (map-side).  Each double becomes a 64-bit whole number of the same order, and the ranks that
-are looked for are followed down its four 16-bit digits: a round counts the values per digit
-under the prefixes found so far (map-side, 65,536 counts a prefix at most) and keeps the digit each
-rank falls into.  How the values are spread doesn't matter: a far value takes no more than a digit of its own.
+are looked for are followed down its three digits (22, 21 and 21 bits): a round counts the values per digit
+under the prefixes found so far (map-side; a task reads one count per digit, two million a rank at most) and
+keeps the digit each rank falls into.  How the values are spread doesn't matter: a far value takes no more than a digit of its own.
 All rounds read one shuffle of the counts; everything is lazy and depends on values only.
 The median equals ``percentile(x, 0.5)``: the mean of the values at ranks floor((n-1)/2) and ceil((n-1)/2); other quantiles
 are interpolated likewise.  NaN sorts last; both zeros are one value.
@@ -18,7 +18,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-DIGIT = 16
+SHIFTS = (42, 21, 0)       # digits of 22, 21 and 21 bits
 _UNIT = 1 << 52            # whole numbers between two powers of two
 
 
@@ -56,27 +56,28 @@ def group_quantiles(df: DataFrame, value: str, by: Sequence[str], quantiles: Map
         place = (n - 1).cast("double") * F.lit(float(q))
         ranks += [F.struct(F.lit(2 * i).alias("slot"), F.floor(place).alias("rank")),
                   F.struct(F.lit(2 * i + 1).alias("slot"), F.ceil(place).alias("rank"))]
-    want = counts.groupBy(*keys).agg(F.sum("_ps_c").alias("_ps_n")) \
-        .select(*keys, "_ps_n", F.explode(F.array(*ranks)).alias("_ps_r")) \
-        .select(*keys, "_ps_n", F.col("_ps_r.slot").alias("_ps_s"), F.col("_ps_r.rank").alias("_ps_rank"))
-    at = keys
-    for shift in (48, 32, 16, 0):
-        below = counts
-        if at != keys:                     # only values under a prefix that some rank lies in
-            live = want.select(*at).distinct()
-            below = counts.withColumn("_ps_p", F.shiftright("_ps_k", shift + DIGIT)).alias("a") \
-                .join(live.alias("b"), _same(at), "left_semi").select("a.*")
-        cell = below.groupBy(*at, F.shiftright("_ps_k", shift).alias("_ps_d")) \
-            .agg(F.sum("_ps_c").alias("_ps_m"), F.min("_ps_v").alias("_ps_v"))
-        before = Window.partitionBy(*at).orderBy("_ps_d").rowsBetween(Window.unboundedPreceding, -1)
-        cell = cell.withColumn("_ps_from", F.coalesce(F.sum("_ps_m").over(before), F.lit(0)))
-        inside = (F.col("a._ps_rank") >= F.col("b._ps_from")) & (F.col("a._ps_rank") < F.col("b._ps_from") + F.col("b._ps_m"))
-        want = want.alias("a").join(cell.alias("b"), _same(at) & inside).select(
-            *[F.col(f"a.{k}").alias(k) for k in keys], F.col("a._ps_n").alias("_ps_n"), F.col("a._ps_s").alias("_ps_s"),
-            (F.col("a._ps_rank") - F.col("b._ps_from")).alias("_ps_rank"), F.col("b._ps_d").alias("_ps_p"),
-            F.col("b._ps_v").alias("_ps_v"))
-        at = [*keys, "_ps_p"]
-    found = want.groupBy(*keys, "_ps_n").pivot("_ps_s", list(range(2 * len(quantiles)))).agg(F.first("_ps_v"))
+
+    def cells(rows: DataFrame, within: list[str], shift: int) -> DataFrame:
+        """Counts per digit, and how many values of the group or prefix come before each."""
+        cell = rows.groupBy(*within, F.shiftright("_ps_k", shift).alias("_ps_p")) \
+            .agg(F.sum("_ps_c").alias("_ps_m"), F.min("_ps_v").alias("_ps_x"))
+        w = Window.partitionBy(*within)
+        return cell.withColumn("_ps_from", F.sum("_ps_m").over(
+            w.orderBy("_ps_p").rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("_ps_m"))
+
+    inside = (F.col("_ps_rank") >= F.col("_ps_from")) & (F.col("_ps_rank") < F.col("_ps_from") + F.col("_ps_m"))
+    rest = (F.col("_ps_rank") - F.col("_ps_from")).alias("_ps_rank")
+    want = cells(counts, keys, SHIFTS[0]).withColumn("_ps_n", F.sum("_ps_m").over(Window.partitionBy(*keys))) \
+        .withColumn("_ps_r", F.explode(F.array(*ranks))) \
+        .select("*", F.col("_ps_r.slot").alias("_ps_s"), F.col("_ps_r.rank").alias("_ps_rank")).where(inside) \
+        .select(*keys, "_ps_n", "_ps_s", rest, "_ps_p", "_ps_x")
+    for above, shift in zip(SHIFTS, SHIFTS[1:]):
+        own = counts.withColumn("_ps_p", F.shiftright("_ps_k", above)).alias("a").join(
+            want.drop("_ps_x").alias("b"), _same([*keys, "_ps_p"])).select(
+            *[F.col(f"a.{k}").alias(k) for k in keys], "_ps_k", "_ps_v", "_ps_c", "_ps_n", "_ps_s", "_ps_rank")
+        want = cells(own, [*keys, "_ps_s", "_ps_n", "_ps_rank"], shift).where(inside) \
+            .select(*keys, "_ps_n", "_ps_s", rest, "_ps_p", "_ps_x")
+    found = want.groupBy(*keys, "_ps_n").pivot("_ps_s", list(range(2 * len(quantiles)))).agg(F.first("_ps_x"))
     out = []
     for i, (name, q) in enumerate(quantiles.items()):
         place = (n - 1).cast("double") * F.lit(float(q))
