@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from packspark.functions.columns import ci95_bounds
+from packspark.operators.median import group_quantiles
 
 
 def mean_ci(df: DataFrame, x: str, y: str, hue: Sequence[str] = ()) -> DataFrame:
@@ -33,6 +35,46 @@ def histogram(df: DataFrame, value: str, lo: float, width: float, by: Sequence[s
             .withColumn("probability", F.col("count") / total))
 
 
+def bin_rule(n: Column, lo: Column, hi: Column, iqr: Column) -> Column:
+    """Number of equal bins that the data choose: the narrower of the Freedman-Diaconis and the Sturges width (the latter alone
+    where the quartiles are equal); one bin for a single value."""
+    size = n.cast("double")
+    sturges = (hi - lo) / (F.ln(size) / F.lit(math.log(2.0)) + 1.0)
+    spread = 2.0 * iqr / F.pow(size, F.lit(1.0 / 3.0))
+    width = F.when(spread > 0, F.least(spread, sturges)).otherwise(sturges)
+    return F.when(hi > lo, F.ceil((hi - lo) / F.when(width > 0, width))).otherwise(F.lit(1)).cast("int")
+
+
+def histogram_auto(df: DataFrame, value: str, by: Sequence[str] = ()) -> DataFrame:
+    """Histogram per group whose bins the group's own values choose (``bin_rule``): bins, bin, count, bin_low,
+    bin_width and probability.  The last bin is closed.
+
+    Size and range are partial-aggregated, quartiles come from radix selection, so no group lies in one task.  The
+    statistics have a row per group and are joined without a hint; counts are partial-aggregated."""
+    by = list(by)
+    keys = by or ["_ps_all"]
+    x = F.col(value).cast("double")
+    d = df.where(x.isNotNull() & ~F.isnan(x)).select(*by, x.alias("_ps_x"))
+    if not by:
+        d = d.withColumn("_ps_all", F.lit(0))
+    size = d.groupBy(*keys).agg(F.count(F.lit(1)).alias("_ps_n"), F.min("_ps_x").alias("_ps_lo"), F.max("_ps_x").alias("_ps_hi"))
+    quart = group_quantiles(d, "_ps_x", keys, {"_ps_q1": 0.25, "_ps_q3": 0.75})
+    same = F.lit(True)
+    for k in keys:
+        same = same & F.col(f"a.{k}").eqNullSafe(F.col(f"b.{k}"))
+    st = size.alias("a").join(quart.alias("b"), same).select("a.*", "_ps_q1", "_ps_q3")
+    lo, hi = F.col("_ps_lo"), F.col("_ps_hi")
+    st = st.withColumn("bins", bin_rule(F.col("_ps_n"), lo, hi, F.col("_ps_q3") - F.col("_ps_q1")))
+    at = F.when(hi > lo, F.least(F.floor((F.col("_ps_x") - lo) / (hi - lo) * F.col("bins")).cast("int"), F.col("bins") - 1)) \
+        .otherwise(F.lit(0))
+    placed = d.alias("a").join(st.alias("b"), same).select(*[F.col(f"a.{k}").alias(k) for k in keys], "_ps_n", "_ps_lo", "_ps_hi",
+                                                           "bins", at.alias("bin"))
+    c = placed.groupBy(*keys, "_ps_n", "_ps_lo", "_ps_hi", "bins", "bin").agg(F.count(F.lit(1)).alias("count"))
+    width = (hi - lo) / F.col("bins")
+    return c.select(*by, "bins", "bin", "count", (lo + F.col("bin") * width).alias("bin_low"), width.alias("bin_width"),
+                    (F.col("count") / F.col("_ps_n")).alias("probability"))
+
+
 def density(df: DataFrame, value: str, by: Sequence[str] = (), points: int = 50) -> DataFrame:
     """Gaussian kernel density on ``points`` grid points between the group min and max.
 

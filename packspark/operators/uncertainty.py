@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from packspark.functions.columns import bin_right_closed, pct_text
 from packspark.operators.clean import sigma_band_filter
 from packspark.operators.median import group_median
+from packspark.session import written
 
 SERIES = ("doe", "instance", "cycle_num")
 ORDER = ("elapsed_minutes", "sample_id")
@@ -80,8 +81,11 @@ def _band(mx: DataFrame, column: str, sigma_multiplier: float) -> Column:
 
 def outlier_cycles(df: DataFrame, column: str = "capacity", sigma_multiplier: float = 3.0,
                    keys: Sequence[str] = SERIES, cycle: str = "cycle_num") -> DataFrame:
-    """Cycle numbers with a series maximum outside the global median ± k·std (ddof=1) band."""
-    mx = series_max(df, column, keys)
+    """Cycle numbers with a series maximum outside the global median ± k·std (ddof=1) band.
+
+    The maxima (a row per series) are written once; median, deviation and list read that table, so ``df`` is
+    computed once here."""
+    mx = written(series_max(df, column, keys), "series-maxima")
     return mx.where(~_band(mx, column, sigma_multiplier)).select(cycle).distinct()
 
 
@@ -97,7 +101,7 @@ def drop_outlier_cycles(df: DataFrame, column: str = "capacity", sigma_multiplie
     if scope == "all":
         return df.join(outlier_cycles(df, column, sigma_multiplier, keys, cycle), on=cycle, how="left_anti")
     if scope == "series":
-        mx = series_max(df, column, keys)
+        mx = written(series_max(df, column, keys), "series-maxima")
         bad = mx.where(~_band(mx, column, sigma_multiplier)).select(*keys)
         return df.join(bad, on=list(keys), how="left_anti")
     raise ValueError("scope must be 'all' or 'series'")

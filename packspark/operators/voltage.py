@@ -160,3 +160,8 @@ def series_metrics(df: DataFrame, metrics: Sequence[str], state: str = CHARGE, x
         d = d.withColumn("avg_current_a", F.abs("avg_current_a"))
     keep = ["doe_instance", x, *[e for e in extra if e != x]]
     return d.unpivot(keep, list(metrics), "metric", "value")
+
+
+def delta_temperature(df: DataFrame, low: str = "min_temp", high: str = "max_temp", out: str = "delta_temp") -> DataFrame:
+    """Adds the temperature rise of each row, ``high - low``; NULL where either is."""
+    return df.withColumn(out, F.col(high) - F.col(low))

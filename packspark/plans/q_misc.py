@@ -17,7 +17,7 @@ from packspark.plans.sqltext import lit
 from packspark.sources import files as fi
 from packspark.session import fresh_path
 from packspark.sources import logs as lg
-from packspark.sources.sinks import export
+from packspark.sources.sinks import export, load_file_to_table
 
 W = sq.with_
 
@@ -198,7 +198,7 @@ def q_log_file(spark, sf):
 @register("csv_export_read", "doe_number:s, instance_number:s, cycle:i, dcir:d",
           W(ad.CYCLE_SQL) + """
 SELECT doe_number, instance_number, cycle, round_even(dcir * 1000.0, 1) AS dcir FROM cyc WHERE dcir IS NOT NULL""",
-          ids=["S6", "K5", "T35", "E12", "E15"])
+          ids=["S6", "K5"])
 def q_csv(spark, sf):
     """The resistance table exported as CSV files and read back with a schema."""
     path = fresh_path(spark, "dcir")
@@ -207,6 +207,34 @@ def q_csv(spark, sf):
 
 
 
+@register("csv_table_load", "doe_number:s, instance_number:s, cycle:i, dcir:d",
+          W(ad.CYCLE_SQL) + """
+SELECT doe_number, instance_number, cycle, round_even(dcir * 1000.0, 1) AS dcir FROM cyc WHERE dcir IS NOT NULL""",
+          ids=["K1", "T35", "E15"])
+def q_csv_table(spark, sf):
+    """A folder of CSV files loaded into a catalog table, twice (the second load replaces the first), and read back."""
+    path = fresh_path(spark, "dcir-load")
+    export(dcir_table(ad.cycle_view(spark, sf)), path)
+    table = "packspark_dcir_" + path.rpartition("-")[2]
+    schema = "doe_number string, instance_number string, cycle int, dcir double"
+    for _ in range(2):
+        name = load_file_to_table(spark, path, table, schema=schema, fmt="csv")
+    return spark.table(name)
+
+
+@register("content_lists", "column:s, value:s", W(ad.CYCLE_SQL, RD_SQL, "few AS (SELECT * FROM rd WHERE cycle_num < 5)") + "".join(
+    f"""{'' if i == 0 else ' UNION ALL '}
+SELECT DISTINCT '{c}' AS "column", CAST({c} AS VARCHAR) AS value FROM rd WHERE {c} IS NOT NULL"""
+    for i, c in enumerate(("doe", "instance"))) + """
+UNION ALL SELECT 'cycle_num', min(cycle_num) || ' - ' || max(cycle_num) FROM rd HAVING count(DISTINCT cycle_num) > 6
+UNION ALL SELECT DISTINCT 'cycle_num', CAST(cycle_num AS VARCHAR) FROM few WHERE (SELECT count(DISTINCT cycle_num) FROM few) <= 6""",
+          ids=["A19", "S8", "T29"])
+def q_content_lists(spark, sf):
+    """Both forms of the cycle column: its range for all rows, its values for the first cycles."""
+    rd = _rd(spark, sf)
+    return fi.content_lists(rd).unionByName(fi.content_lists(rd.where(F.col("cycle_num") < 5), every=()))
+
+
 # ------------------------------------------------------------------ scans
 @register("read_cycles_core", "doe_number:s, instance_number:s, cycle:i, cycling_substate:s, energy:d, "
           "energy_rest:d, time:d, mean_mean_voltage:d, dcir:d, min_temp:d",

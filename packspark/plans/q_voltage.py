@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import functions as F
 
 from packspark.operators import filters as fl
@@ -178,3 +180,36 @@ SELECT doe_number, bin, count, {lit(30.0)} + bin * {lit(0.5)} AS bin_low,
        count / sum(count) OVER (PARTITION BY doe_number) AS probability FROM hb""", ids=["A24"])
 def q_hist(spark, sf):
     return stt.histogram(vo.dcir_table(ad.cycle_view(spark, sf)), "dcir", 30.0, 0.5, by=["doe_number"])
+
+
+def auto_bins_sql(src, value, by):
+    g = ", ".join(by)
+    return f"""
+hs AS (SELECT {g}, CAST(count(*) AS DOUBLE) AS n, min({value}) AS lo, max({value}) AS hi,
+         quantile_cont({value}, 0.75) - quantile_cont({value}, 0.25) AS iqr FROM {src} WHERE {value} IS NOT NULL GROUP BY ALL),
+hw AS (SELECT *, (hi - lo) / (ln(n) / {lit(math.log(2.0))} + 1.0) AS sturges, 2.0 * iqr / pow(n, {lit(1.0 / 3.0)}) AS fd FROM hs),
+hn AS (SELECT *, CASE WHEN hi > lo THEN CAST(ceil((hi - lo) / (CASE WHEN fd > 0 THEN least(fd, sturges) ELSE sturges END)) AS INTEGER)
+         ELSE 1 END AS bins FROM hw),
+hc AS (SELECT {g}, n, lo, hi, bins, CASE WHEN hi > lo THEN least(CAST(floor(({value} - lo) / (hi - lo) * bins) AS INTEGER), bins - 1)
+         ELSE 0 END AS bin FROM {src} JOIN hn USING ({g}) WHERE {value} IS NOT NULL)
+SELECT {g}, bins, bin, count(*) AS count, lo + bin * ((hi - lo) / bins) AS bin_low, (hi - lo) / bins AS bin_width,
+       count(*) / n AS probability FROM hc GROUP BY {g}, n, lo, hi, bins, bin"""
+
+
+BINS = ", bins:i, bin:i, count:l, bin_low:d, bin_width:d, probability:d"
+
+
+@register("histogram_auto", "doe_number:s" + BINS, W(ad.CYCLE_SQL, DCIR_SQL) + "," + auto_bins_sql("dcir_t", "dcir", ["doe_number"]),
+          ids=["A24", "T28"])
+def q_hist_auto(spark, sf):
+    return stt.histogram_auto(vo.dcir_table(ad.cycle_view(spark, sf)), "dcir", by=["doe_number"])
+
+
+@register("temperature_histograms", "doe_number:s, cycling_substate:s" + BINS,
+          W(ad.CYCLE_SQL, "rise AS (SELECT doe_number, cycling_substate, max_temp - min_temp AS delta_temp FROM cyc "
+                          "WHERE cycling_substate IN ('CHARGE', 'DISCHARGE') AND max_temp - min_temp > 0)") + ","
+          + auto_bins_sql("rise", "delta_temp", ["doe_number", "cycling_substate"]), ids=["A24", "P16", "T28"])
+def q_hist_temperature(spark, sf):
+    """Temperature rise of each test's charges and discharges, in bins of its own."""
+    d = vo.delta_temperature(ad.cycle_view(spark, sf).where(F.col("cycling_substate").isin("CHARGE", "DISCHARGE")))
+    return stt.histogram_auto(d.where(F.col("delta_temp") > 0), "delta_temp", by=["doe_number", "cycling_substate"])

@@ -69,6 +69,14 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+def written(df, name: str):
+    """``df`` written once as Parquet into the shared checkpoint folder and read back: several branches then read the
+    small result and not its input.  The write is a job of its own; the folder's owner empties it."""
+    path = fresh_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def cluster_conf(input_bytes: int, target_partition_bytes: int = 256 * 1024 * 1024) -> dict[str, str]:
     """Suggested settings for a large input (e.g. 100 TB): partitions sized to fit executor
     memory, adaptive coalescing and skew splitting on.  Apply when building the session."""

@@ -9,6 +9,10 @@ from pyspark.sql import functions as F
 
 from packspark.schema import ALL_COLUMNS, CORE_COLUMNS, instance_sort_cols, nan_to_null
 
+# columns that aren't doubles
+_TYPES = {"doe_number": "string", "instance_number": "string", "cycling_substate": "string", "cycle": "int",
+          "start_time": "timestamp", "end_time": "timestamp"}
+
 
 def _load(spark: SparkSession, source: str | DataFrame, fmt: str | None, options: dict | None) -> DataFrame:
     if isinstance(source, DataFrame):
@@ -25,10 +29,12 @@ def _load(spark: SparkSession, source: str | DataFrame, fmt: str | None, options
 def read_cycles(spark: SparkSession, source: str | DataFrame, doe: str | None = None,
                 instances: Iterable | None = None, cycles: Iterable | None = None,
                 columns: str | Sequence[str] = "all", fmt: str | None = None,
-                options: dict | None = None, sort: bool = False, where: str | None = None) -> DataFrame:
+                options: dict | None = None, sort: bool = False, where: str | None = None,
+                strict: bool = False) -> DataFrame:
     """Cycle summary rows of one test (``doe``), optional instance and cycle lists.
 
     ``cycle = 0`` rows are excluded.  ``columns`` is ``'all'``, ``'core'`` or a list.  The
+    columns of the first two that the source lacks are typed NULLs (``strict``: an error that names them).  The
     predicates are typed (string ids are compared as strings), so they push down to
     parquet / JDBC.  ``where`` adds a SQL predicate text.  Rows are sorted (numeric-first
     instance order) only when ``sort``.
@@ -41,10 +47,13 @@ def read_cycles(spark: SparkSession, source: str | DataFrame, doe: str | None =
         cond = cond & F.col("instance_number").isin([str(i) for i in instances])
     if cycles is not None:
         cond = cond & F.col("cycle").isin([int(c) for c in cycles])
-    if columns == "all":
-        cols = [c for c in ALL_COLUMNS if c in df.columns]
-    elif columns == "core":
-        cols = [c for c in CORE_COLUMNS if c in df.columns]
+    if columns in ("all", "core"):
+        wanted = ALL_COLUMNS if columns == "all" else CORE_COLUMNS
+        missing = [c for c in wanted if c not in df.columns]
+        if missing and strict:
+            raise ValueError(f"the source lacks the columns {missing}")
+        cols = [F.col(c) if c in df.columns else F.lit(None).cast(_TYPES.get(c, "double")).alias(c)
+                for c in wanted]
     else:
         cols = list(columns)
     if where:

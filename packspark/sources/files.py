@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
@@ -41,6 +42,21 @@ def read_data(spark: SparkSession, data: str | DataFrame, schema: T.StructType |
     return rename_cycle_to_series(df)
 
 
+def content_lists(df: DataFrame, every: Sequence[str] = ("doe", "instance"), ranged: str = "cycle_num", most: int = 6) -> DataFrame:
+    """(column, value): all different values of the ``every`` columns, and of ``ranged`` all of them if there are at most
+    ``most``, else its range as ``low - high``.  Values are text; null values are left out."""
+    parts = [df.select(F.lit(c).alias("column"), F.col(c).cast("string").alias("value")).where(F.col("value").isNotNull()).distinct()
+             for c in every if c in df.columns]
+    if ranged in df.columns:
+        r = df.groupBy().agg(F.count_distinct(ranged).alias("n"), F.min(ranged).cast("string").alias("lo"),
+                             F.max(ranged).cast("string").alias("hi"))
+        few = df.select(F.col(ranged).cast("string").alias("value")).where(F.col("value").isNotNull()).distinct() \
+            .where(r.select("n").scalar() <= most)
+        span = r.where(F.col("n") > most).select(F.concat_ws(" - ", "lo", "hi").alias("value"))
+        parts.append(few.unionByName(span).select(F.lit(ranged).alias("column"), "value"))
+    return functools.reduce(DataFrame.unionByName, parts)
+
+
 def content_summary(df: DataFrame, cols: Sequence[str] = ("doe", "instance", "cycle_num")) -> DataFrame:
     """One row per key column: distinct count, min and max (as text).
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 
 from packspark.sources.files import file_format
@@ -24,11 +26,39 @@ def write_table(df: DataFrame, table: str, database: str | None = None, if_exist
     if database:
         ensure_database(df.sparkSession, database)
         name = f"`{database}`.`{table}`"
+    if mode == "overwrite" and df.sparkSession.catalog.tableExists(name):
+        _replace_table(df, name, table, database, fmt, partition_by)
+    else:
+        _save(df, name, mode, fmt, partition_by)
+    return name
+
+
+def _save(df: DataFrame, name: str, mode: str, fmt: str, partition_by) -> None:
     w = df.write.mode(mode).format(fmt)
     if partition_by:
         w = w.partitionBy(*([partition_by] if isinstance(partition_by, str) else partition_by))
     w.saveAsTable(name)
-    return name
+
+
+def _replace_table(df: DataFrame, name: str, table: str, database: str | None, fmt: str, partition_by) -> None:
+    """Staged replace: the new rows go to a table of their own, which then takes the name.  A load that fails leaves
+    the old table as it was, and ``df`` may read the table it replaces."""
+    spark = df.sparkSession
+    mark = uuid.uuid4().hex[:12]
+    staged, old = (f"`{database}`.`{table}_{k}_{mark}`" if database else f"`{table}_{k}_{mark}`" for k in ("new", "old"))
+    try:
+        _save(df, staged, "errorifexists", fmt, partition_by)
+    except Exception:
+        spark.sql(f"DROP TABLE IF EXISTS {staged}")
+        raise
+    spark.sql(f"ALTER TABLE {name} RENAME TO {old}")
+    try:
+        spark.sql(f"ALTER TABLE {staged} RENAME TO {name}")
+    except Exception:
+        spark.sql(f"ALTER TABLE {old} RENAME TO {name}")
+        spark.sql(f"DROP TABLE IF EXISTS {staged}")
+        raise
+    spark.sql(f"DROP TABLE {old}")
 
 
 def write_jdbc(df: DataFrame, url: str, table: str, if_exists: str = "replace", properties: dict | None = None) -> None:

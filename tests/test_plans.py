@@ -19,10 +19,23 @@ PYTHON_OK = {"rolling_outlier_wide", "rolling_outlier_blocked", "charge_steps_st
              "step_reconcile", "welch_ttest_full"}
 
 
+# Scans of more than two: the rounds of a radix selection read one shuffle (reused when the plan runs) or, in the outlier chain, a
+# written table of series maxima; content lists read one pruned column a list.
+SCANS = {"content_lists": 8, "drop_outlier_cycles": 7, "capacity_uncertainty": 7, "regime_breakdown": 7, "drop_outlier_series": 7,
+         "temperature_series": 4, "histogram_auto": 5, "temperature_histograms": 5}
+
+
+def test_the_guard_sees_python_and_subqueries(spark):
+    from pyspark.sql import functions as F
+    assert stats(spark.range(3).mapInArrow(lambda b: b, "id bigint"))["python"] == 1
+    d = spark.read.parquet(f"{SF_SMALL}/nation.parquet")
+    assert stats(d.where(F.col("n_nationkey") > d.agg(F.avg("n_nationkey").alias("m")).select("m").scalar()))["scan"] == 2
+
+
 @pytest.mark.parametrize("name", sorted(REGISTRY))
 def test_plan_shape(spark, name):
     s = stats(REGISTRY[name].spark(spark, SF_SMALL))
     assert s["bnlj"] == 0 and s["cartesian"] == 0, s
-    assert s["scan"] <= 2, s
+    assert s["scan"] <= SCANS.get(name, 2), s
     if name not in PYTHON_OK:
         assert s["python"] == 0, s

@@ -108,3 +108,54 @@ def test_cluster_conf_sizes_partitions():
     c = cluster_conf(100 * 1024 ** 4)
     assert int(c["spark.sql.shuffle.partitions"]) == 409600
     assert c["spark.sql.adaptive.skewJoin.enabled"] == "true"
+
+
+def test_missing_columns_are_typed_nulls_or_named(spark):
+    from packspark.schema import CORE_COLUMNS
+    from packspark.sources.cycles import read_cycles
+    df = spark.createDataFrame([("T", "1", 3, 2.5)], "doe_number string, instance_number string, cycle int, energy double")
+    out = read_cycles(spark, df, columns="core")
+    assert out.columns == list(CORE_COLUMNS) and dict(out.dtypes)["dcir"] == "double" and dict(out.dtypes)["cycling_substate"] == "string"
+    assert out.first().energy == 2.5 and out.first().dcir is None
+    with pytest.raises(ValueError, match="cycling_substate"):
+        read_cycles(spark, df, columns="core", strict=True)
+
+
+def test_a_failed_load_leaves_the_old_table(spark):
+    import uuid
+
+    from pyspark.sql import functions as F
+
+    from packspark.sources.sinks import write_table
+    table = f"packspark_staged_{uuid.uuid4().hex[:8]}"
+    before = {t.name for t in spark.catalog.listTables()}
+    write_table(spark.range(5), table)
+    bad = spark.range(9).withColumn("id", F.when(F.col("id") == 7, F.raise_error(F.lit("broken file"))).otherwise(F.col("id")))
+    with pytest.raises(Exception, match="broken file"):
+        write_table(bad, table)
+    assert spark.table(table).count() == 5
+    write_table(spark.table(table).where("id > 1"), table)          # reads the table it replaces
+    assert sorted(r.id for r in spark.table(table).collect()) == [2, 3, 4]
+    assert {t.name for t in spark.catalog.listTables()} == before | {table}
+    spark.sql(f"DROP TABLE {table}")
+
+
+@pytest.mark.parametrize("by", [[], ["g"]])
+def test_bins_chosen_by_the_data(spark, by):
+    import numpy as np
+
+    from packspark.operators.stats import histogram_auto
+    rng = np.random.default_rng(2)
+    groups = {"a": rng.normal(0, 1, 400), "b": np.append(np.zeros(50), [1.0, 9.0]), None: np.array([3.0, 3.0]), "c": rng.exponential(2, 77)}
+    rows = [(k, float(v)) for k, vs in groups.items() for v in vs] + [("a", None)]
+    got = histogram_auto(spark.createDataFrame(rows, "g string, v double"), "v", by).toPandas()
+    want = groups if by else {None: np.concatenate(list(groups.values()))}
+    for k, v in want.items():
+        r = got[got.g.isna() if k is None else got.g == k] if by else got
+        fd, sturges = 2 * np.subtract(*np.percentile(v, [75, 25])) / len(v) ** (1 / 3), np.ptp(v) / (np.log2(len(v)) + 1)
+        bins = 1 if v.min() == v.max() else int(np.ceil(np.ptp(v) / (min(fd, sturges) if fd > 0 else sturges)))
+        assert (r.bins == bins).all() and r["count"].sum() == len(v) and abs(r.probability.sum() - 1) < 1e-12
+        counts = np.zeros(bins, int)
+        counts[r.bin] = r["count"]
+        if bins > 1:
+            assert counts.tolist() == np.histogram(v, bins)[0].tolist()
