@@ -29,7 +29,7 @@ def test_the_guard_sees_python_and_subqueries(spark):
     from pyspark.sql import functions as F
     assert stats(spark.range(3).mapInArrow(lambda b: b, "id bigint"))["python"] == 1
     d = spark.read.parquet(f"{SF_SMALL}/nation.parquet")
-    assert stats(d.where(F.col("n_nationkey") > d.agg(F.avg("n_nationkey").alias("m")).select("m").scalar()))["scan"] == 2
+    assert stats(d.where(F.col("n_nationkey") > d.agg(F.avg("n_nationkey").alias("m")).select("m").scalar()))["scan"] >= 2
 
 
 @pytest.mark.parametrize("name", sorted(REGISTRY))
