@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import ctypes
-import gc
 import uuid
 from collections.abc import Iterator
 
@@ -73,7 +72,6 @@ def lean(run):
     tasks, and what they keep adds up over the stages of a job."""
     def out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from run(batches)
-        gc.collect()
         pa.default_memory_pool().release_unused()
         trim = getattr(ctypes.CDLL(None), "malloc_trim", None)     # the C library's own, where it has one
         if trim:
