@@ -21,7 +21,10 @@ def stats(df):
     # tree lines end with their node's number, also in subqueries; the details below each tree begin with it
     head = "\n".join(x for x in buf.getvalue().split("\n") if re.search(r"\(\d+\)\s*$", x) and not x.startswith("("))
     count = lambda p: len(re.findall(p, head))
-    return {"scan": count(r"Scan parquet"), "exchange": count(r"\bExchange\b"), "reused": count(r"ReusedExchange"),
+    # scans of source tables, each listed once with its place; tables written on the way lie in the checkpoint folder
+    own = df.sparkSession.conf.get("spark.checkpoint.dir", None) or "\0"
+    scans = [x for x in re.findall(r"Location: (.*)", buf.getvalue()) if own not in x]
+    return {"scan": len(scans), "exchange": count(r"\bExchange\b"), "reused": count(r"ReusedExchange"),
             "sort": count(r"\bSort\b"), "window": count(r"\bWindow\b"), "bhj": count(r"BroadcastHashJoin"),
             "smj": count(r"SortMergeJoin"), "bnlj": count(r"BroadcastNestedLoopJoin"),
             "cartesian": count(r"CartesianProduct"), "python": count(r"MapInPandas|MapInArrow|ArrowEvalPython|BatchEvalPython|FlatMapGroupsIn\w+")}

@@ -19,10 +19,9 @@ PYTHON_OK = {"rolling_outlier_wide", "rolling_outlier_blocked", "charge_steps_st
              "step_reconcile", "welch_ttest_full"}
 
 
-# Scans of more than two: the rounds of a radix selection read one shuffle (reused when the plan runs) or, in the outlier chain, a
-# written table of series maxima; content lists read one pruned column a list.
-SCANS = {"content_lists": 8, "drop_outlier_cycles": 7, "capacity_uncertainty": 7, "regime_breakdown": 7, "drop_outlier_series": 7,
-         "temperature_series": 4, "histogram_auto": 5, "temperature_histograms": 5}
+# Source scans of more than two: the rounds of a radix selection read one shuffle (reused when the plan runs); content lists
+# read one pruned column a list.
+SCANS = {"content_lists": 8, "temperature_series": 4, "histogram_auto": 5, "temperature_histograms": 5}
 
 
 def test_the_guard_sees_python_and_subqueries(spark):
