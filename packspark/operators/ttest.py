@@ -2,23 +2,17 @@
 
 The data pass is one aggregation (count, mean, variance of each sample per group, partial
 aggregated before the shuffle).  t, Welch–Satterthwaite dof and Cohen's d are column
-expressions.  p-value, interval, power and Bayes factor are computed on the one-row-per-
-group result in an Arrow batch UDF.
+expressions, and so are p-value, interval, power and Bayes factor (``functions.tdist``): no Python.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from packspark.functions.tdist import welch_finish
-
-FINISH_TYPE = T.StructType([T.StructField(n, T.DoubleType()) for n in
-                            ("p_val", "ci95_low", "ci95_high", "power", "bf10")])
+from packspark.functions import tdist as td
 
 
 def welch_stats(df: DataFrame, value: str, sample: str, first, second, by: Sequence[str] = ()) -> DataFrame:
@@ -43,18 +37,30 @@ def welch_stats(df: DataFrame, value: str, sample: str, first, second, by: Seque
             .withColumn("cohen_d", F.abs(F.col("d_signed"))))
 
 
-def _finisher(alternative: str):
-    @F.pandas_udf(FINISH_TYPE)
-    def finish(t: pd.Series, dof: pd.Series, se: pd.Series, n1: pd.Series, n2: pd.Series,
-               d: pd.Series) -> pd.DataFrame:
-        rows = [welch_finish(*(None if pd.isna(v) else float(v) for v in (a, b, c)),
-                             int(e) if not pd.isna(e) else 0, int(f) if not pd.isna(f) else 0,
-                             None if pd.isna(g) else float(g), alternative)
-                if not (pd.isna(a) or pd.isna(b)) else
-                {k: float("nan") for k in FINISH_TYPE.fieldNames()}
-                for a, b, c, e, f, g in zip(t, dof, se, n1, n2, d)]
-        return pd.DataFrame(rows, columns=FINISH_TYPE.fieldNames())
-    return finish
+def finish(df: DataFrame, alternative: str, confidence: float = 0.95, alpha: float = 0.05) -> DataFrame:
+    """p_val, ci95_low, ci95_high, power and bf10 beside ``welch_stats``; NULL where T is NULL.
+
+    The interval is that of the mean difference; the power is that of the pooled test at level ``alpha`` for the effect seen."""
+    if alternative not in ("two-sided", "greater", "less"):
+        raise ValueError("alternative must be 'two-sided', 'greater' or 'less'")
+    sides = 2 if alternative == "two-sided" else 1
+    t, dof, se = F.col("T"), F.col("dof"), F.col("se")
+    n1, n2 = F.col("n1").cast("double"), F.col("n2").cast("double")
+    shift = F.col("d_signed") / F.sqrt(1 / n1 + 1 / n2)
+    known = t.isNotNull() & dof.isNotNull()
+    pooled = n1 + n2 - 2
+    out = df.withColumn("_ps_tc", F.when(known, td.t_upper_quantile((1 - confidence) / sides, dof))) \
+        .withColumn("_ps_ta", F.when(known, td.t_upper_quantile(alpha / sides, pooled)))
+    tc, ta = F.col("_ps_tc"), F.col("_ps_ta")
+    p = {"two-sided": 2 * td.t_sf(F.abs(t), dof), "greater": td.t_sf(t, dof), "less": td.t_sf(-t, dof)}[alternative]
+    up, down = td.noncentral_sf(ta, pooled, shift), td.noncentral_sf(ta, pooled, -shift)
+    power = {"two-sided": up + down, "greater": up, "less": down}[alternative]
+    low = F.lit(float("-inf")) if alternative == "less" else (t - tc) * se
+    high = F.lit(float("inf")) if alternative == "greater" else (t + tc) * se
+    for name, value in (("p_val", p), ("ci95_low", low), ("ci95_high", high), ("power", power),
+                        ("bf10", td.bayes_factor(t, n1, n2, alternative))):
+        out = out.withColumn(name, F.when(known, value))
+    return out.drop("_ps_tc", "_ps_ta")
 
 
 def interpret(df: DataFrame) -> DataFrame:
@@ -76,8 +82,6 @@ def welch_ttest(df: DataFrame, value: str, sample: str, first, second, by: Seque
                 alternative: str = "two-sided", interprete: bool = True) -> DataFrame:
     """Welch t-test of ``first`` vs ``second`` sample (optionally per group)."""
     st = welch_stats(df, value, sample, first, second, by)
-    fin = _finisher(alternative)(F.col("T"), F.col("dof"), F.col("se"), F.col("n1"), F.col("n2"),
-                                 F.col("d_signed"))
-    out = st.withColumn("_ps_fin", fin).select("*", "_ps_fin.*").drop("_ps_fin")
+    out = finish(st, alternative)
     out = out.withColumn("alternative", F.lit(alternative))
     return interpret(out) if interprete else out

@@ -190,30 +190,93 @@ def q_gain_corr(spark, sf):
     return en.gain_correlation(en.rpt_gain(ad.cycle_view(spark, sf), rpt_cycle=RPT, neighbors_cycle=5))
 
 
-TT_COLS = "doe_number:s, n1:l, mean1:d, var1:d, n2:l, mean2:d, var2:d, T:d, dof:d, cohen_d:d"
+TT_COLS = "doe_number:s, n1:l, mean1:d, var1:g, n2:l, mean2:d, var2:g, T:d, dof:d, cohen_d:d"
 
 
-@register("welch_ttest", TT_COLS, W(ad.CYCLE_SQL, seg_ctes()) + f"""
-, tt AS (
+WELCH_CTE = f"""tt AS (
   SELECT doe_number,
     count(CASE WHEN {_a3} THEN norm_discharge_energy END) AS n1, avg(CASE WHEN {_a3} THEN norm_discharge_energy END) AS mean1,
     var_samp(CASE WHEN {_a3} THEN norm_discharge_energy END) AS var1,
     count(CASE WHEN {_b3} THEN norm_discharge_energy END) AS n2, avg(CASE WHEN {_b3} THEN norm_discharge_energy END) AS mean2,
     var_samp(CASE WHEN {_b3} THEN norm_discharge_energy END) AS var2
-  FROM seg GROUP BY doe_number)
+  FROM seg GROUP BY doe_number),
+welch AS (
 SELECT *, CASE WHEN n1 > 1 AND n2 > 1 THEN (mean1 - mean2) / nullif(sqrt(var1 / n1 + var2 / n2), 0) END AS "T",
   CASE WHEN n1 > 1 AND n2 > 1 THEN (var1 / n1 + var2 / n2) * (var1 / n1 + var2 / n2)
        / nullif((var1 / n1) * (var1 / n1) / (n1 - 1) + (var2 / n2) * (var2 / n2) / (n2 - 1), 0) END AS dof,
   abs(CASE WHEN n1 > 1 AND n2 > 1 THEN (mean1 - mean2)
        / nullif(sqrt(((n1 - 1) * var1 + (n2 - 1) * var2) / (n1 + n2 - 2)), 0) END) AS cohen_d
-FROM tt""", ids=["T2"])
+FROM tt)"""
+
+
+@register("welch_ttest", TT_COLS, W(ad.CYCLE_SQL, seg_ctes(), WELCH_CTE) + "\nSELECT * FROM welch", ids=["T2"])
 def q_welch(spark, sf):
     s = en.rpt_samples(ad.cycle_view(spark, sf), rpt_cycle=RPT, neighbors_cycle=3)
     return welch_stats(s, "norm_discharge_energy", "sample", "after", "before", by=["doe_number"])
 
 
-@register("welch_ttest_full", TT_COLS + ", p_val:d, ci95_low:d, ci95_high:d, power:d, bf10:d, alternative:s, "
-          "significance:s, bayes_support:s, effect_size:s, power_reading:s", ids=["T2", "F13"])
+def t_newton_ctes(name, dof, tail, steps=14):
+    """Chain of CTEs whose last, ``name``, has the t with upper tail ``tail`` of each row of ``welch``.  The tail is
+    Simpson's rule over the angle atan(t / sqrt(dof)) up to a right angle, where the density is a power of the cosine."""
+    out = [f"{name}0 AS (SELECT doe_number, {dof} AS nu, {lit(0.0)} AS q, lgamma(({dof}) / 2 + 0.5) - lgamma(({dof}) / 2) "
+           f"- 0.5 * ln(pi()) AS c FROM welch WHERE \"T\" IS NOT NULL)"]
+    for k in range(steps):
+        end = name if k == steps - 1 else f"{name}{k + 1}"
+        out.append(f"{end} AS MATERIALIZED (SELECT doe_number, nu, c, q + ({t_tail_sql('q', 'nu', 'c')} - {lit(tail)}) "
+                   f"/ exp(c - 0.5 * ln(nu) - (nu + 1) / 2 * ln(1 + q * q / nu)) AS q FROM {name}{k})")
+    return ",\n".join(out)
+
+
+def t_tail_sql(t, nu, c, n=4000):
+    low = f"atan({t} / sqrt({nu}))"
+    h = f"((pi() / 2 - {low}) / {n})"
+    return (f"({h} / 3 * list_sum(list_transform(range(0, {n}), lambda k: (CASE WHEN k = 0 THEN 1 ELSE 2 + 2 * (k % 2) END) "
+            f"* exp({c} + ({nu} - 1) * ln(cos({low} + k * {h}))))))")
+
+
+# The non-central tail at the critical value is alpha at shift 0 and rises with the shift by the mean of the normal density
+# at shift - t v, so it's a double sum: Simpson's rule over the shift (the density ends within 3 t + 9), a trapezoid over s = log v.
+WELCH_FULL_CTES = f"""tail AS (
+  SELECT w.*, se, d / sqrt(1.0::DOUBLE / n1 + 1.0::DOUBLE / n2) AS shift, n1 + n2 - 2.0::DOUBLE AS pooled,
+         (n1 * n2)::DOUBLE / (n1 + n2) AS n, lgamma(dof / 2 + 0.5) - lgamma(dof / 2) - 0.5 * ln(pi()) AS c
+  FROM (SELECT *, sqrt(var1 / n1 + var2 / n2) AS se,
+               (mean1 - mean2) / sqrt(((n1 - 1) * var1 + (n2 - 1) * var2) / (n1 + n2 - 2)) AS d
+        FROM welch WHERE "T" IS NOT NULL) AS w),
+{t_newton_ctes('qc', 'dof', 0.05)},
+{t_newton_ctes('qa', 'n1 + n2 - 2.0::DOUBLE', 0.05)},
+grid AS (SELECT k FROM range(0, 1001) AS g(k)),
+pow1 AS (
+  SELECT doe_number, shift, q, pooled, s, h * exp(ln(2.0) + pooled / 2 * ln(pooled / 2) - lgamma(pooled / 2) + pooled * s
+                                                  - pooled / 2 * exp(2 * s)) AS w
+  FROM (SELECT doe_number, shift, q, pooled, h, -(9 / sqrt(2 * pooled) + 20 / pooled) + h * k AS s
+        FROM (SELECT *, (18 / sqrt(2 * pooled) + 20 / pooled) / 1000 AS h FROM tail JOIN qa USING (doe_number)) CROSS JOIN grid)),
+pow AS (
+  SELECT doe_number, 0.05 + sum(w * u / 3000 * (CASE WHEN k IN (0, 1000) THEN 1 ELSE 2 + 2 * (k % 2) END)
+                                * exp(-0.5 * pow(u * k / 1000 - q * exp(s), 2)) / sqrt(2 * pi())) AS power
+  FROM (SELECT *, greatest(-9 - 3 * q, least(9 + 3 * q, shift)) AS u FROM pow1) CROSS JOIN grid GROUP BY doe_number),
+bay AS (
+  SELECT doe_number, 2 * sum(0.04 * exp(-0.5 * ln(a) + (pooled + 1) / 2 * (ln(1 + "T" * "T" / pooled) - ln(1 + "T" * "T" / (a * pooled)))
+                                        - 0.5 * ln(2 * pi()) - 0.5 * s - 0.5 * exp(-s))) AS b
+  FROM (SELECT doe_number, "T", pooled, s, 1 + n * exp(s) * 0.707 * 0.707 AS a
+        FROM (SELECT *, -20 + 0.04 * k::DOUBLE AS s FROM tail CROSS JOIN grid)) GROUP BY doe_number),
+full_test AS (
+  SELECT t.*, CASE WHEN "T" >= 0 THEN {t_tail_sql('abs("T")', 'dof', 't.c')} ELSE 1 - {t_tail_sql('abs("T")', 'dof', 't.c')} END AS p_val,
+         ("T" - qc.q) * se AS ci95_low, 'inf'::DOUBLE AS ci95_high, power,
+         CASE WHEN "T" < 0 AND b > 1 THEN 1 / b ELSE b END AS bf10
+  FROM tail AS t JOIN qc USING (doe_number) JOIN pow USING (doe_number) JOIN bay USING (doe_number))"""
+
+
+@register("welch_ttest_full", TT_COLS + ", p_val:g, ci95_low:g, ci95_high:d, power:g, bf10:g, alternative:s, "
+          "significance:s, bayes_support:s, effect_size:s, power_reading:s",
+          W(ad.CYCLE_SQL, seg_ctes(), WELCH_CTE, WELCH_FULL_CTES) + """
+SELECT w.*, p_val, ci95_low, ci95_high, power, bf10, 'greater' AS alternative,
+  CASE WHEN p_val < 0.05 THEN 'statistically significant' WHEN p_val >= 0.05 THEN 'not statistically significant' END AS significance,
+  CASE WHEN bf10 >= 1 THEN 'change' WHEN bf10 < 1 THEN 'no change' END AS bayes_support,
+  CASE WHEN w.cohen_d < 0.2 THEN 'a very small impact' WHEN w.cohen_d < 0.5 THEN 'a small impact'
+       WHEN w.cohen_d < 0.8 THEN 'a moderate impact' WHEN w.cohen_d >= 0.8 THEN 'a substantial impact' END AS effect_size,
+  CASE WHEN power >= 0.8 THEN 'detects a true difference' WHEN power < 0.8 THEN 'might not detect a true difference' END
+    AS power_reading
+FROM welch AS w LEFT JOIN full_test USING (doe_number)""", ids=["T2", "F13"])
 def q_welch_full(spark, sf):
     s = en.rpt_samples(ad.cycle_view(spark, sf), rpt_cycle=RPT, neighbors_cycle=3)
     return welch_ttest(s, "norm_discharge_energy", "sample", "after", "before", by=["doe_number"],
@@ -393,7 +456,7 @@ def q_jumps_adjacent(spark, sf):
     return out.join(own, keys, "left").fillna(0.0, ["jump_length"])
 
 
-@register("welch_ttest_pooled", "n1:l, mean1:d, var1:d, n2:l, mean2:d, var2:d, T:d, dof:d, cohen_d:d",
+@register("welch_ttest_pooled", "n1:l, mean1:d, var1:g, n2:l, mean2:d, var2:g, T:d, dof:d, cohen_d:d",
           W(ad.CYCLE_SQL, seg_ctes()) + f"""
 , tt AS (
   SELECT count(CASE WHEN {_a3} THEN norm_discharge_energy END) AS n1,

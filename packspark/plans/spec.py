@@ -9,6 +9,9 @@ sums or interpolations do not change the value.  A binary grid is used rather th
 decimal rounding: decimal-derived data often lands exactly on a decimal half (e.g. the
 median of two 6-decimal values), where engines round differently, but practically
 never on a binary half.
+
+Type ``g`` keeps 21 binary digits (six decimal ones) of a double instead, at any magnitude: for values such as
+variances, p-values or Bayes factors that are small or large and don't come from cancelling differences.
 """
 
 from __future__ import annotations
@@ -19,9 +22,10 @@ from typing import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_SPARK_T = {"s": "string", "i": "int", "l": "bigint", "d": "double", "b": "boolean"}
-_DUCK_T = {"s": "VARCHAR", "i": "INTEGER", "l": "BIGINT", "d": "DOUBLE", "b": "BOOLEAN"}
+_SPARK_T = {"s": "string", "i": "int", "l": "bigint", "d": "double", "g": "double", "b": "boolean"}
+_DUCK_T = {"s": "VARCHAR", "i": "INTEGER", "l": "BIGINT", "d": "DOUBLE", "g": "DOUBLE", "b": "BOOLEAN"}
 GRID = 16777216.0  # 2^24
+DIGITS = 20        # binary digits after the first that ``g`` keeps
 
 
 def parse_cols(spec: str) -> list[tuple[str, str]]:
@@ -40,6 +44,9 @@ def finish_spark(df: DataFrame, spec: str) -> DataFrame:
         c = F.col(f"`{name}`").cast(_SPARK_T[t])
         if t == "d":
             c = F.when(F.abs(c) < 1e15, F.floor(c * GRID + 0.5).cast("double") / GRID).otherwise(c)
+        elif t == "g":
+            unit = F.pow(F.lit(2.0), F.floor(F.log2(F.abs(c))) - DIGITS)
+            c = F.when((F.abs(c) > 1e-280) & (F.abs(c) < 1e280), F.floor(c / unit + 0.5).cast("double") * unit).otherwise(c)
         cols.append(c.alias(name))
     return df.select(*cols)
 
@@ -50,6 +57,9 @@ def finish_sql(inner: str, spec: str) -> str:
         c = f'CAST("{name}" AS {_DUCK_T[t]})'
         if t == "d":
             c = f"(CASE WHEN abs({c}) < 1e15 THEN floor({c} * {GRID!r} + 0.5) / {GRID!r} ELSE {c} END)"
+        elif t == "g":
+            unit = f"pow(2.0::DOUBLE, floor(log2(abs({c}))) - {DIGITS})"
+            c = (f"(CASE WHEN abs({c}) > 1e-280 AND abs({c}) < 1e280 THEN floor({c} / {unit} + 0.5) * {unit} ELSE {c} END)")
         cols.append(f'{c} AS "{name}"')
     return f"SELECT {', '.join(cols)}\nFROM (\n{inner.strip()}\n) AS q"
 

@@ -13,10 +13,9 @@ from packspark.plans.catalog import REGISTRY  # noqa: E402
 
 from conftest import SF_SMALL  # noqa: E402
 
-# Python appears only in the blocked rolling filter (Arrow batches over bounded blocks) and in
-# the t-test finish (one row per group).
+# Python appears only in the blocked rolling filter (Arrow batches over bounded blocks).
 PYTHON_OK = {"rolling_outlier_wide", "rolling_outlier_blocked", "charge_steps_state", "charge_steps_voltage",
-             "step_reconcile", "welch_ttest_full"}
+             "step_reconcile"}
 
 
 # Source scans of more than two: the rounds of a radix selection read one shuffle (reused when the plan runs); content lists
