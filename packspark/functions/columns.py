@@ -6,6 +6,7 @@ it stays inside whole-stage code generation.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, Window
@@ -77,3 +78,11 @@ def ci95_bounds(mean: Column, std: Column, n: Column, z: float = 1.96) -> tuple[
     """Normal-approximation 95 % interval of a mean."""
     half = F.lit(z) * safe_div(std, F.sqrt(n.cast("double")))
     return mean - half, mean + half
+
+
+def normal_draw(parts: Sequence[str], seed: int) -> Column:
+    """A standard normal number that depends on the values of ``parts`` and the seed alone, not on partitions or order: two
+    uniform numbers from the first 26 hex digits of an MD5, turned normal by Box and Muller's rule."""
+    digest = F.md5(F.concat_ws("|", F.lit(str(seed)), *[F.col(p).cast("string") for p in parts]).cast("binary"))
+    u1, u2 = ((F.conv(F.substring(digest, at, 13), 16, 10).cast("bigint") + F.lit(0.5)) / F.lit(2.0 ** 52) for at in (1, 14))
+    return F.sqrt(-2.0 * F.log(u1)) * F.cos(F.lit(2.0 * math.pi) * u2)

@@ -23,6 +23,13 @@ def _let(value: Column, body) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
+def _once(body, *values: Column) -> Column:
+    """``body(*values)`` with each value evaluated once per row: the optimizer may put a column's whole expression where it is
+    named, which inside a loop over nodes would mean once a node."""
+    return _let(F.struct(*[v.alias(f"v{i}") for i, v in enumerate(values)]),
+                lambda a: body(*[a[f"v{i}"] for i in range(len(values))]))
+
+
 def _total(first: int, last: int, term) -> Column:
     return F.aggregate(F.sequence(F.lit(first), F.lit(last)), F.lit(0.0), lambda acc, k: acc + term(k.cast("double")))
 
@@ -55,18 +62,18 @@ def _upper(t: Column, dof: Column, norm: Column) -> Column:
 
 def t_sf(t: Column, dof: Column) -> Column:
     """P(T > t)."""
-    return _let(log_beta_half(dof), lambda norm: _let(_upper(F.abs(t), dof, norm),
-                                                      lambda u: F.when(t >= 0, u).otherwise(1 - u)))
+    return _once(lambda t, dof, norm: _let(_upper(F.abs(t), dof, norm), lambda u: F.when(t >= 0, u).otherwise(1 - u)),
+                 t, dof, log_beta_half(dof))
 
 
 def t_upper_quantile(tail: float, dof: Column) -> Column:
     """The t >= 0 with P(T > t) = ``tail`` (at most 1/2).  The tail is convex there, so Newton's steps from 0 rise to it."""
-    def step(t: Column, norm: Column) -> Column:
+    def step(t: Column, dof: Column, norm: Column) -> Column:
         density = F.exp(-norm - 0.5 * F.log(dof) - (dof + 1) / 2 * F.log1p(t * t / dof))
         return t + (_upper(t, dof, norm) - tail) / density
 
     steps = F.sequence(F.lit(1), F.lit(NEWTON_STEPS))
-    return _let(log_beta_half(dof), lambda norm: F.aggregate(steps, F.lit(0.0), lambda t, _: step(t, norm)))
+    return _once(lambda dof, norm: F.aggregate(steps, F.lit(0.0), lambda t, _: step(t, dof, norm)), dof, log_beta_half(dof))
 
 
 def normal_sf(x: Column) -> Column:
@@ -85,29 +92,28 @@ def normal_sf(x: Column) -> Column:
 
 def noncentral_sf(t: Column, dof: Column, shift: Column) -> Column:
     """P(T' > t) of the non-central t, t >= 0: the mean of P(Z > t v - shift) over v = sqrt(chi2 / dof)."""
-    left, right = 9 / F.sqrt(2 * dof) + 20 / dof, 9 / F.sqrt(2 * dof)
+    norm = math.log(2.0) + dof / 2 * F.log(dof / 2) - log_gamma(dof / 2)
+    low = -(9 / F.sqrt(2 * dof) + 20 / dof)
 
-    def at(low: Column, h: Column, norm: Column, k: Column) -> Column:
+    def term(t: Column, dof: Column, shift: Column, norm: Column, low: Column, h: Column, k: Column) -> Column:
         return _let(low + h * k, lambda s: h * F.exp(norm + dof * s - dof / 2 * F.exp(2 * s)) * normal_sf(t * F.exp(s) - shift))
 
-    norm = math.log(2.0) + dof / 2 * F.log(dof / 2) - log_gamma(dof / 2)
-    return _let(norm, lambda c: _let((left + right) / CHI_NODES, lambda h: _total(
-        0, CHI_NODES, lambda k: at(-left, h, c, k))))
+    return _once(lambda *row: _total(0, CHI_NODES, lambda k: term(*row, k)),
+                 t, dof, shift, norm, low, (9 / F.sqrt(2 * dof) - low) / CHI_NODES)
 
 
 def bayes_factor(t: Column, n1: Column, n2: Column, alternative: str = "two-sided", scale: float = 0.707) -> Column:
     """JZS Bayes factor of a two-sample t statistic (Rouder et al. 2009) with Cauchy ``scale``.
 
     A one-sided alternative doubles it; against the direction of the effect a factor above 1 is inverted."""
-    n, dof = n1 * n2 / (n1 + n2), n1 + n2 - 2
-
-    def term(k: Column) -> Column:
+    def term(t: Column, n: Column, dof: Column, k: Column) -> Column:
         s = k * BAYES_STEP
         return _let(1 + n * F.exp(s) * scale * scale, lambda a: BAYES_STEP * F.exp(
             -0.5 * F.log(a) + (dof + 1) / 2 * (F.log1p(t * t / dof) - F.log1p(t * t / (a * dof)))
             - 0.5 * math.log(2 * math.pi) - 0.5 * s - 0.5 * F.exp(-s)))
 
-    both = F.when(t.isNotNull(), _total(-BAYES_NODES, BAYES_NODES, term))
+    both = F.when(t.isNotNull(), _once(lambda *row: _total(-BAYES_NODES, BAYES_NODES, lambda k: term(*row, k)),
+                                       t, n1 * n2 / (n1 + n2), n1 + n2 - 2))
     if alternative == "two-sided":
         return both
     against = t < 0 if alternative == "greater" else t > 0

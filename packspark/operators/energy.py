@@ -8,7 +8,7 @@ from statistics import NormalDist
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from packspark.functions.columns import safe_div, second_row
+from packspark.functions.columns import normal_draw, safe_div, second_row
 from packspark.operators.clean import rolling_outlier_replace, segment_clean
 from packspark.schema import CYCLE_KEYS, DCIR, DISCHARGE
 
@@ -47,12 +47,13 @@ def _z_table(most: int):
 def early_cycle_adjust(df: DataFrame, value: str = "raw_discharge_energy",
                        out: str = "adjusted_raw_discharge_energy", keys: Sequence[str] = CYCLE_KEYS,
                        cycle: str = "cycle", before_cycle: int = 6, threshold: float = 0.005,
-                       spread: float = 0.00025, mode: str = "expected") -> DataFrame:
+                       spread: float = 0.00025, mode: str = "expected", seed: int = 0) -> DataFrame:
     """Re-fill the first cycles of a series when any of them jumps by more than ``threshold``.
 
     Rows with ``cycle < before_cycle`` form the early block.  If any |pct change| inside it
     exceeds ``threshold`` the block is replaced by ``median·(1 + spread·z_i)`` with ``z_i``
-    the expected normal order statistics, largest first (``mode='expected'``), or by the
+    the expected normal order statistics, largest first (``mode='expected'``), or normal draws of
+    (keys, cycle, ``seed``), largest first (``mode='seeded'``, the same on every run and partitioning), or by the
     block median (``mode='median'``).  Other rows are unchanged.
     """
     wk = Window.partitionBy(*keys).orderBy(cycle)
@@ -72,12 +73,16 @@ def early_cycle_adjust(df: DataFrame, value: str = "raw_discharge_energy",
         row = F.try_element_at(_z_table(most), F.greatest(F.least(n, F.lit(most)), F.lit(1)))
         z = F.when((n >= 1) & (i <= n), F.try_element_at(row, F.greatest(i, F.lit(1)))).otherwise(F.lit(0.0))
         fill = F.col("_ps_md") * (F.lit(1.0) + F.lit(float(spread)) * z)
+    elif mode == "seeded":
+        draws = F.sort_array(F.collect_list(F.when(early, normal_draw([*keys, cycle], seed))).over(wall), asc=False)
+        d = d.withColumn("_ps_z", F.try_element_at(draws, F.col("_ps_i").cast("int")))
+        fill = F.col("_ps_md") * (F.lit(1.0) + F.lit(float(spread)) * F.col("_ps_z"))
     elif mode == "median":
         fill = F.col("_ps_md")
     else:
-        raise ValueError("mode must be 'expected' or 'median'")
+        raise ValueError("mode must be 'expected', 'seeded' or 'median'")
     d = d.withColumn(out, F.when(early & (F.col("_ps_hit") == 1), fill).otherwise(x))
-    return d.drop("_ps_pct", "_ps_i", "_ps_n", "_ps_md", "_ps_hit")
+    return d.drop("_ps_pct", "_ps_i", "_ps_n", "_ps_md", "_ps_hit", "_ps_z")
 
 
 def cycle_band(e: DataFrame, value: str, by: Sequence[str], method: str = "window") -> DataFrame:
@@ -100,18 +105,18 @@ def cycle_band(e: DataFrame, value: str, by: Sequence[str], method: str = "windo
 
 def discharge_energy(df: DataFrame, window: int = 7, sigma_multiplier: float = 0.1, raw: bool = False,
                      keys: Sequence[str] = CYCLE_KEYS, cycle: str = "cycle",
-                     early_mode: str = "expected", band_method: str = "window") -> DataFrame:
+                     early_mode: str = "expected", band_method: str = "window", seed: int = 0) -> DataFrame:
     """Per (doe, instance, cycle) discharge energy, cleaned, with per-(doe, cycle) band.
 
     ``raw=True`` stops after the early-cycle adjustment (columns ``raw_discharge_energy``
-    and ``adjusted_raw_discharge_energy``).  ``band_method`` see ``cycle_band``.  Otherwise adds ``discharge_energy``,
+    and ``adjusted_raw_discharge_energy``).  ``early_mode`` and ``seed`` see ``early_cycle_adjust``, ``band_method`` see ``cycle_band``.  Otherwise adds ``discharge_energy``,
     ``mean_energy`` (a median, as named by the source), ``std_energy`` (ddof=1),
     ``lower_energy_bound`` = mean − 3·std, ``norm_discharge_energy`` (divided by the
     second cycle, then cleaned again), ``norm_mean_energy`` and ``norm_lower_energy``.
     """
     keys = list(keys)
     e = raw_discharge_energy(df, keys, cycle)
-    e = early_cycle_adjust(e, keys=keys, cycle=cycle, mode=early_mode)
+    e = early_cycle_adjust(e, keys=keys, cycle=cycle, mode=early_mode, seed=seed)
     if raw:
         return e
     e = rolling_outlier_replace(e, "adjusted_raw_discharge_energy", keys, cycle, window, sigma_multiplier,

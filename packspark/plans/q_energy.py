@@ -101,6 +101,13 @@ def q_early(spark, sf):
     return en.discharge_energy(ad.cycle_view(spark, sf), raw=True)
 
 
+@register("early_cycle_seeded", KC + ", cycle:i, raw_discharge_energy:d, adjusted_raw_discharge_energy:d",
+          W(ad.CYCLE_SQL, sq.raw_energy_cte("cyc", "e_raw"), sq.early_cte("e_raw", "e_adj", seed=7))
+          + "\nSELECT * FROM e_adj", ids=["W5", "A1"])
+def q_early_seeded(spark, sf):
+    return en.discharge_energy(ad.cycle_view(spark, sf), raw=True, early_mode="seeded", seed=7)
+
+
 def seg_ctes(rpt=RPT, window=5, k=0.1):
     return f"""{sq.raw_energy_cte('cyc', 's_raw')},
 {sq.early_cte('s_raw', 's_adj')},
@@ -260,7 +267,7 @@ bay AS (
   FROM (SELECT doe_number, "T", pooled, s, 1 + n * exp(s) * 0.707 * 0.707 AS a
         FROM (SELECT *, -20 + 0.04 * k::DOUBLE AS s FROM tail CROSS JOIN grid)) GROUP BY doe_number),
 full_test AS (
-  SELECT t.*, CASE WHEN "T" >= 0 THEN {t_tail_sql('abs("T")', 'dof', 't.c')} ELSE 1 - {t_tail_sql('abs("T")', 'dof', 't.c')} END AS p_val,
+  SELECT t.*, CASE WHEN "T" >= 0 THEN {t_tail_sql('abs("T")', 'dof', 't.c', 40000)} ELSE 1 - {t_tail_sql('abs("T")', 'dof', 't.c', 40000)} END AS p_val,
          ("T" - qc.q) * se AS ci95_low, 'inf'::DOUBLE AS ci95_high, power,
          CASE WHEN "T" < 0 AND b > 1 THEN 1 / b ELSE b END AS bf10
   FROM tail AS t JOIN qc USING (doe_number) JOIN pow USING (doe_number) JOIN bay USING (doe_number))"""

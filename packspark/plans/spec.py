@@ -46,7 +46,8 @@ def finish_spark(df: DataFrame, spec: str) -> DataFrame:
             c = F.when(F.abs(c) < 1e15, F.floor(c * GRID + 0.5).cast("double") / GRID).otherwise(c)
         elif t == "g":
             unit = F.pow(F.lit(2.0), F.floor(F.log2(F.abs(c))) - DIGITS)
-            c = F.when((F.abs(c) > 1e-280) & (F.abs(c) < 1e280), F.floor(c / unit + 0.5).cast("double") * unit).otherwise(c)
+            c = F.when(F.abs(c) < 1e-290, F.lit(0.0)).when(F.abs(c) < 1e290, F.floor(c / unit + 0.5).cast("double") * unit) \
+                .otherwise(c)
         cols.append(c.alias(name))
     return df.select(*cols)
 
@@ -59,7 +60,8 @@ def finish_sql(inner: str, spec: str) -> str:
             c = f"(CASE WHEN abs({c}) < 1e15 THEN floor({c} * {GRID!r} + 0.5) / {GRID!r} ELSE {c} END)"
         elif t == "g":
             unit = f"pow(2.0::DOUBLE, floor(log2(abs({c}))) - {DIGITS})"
-            c = (f"(CASE WHEN abs({c}) > 1e-280 AND abs({c}) < 1e280 THEN floor({c} / {unit} + 0.5) * {unit} ELSE {c} END)")
+            c = (f"(CASE WHEN abs({c}) < 1e-290 THEN 0.0::DOUBLE WHEN abs({c}) < 1e290 THEN floor({c} / {unit} + 0.5) * {unit} "
+                 f"ELSE {c} END)")
         cols.append(f'{c} AS "{name}"')
     return f"SELECT {', '.join(cols)}\nFROM (\n{inner.strip()}\n) AS q"
 

@@ -43,23 +43,34 @@ def raw_energy_cte(src: str = "cyc", name: str = "e_raw") -> str:
   GROUP BY doe_number, instance_number, cycle)"""
 
 
-def early_cte(src: str = "e_raw", name: str = "e_adj") -> str:
+def normal_draw(parts: list[str], seed: int) -> str:
+    """Standard normal number of a key and a seed: two uniforms from the first 26 hex digits of an MD5, Box and Muller."""
+    digest = f"md5(concat_ws('|', '{seed}', {', '.join(f'CAST({p} AS VARCHAR)' for p in parts)}))"
+    u1, u2 = (f"((CAST('0x' || substr({digest}, {at}, 13) AS BIGINT) + 0.5::DOUBLE) / 4503599627370496::DOUBLE)" for at in (1, 14))
+    return f"(sqrt(-2.0::DOUBLE * ln({u1})) * cos(2.0::DOUBLE * pi() * {u2}))"
+
+
+def early_cte(src: str = "e_raw", name: str = "e_adj", seed: int | None = None) -> str:
     x = "raw_discharge_energy"
+    z = (f"CASE WHEN p_n BETWEEN 1 AND 6 AND p_i <= p_n THEN ({z_table()})[p_n][p_i] ELSE 0.0::DOUBLE END" if seed is None
+         else "p_draws[p_i]")
+    draws = "" if seed is None else (
+        f",\n    list_reverse_sort(list(CASE WHEN cycle < 6 THEN {normal_draw(['doe_number', 'instance_number', 'cycle'], seed)} END) "
+        f"FILTER (WHERE cycle < 6) OVER (PARTITION BY {K})) AS p_draws")
     return f"""
 {name}_0 AS (
   SELECT *,
     CASE WHEN cycle < 6 THEN abs({x} / nullif(lag({x}) OVER (PARTITION BY {K} ORDER BY cycle), 0) - 1.0::DOUBLE) END AS p_pct,
     row_number() OVER (PARTITION BY {K} ORDER BY cycle) AS p_i,
     count(CASE WHEN cycle < 6 THEN 1 END) OVER (PARTITION BY {K}) AS p_n,
-    median(CASE WHEN cycle < 6 THEN {x} END) OVER (PARTITION BY {K}) AS p_md
+    median(CASE WHEN cycle < 6 THEN {x} END) OVER (PARTITION BY {K}) AS p_md{draws}
   FROM {src}),
 {name}_1 AS (
   SELECT *, max(CASE WHEN p_pct > 0.005::DOUBLE THEN 1 ELSE 0 END) OVER (PARTITION BY {K}) AS p_hit FROM {name}_0),
 {name} AS (
   SELECT doe_number, instance_number, cycle, {x},
     CASE WHEN cycle < 6 AND p_hit = 1
-         THEN p_md * (1.0::DOUBLE + 0.00025::DOUBLE * (CASE WHEN p_n BETWEEN 1 AND 6 AND p_i <= p_n
-                                                   THEN ({z_table()})[p_n][p_i] ELSE 0.0::DOUBLE END))
+         THEN p_md * (1.0::DOUBLE + 0.00025::DOUBLE * ({z}))
          ELSE {x} END AS adjusted_raw_discharge_energy
   FROM {name}_1)"""
 

@@ -18,7 +18,7 @@ def _load(spark: SparkSession, source: str | DataFrame, fmt: str | None, options
     if isinstance(source, DataFrame):
         return source
     if fmt == "jdbc":
-        return spark.read.format("jdbc").options(**(options or {})).option("dbtable", source).load()
+        return _load_jdbc(spark, source, dict(options or {}))
     if fmt is None and ("/" in source or source.endswith(".parquet")):
         return spark.read.parquet(source)
     if fmt is None:
@@ -26,6 +26,34 @@ def _load(spark: SparkSession, source: str | DataFrame, fmt: str | None, options
     return spark.read.format(fmt).options(**(options or {})).load(source)
 
 
+def split_ranges(column: str, low: int | None, high: int | None, parts: int) -> list[str]:
+    """Predicates that cut a table by an integer column into ``parts`` ranges or fewer: every value in exactly one (also
+    values outside ``low``..``high``, as rows may come in after these were asked for), nulls in the first."""
+    if low is None or high is None or parts < 2 or high <= low:
+        return ["1 = 1"]
+    parts = min(int(parts), high - low + 1)
+    edges = [low + (high - low + 1) * k // parts for k in range(1, parts)]
+    lows, highs = [None, *edges], [*edges, None]
+    out = []
+    for a, b in zip(lows, highs):
+        both = [f"{column} >= {a}"] * (a is not None) + [f"{column} < {b}"] * (b is not None)
+        out.append(" AND ".join(both) if a is not None else f"({both[0]} OR {column} IS NULL)")
+    return out
+
+
+def _load_jdbc(spark: SparkSession, source: str, options: dict) -> DataFrame:
+    """A warehouse table (or subquery) by JDBC.  With the options ``splitColumn`` (an integer column) and ``splits`` one
+    small query asks for the column's bounds and the table is read by as many tasks, a range each."""
+    column, parts = options.pop("splitColumn", None), int(options.pop("splits", 1))
+    reader = spark.read.format("jdbc").options(**options)
+    if column is None or parts < 2:
+        return reader.option("dbtable", source).load()
+    bounds = reader.option("query", f"SELECT MIN({column}) AS lo, MAX({column}) AS hi FROM {source}").load().first()
+    low, high = (None if v is None else int(v) for v in bounds)
+    own = {k: v for k, v in options.items() if k != "url"}
+    return spark.read.jdbc(options["url"], source, predicates=split_ranges(column, low, high, parts), properties=own)
+
+
 def read_cycles(spark: SparkSession, source: str | DataFrame, doe: str | None = None,
                 instances: Iterable | None = None, cycles: Iterable | None = None,
                 columns: str | Sequence[str] = "all", fmt: str | None = None,
@@ -37,7 +65,7 @@ def read_cycles(spark: SparkSession, source: str | DataFrame, doe: str | None =
     columns of the first two that the source lacks are typed NULLs (``strict``: an error that names them).  The
     predicates are typed (string ids are compared as strings), so they push down to
     parquet / JDBC.  ``where`` adds a SQL predicate text.  Rows are sorted (numeric-first
-    instance order) only when ``sort``.
+    instance order) only when ``sort``.  ``fmt='jdbc'`` takes the options ``splitColumn`` and ``splits`` to read in ranges.
     """
     df = _load(spark, source, fmt, options)
     cond = F.col("cycle") != 0
