@@ -11,7 +11,7 @@ a lost partition is recomputed.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -35,17 +35,52 @@ def series_position(df: DataFrame, keys: Sequence[str], order, out: str = "_ps_i
     if method == "window":
         return df.withColumn(out, (F.row_number().over(Window.partitionBy(*keys).orderBy(*_cols(order))) - 1)
                              .cast("long"))
+    cells = range_cells(df, keys, order, partitions).withColumn("_ps_one", F.lit(1))
+    return prefix_scan(cells, keys, order, sums={out: "_ps_one"}).withColumn(out, (F.col(out) - 1).cast("long")) \
+        .drop("_ps_pid", "_ps_one")
+
+
+def range_cells(df: DataFrame, keys: Sequence[str], order, partitions: int | None = None) -> DataFrame:
+    """``df`` range-partitioned by (keys, order), with its partition as ``_ps_pid``, written to the checkpoint folder at once.
+
+    A cell is the rows of a series in one partition.  Cells of a series follow one another by ``_ps_pid``.  The frame is
+    written because range bounds come from sampling: two branches that each re-planned the exchange could disagree on
+    which partition a row belongs to."""
     n = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    # materialised once: the range bounds come from sampling, so two branches that each
-    # re-planned the exchange could disagree on which partition a row belongs to
-    s = cut_lineage(df.repartitionByRange(n, *[F.col(k) for k in keys], *_cols(order))
-                    .withColumn("_ps_pid", F.spark_partition_id()))
-    # rank inside a (range partition, series) cell: a cell is at most one range partition
-    local = F.row_number().over(Window.partitionBy("_ps_pid", *keys).orderBy(*_cols(order))) - 1
-    s = s.withColumn("_ps_local", local)
-    cells = s.groupBy("_ps_pid", *keys).agg(F.count(F.lit(1)).alias("_ps_c"))
-    before = Window.partitionBy(*keys).orderBy("_ps_pid").rowsBetween(Window.unboundedPreceding, -1)
-    cells = cells.withColumn("_ps_off", F.coalesce(F.sum("_ps_c").over(before), F.lit(0))).drop("_ps_c")
-    return (s.join(cells, on=["_ps_pid", *keys], how="inner")
-            .withColumn(out, (F.col("_ps_off") + F.col("_ps_local")).cast("long"))
-            .drop("_ps_pid", "_ps_local", "_ps_off"))
+    return cut_lineage(df.repartitionByRange(n, *[F.col(k) for k in keys], *_cols(order))
+                       .withColumn("_ps_pid", F.spark_partition_id()))
+
+
+def prefix_scan(cells: DataFrame, keys: Sequence[str], order, lags: Mapping[str, str] | None = None,
+                sums: Mapping[str, str] | None = None, lasts: Mapping[str, str] | None = None) -> DataFrame:
+    """Running columns over series of any length, from ``range_cells``: new column -> source column.
+
+    ``lags``: value of the previous row; ``sums``: sum up to this row (NULLs add nothing, NULL before the first value);
+    ``lasts``: last value up to this row that isn't NULL.  Two levels: each cell is scanned alone, and what it hands on (its total, its
+    last row, its last value) is carried to later cells by a window over one row per cell, at most one per partition and
+    series.  No task reads more of a series than one cell."""
+    keys, order = list(keys), _cols(order)
+    lags, sums, lasts = dict(lags or {}), dict(sums or {}), dict(lasts or {})
+    place = F.struct(*order)
+    inside = Window.partitionBy("_ps_pid", *keys).orderBy(*order)
+    upto = inside.rowsBetween(Window.unboundedPreceding, 0)
+    along = Window.partitionBy(*keys).orderBy("_ps_pid")
+    earlier = along.rowsBetween(Window.unboundedPreceding, -1)
+    totals = [F.max_by(F.struct(F.col(c)), place)[c].alias(f"_ps_c_{o}") for o, c in lags.items()]
+    totals += [F.sum(c).alias(f"_ps_c_{o}") for o, c in sums.items()]
+    totals += [F.max_by(F.col(c), F.when(F.col(c).isNotNull(), place)).alias(f"_ps_c_{o}") for o, c in lasts.items()]
+    carried = cells.groupBy("_ps_pid", *keys).agg(*totals).select(
+        F.col("_ps_pid").alias("_ps_j"), *[F.col(k).alias(f"_ps_j{i}") for i, k in enumerate(keys)], *[F.lag(f"_ps_c_{o}").over(along).alias(f"_ps_c_{o}") for o in lags],
+        *[F.sum(f"_ps_c_{o}").over(earlier).alias(f"_ps_c_{o}") for o in sums],
+        *[F.last(f"_ps_c_{o}", ignorenulls=True).over(earlier).alias(f"_ps_c_{o}") for o in lasts])
+    local = cells.withColumns({"_ps_first": F.row_number().over(inside) == 1,
+                               **{o: F.lag(c).over(inside) for o, c in lags.items()},
+                               **{o: F.sum(c).over(upto) for o, c in sums.items()},
+                               **{o: F.last(c, ignorenulls=True).over(upto) for o, c in lasts.items()}})
+    same = [F.col("_ps_pid") == F.col("_ps_j"), *[F.col(k).eqNullSafe(F.col(f"_ps_j{i}")) for i, k in enumerate(keys)]]
+    both = local.join(carried, same, "left").drop("_ps_j", *[f"_ps_j{i}" for i in range(len(keys))])
+    out = {o: F.when(F.col("_ps_first"), F.col(f"_ps_c_{o}")).otherwise(F.col(o)) for o in lags}
+    out.update({o: F.when(F.col(o).isNotNull() | F.col(f"_ps_c_{o}").isNotNull(),
+                          F.coalesce(o, F.lit(0)) + F.coalesce(f"_ps_c_{o}", F.lit(0))) for o in sums})
+    out.update({o: F.coalesce(o, f"_ps_c_{o}") for o in lasts})
+    return both.withColumns(out).drop("_ps_first", *[f"_ps_c_{o}" for o in out])

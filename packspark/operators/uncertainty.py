@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from packspark.functions.columns import bin_right_closed, pct_text
 from packspark.operators.clean import sigma_band_filter
 from packspark.operators.median import group_median
+from packspark.operators.ordering import prefix_scan, range_cells
 from packspark.session import written
 
 SERIES = ("doe", "instance", "cycle_num")
@@ -27,12 +28,14 @@ def _null_if_any_null(a: Column, b: Column, pick_low: bool) -> Column:
 
 def capacity_bounds(df: DataFrame, limits: Sequence[tuple[float, float]] = ERROR_LIMITS, adc_tick: float = 0.0,
                     state: str | None = "CHARGE", keys: Sequence[str] = SERIES,
-                    order: Sequence[str] = ORDER) -> DataFrame:
+                    order: Sequence[str] = ORDER, method: str = "window", partitions: int | None = None) -> DataFrame:
     """Error class per sample, current bounds and cumulative charge capacity with bounds (Ah).
 
     ``capacity = Σ -I·Δt / 60`` over the series in ``order`` (right-endpoint rule; the first
     sample and samples whose term is NULL are NULL, later samples keep accumulating).
     The two bound series are named by size: ``capacity_lower_bound <= capacity_upper_bound``.
+    ``method='range'`` spreads each series over many tasks (``ordering.prefix_scan``; it writes the frame to the checkpoint
+    folder at once), ``'window'`` takes a task per series.  Sums differ in the last bits only.
     """
     d = df
     if state is not None:
@@ -45,18 +48,27 @@ def capacity_bounds(df: DataFrame, limits: Sequence[tuple[float, float]] = ERROR
     e = F.col("error_pc") * 0.01
     d = (d.withColumn("avg_current_a_lower_bound", i * (F.lit(1.0) + e) + F.lit(float(adc_tick)))
          .withColumn("avg_current_a_upper_bound", i * (F.lit(1.0) - e) - F.lit(float(adc_tick))))
-    w = Window.partitionBy(*keys).orderBy(*order)
-    run = w.rowsBetween(Window.unboundedPreceding, 0)
-    dt = F.col("elapsed_minutes") - F.lag("elapsed_minutes").over(w)
-    d = d.withColumn("_ps_dt", dt)
-
-    def cum(cur: str) -> Column:
-        term = -F.col(cur) * F.col("_ps_dt")
-        return F.when(term.isNotNull(), F.sum(term).over(run) / 60.0)
-
-    d = (d.withColumn("capacity", cum("avg_current_a"))
-         .withColumn("_ps_ca", cum("avg_current_a_lower_bound"))
-         .withColumn("_ps_cb", cum("avg_current_a_upper_bound")))
+    currents = {"capacity": "avg_current_a", "_ps_ca": "avg_current_a_lower_bound", "_ps_cb": "avg_current_a_upper_bound"}
+    if method == "range":
+        d = prefix_scan(range_cells(d, keys, order, partitions), keys, order, lags={"_ps_before": "elapsed_minutes"})
+        dt = F.col("elapsed_minutes") - F.col("_ps_before")
+        d = d.withColumns({f"_ps_t_{o}": -F.col(c) * dt for o, c in currents.items()})
+        d = prefix_scan(d, keys, order, sums={o: f"_ps_t_{o}" for o in currents})
+        d = d.withColumns({o: F.when(F.col(f"_ps_t_{o}").isNotNull(), F.col(o) / 60.0) for o in currents}) \
+            .drop("_ps_pid", "_ps_before", *[f"_ps_t_{o}" for o in currents])
+    elif method == "window":
+        w = Window.partitionBy(*keys).orderBy(*order)
+        run = w.rowsBetween(Window.unboundedPreceding, 0)
+        d = d.withColumn("_ps_dt", F.col("elapsed_minutes") - F.lag("elapsed_minutes").over(w))
+
+        def cum(cur: str) -> Column:
+            term = -F.col(cur) * F.col("_ps_dt")
+            return F.when(term.isNotNull(), F.sum(term).over(run) / 60.0)
+
+        for out, current in currents.items():
+            d = d.withColumn(out, cum(current))
+    else:
+        raise ValueError("method must be 'window' or 'range'")
     a, b = F.col("_ps_ca"), F.col("_ps_cb")
     return (d.withColumn("capacity_lower_bound", _null_if_any_null(a, b, True))
             .withColumn("capacity_upper_bound", _null_if_any_null(a, b, False))

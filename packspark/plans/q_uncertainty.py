@@ -68,6 +68,12 @@ def q_bounds(spark, sf):
     return _bounds(spark, sf)
 
 
+@register("capacity_bounds_range", CB_COLS, W(ad.SERIES_SQL, CB_CTES) + "\nSELECT * FROM cbounds",
+          ids=["T16", "F2", "W6", "W8"])
+def q_bounds_range(spark, sf):
+    return un.capacity_bounds(ad.series_view(spark, sf), method="range", partitions=12)
+
+
 @register("drop_outlier_cycles", CB_COLS, W(ad.SERIES_SQL, KEPT_CTES) + "\nSELECT * FROM kept",
           ids=["T17", "A11", "A12", "P14", "J4"])
 def q_drop(spark, sf):
