@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from packspark.operators.energy import discharge_energy
 from packspark.schema import CHARGE
 
 # Recipe per instance prefix letter.
@@ -110,3 +111,14 @@ def charge_time_label(df: DataFrame) -> DataFrame:
          .agg(F.median("time").cast("int").alias("median_time")))
     return m.withColumn("instance_time", F.concat(F.col("instance_number"), F.lit("_"),
                                                   F.col("median_time").cast("string"), F.lit("min")))
+
+
+def energy_by_label(df: DataFrame, window: int = 7, sigma_multiplier: float = 0.1) -> DataFrame:
+    """Mean discharge energy, cleaned and normalised, per charge-time label and cycle, from whole cycle rows.
+
+    Packs without a charge row have a NULL label."""
+    energy = discharge_energy(df, window, sigma_multiplier)
+    return (energy.join(charge_time_label(df).select("instance_number", "instance_time"), "instance_number", "left")
+            .groupBy("instance_time", "cycle")
+            .agg(F.count(F.lit(1)).alias("n"), F.avg("discharge_energy").alias("mean_energy"),
+                 F.avg("norm_discharge_energy").alias("mean_norm_energy")))

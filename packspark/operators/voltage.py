@@ -66,12 +66,21 @@ def cell_std_series(df: DataFrame, window: int = 5, sigma_multiplier: float = 0.
     return mean_ci(cell_voltage_std(df, window, sigma_multiplier), "cycle", "std_mv", ["cycling_substate"])
 
 
+def pick_instance(df: DataFrame, seed: int | None = None, instance: str = "instance_number") -> DataFrame:
+    """Rows of one pack of ``df``: the smallest id, or with a ``seed`` the pack whose id and seed have the smallest MD5, which
+    is any pack with equal chance and the same one on every run.  The id is found by one aggregation that combines before the
+    shuffle; an empty frame stays empty."""
+    order = F.col(instance) if seed is None else F.md5(F.concat_ws("|", F.lit(str(seed)), F.col(instance)).cast("binary"))
+    pick = df.where(F.col(instance).isNotNull()).agg(F.min_by(instance, F.struct(order, instance)).alias("_ps_pick"))
+    return df.where(F.col(instance) == pick.select("_ps_pick").scalar())
+
+
 def cell_voltage_long(df: DataFrame, raw_data: bool = True, window: int = 5,
                       sigma_multiplier: float = 0.1, instance: str | None = None) -> DataFrame:
     """Long table (doe, instance, state, cycle, cell, voltage); cleaned per cell unless ``raw_data``.
 
     ``instance`` restricts the table to one pack; by default every pack is returned
-    (cleaning is per pack and cell either way).
+    (cleaning is per pack and cell either way).  ``pick_instance`` chooses one where none is named.
     """
     if instance is not None:
         df = df.where(F.col("instance_number") == str(instance))

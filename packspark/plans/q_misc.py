@@ -104,6 +104,18 @@ def q_charge_by_label(spark, sf):
     return co.charge_by_label(ad.recipe_rows(spark, sf))
 
 
+@register("energy_by_label", "instance_time:s, cycle:i, n:l, mean_energy:d, mean_norm_energy:d",
+          W(ad.CYCLE_SQL, """named AS (SELECT * REPLACE (doe_number || instance_number AS instance_number) FROM cyc)""",
+            sq.discharge_energy_ctes(7, 0.1, src="named"), """lab AS (
+  SELECT instance_number, instance_number || '_' || CAST(CAST(trunc(median(time)) AS INTEGER) AS VARCHAR) || 'min' AS instance_time
+  FROM named WHERE cycling_substate = 'CHARGE' GROUP BY instance_number)""") + """
+SELECT instance_time, cycle, count(*) AS n, avg(discharge_energy) AS mean_energy, avg(norm_discharge_energy) AS mean_norm_energy
+FROM energy LEFT JOIN lab USING (instance_number) GROUP BY instance_time, cycle""", ids=["T1", "T31", "E13"])
+def q_energy_by_label(spark, sf):
+    rows = ad.cycle_view(spark, sf)
+    return co.energy_by_label(rows.withColumn("instance_number", F.concat("doe_number", "instance_number")))
+
+
 @register("recipe_density", "recipe:s, point:i, x:d, density:d",
           W(ad.CYCLE_SQL, ad.RECIPE_SQL, CLEAN_SQL) + f""",
 ds AS (SELECT recipe, count(capacity) AS n, stddev_samp(capacity) AS sd, min(capacity) AS lo, max(capacity) AS hi

@@ -105,10 +105,13 @@ _U = 1.0 + 8.0 / 100.0
 _CUT = -0.5 * _U
 
 
-@register("time_uncertainty", SER_COLS + ", charge_time:d, charge_time_lower_bound:d, avg_current_below_delta_time:d, "
-          "avg_current_a_cut_off:d, avg_current_lower_bound:d, charge_time_uncertainty:s",
-          W(ad.SERIES_SQL, f"""
-tu0 AS (SELECT * FROM samples WHERE charging_state_name = 'CHARGE' AND avg_current_a IS NOT NULL AND cccv_state = 2),
+TU_COLS = (SER_COLS + ", charge_time:d, charge_time_lower_bound:d, avg_current_below_delta_time:d, avg_current_a_cut_off:d, "
+           "avg_current_lower_bound:d, charge_time_uncertainty:s")
+
+
+def time_sql(where: str = "") -> str:
+    return f"""
+tu0 AS (SELECT * FROM samples WHERE charging_state_name = 'CHARGE' AND avg_current_a IS NOT NULL AND cccv_state = 2 {where}),
 tu1 AS (SELECT *, max(elapsed_minutes) OVER s AS tmax, max(avg_current_a) OVER s AS imax FROM tu0
         WINDOW s AS (PARTITION BY {SER})),
 ts AS (SELECT {SER}, arg_min(elapsed_minutes, (abs(avg_current_a - {lit(_CUT)}), elapsed_minutes, sample_id)) AS tstar
@@ -119,14 +122,23 @@ tu3 AS (
     arg_min(elapsed_minutes, (abs(avg_current_a - imax * {lit(_U)}), elapsed_minutes, sample_id)) AS charge_time_lower_bound,
     arg_min(avg_current_a, (abs(elapsed_minutes - (tstar - (tmax - tstar))), elapsed_minutes, sample_id))
       AS avg_current_below_delta_time
-  FROM tu2 GROUP BY {SER})""") + f"""
+  FROM tu2 GROUP BY {SER})
 SELECT *, {lit(-0.5)} AS avg_current_a_cut_off, {lit(_CUT)} AS avg_current_lower_bound,
   {_pct('(charge_time - charge_time_lower_bound) * 200.0 / nullif(charge_time, 0)')} AS charge_time_uncertainty
-FROM tu3""", ids=["T19", "J7", "O5", "F3"])
+FROM tu3"""
+
+
+@register("time_uncertainty", TU_COLS, W(ad.SERIES_SQL, time_sql()), ids=["T19", "J7", "O5", "F3"])
 def q_time_unc(spark, sf):
     return un.time_uncertainty(ad.series_view(spark, sf), -0.5, 8.0)
 
 
+@register("time_uncertainty_kept", TU_COLS,
+          W(ad.SERIES_SQL, KEPT_CTES, time_sql("AND cycle_num NOT IN (SELECT cycle_num FROM bad)")), ids=["T17", "T19", "E11"])
+def q_time_unc_kept(spark, sf):
+    return un.time_uncertainty(_kept(spark, sf), -0.5, 8.0)
+
+
 def _rank_cols():
     out = []
     for name, c in un.REGIME_COLS.items():

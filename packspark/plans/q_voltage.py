@@ -125,18 +125,32 @@ def q_modulo(spark, sf):
     return vo.cell_std_series(c)
 
 
-@register("cell_voltage_long", KC + ", cycling_substate:s, cycle:i, cell:s, voltage:d",
-          W(ad.CYCLE_SQL, STATE_CELLS_SQL, "lng AS (" + " UNION ALL ".join(
-              f"SELECT doe_number, instance_number, cycling_substate, cycle, 'cell{i}' AS cell, cell{i}_voltage_v AS voltage "
-              f"FROM sc WHERE {' AND '.join(c + ' IS NOT NULL' for c in CELLS)} AND cycle IS NOT NULL"
-              for i in range(1, 6)) + ")") + f"""
+def cell_long_sql(src: str, name: str = "lng") -> str:
+    return f"{name} AS (" + " UNION ALL ".join(
+        f"SELECT doe_number, instance_number, cycling_substate, cycle, 'cell{i}' AS cell, cell{i}_voltage_v AS voltage "
+        f"FROM {src} WHERE {' AND '.join(c + ' IS NOT NULL' for c in CELLS)} AND cycle IS NOT NULL"
+        for i in range(1, 6)) + f""")
 SELECT doe_number, instance_number, cycling_substate, cycle, cell,
        {w1('voltage', K + ', cycling_substate, cell', 'cycle', 5, 0.1)} AS voltage
-FROM lng""", ids=["T13", "X1", "F6", "P19", "E4"])
+FROM {name}"""
+
+
+CELL_LONG_COLS = KC + ", cycling_substate:s, cycle:i, cell:s, voltage:d"
+
+
+@register("cell_voltage_long", CELL_LONG_COLS, W(ad.CYCLE_SQL, STATE_CELLS_SQL, cell_long_sql("sc")),
+          ids=["T13", "X1", "F6", "E4"])
 def q_cell_long(spark, sf):
     return vo.cell_voltage_long(ad.cycle_view(spark, sf), raw_data=False)
 
 
+@register("cell_voltage_one_pack", CELL_LONG_COLS, W(ad.CYCLE_SQL, STATE_CELLS_SQL, """one AS (
+  SELECT * FROM sc WHERE instance_number = (SELECT arg_min(instance_number, (md5('5|' || instance_number), instance_number)) FROM cyc))""",
+          cell_long_sql("one")), ids=["T13", "P19", "E4"])
+def q_cell_one(spark, sf):
+    return vo.cell_voltage_long(vo.pick_instance(ad.cycle_view(spark, sf), seed=5), raw_data=False)
+
+
 POL = [f"cell{i}_delta_voltage" for i in range(1, 6)] + ["pack_delta_voltage"]
 POL_SQL = "pol AS (SELECT doe_number, instance_number, cycle, cycling_substate, " + ", ".join(
     [f"max_cell{i}_voltage_v - min_cell{i}_voltage_v AS cell{i}_delta_voltage" for i in range(1, 6)]

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from packspark.functions.columns import normal_draw
 from packspark.operators import energy as en
+from packspark.operators.voltage import pick_instance
 from packspark.sources.cycles import split_ranges
 
 COLS = "doe_number string, instance_number string, cycle int, raw_discharge_energy double"
@@ -60,3 +61,12 @@ def test_ranges_filter_alike_in_spark(spark):
     counts = [d.where(r).count() for r in ranges]
     assert len(ranges) == 4 and sum(counts) == 101
     assert split_ranges("c", None, None, 8) == ["1 = 1"]
+
+
+def test_one_pack_is_picked(spark):
+    df = spark.createDataFrame([(str(i % 7), i) for i in range(70)] + [(None, 1)], "instance_number string, v int")
+    assert {r[0] for r in pick_instance(df).select("instance_number").collect()} == {"0"}
+    picks = {s: pick_instance(df, seed=s).select("instance_number").distinct().collect() for s in range(12)}
+    assert all(len(p) == 1 for p in picks.values()) and len({p[0][0] for p in picks.values()}) > 2
+    assert pick_instance(df.repartition(9), seed=3).select("instance_number").first() == picks[3][0]
+    assert pick_instance(df.where("v < 0"), seed=3).count() == 0
