@@ -28,7 +28,7 @@ IMPL = {
     "P13": f"{O}.clean.group_screen", "P14": f"{O}.uncertainty.drop_outlier_cycles",
     "P15": f"{S}.files.read_data (key rename)", "P16": "column expressions (voltage.series_metrics abs current, dcir mΩ)",
     "P17": f"{O}.clean.clamp_early_global", "P18": f"{O}.clean.clamp_early_series (inside steps)",
-    "P19": f"{O}.voltage.cell_voltage_long(instance=...)", "P20": f"{S}.logs.parse_log",
+    "P19": f"{O}.voltage.pick_instance", "P20": f"{S}.logs.parse_log",
     "P21": f"{O}.voltage.dcir_table", "P22": f"{O}.voltage.series_metrics",
     "J1": f"{S}.logs.msg_type_name", "J2": f"{O}.cohorts.recipe_label", "J3": f"{O}.trend.extrapolation_segments (left_semi)",
     "J4": f"{O}.uncertainty.drop_outlier_cycles (left_anti)", "J5": f"{O}.cohorts.recipe_clean_time (window bound)",
