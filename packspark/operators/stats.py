@@ -80,12 +80,14 @@ def density(df: DataFrame, value: str, by: Sequence[str] = (), points: int = 50)
 
     Bandwidth = Scott's factor n^(-1/5) × sample std.  Each row contributes to every grid
     point of its group (a fixed fan-out of ``points``) and the sums are partial-aggregated
-    before the shuffle; no pairs of rows are formed.
+    before the shuffle; no pairs of rows are formed.  Without spread there is no bandwidth: the density is NULL.
+    ``density_binned`` does without the fan-out, within a stated error.
     """
     x = F.col(value)
     st = (df.where(x.isNotNull()).groupBy(*by)
           .agg(F.count(x).alias("_n"), F.stddev_samp(x).alias("_sd"), F.min(x).alias("_lo"), F.max(x).alias("_hi")))
-    st = st.withColumn("_bw", F.pow(F.col("_n").cast("double"), F.lit(-0.2)) * F.col("_sd"))
+    width = F.pow(F.col("_n").cast("double"), F.lit(-0.2)) * F.col("_sd")
+    st = st.withColumn("_bw", F.when(width > 0, width))
     if by:
         # one stats row per group; adaptive execution broadcasts it only when it is small
         d = df.where(x.isNotNull()).select(*by, value).join(st, on=list(by), how="inner")
@@ -98,5 +100,59 @@ def density(df: DataFrame, value: str, by: Sequence[str] = (), points: int = 50)
     gx = F.col("_lo") + F.col("point").cast("double") * step
     u = (gx - x) / F.col("_bw")
     kern = F.exp(F.lit(-0.5) * u * u) / (F.col("_bw") * F.lit((2 * 3.141592653589793) ** 0.5))
-    return (d.withColumn("x", gx).withColumn("_k", kern)
+    return (d.withColumn("_k", kern).withColumn("x", gx)
             .groupBy(*by, "point", "x").agg((F.sum("_k") / F.first("_n")).alias("density")))
+
+
+def binning_error(cells_per_bandwidth: int) -> float:
+    """Largest error of the binned density, in units of 1 / bandwidth.
+
+    Sharing a value between the two ends of its cell replaces the kernel by its chord there, which is off by at most
+    an eighth of the squared cell width times the largest second derivative, 1 / sqrt(2 pi) for the normal kernel."""
+    return 1.0 / (8.0 * cells_per_bandwidth ** 2 * math.sqrt(2.0 * math.pi))
+
+
+def density_binned(df: DataFrame, value: str, by: Sequence[str] = (), points: int = 50,
+                   cells_per_bandwidth: int = 64) -> DataFrame:
+    """Gaussian kernel density as in ``density``, from counts in cells instead of rows: point, x, density and its ``error_bound``.
+
+    A cell is ``1 / cells_per_bandwidth`` of the group's bandwidth wide.  A value is shared linearly between the two ends of
+    its cell, so a cell needs only its count and the sum of the shares; both are partial-aggregated before the
+    shuffle, and only occupied cells meet the ``points``.  The result differs from the exact one by at most
+    ``error_bound`` (``binning_error`` over the bandwidth; at 64 cells 1.2e-5 of a bandwidth's inverse).  Groups without
+    spread have no bandwidth: their density is NULL at every point.  NULL and NaN values are left out.
+    """
+    by = list(by)
+    keys = by or ["_ps_all"]
+    x = F.col(value).cast("double")
+    d = df.where(x.isNotNull() & ~F.isnan(x)).select(*by, x.alias("_ps_x"))
+    if not by:
+        d = d.withColumn("_ps_all", F.lit(0))
+    st = d.groupBy(*keys).agg(F.count(F.lit(1)).alias("_ps_n"), F.stddev_samp("_ps_x").alias("_ps_sd"),
+                              F.min("_ps_x").alias("_ps_lo"), F.max("_ps_x").alias("_ps_hi"))
+    width = F.pow(F.col("_ps_n").cast("double"), F.lit(-0.2)) * F.col("_ps_sd")
+    st = st.withColumn("_ps_bw", F.when(width > 0, width))
+    same = F.lit(True)
+    for k in keys:
+        same = same & F.col(f"a.{k}").eqNullSafe(F.col(f"b.{k}"))
+    lo, bw = F.col("_ps_lo"), F.col("_ps_bw")
+    cell = bw / F.lit(float(cells_per_bandwidth))
+    at = F.coalesce((F.col("_ps_x") - lo) / cell, F.lit(0.0))
+    placed = (d.alias("a").join(st.alias("b"), same)
+              .select("b.*", F.floor(at).alias("_ps_cell"), (at - F.floor(at)).alias("_ps_share")))
+    cells = (placed.groupBy(*st.columns, "_ps_cell")
+             .agg((F.count(F.lit(1)) - F.sum("_ps_share")).alias("_ps_left"), F.sum("_ps_share").alias("_ps_right")))
+    cells = cells.withColumn("point", F.explode(F.sequence(F.lit(0), F.lit(points - 1))))
+    gx = lo + F.col("point").cast("double") * ((F.col("_ps_hi") - lo) / F.lit(float(points - 1)))
+    scale = float(cells_per_bandwidth)
+
+    def kernel(end: Column) -> Column:
+        u = (gx - lo) / bw - end / F.lit(scale)
+        return F.exp(F.lit(-0.5) * u * u)
+
+    left, right = F.col("_ps_cell").cast("double"), F.col("_ps_cell").cast("double") + 1.0
+    part = F.col("_ps_left") * kernel(left) + F.col("_ps_right") * kernel(right)
+    total = F.sum("_ps_part") / (F.first("_ps_n") * F.first("_ps_bw") * F.lit(math.sqrt(2.0 * math.pi)))
+    return (cells.withColumn("x", gx).withColumn("_ps_part", part).groupBy(*keys, "point", "x")
+            .agg(total.alias("density"), (F.lit(binning_error(cells_per_bandwidth)) / F.first("_ps_bw")).alias("error_bound"))
+            .select(*by, "point", "x", "density", "error_bound"))

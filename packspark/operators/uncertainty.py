@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from packspark.functions.columns import bin_right_closed, pct_text
 from packspark.operators.clean import sigma_band_filter
+from packspark.operators.ends import array_median, group_ends
 from packspark.operators.median import group_median
 from packspark.operators.ordering import prefix_scan, range_cells
 from packspark.session import written
@@ -175,23 +176,17 @@ REGIME_COLS = {"time_min": "elapsed_minutes", "capacity_upper": "capacity_upper_
                "capacity": "capacity", "capacity_lower": "capacity_lower_bound"}
 
 
-def regime_breakdown(df: DataFrame, top: int = 10, keys: Sequence[str] = SERIES) -> DataFrame:
+def regime_breakdown(df: DataFrame, top: int = 10, keys: Sequence[str] = SERIES, position: str = "sample_id") -> DataFrame:
     """Per series and error class: median of the ``top`` largest minus median of the ``top``
-    smallest time and capacities, and the time / capacity share of each class (percent)."""
+    smallest time and capacities, and the time / capacity share of each class (percent).
+
+    The ends of all columns come from one pass (``group_ends``); no rows are ranked.  ``position`` is a whole number
+    unique within a series."""
     keys = list(keys)
     g = [*keys, "error_pc"]
-    d = df.where(F.col("error_pc").isNotNull())
-    aggs = []
-    wg = Window.partitionBy(*g)
-    for out, c in REGIME_COLS.items():
-        x = F.col(c)
-        # one ascending rank per column: the k largest are ranks n-k+1..n among non-null values
-        lo = F.row_number().over(wg.orderBy(x.asc_nulls_last()))
-        d = d.withColumn(f"_lo_{out}", lo).withColumn(f"_n_{out}", F.count(x).over(wg))
-        hi = F.col(f"_n_{out}") - F.col(f"_lo_{out}") + 1
-        aggs.append((F.median(F.when(x.isNotNull() & (hi <= top), x))
-                     - F.median(F.when(x.isNotNull() & (F.col(f"_lo_{out}") <= top), x))).alias(out))
-    r = d.groupBy(*g).agg(*aggs)
+    ends = group_ends(df.where(F.col("error_pc").isNotNull()), REGIME_COLS, top, g, position)
+    r = ends.select(*g, *[(array_median(F.col(f"{out}_high")) - array_median(F.col(f"{out}_low"))).alias(out)
+                          for out in REGIME_COLS])
     ws = Window.partitionBy(*keys)
     return (r.withColumn("time_pc", F.try_divide(F.col("time_min") * 100.0, F.sum("time_min").over(ws)))
             .withColumn("capacity_pc", F.try_divide(F.col("capacity") * 100.0, F.sum("capacity").over(ws))))

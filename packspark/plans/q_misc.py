@@ -133,6 +133,29 @@ def q_density(spark, sf):
     return stt.density(co.recipe_clean_time(ad.recipe_rows(spark, sf)), "capacity", by=["recipe"], points=50)
 
 
+@register("recipe_density_binned", "recipe:s, point:i, x:d, density:d, error_bound:d",
+          W(ad.CYCLE_SQL, ad.RECIPE_SQL, CLEAN_SQL) + f""",
+ds AS (SELECT recipe, count(capacity) AS n, stddev_samp(capacity) AS sd, min(capacity) AS lo, max(capacity) AS hi
+       FROM clean WHERE capacity IS NOT NULL GROUP BY recipe),
+ds2 AS (SELECT *, nullif(pow(CAST(n AS DOUBLE), {lit(-0.2)}) * sd, 0) AS bw FROM ds),
+placed AS (SELECT g.*, coalesce((c.capacity - g.lo) / (g.bw / {lit(64.0)}), {lit(0.0)}) AS pos
+       FROM clean c JOIN ds2 g ON c.recipe IS NOT DISTINCT FROM g.recipe WHERE c.capacity IS NOT NULL),
+ends AS (
+  SELECT recipe, n, lo, hi, bw, floor(pos) AS node, 1.0::DOUBLE - (pos - floor(pos)) AS share FROM placed
+  UNION ALL
+  SELECT recipe, n, lo, hi, bw, floor(pos) + 1.0::DOUBLE AS node, pos - floor(pos) AS share FROM placed),
+nodes AS (SELECT recipe, n, lo, hi, bw, node, sum(share) AS mass FROM ends GROUP BY recipe, n, lo, hi, bw, node),
+kd AS (SELECT nodes.*, CAST(p.range AS INTEGER) AS point,
+              lo + CAST(p.range AS DOUBLE) * ((hi - lo) / {lit(49.0)}) AS x FROM nodes, range(50) p)
+SELECT recipe, point, x,
+       sum(mass * exp({lit(-0.5)} * ((x - lo) / bw - node / {lit(64.0)}) * ((x - lo) / bw - node / {lit(64.0)})))
+         / (any_value(n) * any_value(bw) * {lit(math.sqrt(2 * math.pi))}) AS density,
+       1.0::DOUBLE / (8.0 * 64.0 * 64.0 * {lit(math.sqrt(2 * math.pi))}) / any_value(bw) AS error_bound
+FROM kd GROUP BY recipe, point, x""", ids=["A25"])
+def q_density_binned(spark, sf):
+    return stt.density_binned(co.recipe_clean_time(ad.recipe_rows(spark, sf)), "capacity", by=["recipe"], points=50)
+
+
 # ------------------------------------------------------------------ key filters over read_data
 FIL_COLS = "doe:s, instance:s, cycle_num:i, charging_state_name:s, energy:d"
 RD_SQL = """rd AS (SELECT doe_number AS doe, instance_number AS instance, cycle AS cycle_num,
