@@ -4,12 +4,14 @@
    the label in a bounded sample of labelled training rows (at most ``SAMPLE_ROWS``, chosen by a hash
    of the id; equal texts count once).
 2. Voters: each of the strongest entries, groups of the others, and patterns (density, variety, shouting
-   ...) fire or not on every document.  Vote patterns of all documents are counted.
+   ...) fire or not on every document.  The different features and votes of all documents are counted.
 3. Label model: expectation maximisation over the counted patterns, with the labelled sample as an
    anchor, estimates how often each voter fires on toxic and on other documents; the voters'
    correlations within a class discount those that repeat each other.
 4. Classifier: logistic regression on the words and patterns, trained on the label model's
-   posterior labels of the sample rows.  It scores every whole text.
+   posterior labels of all documents (each counted pattern by its count; Newton steps whose sums are taken over the
+   table).  No row's own label is a target: labels choose entries and anchor the label model, no more.  It scores
+   every whole text.
 
 Labels come only from rows outside the held-out fold (crc32 of the id's text mod 4 is 2); labels,
 language, source and id are never inputs of a score.
@@ -28,6 +30,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -42,12 +45,13 @@ GROUPS = 8
 CACHE_WORDS = 100_000
 COUNTED = 100_000       # entries counted in a task before they are passed on
 PATTERNS = 4
-LABEL_ODDS = 3.0        # log odds that a label row speaks for
 CANDIDATES = 4000
 BOUND = 2.2             # standard errors by which an entry's odds must stand out
 THRESHOLD = 0.3
 ROUNDS = 8
-ANCHOR = 1.0            # weight of a labelled row against an unlabelled one
+ADDERS = 4              # tasks that add up the sums of the others
+NEWTON = 15             # steps of the classifier at most
+UNLABELLED = 1.0        # weight of all counted documents against all anchoring labels: the same balance at every size
 
 _LETTERS = bytes(b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 
@@ -150,13 +154,15 @@ def _choose(rows: list[list[int]], toxic: np.ndarray, names: list[bytes]) -> lis
 
 
 class Features:
-    """Entries and patterns of a text as 0/1 features: lexicon entries, then PATTERNS."""
+    """Entries and patterns of a text as 0/1 features: lexicon entries, then PATTERNS (two entries or more; one word
+    in a hundred has one of the strongest entries; mostly capitals; many exclamation marks)."""
 
     def __init__(self, lexicon: list[bytes]):
         self.entries: dict[bytes, list[tuple[int, int]]] = {}     # key -> (least count, feature)
         for i, e in enumerate(lexicon):
             level = int(e[-1:]) if e[-2:-1] == b"*" else 1
             self.entries.setdefault(e[:-1] if level > 1 else e, []).append((level, i))
+        self.strong = {k for k, held in self.entries.items() if any(i < SINGLE for _, i in held)}
         self.n = len(lexicon)
         self.size = self.n + PATTERNS
         self.known: dict[bytes, tuple[bytes, ...]] = {}
@@ -177,7 +183,7 @@ class Features:
                 keys = make(w)
             if keys:
                 held.update(keys)
-                hits += 1
+                hits += not self.strong.isdisjoint(keys)
         out = sorted(i for k, c in held.items() for level, i in self.entries[k] if c >= level)
         upper = sum(map(str.isupper, text)) if text else 0
         marks = text.count("!") if text else 0
@@ -202,17 +208,19 @@ VOTERS = SINGLE + GROUPS + PATTERNS
 
 
 def vote_patterns(docs: DataFrame, lexicon: list[bytes]) -> DataFrame:
-    """(mask, n): how many documents have each vote pattern."""
+    """(features, mask, n): how many documents have each set of features, and the votes it casts."""
     shared = docs.sparkSession.sparkContext.broadcast(lexicon)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         features = Features(shared.value)
         for batch in batches:
-            n = Counter(features.votes(features(t)) for t in texts(batch.column("text")))
-            yield pa.RecordBatch.from_arrays([pa.array(list(n), pa.int64()), pa.array(list(n.values()), pa.int64())],
-                                             ["mask", "n"])
+            n = Counter(tuple(features(t)) for t in texts(batch.column("text")))
+            yield pa.RecordBatch.from_arrays([pa.array([list(f) for f in n], pa.list_(pa.int32())),
+                                              pa.array([features.votes(list(f)) for f in n], pa.int64()),
+                                              pa.array(list(n.values()), pa.int64())], ["features", "mask", "n"])
 
-    return docs.select("text").mapInArrow(lean(run), "mask bigint, n bigint").groupBy("mask").agg(F.sum("n").alias("n"))
+    return docs.select("text").mapInArrow(lean(run), "features array<int>, mask bigint, n bigint") \
+        .groupBy("features", "mask").agg(F.sum("n").alias("n"))
 
 
 def _bits(masks: np.ndarray) -> np.ndarray:
@@ -255,21 +263,38 @@ def _sums(patterns: DataFrame, model: LabelModel, pairs: bool) -> np.ndarray:
             out += np.concatenate(parts)
         yield pa.RecordBatch.from_arrays([pa.array([out], pa.list_(pa.float64()))], ["s"])
 
-    rows = patterns.mapInArrow(lean(run), "s array<double>").collect()
-    return np.sum([r["s"] for r in rows], axis=0) if rows else np.zeros(2 * (VOTERS + 1) + 2 * VOTERS ** 2 * pairs)
+    return added_up(patterns.select("mask", "n").mapInArrow(lean(run), "s array<double>"),
+                    2 * (VOTERS + 1) + 2 * VOTERS ** 2 * pairs)
+
+
+def added_up(parts: DataFrame, size: int) -> np.ndarray:
+    """Sum of the arrays in column ``s``, a row per task: added in at most ADDERS tasks before the driver adds theirs."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out = np.zeros(size)
+        for batch in batches:
+            for row in batch.column("s"):
+                out += row.values.to_numpy()
+        yield pa.RecordBatch.from_arrays([pa.array([out], pa.list_(pa.float64()))], ["s"])
+
+    rows = parts.repartition(ADDERS).mapInArrow(lean(run), "s array<double>").collect()
+    return np.sum([r["s"] for r in rows], axis=0) if rows else np.zeros(size)
 
 
 def fit_label_model(patterns: DataFrame, bits: np.ndarray, toxic: np.ndarray) -> LabelModel:
-    """Expectation maximisation over all vote patterns, anchored by labelled votes (bits, toxic)."""
+    """Expectation maximisation over all vote patterns, anchored by labelled votes (bits, toxic).
+
+    Both sides have weights that don't depend on how many documents there are: with one weight a document the few labels
+    would say less and less as the corpus grows."""
     own = [(bits[toxic == k].sum(0).astype(float), float((toxic == k).sum())) for k in (1, 0)]
 
     def rates(sums: np.ndarray | None, discount: np.ndarray) -> LabelModel:
         p, size = [], []
         for k in (0, 1):
-            fired, n = own[k][0] * ANCHOR, own[k][1] * ANCHOR
+            fired, n = own[k]
             if sums is not None:
                 at = k * (VOTERS + 1)
-                fired, n = fired + sums[at:at + VOTERS], n + sums[at + VOTERS]
+                share = UNLABELLED * len(toxic) / max(sums[VOTERS] + sums[2 * VOTERS + 1], 1.0)
+                fired, n = fired + share * sums[at:at + VOTERS], n + share * sums[at + VOTERS]
             p.append(np.clip((fired + 0.1) / (n + 0.2), 1e-4, 1 - 1e-4))
             size.append(n)
         return LabelModel(p[0], p[1], discount, min(max(size[0] / max(sum(size), 1.0), 1e-3), 0.5))
@@ -301,22 +326,50 @@ def _discount(sums: np.ndarray) -> np.ndarray:
     return 1 / (1 + most)
 
 
-def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.05, rounds: int = 25) -> np.ndarray:
-    """Ridge logistic regression on soft labels by Newton steps; the last weight is the intercept."""
-    x = np.hstack([x, np.ones((len(x), 1))])
-    w = np.zeros(x.shape[1])
-    penalty = np.full(x.shape[1], ridge)
+def fit_logistic(patterns: DataFrame, model: LabelModel, size: int, ridge: float = 0.05, rounds: int = NEWTON) -> np.ndarray:
+    """Ridge logistic regression on the posterior labels of all documents by Newton steps; the last weight is the intercept.
+
+    A step's gradient and curvature are sums over the pattern table: a task holds one batch of patterns and
+    one square of ``size + 1``."""
+    n = size + 1
+    w = np.zeros(n)
+    penalty = np.full(n, ridge)
     penalty[-1] = 1e-6
     for _ in range(rounds):
-        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        hessian = (x * (p * (1 - p) + 1e-6)[:, None]).T @ x + np.diag(penalty)
-        step = np.linalg.solve(hessian, x.T @ (y - p) - penalty * w)
+        sums = added_up(_newton_sums(patterns, model, size, w), n + n * n)
+        gradient, curvature = sums[:n], sums[n:].reshape(n, n)
+        step = np.linalg.solve(curvature + np.diag(penalty + 1e-6), gradient - penalty * w)
         w += np.clip(step, -4, 4)
-        if np.abs(step).max() < 1e-6:
+        if np.abs(step).max() < 1e-3:
             break
     return w
 
 
+def _newton_sums(patterns: DataFrame, model: LabelModel, size: int, w: np.ndarray) -> DataFrame:
+    shared = patterns.sparkSession.sparkContext.broadcast((model.p1, model.p0, model.discount, model.prior, w))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        *rates, weights = shared.value
+        label_model = LabelModel(*rates)
+        n = size + 1
+        gradient, curvature = np.zeros(n), np.zeros((n, n))
+        for batch in batches:
+            for at in range(0, batch.num_rows, 2048):
+                part = batch.slice(at, 2048)
+                held = part.column("features")
+                x = np.zeros((len(held), n))
+                x[:, -1] = 1
+                x[np.repeat(np.arange(len(held)), pc.list_value_length(held).to_numpy()), held.flatten().to_numpy()] = 1
+                count = part.column("n").to_numpy().astype(float)
+                soft = label_model.posterior(_bits(part.column("mask").to_numpy()).astype(float))
+                p = 1 / (1 + np.exp(-np.clip(x @ weights, -30, 30)))
+                gradient += x.T @ (count * (soft - p))
+                curvature += (x * (count * p * (1 - p))[:, None]).T @ x
+        yield pa.RecordBatch.from_arrays([pa.array([np.append(gradient, curvature.ravel())], pa.list_(pa.float64()))], ["s"])
+
+    return patterns.mapInArrow(lean(run), "s array<double>")
+
+
 @dataclass
 class ToxicityModel:
     lexicon: list[bytes]
@@ -365,11 +418,7 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> Toxicity
     patterns = materialise(vote_patterns(docs, lexicon), "vote-patterns")
     bits = _bits(np.array([features.votes(f) for f in rows_f], np.int64))
     model = fit_label_model(patterns, bits, toxic)
-    x = np.zeros((len(rows_f), features.size))
-    for i, f in enumerate(rows_f):
-        x[i, f] = 1
-    soft = model.posterior(bits.astype(float), LABEL_ODDS * (2.0 * toxic - 1))   # the row's label is one more voter
-    return ToxicityModel(lexicon, fit_logistic(x, soft), model)
+    return ToxicityModel(lexicon, fit_logistic(patterns, model, features.size), model)
 
 
 ADDED = "score double, predicted int"

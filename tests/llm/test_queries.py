@@ -2,11 +2,13 @@
 
 import hashlib
 import itertools
+import random
 import re
 import zlib
 from collections import Counter, defaultdict
 
 import duckdb
+import numpy as np
 import pytest
 
 from packspark.llm.queries import ORACLES, QUERIES
@@ -132,6 +134,63 @@ def test_toxicity_held_out_fold_and_accuracy(got):
     assert sum((p > n) + 0.5 * (p == n) for p in pos for n in neg) / (len(pos) * len(neg)) > 0.75
 
 
+def test_toxicity_on_the_held_out_fold_alone(spark):
+    """A fold of 94 labelled rows that no label of was seen (sf0.001 holds out two toxic rows only)."""
+    sf = SF.replace("sf0.001", "sf0.01")
+    r = QUERIES["op9_toxicity"](spark, sf).where("held_out").toPandas().set_index("doc_id")
+    lab = duckdb.sql(f"SELECT doc_id, max(toxic) AS toxic FROM '{sf}/labels.parquet' WHERE toxic IS NOT NULL GROUP BY 1").df()
+    lab = lab.set_index("doc_id").toxic
+    lab = lab[lab.index.isin(r.index)]
+    pos, neg = [r.score[i] for i in lab.index[lab == 1]], [r.score[i] for i in lab.index[lab == 0]]
+    assert sum((p > n) + 0.5 * (p == n) for p in pos for n in neg) / (len(pos) * len(neg)) > 0.75
+    assert sum(n >= 0.3 for n in neg) <= 0.05 * len(neg) and sum(p >= 0.3 for p in pos) >= 0.6 * len(pos)
+
+
+def test_toxicity_learns_from_unlabelled_texts(spark):
+    """A word that no labelled row holds gets weight from the votes it goes along with: labels only anchor the label model."""
+    from packspark.llm import toxicity
+
+    bad, other = ["vile", "scum", "rot"], ["field", "river", "stone", "cloud"]
+    rng = random.Random(5)
+    rows = []
+    for i in range(600):
+        toxic = i % 4 == 0
+        words = rng.choices(other, k=30) + (rng.sample(bad, 2) if toxic else [])
+        rng.shuffle(words)
+        rows.append((i, " ".join(words), int(toxic)))
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id bigint, text string")
+    held = {i for i, _, _ in rows if zlib.crc32(str(i).encode()) % 4 == 2}
+    wrong = {i for i, _, t in rows if t == 0 and i % 40 == 1}                  # clean texts marked toxic by mistake
+    marks = spark.createDataFrame([(i, 0, 1 if i in wrong else t) for i, _, t in rows], "doc_id bigint, quality int, toxic int")
+    got = {r.doc_id: r.score for r in toxicity.score(docs, toxicity.fit(docs, marks)).collect()}
+    assert all((got[i] >= 0.3) == bool(t) for i, _, t in rows if i in held)
+    assert all(got[i] < 0.3 for i in wrong)                                    # a row's own label isn't its target
+
+
+def test_newton_steps_equal_a_plain_fit(spark):
+    from packspark.llm import toxicity
+
+    rng = np.random.default_rng(2)
+    docs = spark.createDataFrame([(" ".join(rng.choice(["a1", "vile", "scum", "rot", "calm"], 6)),) for _ in range(300)], "text string")
+    lexicon = [b"vile", b"scum", b"rot"]
+    size = toxicity.Features(lexicon).size
+    rate = lambda x: np.full(toxicity.VOTERS, x)
+    model = toxicity.LabelModel(rate(0.6), rate(0.3), rate(0.5), 0.2)
+    patterns = toxicity.vote_patterns(docs, lexicon).cache()
+    w = toxicity.fit_logistic(patterns, model, size)
+    rows = patterns.collect()
+    assert sum(r.n for r in rows) == 300
+    x = np.zeros((len(rows), size + 1))
+    x[:, -1] = 1
+    for i, r in enumerate(rows):
+        x[i, list(r.features)] = 1
+    n = np.array([r.n for r in rows])
+    soft = model.posterior(toxicity._bits(np.array([r.mask for r in rows])).astype(float))
+    penalty = np.append(np.full(size, 0.05), 1e-6)
+    slope = x.T @ (n * (soft - 1 / (1 + np.exp(-x @ w)))) - penalty * w       # the optimum: no slope left
+    assert np.abs(slope).max() < 0.01
+
+
 def test_chat_reads_back(got):
     r = got("op10_chat_formatting").set_index("conv_id")
     said = "\\### Assistant: </turn> ok"
