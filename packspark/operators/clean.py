@@ -189,19 +189,21 @@ def sigma_band_filter(df: DataFrame, value: str, keys: Sequence[str], sigma_mult
 
 
 def clamp_early_global(df: DataFrame, value: str, by: Sequence[str], order: str = "cycle",
-                       first_n: int = 5) -> DataFrame:
+                       first_n: int = 5, few_groups: bool = False) -> DataFrame:
     """Rows with ``order < first_n`` take the median of all such rows of their ``by`` group.
 
     The median table has one row per ``by`` group (e.g. one per cycling state); it is an
     exact median, found by radix selection over counted values (no task holds a group).  It is joined
     back without a hint: adaptive execution measures
     the materialised table and turns the join into a broadcast only when it is below
-    the broadcast threshold, otherwise it stays a shuffle join.
+    the broadcast threshold, otherwise it stays a shuffle join.  That shuffle has gone by then: all rows of a group are
+    in one task, also in later windows on finer keys.  A caller whose groups are few and fixed says so with ``few_groups``:
+    the table is broadcast and the rows stay where they are.
     """
     from packspark.operators.median import group_median
     early = F.col(order) < first_n
     med = group_median(df.where(early), value, list(by), out="_ps_early_md")
-    d = df.join(med, on=list(by), how="left")
+    d = df.join(F.broadcast(med) if few_groups else med, on=list(by), how="left")
     return d.withColumn(value, F.when(early, F.col("_ps_early_md")).otherwise(F.col(value))).drop("_ps_early_md")
 
 

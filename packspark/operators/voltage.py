@@ -131,7 +131,8 @@ def temperature_clean(df: DataFrame, y: str = "max_temp", x: str = "cycle", clea
     if "doe_instance" in more and "doe_instance" not in d.columns:
         d = d.withColumn("doe_instance", F.concat_ws("_", *[F.col(k).cast("string") for k in CYCLE_KEYS]))
     d = d.select(*CYCLE_KEYS, "cycling_substate", x, y, *more)
-    d = clamp_early_global(d, y, ["cycling_substate"], x, clean_first_n_cycles)
+    # four states at most; a join by state would put all packs of a state into one task, and the windows below with them
+    d = clamp_early_global(d, y, ["cycling_substate"], x, clean_first_n_cycles, few_groups=True)
     return rolling_outlier_replace(d, y, [*CYCLE_KEYS, "cycling_substate"], x, window, sigma_multiplier)
 
 

@@ -96,3 +96,19 @@ def test_a_folder_of_files_is_read(spark, tmp_path):
     assert read_data(spark, path, fmt="parquet").count() == 5
     with pytest.raises(ValueError):
         read_data(spark, path)
+
+
+def test_early_median_leaves_packs_spread(spark):
+    """The packs of a state used to be in one task after the median of the state was joined."""
+    df = spark.range(4000).select(F.lit("T").alias("doe_number"), (F.col("id") % 200).cast("string").alias("instance_number"),
+                                  (F.col("id") / 200).cast("int").alias("cycle"), F.lit("CHARGE").alias("cycling_substate"),
+                                  F.col("id").cast("double").alias("max_temp"))
+    held = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        out = voltage.temperature_clean(df)
+        assert out.select(F.spark_partition_id()).distinct().count() > 1
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", held)
+    early = out.where("cycle < 5").agg(F.min("max_temp"), F.max("max_temp")).first()
+    assert early[0] == early[1] == 499.5
