@@ -60,15 +60,20 @@ def content_lists(df: DataFrame, every: Sequence[str] = ("doe", "instance"), ran
 def content_summary(df: DataFrame, cols: Sequence[str] = ("doe", "instance", "cycle_num")) -> DataFrame:
     """One row per key column: distinct count, min and max (as text).
 
-    One aggregation pass for all columns (exact distinct counts shuffle by value); the
-    single result row is then unpivoted.  Nothing is collected to the driver.
+    One pass for all columns: a row hands on each column's value in a row of its own, whose repeats go before the
+    shuffle (hashed, as there is nothing to add up; min and max of texts beside the counts would have every task sort all
+    of its rows once a column).  The single result row over the different values is then unpivoted.  Nothing is collected
+    to the driver.
     """
     cols = [c for c in cols if c in df.columns]
+    alone = [F.struct(*[(F.col(c) if c == own else F.lit(None).cast(df.schema[c].dataType)).alias(f"v{i}")
+                        for i, c in enumerate(cols)]) for own in cols]
+    values = df.select(F.explode(F.array(*alone)).alias("s")).select("s.*").distinct()
     aggs = []
     for i, c in enumerate(cols):
-        aggs += [F.countDistinct(c).alias(f"n{i}"), F.min(c).cast("string").alias(f"lo{i}"),
-                 F.max(c).cast("string").alias(f"hi{i}")]
-    row = df.agg(*aggs)
+        aggs += [F.count(f"v{i}").alias(f"n{i}"), F.min(f"v{i}").cast("string").alias(f"lo{i}"),
+                 F.max(f"v{i}").cast("string").alias(f"hi{i}")]
+    row = values.agg(*aggs)
     arr = F.array(*[F.struct(F.lit(c).alias("column"), F.col(f"n{i}").alias("n_distinct"),
                              F.col(f"lo{i}").alias("min_value"), F.col(f"hi{i}").alias("max_value"))
                     for i, c in enumerate(cols)])

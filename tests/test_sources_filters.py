@@ -159,3 +159,15 @@ def test_bins_chosen_by_the_data(spark, by):
         counts[r.bin] = r["count"]
         if bins > 1:
             assert counts.tolist() == np.histogram(v, bins)[0].tolist()
+
+
+def test_content_summary_counts_without_sorting_all_rows(spark):
+    rows = [("B", "2", 10), ("A", None, 9), ("A", "10", 10), (None, "10", None)]
+    df = spark.createDataFrame(rows, "doe string, instance string, cycle_num int")
+    got = {r["column"]: tuple(r)[1:] for r in files.content_summary(df).collect()}
+    assert got == {"doe": (2, "A", "B"), "instance": (2, "10", "2"), "cycle_num": (2, "9", "10")}
+    empty = files.content_summary(df.where("false")).collect()
+    assert sorted(r["column"] for r in empty) == ["cycle_num", "doe", "instance"]
+    assert {tuple(r)[1:] for r in empty} == {(0, None, None)}
+    plan = files.content_summary(df)._jdf.queryExecution().executedPlan().toString()
+    assert "Expand" not in plan and plan.count("HashAggregate") >= 2, plan
