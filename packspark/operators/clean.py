@@ -13,7 +13,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -55,7 +55,8 @@ def rolling_outlier_replace(df: DataFrame, value: str | Sequence[str], keys: Seq
     """Rolling outlier replacement of one or more columns, per series.
 
     ``md``/``sd`` come from the original series (not recursive).  ``method``:
-    ``'native'`` – framed ``percentile``/``stddev_pop`` window (JVM only);
+    ``'native'`` – built-in functions only: up to NATIVE_MAX_WINDOW rows the frame's values come from ``lag``
+    (``_lagged_median``), wider frames are a framed ``percentile``/``stddev_pop`` window;
     ``'blocked'`` – rows numbered per series, cut into blocks of ``block_rows`` plus a
     ``window-1`` halo from the previous block, and each bounded block cleaned with a
     vectorised rolling median in an Arrow batch; ``'auto'`` picks by window width.
@@ -70,6 +71,11 @@ def rolling_outlier_replace(df: DataFrame, value: str | Sequence[str], keys: Seq
         raise ValueError("window must be >= 1")
     if method == "auto":
         method = "native" if window <= NATIVE_MAX_WINDOW else "blocked"
+    if method == "native" and window <= NATIVE_MAX_WINDOW:
+        d = _lagged_median(df, values, Window.partitionBy(*keys).orderBy(*_order_cols(order)), window)
+        cleaned = {o: outlier_replace_expr(v, F.col(f"_ps_md{i}"), F.col(f"_ps_sd{i}"), sigma_multiplier)
+                   for i, (v, o) in enumerate(zip(values, outs))}
+        return d.withColumns(cleaned).drop(*d.columns[len(df.columns):])
     if method == "native":
         w = Window.partitionBy(*keys).orderBy(*_order_cols(order)).rowsBetween(-(window - 1), 0)
         cols = {}
@@ -85,6 +91,24 @@ def rolling_outlier_replace(df: DataFrame, value: str | Sequence[str], keys: Seq
     raise ValueError(f"unknown method {method!r}")
 
 
+def _lagged_median(df: DataFrame, values: Sequence[str], series: WindowSpec, window: int) -> DataFrame:
+    """``df`` with the median and the population deviation of the last ``window`` rows of each value column: _ps_md0, _ps_sd0, ...
+
+    A framed ``percentile`` fills and sorts a hash map of its own at every row.  Here the frame's values come by ``lag`` into a
+    sorted array, and only count and deviation are framed aggregates.  The median equals ``percentile(x, 0.5)``.
+    NaN in place of NULL sorts behind the values, so the first n places hold these (and an array without NULLs sorts faster)."""
+    frame = series.rowsBetween(-(window - 1), 0)
+    helpers, held, medians = {}, {}, {}
+    for i, v in enumerate(values):
+        x = F.col(v).cast("double")
+        lags = {f"_ps_l{i}_{k}": F.lag(x, k).over(series) if k else x for k in range(window)}
+        helpers |= lags | {f"_ps_n{i}": F.count(x).over(frame).cast("int"), f"_ps_sd{i}": F.stddev_pop(x).over(frame)}
+        held[f"_ps_s{i}"] = F.sort_array(F.array(*[F.coalesce(c, F.lit(float("nan"))) for c in lags]))
+        low, high = (F.get(f"_ps_s{i}", F.shiftright(F.col(f"_ps_n{i}") - k, 1)) for k in (1, 0))
+        medians[f"_ps_md{i}"] = F.when(low == high, low).otherwise(low * 0.5 + high * 0.5)
+    return df.withColumns(helpers).withColumns(held).withColumns(medians)
+
+
 def _blocked_rolling(df, values, outs, keys, order, window, k, block_rows, position_method="window",
                      restore=None):
     """Blocked rolling filter.

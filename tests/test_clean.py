@@ -2,6 +2,7 @@ import math
 
 import numpy as np
 import pandas as pd
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from packspark.operators.clean import (clamp_early_global, clamp_early_series, group_screen,
@@ -95,3 +96,23 @@ def test_group_screen_keeps_whole_groups(spark):
     df = spark.createDataFrame(rows, "instance_number string, cycle int, norm_discharge_energy double")
     out = group_screen(df, ["instance_number"]).groupBy("instance_number").count().toPandas()
     assert out.instance_number.tolist() == ["a"] and out["count"].iloc[0] == 299
+
+
+def test_median_of_lags_equals_the_framed_percentile(spark):
+    rng = np.random.default_rng(3)
+    rows = []
+    for k in range(30):
+        for t in range(int(rng.integers(1, 40))):
+            v = [None, math.nan, math.inf, -0.0, 0.0][int(rng.integers(0, 5))] if rng.random() < 0.3 else float(rng.integers(-3, 4)) / 10
+            rows.append((f"s{k}", t, v))
+    df = _series(spark, rows).withColumn("y", F.when(F.abs("x") < 9, F.round(F.col("x") * 7)).cast("int"))
+    for window, k in [(1, 0.1), (2, 0.5), (5, 0.5), (16, 1.0)]:
+        w = Window.partitionBy("k").orderBy("t").rowsBetween(-(window - 1), 0)
+        want = df
+        for v in ("x", "y"):
+            md, sd = F.percentile(v, F.lit(0.5)).over(w), F.stddev_pop(v).over(w)
+            want = want.withColumn(f"c{v}", F.when(F.abs(F.col(v) - md) > F.lit(k) * sd, md).otherwise(F.col(v)))
+        out = rolling_outlier_replace(df, ["x", "y"], ["k"], "t", window, k, out=["cx", "cy"], method="native")
+        assert out.columns == want.columns and out.schema["cy"].dataType == want.schema["cy"].dataType
+        assert sorted(map(str, out.collect())) == sorted(map(str, want.collect()))
+        assert "percentile" not in out._jdf.queryExecution().optimizedPlan().toString()
