@@ -40,7 +40,7 @@ FREQUENT_COLUMNS = 200_000    # columns known as frequent; they only shape the o
 CHUNK_MEMBERS = 2_000_000     # members counted together when looking for frequent columns
 FREQUENT_IN_CHUNK = 8
 FILTER_WORDS = 1 << 17        # 64-bit words of the fixed-size filter of candidate ids
-CHUNK_BYTES = 1 << 20         # bytes of text hashed together
+CHUNK_BYTES = 1 << 18         # bytes of text hashed together (a worker holds about thirty times as much while it does)
 BLOCK_ROWS = 500              # rows of a column multiplied as one block
 PAIRS_PER_ENTRY = 1000        # remaining pairs per matrix entry at which all of them are tested at once
 HUB_ROUNDS = 6                # rounds of hubs at most; the block products take any number of pairs after them
@@ -210,7 +210,7 @@ def _sets(docs: DataFrame) -> DataFrame:
         yield from _frequent(chunk)
 
     return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(
-        run, "kind int, doc_id bigint, n bigint, k1 bigint, k2 bigint")
+        lean(run), "kind int, doc_id bigint, n bigint, k1 bigint, k2 bigint")
 
 
 def _signed(x: int) -> int:
@@ -218,9 +218,16 @@ def _signed(x: int) -> int:
 
 
 def _frequent(chunk: dict) -> Iterator[pa.RecordBatch]:
+    """Columns of FREQUENT_IN_CHUNK sets or more, with their counts.  The chunk is emptied: its members are sorted in one array
+    and only columns that fill so many places there are counted."""
     if chunk:
-        h, n = np.unique(np.concatenate(list(chunk.values())), return_counts=True)
-        h, n = h[n >= FREQUENT_IN_CHUNK].astype(np.int64), n[n >= FREQUENT_IN_CHUNK]
+        members = np.concatenate(list(chunk.values()))
+        chunk.clear()
+        members.sort()
+        last = FREQUENT_IN_CHUNK - 1
+        h = np.unique(members[last:][members[last:] == members[:max(0, len(members) - last)]])
+        n = np.searchsorted(members, h, "right") - np.searchsorted(members, h, "left")
+        h = h.astype(np.int64)
         yield pa.RecordBatch.from_arrays(
             [pa.array(np.ones(len(h)), pa.int32()), pa.nulls(len(h), pa.int64()), pa.array(n, pa.int64()),
              pa.array(h, pa.int64()), pa.array(np.zeros(len(h)), pa.int64())], ["kind", "doc_id", "n", "k1", "k2"])

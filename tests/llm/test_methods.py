@@ -3,6 +3,7 @@
 import random
 import struct
 
+import numpy as np
 import pyarrow as pa
 import pytest
 from hypothesis import given, settings
@@ -196,3 +197,23 @@ def test_normalised_encoding_equals_the_library(squeeze, prefix):
         assert shown == ",".join(map(str, ids))
         n = len(t.encode())
         assert all(0 <= a <= b <= n for a, b in zip(starts, ends)) and all(starts[i] <= starts[i + 1] for i in range(len(ids) - 1))
+
+
+def test_jaccard_workers_hold_little_beside_their_members():
+    import tracemalloc
+    rng = np.random.default_rng(5)
+    rare = rng.integers(0, 1 << 63, (300, 1000), dtype=np.uint64)
+    sets = {i: np.unique(np.append(m, np.arange(i % 40, dtype=np.uint64))) for i, m in enumerate(rare)}
+    values, counts = np.unique(np.concatenate(list(sets.values())), return_counts=True)
+    texts = pa.array([" ".join(map(str, m)) for m in rare[:150]])
+    tracemalloc.start()
+    got = list(J._frequent(sets))[0]
+    held = tracemalloc.get_traced_memory()[1] / counts.sum() / 8
+    tracemalloc.reset_peak()
+    n = [len(m) for m in J.Shingler().columns(texts)]
+    hashing = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert np.array_equal(got.column("k1").to_numpy().astype(np.uint64), values[counts >= J.FREQUENT_IN_CHUNK])
+    assert np.array_equal(got.column("n").to_numpy(), counts[counts >= J.FREQUENT_IN_CHUNK])
+    assert held < 2 and hashing < 16e6 and n == [996] * 150
+    assert [b.num_rows for b in J._frequent({0: np.arange(3, dtype=np.uint64)})] == [0] and not list(J._frequent({}))
